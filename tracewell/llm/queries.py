@@ -1,11 +1,13 @@
 """The queries of this subpackage, with their SQL where SQL can express them."""
 
-from tracewell.llm import near_dups
+from tracewell.llm import mixing, near_dups
 
 QUERIES = {
     "op2_minhash_near_dedup": near_dups.op2_minhash_near_dedup,
+    "op10_mix_sources": mixing.op10_mix_sources,
 }
 
 ORACLE = {
     "op2_minhash_near_dedup": near_dups.OP2_SQL,
+    "op10_mix_sources": mixing.OP10_SQL,
 }
