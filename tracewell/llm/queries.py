@@ -1,9 +1,10 @@
 """The queries of this subpackage, with their SQL where SQL can express them."""
 
-from tracewell.llm import mixing, near_dups
+from tracewell.llm import mixing, near_dups, secret_scan
 
 QUERIES = {
     "op2_minhash_near_dedup": near_dups.op2_minhash_near_dedup,
+    "op4_secret_scan": secret_scan.op4_secret_scan,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 
