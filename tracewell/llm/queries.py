@@ -1,10 +1,11 @@
 """The queries of this subpackage, with their SQL where SQL can express them."""
 
-from tracewell.llm import fingerprints, mixing, near_dups, secret_scan
+from tracewell.llm import fingerprints, mixing, near_dups, secret_scan, toxicity
 
 QUERIES = {
     "op2_minhash_near_dedup": near_dups.op2_minhash_near_dedup,
     "op4_secret_scan": secret_scan.op4_secret_scan,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op9_document_fingerprints": fingerprints.op9_document_fingerprints,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
