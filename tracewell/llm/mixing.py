@@ -117,6 +117,7 @@ def mix_sources(
         F.lit(0).alias("all"), F.struct(F.col("source").isNull().alias("last"), "source").alias("name"), "source_size", "target",
         F.lit(round(sum_size / block)).cast("long").alias("seats"),
     )
+    blocks = cut(blocks, "mix-blocks")  # so that the join on its one group is an equi-join
     quotas = sainte_lague(blocks, "all", "name", "target", "seats").select(
         "name", "source_size", "target", F.col("quota").alias("source_quota"),
         F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(shard_words))).cast("long").alias("shards"),
