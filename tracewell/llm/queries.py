@@ -1,11 +1,12 @@
 """The queries of this subpackage, with their SQL where SQL can express them."""
 
-from tracewell.llm import fingerprints, mixing, near_dups, secret_scan, toxicity
+from tracewell.llm import fingerprints, mixing, near_dups, quality, secret_scan, toxicity
 
 QUERIES = {
     "op2_minhash_near_dedup": near_dups.op2_minhash_near_dedup,
     "op4_secret_scan": secret_scan.op4_secret_scan,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_document_fingerprints": fingerprints.op9_document_fingerprints,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
