@@ -24,7 +24,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tracewell.llm import words
-from tracewell.scratch import cut
 
 WINDOW, PIECE, SECTION = 8, 20, 4
 _DIGITS = np.frombuffer(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz-_", np.uint8)
@@ -146,35 +145,33 @@ def _columns(ids: pa.Array, texts: list[str], nexts: list[str]) -> list[pa.Array
 
 _NAMES = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 _TYPES = ", n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_EDGE = ["part", "edge", "head", "tail"]
 
 
-def _along():
-    """Each row against the next of its sorted partition; the rows at its ends are passed on."""
+def _along(batches):
+    """Each row of a sorted partition against the next, but for the last."""
+    last_id = last = None
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1000):
+            b = whole.slice(at, 1000)
+            ids, texts = b.column(0), [x or "" for x in b.column(1).to_pylist()]
+            if last is not None:
+                ids, texts = pa.concat_arrays([last_id, ids]), [last, *texts]
+            last_id, last = ids.slice(len(ids) - 1), texts[-1]
+            if len(texts) > 1:
+                yield pa.RecordBatch.from_arrays(_columns(ids.slice(0, len(ids) - 1), texts[:-1], texts[1:]), _NAMES)
 
-    def out(columns, part, n, edge, head, tail):
-        more = [pa.array([part] * n, pa.int32()), pa.array([edge] * n, pa.int32()), pa.array([head] * n, pa.string()), pa.array([tail] * n, pa.string())]
-        return pa.RecordBatch.from_arrays([*columns, *more], _NAMES + _EDGE)
 
-    def run(batches):
-        part = TaskContext.get().partitionId()
-        first = last_id = last = None
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                ids, texts = b.column(0), [x or "" for x in b.column(1).to_pylist()]
-                if last is not None:
-                    ids, texts = pa.concat_arrays([last_id, ids]), [last, *texts]
-                if first is None:
-                    first = texts[0]
-                last_id, last = ids.slice(len(ids) - 1), texts[-1]
-                if len(texts) > 1:
-                    yield out(_columns(ids.slice(0, len(ids) - 1), texts[:-1], texts[1:]), part, len(texts) - 1, 0, None, None)
-        if last is not None:
-            none = [pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())]
-            yield out([last_id, *none], part, 1, 1, first, last)
-
-    return run
+def _edges(batches):
+    """The first text of a sorted partition, and its last row."""
+    head = tail = None
+    for b in batches:
+        if b.num_rows:
+            head = b.slice(0, 1) if head is None else head
+            tail = b.slice(b.num_rows - 1)
+    if head is not None:
+        part = pa.array([TaskContext.get().partitionId()], pa.int32())
+        empty = [x.column(1).fill_null("") for x in (head, tail)]
+        yield pa.RecordBatch.from_arrays([part, tail.column(0), *empty], ["part", "id", "head", "tail"])
 
 
 def _ends(batches):
@@ -189,21 +186,22 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Documents are compared with their edited text and with the next one by ascending
     id, after the last the first. Rows with equal ids are ordered by a hash of their text,
     null ids come first, null texts are empty; a table of one row has that row as its own
-    next. Texts are dealt by ranges of ids and sorted there, in one shuffle; only the
-    first and last text of each range is kept for a second look, one pair a range.
+    next. Texts are dealt by ranges of ids and sorted there, in one shuffle that both
+    looks at it share; its number of partitions is fixed, so they see the same ranges. Only
+    the first text and the last row of each range go to a second comparison.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     order = [F.col("id"), F.xxhash64("text"), F.col("text")]
-    dealt = src.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
-    schema = f"id {id_type}{_TYPES}, part int, edge int, head string, tail string"
-    done = cut(dealt.mapInArrow(_along(), schema), "fp-ranges")
-    edges = done.filter("edge = 1").select("id", "part", "head", "tail")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = src.repartitionByRange(parts, *order[:2]).sortWithinPartitions(*order)
+    inner = dealt.mapInArrow(_along, f"id {id_type}{_TYPES}")
+    edges = dealt.mapInArrow(_edges, f"part int, id {id_type}, head string, tail string")
     # one row a range
     follow = F.coalesce(F.lead("head").over(Window.orderBy("part")), F.first("head").over(Window.orderBy("part")))
     pairs = edges.select("id", "tail", follow.alias("following")).repartition("id")
     ends = pairs.mapInArrow(_ends, f"id {id_type}{_TYPES}")
-    return done.filter("edge = 0").drop(*_EDGE).unionByName(ends).withColumnRenamed("id", id_col)
+    return inner.unionByName(ends).withColumnRenamed("id", id_col)
 
 
 def op9_document_fingerprints(spark, sf_dir):
