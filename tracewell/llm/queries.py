@@ -1,10 +1,11 @@
 """The queries of this subpackage, with their SQL where SQL can express them."""
 
-from tracewell.llm import fingerprints, mixing, near_dups, quality, secret_scan, toxicity
+from tracewell.llm import fingerprints, line_templates, mixing, near_dups, quality, secret_scan, toxicity
 
 QUERIES = {
     "op2_minhash_near_dedup": near_dups.op2_minhash_near_dedup,
     "op4_secret_scan": secret_scan.op4_secret_scan,
+    "op5_line_templates": line_templates.op5_line_templates,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_document_fingerprints": fingerprints.op9_document_fingerprints,
@@ -13,5 +14,6 @@ QUERIES = {
 
 ORACLE = {
     "op2_minhash_near_dedup": near_dups.OP2_SQL,
+    "op5_line_templates": line_templates.OP5_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
 }
