@@ -9,7 +9,8 @@ Scoring is a join of counts too. Documents are dealt into blocks of some megabyt
 a block asks for the probability of each n-gram that occurs in it, once. The questions
 of all blocks meet the count tables, order by order, and the answers go back to
 their block, which adds them up for each of its documents. So what is shuffled is the
-text once, and for each block its different n-grams; no table has to fit in one place.
+text, and for each block its different n-grams; no table has to fit in one place. Every
+step that shuffles texts ends in a table, and its shuffle files are freed before the next.
 
 A document's perplexity is drawn to its language's median as if it had ``PRIOR``
 more characters of that, which keeps very short texts from chance verdicts. A document
@@ -96,9 +97,9 @@ def _ask(batches):
     """The different n-grams of each block."""
     found: dict[int, np.ndarray] = {}
     for b in batches:
-        block = b.column(0).to_numpy(zero_copy_only=False)
+        block = b.column("block").to_numpy(zero_copy_only=False)
         for k in np.unique(block):
-            for texts in _pieces(b.column(1).filter(pa.array(block == k))):
+            for texts in _pieces(b.column("text").filter(pa.array(block == k))):
                 u = np.unique(_grams(texts)[0])
                 found[k] = np.union1d(found[k], u) if k in found else u
     for k, g in found.items():
@@ -190,7 +191,7 @@ def perplexities(
         F.col(id_col).alias("id"), row_hash(id_col, text_col).alias("row"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"),
     )
     dealt = dealt.withColumn("block", F.pmod("row", F.lit(blocks)).cast("int")).repartition(int(blocks), "block")
-    asked = dealt.select("block", "text").mapInArrow(_ask, "block int, gram long")
+    asked = cut(dealt.select("block", "text").mapInArrow(_ask, "block int, gram long"), "kn-asked")
     p = probabilities(asked, counts, discounts(counts))
     answers = asked.join(p, "gram").select("block", "gram", (-F.log("p")).alias("cost"))
     id_type = docs.schema[id_col].dataType.simpleString()
