@@ -1,8 +1,9 @@
 """The queries of this subpackage, with their SQL where SQL can express them."""
 
-from tracewell.llm import fingerprints, line_templates, mixing, near_dups, quality, secret_scan, toxicity
+from tracewell.llm import decontaminate, fingerprints, line_templates, mixing, near_dups, quality, secret_scan, toxicity
 
 QUERIES = {
+    "op1_decontamination": decontaminate.op1_decontamination,
     "op2_minhash_near_dedup": near_dups.op2_minhash_near_dedup,
     "op4_secret_scan": secret_scan.op4_secret_scan,
     "op5_line_templates": line_templates.op5_line_templates,
