@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tracewell.llm.rows import row_hash
 from tracewell.operators.ordering import with_running
 from tracewell.scratch import cut
 
@@ -97,7 +98,9 @@ def mix_sources(
     shard_words: int = 1_000_000,
     seed: str = "mix",
 ) -> DataFrame:
-    """``(id, size, source_size, target, taken)`` for every row of ``docs``.
+    """``(id, row, size, source_size, target, taken)`` for every row of ``docs``.
+
+    ``row`` is the hash that :func:`rows.row_hash` gives.
 
     ``taken`` counts the words of a document that the mix takes, repeats included; it
     is at most ``repeats * size``. A source takes its target to within a block a
@@ -108,7 +111,8 @@ def mix_sources(
     """
     seeded = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
     rows = docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), seeded.alias("h")
+        F.col(id_col).alias("id"), row_hash(id_col, text_col).alias("row"), F.col(source_col).alias("source"),
+        word_count(F.col(text_col)).alias("size"), seeded.alias("h"),
     )
     rows = cut(rows, "mix-sizes")
     shares = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), list(weights), repeats), "mix-targets")
@@ -136,12 +140,24 @@ def mix_sources(
     rounds = F.when(F.col("shard_size") > 0, F.floor(F.col("words") / F.col("shard_size"))).otherwise(0).cast("long")
     over = F.col("words") - rounds * F.col("shard_size") - F.col("start")
     taken = rounds * F.col("size") + F.least(F.greatest(over, F.lit(0)), F.col("size"))
-    return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.select(F.col("id").alias(id_col), "row", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def op10_mix_sources(spark, sf_dir):
     """The words that the mix takes of every document."""
-    return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row")
+
+
+def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: the documents of the mix, with ``taken``, the words it takes of each.
+
+    Rows that repeat share what is taken of them.
+    """
+    won = mix_sources(docs).groupBy("doc_id", "row").agg(F.sum("taken").alias("t"), F.count("*").alias("n"))
+    won = cut(won.filter("t >= n").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.expr("t div n").alias("taken")), "mix-taken")
+    marked = docs.drop("taken").withColumn("_own", row_hash("doc_id", "text"))
+    same = (F.col("_own") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    return marked.join(won, same).select(*[c for c in docs.columns if c != "taken"], "taken")
 
 
 OP10_SQL = r"""

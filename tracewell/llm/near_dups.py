@@ -350,6 +350,13 @@ def near_duplicates(
     )
 
 
+def near_dup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: one document of each group, that with the smallest id."""
+    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    marked = docs.withColumn("_id", F.col("doc_id"))
+    return marked.join(kept, F.col("_id").eqNullSafe(F.col("_kept")), "left_semi").select(*docs.columns)
+
+
 def op2_minhash_near_dedup(spark, sf_dir):
     """Every document, with its component under four-word shingles at 0.8."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4)
