@@ -1,7 +1,8 @@
 """Quality by the perplexity of an interpolated modified Kneser-Ney model.
 
 The model is over characters: an n-gram is ``ORDER`` characters of 12 bits in one long.
-It is trained on all trusted text. Counts are tables, sharded by the hash of their n-gram;
+It is trained on one half of all trusted documents, by a hash of their ids; the other half
+gives the quantiles, as a model finds the text that it has learnt from too easy. Counts are tables, sharded by the hash of their n-gram;
 lower orders count the different characters before an n-gram, discounts come from
 the counts of counts.
 
@@ -14,7 +15,8 @@ step that shuffles texts ends in a table, and its shuffle files are freed before
 
 A document's perplexity is drawn to its language's median as if it had ``PRIOR``
 more characters of that, which keeps very short texts from chance verdicts. A document
-is rejected if it is above the language's quantile of trusted documents.
+is rejected if it is above the language's quantile of trusted documents, with ``slack``
+for languages that have few of them.
 """
 
 from __future__ import annotations
@@ -212,6 +214,7 @@ def _quantile(rows: DataFrame, value: str, q: float, name: str) -> DataFrame:
 
 def classify_quality(
     docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.995,
+    slack: float = 1.05,
 ) -> DataFrame:
     """``(id, row, lang, n, perplexity, threshold, keep)`` for every row of ``docs``.
 
@@ -221,17 +224,19 @@ def classify_quality(
     alike; a null id can't be trusted.
     """
     ids = trusted_ids.select(F.col(id_col).alias("_t")).dropna().distinct()
-    counts = count_tables(docs.join(ids, F.col(id_col) == F.col("_t"), "left_semi"), text_col)
+    # the model learns from one half of the trusted documents, the quantiles from the other
+    half = F.pmod(F.xxhash64("_t"), F.lit(2)) == 0
+    counts = count_tables(docs.join(ids.filter(half), F.col(id_col) == F.col("_t"), "left_semi"), text_col)
     scored = cut(perplexities(docs, counts, id_col, text_col, lang_col), "kn-scores")
     raw = F.when(F.col("n") > 0, F.exp(F.col("cost") / F.col("n")))
     scored = scored.withColumn("perplexity", raw)
-    known = scored.join(ids, F.col("id") == F.col("_t"), "left_semi").filter("n > 0")
+    known = scored.join(ids.filter(~half), F.col("id") == F.col("_t"), "left_semi").filter("n > 0")
     middle = cut(_quantile(known, "perplexity", 0.5, "median"), "kn-median")
     drawn = F.exp((F.col("cost") + F.lit(PRIOR) * F.log("median")) / (F.col("n") + PRIOR))
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     middle = middle.withColumnRenamed("lang", "_lang")
     known = known.join(middle, same("lang", "_lang")).withColumn("drawn", drawn)
-    limit = _quantile(known, "drawn", quantile, "threshold")
+    limit = _quantile(known, "drawn", quantile, "threshold").withColumn("threshold", F.col("threshold") * slack)
     limits = cut(middle.join(limit, same("_lang", "lang")).select("_lang", "median", "threshold"), "kn-limits")
     out = scored.join(limits, same("lang", "_lang"), "left")
     keep = F.coalesce(drawn <= F.col("threshold"), F.lit(True)) | (F.col("n") == 0)
