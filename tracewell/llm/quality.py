@@ -30,7 +30,7 @@ from tracewell.scratch import cut
 
 ORDER, BITS, PLAIN, FOLD = 4, 12, 3840, 256
 PRIOR = 100
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 STEP = 1 << 20
 
 
@@ -167,7 +167,7 @@ def probabilities(asked: DataFrame, counts: DataFrame, off: dict[int, tuple[floa
 def _add_up(left: pa.Table, right: pa.Table) -> pa.Table:
     """Minus log probability of each text of a block, from the block's answers."""
     gram = right.column("gram").to_numpy()
-    cost = right.column("cost").to_numpy()
+    cost = right.column("cost").to_numpy().astype(float)
     order = np.argsort(gram)
     gram, cost = gram[order], cost[order]
     total, size = [], []
@@ -195,7 +195,7 @@ def perplexities(
     dealt = dealt.withColumn("block", F.pmod("row", F.lit(blocks)).cast("int")).repartition(int(blocks), "block")
     asked = cut(dealt.select("block", "text").mapInArrow(_ask, "block int, gram long"), "kn-asked")
     p = probabilities(asked, counts, discounts(counts))
-    answers = asked.join(p, "gram").select("block", "gram", (-F.log("p")).alias("cost"))
+    answers = asked.join(p, "gram").select("block", "gram", (-F.log("p")).cast("float").alias("cost"))
     id_type = docs.schema[id_col].dataType.simpleString()
     lang_type = docs.schema[lang_col].dataType.simpleString()
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
