@@ -104,10 +104,10 @@ def pair_edges(cells: DataFrame, pairs: list[tuple[str, str, str]], max_samples:
     def of(name):
         return F.transform(F.filter("c", lambda x: x["column"] == name), lambda x: x["canonical_key"])
 
-    made = F.flatten(F.array(*[
-        F.flatten(F.transform(of(a), lambda s, t=t, b=b: F.transform(of(b), lambda d: F.struct(F.lit(t).alias("pair_type"), s.alias("src_key"), d.alias("dst_key")))))
-        for t, a, b in pairs
-    ]))
+    def edges(kind, a, b):
+        return F.flatten(F.transform(of(a), lambda s: F.transform(of(b), lambda t: F.struct(F.lit(kind).alias("pair_type"), s.alias("src_key"), t.alias("dst_key")))))
+
+    made = F.flatten(F.array(*[edges(*p) for p in pairs]))
     d = rows.select(F.explode(made).alias("e"), "ts", F.concat_ws(":", "dump_id", F.lpad(F.col("row_index").cast("string"), 12, "0")).alias("at"))
     d = d.select("e.*", "ts", "at")
     first = d.groupBy("pair_type", "src_key", "dst_key", F.pmod(F.xxhash64("at"), F.lit(max_samples)).alias("k")).agg(

@@ -1,5 +1,6 @@
 """The registered queries over the star-schema tables, with their SQL."""
 
-QUERIES = {}
+from tracewell.plans import dumps, graphs, privacy  # noqa: F401
+from tracewell.plans.base import ORACLE, QUERIES
 
-ORACLE = {}
+__all__ = ["ORACLE", "QUERIES"]

@@ -50,7 +50,9 @@ def parse_kv_lines(lines: DataFrame, max_line: int = MAX_LINE) -> DataFrame:
         .when(is_string, quoted_value)
         .when(broken, plain_value)
     )
-    d = d.withColumns({"field_type": F.nullif(kind, F.lit("")), "raw": value})
+    # inside a lambda, so that the long branches are evaluated once and stay out of the generated method
+    both = F.transform(F.array(F.lit(0)), lambda _: F.struct(F.nullif(kind, F.lit("")).alias("field_type"), value.alias("raw")))
+    d = d.withColumn("_r", both[0]).select("line", "_v", "_r.field_type", "_r.raw")
     error = (
         F.when(F.octet_length("line") > max_line, "line_too_long")
         .when(F.col("field_type").isNull() | F.col("raw").isNull(), F.when(broken, "not_a_record").otherwise("missing_member"))
@@ -105,7 +107,12 @@ def read_kv_gzip(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 def read_kv_zip(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """The first entry of each archive, an archive a task; then as S1 to S3."""
+    """The first entry of each archive below ``path``."""
+    return read_kv_zip_content(spark.read.format("binaryFile").load(path), kind)
+
+
+def read_kv_zip_content(files: DataFrame, kind: str) -> DataFrame:
+    """S6 over a column ``content``: archives are read in parallel, each line by line; then as S1 to S3."""
 
     def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import io
@@ -122,7 +129,7 @@ def read_kv_zip(spark: SparkSession, path: str, kind: str) -> DataFrame:
                             rows = []
                     yield pd.DataFrame({"line": rows})
 
-    lines = spark.read.format("binaryFile").load(path).select("content").mapInPandas(unzip, "line string")
+    lines = files.select("content").mapInPandas(unzip, "line string")
     return parse_delimited_lines(lines, "\t" if kind == "tsv" else ",") if kind in ("csv", "tsv") else parse_kv_lines(lines)
 
 
@@ -137,7 +144,7 @@ def classify_dumps(files: DataFrame, hints: dict[str, str] | None = None) -> Dat
         named = F.create_map(*[F.lit(x) for kv in (hints or {}).items() for x in kv]) if hints else None
         d = d.withColumn("hint", named[F.col("path")] if hints else F.lit(None).cast("string"))
     magic = F.hex(F.expr("substring(head, 1, 4)"))
-    text = F.decode("head", F.lit("ISO-8859-1"))
+    text = F.decode("head", "ISO-8859-1")
     printable = F.length(F.regexp_replace(text, r"[^\x20-\x7E\t\n\r\x80-\xFF]", "")) / F.greatest(F.length(text), F.lit(1))
     body = F.regexp_replace(text, r"^\s+", "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
@@ -160,7 +167,7 @@ def profile_dumps(files: DataFrame, preview_lines: int = 8) -> DataFrame:
     """Kind, size and a preview: first lines of text, the first 32 bytes in hexadecimal otherwise."""
     kinds = classify_dumps(files).withColumnsRenamed({"path": "_path"})
     d = files.join(kinds, F.col("path") == F.col("_path"))
-    lines = F.array_join(F.slice(F.split(F.decode(F.expr(f"substring(content, 1, {SNIFF_BYTES})"), F.lit("UTF-8")), "\n"), 1, preview_lines), "\n")
+    lines = F.array_join(F.slice(F.split(F.decode(F.expr(f"substring(content, 1, {SNIFF_BYTES})"), "UTF-8"), "\n"), 1, preview_lines), "\n")
     raw = F.lower(F.hex(F.expr("substring(content, 1, 32)")))
     preview = F.when(F.col("kind").isin("gzip", "zip", "binary"), raw).otherwise(lines)
     return d.select("path", "kind", F.octet_length("content").cast("long").alias("bytes"), preview.alias("preview"), "compressed")
