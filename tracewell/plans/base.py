@@ -79,6 +79,6 @@ def versions(spark: SparkSession, d: str) -> DataFrame:
 
 VERSIONS = """
 v AS (SELECT CASE user_id % 3 WHEN 0 THEN 'user' WHEN 1 THEN 'sighting' ELSE 'device' END AS entity_type, CAST(user_id AS VARCHAR) AS key,
-        event_type AS origin, epoch_ms(ts) AS timestamp, epoch_us(ts) // 1000000 AS sec, event_id AS version, event_id AS seq,
+        event_type AS origin, epoch_us(ts) // 1000 AS timestamp, epoch_us(ts) // 1000000 AS sec, event_id AS version, event_id AS seq,
         event_type = 'error' AND event_id % 5 = 0 AS tombstone FROM events)
 """
