@@ -9,7 +9,7 @@ the rows that need it.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 VERSION = 1
 #: Digest lengths in hexadecimal digits. Fixed values.
@@ -41,7 +41,7 @@ def canonicalise_light(df: DataFrame, type_col: str = "field_type", raw_col: str
     return df.withColumn("canonical", light(F.lower(trimmed(F.col(type_col))), F.col(raw_col)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _v6(s: pd.Series) -> pd.Series:
     import ipaddress
 
@@ -54,7 +54,7 @@ def _v6(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _ascii_domain(s: pd.Series) -> pd.Series:
     import idna
 
