@@ -240,7 +240,8 @@ def find_passages(
         _verify, f"id {id_type}, row long, item {item_type}, part int, start long, end long, distance long"
     )
     # windows next to each other find the same place
-    return found.groupBy("id", "row", "item", "part", "end").agg(F.max("start").alias("start"), F.min("distance").alias("distance"))
+    best = found.groupBy("id", "row", "item", "part", "end").agg(F.min(F.struct("distance", (-F.col("start")).alias("s"))).alias("b"))
+    return best.select("id", "row", "item", "part", (-F.col("b.s")).alias("start"), "end", F.col("b.distance").alias("distance"))
 
 
 def decontaminate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
