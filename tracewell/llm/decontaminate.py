@@ -30,10 +30,11 @@ from tracewell.llm import words
 from tracewell.llm.rows import row_hash
 from tracewell.scratch import cut
 
-WALKS, SAMPLES, COORDINATES = 2, 12, 3
+WALKS, SAMPLES, COORDINATES = 2, 10, 3
 LEAST_WORDS, LONGEST = 5, 96
 EDITS = 0.1
-BITMAP_BITS = 1 << 22
+BITMAP_POWER, COARSE_POWER = 22, 16
+BITMAP_BITS = 1 << BITMAP_POWER
 CLASSES = (5, 7, 10, 15, 22, 33, 50, 75)
 _RNG = np.random.Generator(np.random.PCG64(4242))
 _STEPS = int(1.7 * CLASSES[-1])
@@ -64,28 +65,28 @@ def _sequence(column: pa.Array):
 
 def signatures(seq: np.ndarray, start: np.ndarray, classes: list[int]):
     """``(class, sample, hashes)`` of the windows of ``seq`` that open at ``start``."""
-    steps = int(1.7 * CLASSES[max(classes)])
     for walk in range(WALKS):
         need = sorted({int(t) for c in classes for s in _AT[CLASSES[c]][walk] for t in s})
         seen: dict[int, np.ndarray] = {}
-        at = start.copy()
-        alive = seq != 0
-        for t in range(steps):
+        at = start.astype(np.int64)
+        for t in range(need[-1] + 1):
             if t in need:
-                seen[t] = seq[at]
-            if t + 1 < steps:
-                moves = ((seq * _COIN[walk, t]) >> np.uint64(63)).astype(bool) & alive
-                at += moves[at]
+                seen[t] = seq.take(at)
+            # the top bit of a product says whether to move; never from the 0 after a row
+            moves = ((seq * _COIN[walk, t]) >> np.uint64(63)).view(np.int64)
+            at += moves.take(at)
         for c in classes:
             for s, where in enumerate(_AT[CLASSES[c]][walk]):
                 h = np.full(len(start), c * 1000 + walk * 100 + s, np.uint64)
                 for f, t in zip(_FACTOR, where):
-                    h = (h + seen[int(t)]) * f
-                yield c, walk * SAMPLES + s, words.mix(h)
+                    h += seen[int(t)]
+                    h *= f
+                yield c, walk * SAMPLES + s, h
 
 
 def _bit(h: np.ndarray) -> np.ndarray:
-    return (h % np.uint64(BITMAP_BITS)).astype(np.int64)
+    """The place of a hash in the bitmap: its upper bits."""
+    return (h >> np.uint64(64 - BITMAP_POWER)).astype(np.int64)
 
 
 def _items(id_type: str):
@@ -126,13 +127,15 @@ def _probe(bitmap: bytes, classes: list[int], id_type: str):
 
     def run(batches):
         bits = np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little").astype(bool)
+        coarse = bits.reshape(1 << COARSE_POWER, -1).any(1)  # small enough for the cache
         for b in batches:
             ids, rows, pos, begin, hashes, around = [], [], [], [], [], []
             for i, j, seq, first in _sequence(b.column(2)):
                 start = np.flatnonzero(seq)
                 found: dict[int, set[tuple[int, int]]] = {}
                 for c, _, h in signatures(seq, start, classes):
-                    for k in np.flatnonzero(bits[_bit(h)]):
+                    maybe = np.flatnonzero(coarse.take((h >> np.uint64(64 - COARSE_POWER)).view(np.int64)))
+                    for k in maybe[bits[_bit(h[maybe])]]:
                         found.setdefault(int(start[k]), set()).add((c, int(h[k].astype(np.int64))))
                 for p in sorted(found):
                     r = int(np.searchsorted(first, p, "right")) - 1
@@ -219,8 +222,7 @@ def find_passages(
     run, schema = _items(item_type)
     items = cut(benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).mapInArrow(run, schema), "dc-items")
     hashed = items.select("item", "part", F.explode("hashes").alias("hash"))
-    # as in _bit: the number of bits is a power of two
-    place = F.col("hash").bitwiseAND(F.lit(BITMAP_BITS - 1)) + 1
+    place = F.shiftrightunsigned("hash", 64 - BITMAP_POWER) + 1  # as in _bit
     maps = hashed.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
     rows = maps.collect()  # at most BITMAP_BITS / 8 bytes
     classes = sorted(r["class"] for r in items.select("class").distinct().collect())
