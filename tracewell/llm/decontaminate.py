@@ -12,8 +12,8 @@ of 1.5, and an item longer than ``LONGEST`` words is several items). The walks o
 of a batch go on together, step by step, and a shorter window's walk is the beginning of
 a longer one's, so all classes share them.
 
-The hashes of the items reach the documents as a bitmap of fixed size. Windows that hit it
-are joined with the items' hashes in full, so the number of items is not limited by
+The hashes of the items reach the documents as three bitmaps of fixed size. Windows that hit
+all of them are joined with the items' hashes in full, so the number of items is not limited by
 what can be broadcast.
 
 Measured on random passages of 15 to 60 words (see the tests): all exact copies are
@@ -33,7 +33,7 @@ from tracewell.scratch import cut
 WALKS, SAMPLES, COORDINATES = 2, 10, 3
 LEAST_WORDS, LONGEST = 5, 96
 EDITS = 0.1
-BITMAP_POWER, COARSE_POWER = 22, 16
+BITMAP_POWER, COARSE_POWER = 24, 16
 BITMAP_BITS = 1 << BITMAP_POWER
 CLASSES = (5, 7, 10, 15, 22, 33, 50, 75)
 _RNG = np.random.Generator(np.random.PCG64(4242))
@@ -84,9 +84,29 @@ def signatures(seq: np.ndarray, start: np.ndarray, classes: list[int]):
                 yield c, walk * SAMPLES + s, h
 
 
-def _bit(h: np.ndarray) -> np.ndarray:
-    """The place of a hash in the bitmap: its upper bits."""
-    return (h >> np.uint64(64 - BITMAP_POWER)).astype(np.int64)
+def _places(h: np.ndarray) -> list[np.ndarray]:
+    """The places of a hash in the three bitmaps."""
+    s, low = np.uint64(64 - 2 * BITMAP_POWER), np.uint64(BITMAP_BITS - 1)
+    return [x.astype(np.int64) for x in (h >> np.uint64(64 - BITMAP_POWER), (h >> s) & low, (h ^ (h >> np.uint64(BITMAP_POWER))) & low)]
+
+
+def _bitmaps(hashes: DataFrame) -> list[bytes]:
+    """Three bitmaps of the column ``hash``, ``BITMAP_BITS / 8`` bytes each, however many rows there are."""
+    h, low = F.col("hash"), F.lit(BITMAP_BITS - 1)
+    places = [
+        F.shiftrightunsigned(h, 64 - BITMAP_POWER),
+        F.shiftrightunsigned(h, 64 - 2 * BITMAP_POWER).bitwiseAND(low),
+        h.bitwiseXOR(F.shiftrightunsigned(h, BITMAP_POWER)).bitwiseAND(low),
+    ]
+    each = hashes.select(F.posexplode(F.array(*[p + 1 for p in places])).alias("which", "place"))
+    maps = each.groupBy("which", F.bitmap_bucket_number("place").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")
+    )
+    per = 32768 // 8
+    out = [bytearray(BITMAP_BITS // 8) for _ in places]
+    for r in maps.collect():  # bucket 1 holds the first 32768 places
+        out[r["which"]][(r["bucket"] - 1) * per : r["bucket"] * per] = bytes(r["bits"])
+    return [bytes(x) for x in out]
 
 
 def _items(id_type: str):
@@ -122,12 +142,12 @@ def _items(id_type: str):
     return run, f"item {id_type}, part int, size int, class int, body array<long>, hashes array<long>"
 
 
-def _probe(bitmap: bytes, classes: list[int], id_type: str):
-    """Windows whose hash is in the bitmap, with the words around them."""
+def _probe(bitmaps: list[bytes], classes: list[int], id_type: str):
+    """Windows whose hash is in all bitmaps, with the words around them."""
 
     def run(batches):
-        bits = np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little").astype(bool)
-        coarse = bits.reshape(1 << COARSE_POWER, -1).any(1)  # small enough for the cache
+        bits = [np.unpackbits(np.frombuffer(m, np.uint8), bitorder="little").view(bool) for m in bitmaps]
+        coarse = bits[0].reshape(1 << COARSE_POWER, -1).any(1)  # small enough for the cache
         for b in batches:
             ids, rows, pos, begin, hashes, around = [], [], [], [], [], []
             for i, j, seq, first in _sequence(b.column(2)):
@@ -135,7 +155,10 @@ def _probe(bitmap: bytes, classes: list[int], id_type: str):
                 found: dict[int, set[tuple[int, int]]] = {}
                 for c, _, h in signatures(seq, start, classes):
                     maybe = np.flatnonzero(coarse.take((h >> np.uint64(64 - COARSE_POWER)).view(np.int64)))
-                    for k in maybe[bits[_bit(h[maybe])]]:
+                    if not len(maybe):
+                        continue
+                    hit = np.logical_and.reduce([m[p] for m, p in zip(bits, _places(h[maybe]))])
+                    for k in maybe[hit]:
                         found.setdefault(int(start[k]), set()).add((c, int(h[k].astype(np.int64))))
                 for p in sorted(found):
                     r = int(np.searchsorted(first, p, "right")) - 1
@@ -222,18 +245,11 @@ def find_passages(
     run, schema = _items(item_type)
     items = cut(benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).mapInArrow(run, schema), "dc-items")
     hashed = items.select("item", "part", F.explode("hashes").alias("hash"))
-    place = F.shiftrightunsigned("hash", 64 - BITMAP_POWER) + 1  # as in _bit
-    maps = hashed.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-    rows = maps.collect()  # at most BITMAP_BITS / 8 bytes
     classes = sorted(r["class"] for r in items.select("class").distinct().collect())
-    per = 32768 // 8
-    bitmap = bytearray(BITMAP_BITS // 8)
-    for r in rows:  # bucket 1 holds the first 32768 places
-        bitmap[(r["bucket"] - 1) * per : r["bucket"] * per] = bytes(r["bits"])
     src = docs.select(F.col(id_col).alias("id"), row_hash(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     if not classes:
         classes = [0]
-    probe, probe_schema = _probe(bytes(bitmap), classes, id_type)
+    probe, probe_schema = _probe(_bitmaps(hashed), classes, id_type)
     windows = src.mapInArrow(probe, probe_schema)
     pairs = windows.join(hashed, "hash").drop("hash").dropDuplicates(["id", "row", "pos", "item", "part"])
     pairs = pairs.join(items.select("item", "part", "body"), ["item", "part"])
