@@ -120,10 +120,8 @@ def sweep_plaintext(df: DataFrame, rules: dict[str, str], json_cols: tuple[str,
         now = df.select(F.lit(c).alias("path"), F.expr(f"try_parse_json({c})").alias("v"))
         for _ in range(depth):
             nested = F.expr("schema_of_variant(v) like 'OBJECT%' or schema_of_variant(v) like 'ARRAY%'")
-            now = now.filter(nested).select("path", F.col("v").alias("_v")).lateralJoin(
-                df.sparkSession.tvf.variant_explode(F.col("_v").outer())
-            ) if hasattr(df, "lateralJoin") else now
-            now = now.select(
+            members = df.sparkSession.tvf.variant_explode(F.col("_v").outer())
+            now = now.filter(nested).select("path", F.col("v").alias("_v")).lateralJoin(members).select(
                 F.concat_ws(".", "path", F.coalesce("key", F.col("pos").cast("string"))).alias("path"), F.coalesce("key", F.lit("")).alias("field"), F.col("value").alias("v")
             )
             cells.append(now.filter(F.expr("schema_of_variant(v) = 'STRING'")).select("path", "field", F.expr("variant_get(v, '$', 'string')").alias("v")))
