@@ -22,6 +22,8 @@ found, and over 0.95 of those with one word in ten edited.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -30,7 +32,7 @@ from tracewell.llm import words
 from tracewell.llm.rows import row_hash
 from tracewell.scratch import cut
 
-WALKS, SAMPLES, COORDINATES = 2, 10, 3
+WALKS, SAMPLES, COORDINATES = 2, 12, 4
 LEAST_WORDS, LONGEST = 5, 96
 EDITS = 0.1
 BITMAP_POWER, COARSE_POWER = 24, 16
@@ -216,6 +218,8 @@ def _verify(batches):
         keep, distance, start, end = [], [], [], []
         for k in range(b.num_rows):
             item, near = (np.array(b.column(n)[k].as_py(), np.int64) for n in ("body", "around"))
+            if len(item) - sum((Counter(item.tolist()) & Counter(near.tolist())).values()) > EDITS * len(item):
+                continue  # a word that isn't near at all is an edit at least
             d, s, e = best_match(item, near)
             if d <= EDITS * len(item):
                 begin = b.column("begin")[k].as_py()
