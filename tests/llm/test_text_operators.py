@@ -189,6 +189,23 @@ def test_pseudonyms(spark):
     assert back == {r["doc_id"]: r["text"] for r in df.collect()}
 
 
+def test_cards_among_other_digits(spark):
+    card, other = "4111 1111 1111 1111", "5500-0000-0000-0004"
+    around = ["{} 123", "7 {}", "12 {} 123", "1234567 {}", "{} 2024-02-29", "{} 10.0.0.1", "5 {} 02/28/1999", "{} 123-45-6789", "{} 55-x", "{} 9876 {}", "{},"]
+    rows = [(i, a.replace("{}", c), "s") for i, (a, c) in enumerate((a, c) for a in around for c in (card, other))]
+    rows += [(500 + i, f"{i} {card} {i * 37 % 1000:03d}", "s") for i in range(100)] + [(900, "12 2024-02-29 12345", "s"), (901, "8 " * 6000, "s")]
+    df = docs(spark, *rows)
+    kinds = tuple(k for k in P.PATTERNS if k != "mail")
+    there = P.pseudonymise(df, "s", kinds=kinds)
+    got = {r["doc_id"]: r for r in there.collect()}
+    for i, _, _ in rows[:-2]:
+        assert card not in got[i]["text"] and other not in got[i]["text"] and got[i]["n_card"] >= 1
+    assert got[18]["n_card"] == 2
+    assert all(got[i][f"n_{k}"] == 1 for i, k in ((8, "date"), (10, "address"), (12, "date"), (14, "social"), (900, "date")))
+    back = {r["doc_id"]: r["text"] for r in P.pseudonymise(there.filter("doc_id < 901"), "s", kinds=kinds, back=True).collect()}
+    assert back == {i: t for i, t, _ in rows if i < 901}
+
+
 def kneser_ney(texts, k=Q.ORDER):
     """Counts and probabilities by dictionaries."""
     from collections import Counter

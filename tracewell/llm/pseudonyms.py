@@ -8,13 +8,19 @@ documents, and whoever has the key can go back.
 
 | kind | test | what is permuted |
 | --- | --- | --- |
-| card | 13 to 19 digits with a right check digit | all digits but the last, which becomes the check digit |
+| card | 13 to 19 digits with a right check digit, in a run of groups of digits | all digits but the last, which becomes the check digit |
 | phone | ``+`` country code, area, 3 and 4 digits | the ten digits after the country code |
 | social | 3, 2 and 4 digits | its nine digits |
 | date | a day from 1900-01-01 to 2101-01-26, as 2000-12-31 or 12/31/2000 | the number of the day |
 | address | four numbers up to 255 | its 32 bits |
 | mail | a mail address | the local part, by a keyed hash in letters (not a number, so not reversible) |
 
+A run of digits may hold more than a card: a security code after it, a quantity before it,
+several cards. If the run as a whole isn't one, all sub-runs of whole groups are tested; of
+those that overlap, the usual groupings count first, then the longest, then the first. A
+pseudonym by which the run would be read otherwise is permuted again until it isn't, so
+that the way back finds the same values; only runs of more than ``WALKED`` values do without.
+
 SQL expressions only, on values that the patterns find; nothing is shuffled.
 """
 
@@ -24,6 +30,8 @@ from pyspark.sql import DataFrame, functions as F
 
 ROUNDS = 10
 DAYS = 271  # squared: 73441 days
+WALKED, WALKS = 4, 60
+USUAL = ("4-4-4-4", "4-4-4-4-3", "4-6-5", "4-6-4")  # groupings of cards
 
 #: Kinds by pattern, the first that fits counts. Fixed values.
 PATTERNS = {
@@ -32,8 +40,9 @@ PATTERNS = {
     "address": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])(?!\.[0-9])",
     "date": r"(?<![0-9/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-])",
     "social": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9-])",
 }
+# a whole run of groups, up to a value of another kind; a hyphen behind it is seen, so that no value ends there
+PATTERNS["card"] = r"(?<![0-9-])[0-9](?:(?! (?:" + "|".join(PATTERNS[k] for k in ("mail", "address", "date", "social")) + r"))[ -]?[0-9]){12,}+-?"
 
 
 def _quote(s: str) -> str:
@@ -88,12 +97,31 @@ def _bare(m: str) -> str:
     return f"regexp_replace({m}, '[^0-9]', '')"
 
 
+def _cards(m: str) -> str:
+    """SQL for the cards in a run of groups: an array of ``(start, size)``, none overlapping."""
+    d = "array_join(slice(g, i + 1, j - i + 1), '')"
+    usual = "array_join(transform(slice(g, i + 1, j - i + 1), x -> length(x)), '-') in (" + ", ".join(map(_quote, USUAL)) + ")"
+    rank = f"case when i = 0 and j = size(g) - 1 then 0 when i = j or {usual} then 1 else 2 end"
+    # the last group of a run with a hyphen behind it is followed by an empty one
+    fits = f"length(d) between 13 and 19 and g[j] <> '' and coalesce(get(g, j + 1), 'x') <> '' and {_check_sum('d', 1)} % 10 = 0"
+    test = _let(d, "d", f"if({fits}, named_struct('rank', {rank}, 'less', -length(d), 'i', i, 'j', j), null)")
+    from_i = f"filter(transform(sequence(i, least(i + 18, size(g) - 1)), j -> {test}), c -> c is not null)"
+    every = f"array_sort(flatten(transform(sequence(0, size(g) - 1), i -> {from_i})))"
+    chosen = "aggregate(every, filter(every, c -> false), (acc, c) -> if(exists(acc, a -> a.i <= c.j and c.i <= a.j), acc, concat(acc, array(c))))"
+    place = "named_struct('start', length(array_join(slice(g, 1, c.i), ' ')) + if(c.i > 0, 2, 1), 'size', length(array_join(slice(g, c.i + 1, c.j - c.i + 1), ' ')))"
+    return _let(f"split({m}, '[ -]', -1)", "g", _let(every, "every", f"transform({chosen}, c -> {place})"))
+
+
 def _pseudonym(kind: str, key: str, back: bool) -> str:
-    """SQL for the pseudonym of ``m``, null where it isn't a value of its kind."""
+    """SQL for the pseudonym of ``m``, null where it isn't a value of its kind; of a card's run with ``found`` in it."""
     if kind == "card":
         body = _digits(key, "card", "substr(n, 1, length(n) - 1)", back)
         whole = _let(body, "p", f"concat(p, cast(pmod(10 - {_check_sum('p', 0)} % 10, 10) as string))")
-        return _let(_bare("m"), "n", f"if({_check_sum('n', 1)} % 10 = 0, {_refill('m', whole)}, null)")
+        one = _let("substr(u, c.start, c.size)", "z", _let(_bare("z"), "n", f"concat(left(u, c.start - 1), {_refill('z', whole)}, substr(u, c.start + c.size))"))
+        step = f"aggregate(found, y.t, (u, c) -> {one})"
+        again = _let(step, "v", f"named_struct('t', v, 'ok', size(found) > {WALKED} or {_cards('v')} = found)")
+        walked = f"aggregate(sequence(1, {WALKS}), named_struct('t', m, 'ok', false), (y, q) -> if(y.ok, y, {again})).t"
+        return f"if(size(found) > 0, {walked}, null)"
     if kind == "phone":
         n = _bare("m")
         body = f"concat(substr(n, 1, length(n) - 10), {_digits(key, 'phone', 'right(n, 10)', back)})"
@@ -127,15 +155,20 @@ def pseudonymise(
     """
     every = "|".join(f"(?:{PATTERNS[k]})" for k in PATTERNS if k in kinds)
     kind = "case " + " ".join(
-        f"when m rlike {_quote('^(?:' + PATTERNS[k] + ')$')} then {_quote(k)}" for k in PATTERNS if k in kinds
-    ) + " end"
+        f"when m rlike {_quote('^(?:' + PATTERNS[k] + ')$')} then {_quote(k)}" for k in PATTERNS if k in kinds and k != "card"
+    ) + (" else 'card' end" if "card" in kinds else " end")  # what follows a run has a say in it, and isn't in m
+    if kinds == ("card",):
+        kind = "'card'"
     fresh = "case k " + " ".join(f"when {_quote(k)} then {_pseudonym(k, key, back)}" for k in PATTERNS if k in kinds) + " end"
-    one = _let(kind, "k", f"named_struct('m', m, 'k', k, 'p', {fresh})")
+    none = "array(named_struct('start', 1, 'size', 1))"  # of other kinds each match is one value
+    found = f"if(k = 'card', {_cards('m')}, {none})"
+    one = _let(kind, "k", _let(found, "found", f"named_struct('m', m, 'k', k, 'n', size(found), 'p', {fresh})"))
     p = _quote(every)
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     d = d.withColumn("hits", F.expr(f"transform(regexp_extract_all(text, {p}, 0), m -> {one})"))
     counts = [
-        F.coalesce(F.expr(f"size(filter(hits, h -> h.k = {_quote(k)} and h.p is not null))"), F.lit(0)).cast("long").alias(f"n_{k}") for k in PATTERNS if k in kinds
+        F.coalesce(F.expr(f"aggregate(filter(hits, h -> h.k = {_quote(k)} and h.p is not null), 0, (t, h) -> t + h.n)"), F.lit(0)).cast("long").alias(f"n_{k}")
+        for k in PATTERNS if k in kinds
     ]
     glued = (
         f"case when size(hits) > 0 then {_let(f'split(text, {p}, -1)', 'parts', 'array_join(transform(parts, (x, i) -> concat(x, coalesce(get(hits, i).p, get(hits, i).m, ' + _quote('') + '))), ' + _quote('') + ')')} else text end"
