@@ -2,9 +2,11 @@
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 
+from tracewell.llm import words
 from tracewell.llm.fingerprints import edited_pieces, edited_text, fingerprint_documents, fingerprints, likeness
 
 
@@ -46,6 +48,35 @@ def test_edits_are_located():
     assert changed and max(changed) - min(changed) < n / 15 and abs(changed[0] / n - 0.5) < 0.1
 
 
+def test_repetition_keeps_what_is_not_edited():
+    digits = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz-_"
+    for word in ["For ", "Der ", "a", "=", "und so ", "ab", "xyz ", "word for word ", "0000", "é"]:
+        text = word * (6000 // len(word))
+        new = edited_text(text, "quite other words that have nothing in common with it, " * 40)
+        x, y = one(text), one(new)
+        body = x[33:].replace("/", "").replace(".", "")
+        assert sum(digits.index(body[i + 5]) for i in range(0, len(body), 6)) == len(text.encode())
+        assert likeness(x, y) > 0.7
+
+
+def test_roots_are_made_of_inner_nodes():
+    text = "".join(f"paragraph {i} with some words\n" for i in range(30))
+    data, root = text.encode(), one(text)[:32]
+    node = lambda kind, parts: hashlib.sha256(kind + b"".join(parts)).digest()
+    array, at, sections = np.frombuffer(data, np.uint8), 0, []
+    for section in one(text)[33:].split("/")[:-1]:
+        paragraphs = []
+        for p in section.split("."):
+            raw = []
+            for k in range(0, len(p), 6):
+                n = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz-_".index(p[k + 5])
+                raw.append(words.span_hashes(array, np.array([at]), np.array([at + n])).tobytes())
+                at += n
+            paragraphs.append(node(b"p", raw))
+        sections.append(node(b"s", paragraphs))
+    assert at == len(data) and len(sections) > 1 and node(b"r", sections).hex()[:32] == root
+
+
 def test_every_row_against_brute_force(spark):
     rows = [(i * 7 % 501, f"text {i} " * (i % 9) + "é" * (i % 5)) for i in range(500)] + [(3, "a"), (3, "b"), (None, None), (900, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)

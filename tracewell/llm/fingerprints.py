@@ -1,13 +1,16 @@
 """Document fingerprints as Merkle trees over sections, paragraphs and pieces.
 
 A paragraph is a line with its line feed. It is cut into pieces of about 20 bytes
-where a hash of the last eight bytes says so, and paragraphs are joined into sections
-of about four where the hash of a paragraph says so. Both depend on content alone, so
-an edit changes the nodes around it and leaves the others as they were.
+where a hash of the last eight bytes says so, and after ``MOST`` bytes at the latest, as text
+that repeats itself may never say so. Paragraphs are joined into sections
+of about four where the hash of a paragraph says so. All this depends on content alone, so
+an edit changes the nodes around it and leaves the others as they were; within a stretch cut
+by length only, the pieces before it.
 
 The fingerprint is ``root:sections``; a section's paragraphs are separated by ``.``, its
-end is marked by ``/``, and a piece is six characters: 30 bits of hash and its length
-up to 63. The root is the first half of a SHA-256 over the pieces' full hashes. Equal
+end is marked by ``/``, and a piece is six characters: 30 bits of hash and its length.
+A paragraph's node is a SHA-256 over its pieces' full hashes, a section's over its
+paragraphs' nodes, and the root the first half of one over the sections' nodes. Equal
 roots mean equal texts; where roots differ, equal sections, then equal paragraphs, then
 equal pieces are set against each other, and what is left locates the edits.
 """
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tracewell.llm import words
 
-WINDOW, PIECE, SECTION = 8, 20, 4
+WINDOW, PIECE, MOST, SECTION = 8, 20, 60, 4
 _DIGITS = np.frombuffer(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz-_", np.uint8)
 _VALUE = {chr(c): i for i, c in enumerate(_DIGITS)}
 
@@ -35,7 +38,7 @@ def fingerprints(column: pa.Array) -> Iterator[str]:
     for i, j, data, offsets in words.chunks(column):
         n = len(data)
         if not n:
-            yield from [_join(b"", b"")] * (j - i)
+            yield from [_join(b"", [], b"")] * (j - i)
             continue
         line_feed = data == 10
         ends = line_feed.copy()
@@ -49,6 +52,10 @@ def fingerprints(column: pa.Array) -> Iterator[str]:
             cuts[WINDOW - 1 :] |= (h % np.uint64(PIECE) == 0) & (at - WINDOW >= begun)
         e = np.flatnonzero(cuts) + 1
         s = np.concatenate([[0], e[:-1]])
+        more = (e - s - 1) // MOST  # cuts by length
+        nth = np.arange(more.sum() + len(e)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
+        s, e = np.repeat(s, more + 1) + nth * MOST, np.repeat(e, more + 1)
+        e = np.minimum(s + MOST, e)
         h = words.span_hashes(data, s, e)
         pe = np.flatnonzero(ends) + 1
         ps = np.concatenate([[0], pe[:-1]])
@@ -56,7 +63,7 @@ def fingerprints(column: pa.Array) -> Iterator[str]:
         section_end[np.searchsorted(pe, filled)] = True
         mark = np.zeros(n + 1, np.uint8)
         mark[pe] = np.where(section_end, ord("/"), ord("."))
-        code = (h >> np.uint64(34) << np.uint64(6)) | np.minimum(e - s, 63).astype(np.uint64)
+        code = (h >> np.uint64(34) << np.uint64(6)) | (e - s).astype(np.uint64)
         out = np.empty((len(e), 7), np.uint8)
         for k in range(6):
             out[:, k] = _DIGITS[(code >> np.uint64(30 - 6 * k)) & np.uint64(63)]
@@ -66,12 +73,24 @@ def fingerprints(column: pa.Array) -> Iterator[str]:
         size = np.concatenate([[0], np.cumsum(used.sum(1))])
         first = np.searchsorted(e, offsets, "right")
         raw = h.tobytes()
-        for a, b in zip(first[:-1], first[1:]):
-            yield _join(raw[8 * a : 8 * b], body[size[a] : size[b]])
-
-
-def _join(raw: bytes, body: bytes) -> str:
-    return hashlib.sha256(raw).hexdigest()[:32] + ":" + body.decode()
+        inner = np.flatnonzero(out[:, 6])
+        inner_first = np.searchsorted(inner, first)
+        after, last = ((inner + 1) * 8).tolist(), (out[inner, 6] == ord("/")).tolist()
+        for k in range(len(first) - 1):
+            a, b = first[k], first[k + 1]
+            p, q = inner_first[k], inner_first[k + 1]
+            yield _join(raw, list(zip([8 * int(a), *after[p : q - 1]], after[p:q], last[p:q])), body[size[a] : size[b]])
+
+
+def _join(raw: bytes, paragraphs: list[tuple[int, int, bool]], body: bytes) -> str:
+    """The fingerprint, from the bounds of each paragraph's hashes in ``raw`` and whether a section ends there."""
+    top, section = [], []
+    for a, b, ends in paragraphs:
+        section.append(hashlib.sha256(b"p" + raw[a:b]).digest())
+        if ends:
+            top.append(hashlib.sha256(b"s" + b"".join(section)).digest())
+            section = []
+    return hashlib.sha256(b"r" + b"".join(top)).hexdigest()[:32] + ":" + body.decode()
 
 
 def _unmatched(a: list[str], b: list[str]) -> tuple[list[str], list[str]]:
