@@ -35,6 +35,13 @@ def test_last_writer_and_tombstones(spark):
         assert r["tombstone"] and r["timestamp"] == 900
 
 
+def test_heavy_pairs_are_exact(spark):
+    rows = [("d", i, "c", key, 0) for i in range(2000) for key in (f"a{i * 7 % 2000:05d}|x", f"b{i * 7 % 2000:05d}")]
+    cells = spark.createDataFrame(rows, "dump_id string, row_index long, column string, canonical_key string, ts long")
+    got = [tuple(r) for r in G.heavy_pairs(cells, 2).collect()]
+    assert got == [("a00000|x", "b00000", 1), ("a00001|x", "b00001", 1)]
+
+
 def test_sightings(spark):
     rows = [version("k", "n1", 1500, seq=0, count=10, first_seen=1000, last_seen=1500, context="A", location="L"), version("k", "n2", 1600, seq=1, count=5, first_seen=1100, last_seen=1700, context="B", location="M")]
     p = R.merge_sightings(frame(spark, *rows)).first()["props"]

@@ -157,17 +157,10 @@ def flag_sensitive(names: DataFrame, rules: dict[str, str]) -> DataFrame:
     return names.withColumn("sensitive", F.coalesce(F.col("name").isin(*bad), F.lit(False)))
 
 
-def heavy_pairs(cells: DataFrame, k: int, wide: int = 20) -> DataFrame:
-    """The ``k`` most frequent pairs, counted exactly.
-
-    Candidates come from a sketch of ``wide * k`` counters at least; all rows are then counted for these.
-    """
-    pairs = _pairs_in_rows(cells, None).select(F.concat_ws("|", "a", "b").alias("p"))
-    sketch = pairs.agg(F.expr(f"approx_top_k(p, {wide * k}, {max(10_000, 100 * wide * k)})").alias("t"))
-    likely = sketch.select(F.explode("t").alias("t")).select("t.item").withColumnRenamed("item", "p")
-    n = pairs.join(likely, "p", "left_semi").groupBy("p").agg(F.count("*").alias("count"))
-    parts = F.split("p", "[|]")
-    return n.select(parts[0].alias("a_key"), parts[1].alias("b_key"), "count").orderBy(F.desc("count"), "a_key", "b_key").limit(k)
+def heavy_pairs(cells: DataFrame, k: int) -> DataFrame:
+    """The ``k`` most frequent pairs, counted exactly; of equal ones the first by their keys."""
+    n = _pairs_in_rows(cells, None).groupBy(F.col("a").alias("a_key"), F.col("b").alias("b_key")).agg(F.count("*").alias("count"))
+    return n.orderBy(F.desc("count"), "a_key", "b_key").limit(k)
 
 
 def with_audit(df: DataFrame, actor: str, request_id: str, ts: Column) -> DataFrame:

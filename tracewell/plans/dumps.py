@@ -65,7 +65,7 @@ def kv_gzip(spark, d):
 def kv_json(spark, d):
     p = _folder(spark, "json")
     some = _kv_lines(spark, d).filter("event_id % 5 in (0, 1, 3)")
-    some.groupBy(F.col("event_id") % 64).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("line"), ",\n"), F.lit("\n]")).alias("v")).select("v").write.option("lineSep", "\u0001").text(p)
+    some.groupBy(F.floor(F.col("event_id") / 1000)).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("line"), ",\n"), F.lit("\n]")).alias("v")).select("v").write.option("lineSep", "\u0001").text(p)
     # documents of several lines, one to a file part
     parts = spark.read.option("lineSep", "\u0001").text(p).select(F.explode(F.expr("cast(parse_json(value) as array<variant>)")).alias("v"))
     return _counted(S.parse_kv_lines(parts.select(F.to_json("v").alias("line"))))
