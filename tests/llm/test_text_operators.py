@@ -7,7 +7,9 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tracewell.llm import chat, decontaminate as D, line_templates as L, mixing as M, pseudonyms as P, quality as Q
 from tracewell.llm.queries import ORACLE, QUERIES
@@ -210,7 +212,7 @@ def kneser_ney(texts, k=Q.ORDER):
     """Counts and probabilities by dictionaries."""
     from collections import Counter
 
-    counts = {k: Counter(g for t in texts for g in (("\x01" * (k - 1) + t)[i : i + k] for i in range(len(t))))}
+    counts = {k: Counter(g for t in texts for g in (("\x02" * (k - 1) + t)[i : i + k] for i in range(len(t))))}
     for o in range(k - 1, 0, -1):
         counts[o] = Counter(g[1:] for g in counts[o + 1])
     off = {}
@@ -236,17 +238,33 @@ def kneser_ney(texts, k=Q.ORDER):
     return p
 
 
-def test_perplexity_against_dictionaries(spark):
+def test_perplexity_against_dictionaries(spark, monkeypatch):
     train = ["the cat sat on the mat", "a cat and a rat", "that hat", "", "mat"]
-    ask = ["the rat sat", "", None, "ZZ é", "cat"]
+    ask = ["the rat sat", "", None, "ZZ é", "cat", "\U0010ffff\x00 中文 cat", "the cat the cat the cat " * 30, "a" + "b" * 300 + "a"]
+    train += ["中文字符", "\x00\U0010ffff"]
     df = docs(spark, *[(i, t, "s") for i, t in enumerate(ask)])
-    counts = Q.count_tables(docs(spark, *[(i, t, "s") for i, t in enumerate(train)]))
-    got = {r["id"]: (r["n"], r["cost"]) for r in Q.perplexities(df, counts).collect()}
+    monkeypatch.setattr(Q, "STEP", 7)  # so that texts are cut in many pieces
+    known = Q.model(Q.count_tables(docs(spark, *[(i, t, "s") for i, t in enumerate(train)])))
+    got = {r["id"]: r for r in Q.perplexities(df, known).collect()}
     p = kneser_ney(train)
     for i, t in enumerate(ask):
-        padded = "\x01" * (Q.ORDER - 1) + (t or "")
-        want = -sum(math.log(p(padded[j : j + Q.ORDER])) for j in range(len(t or "")))
-        assert got[i][0] == len(t or "") and math.isclose(got[i][1], want, rel_tol=1e-4, abs_tol=1e-9)
+        t = t or ""
+        padded = "\x02" * (Q.ORDER - 1) + t
+        cost = [-math.log(p(padded[j : j + Q.ORDER])) for j in range(len(t))]
+        assert got[i]["n"] == len(t) and math.isclose(got[i]["cost"], sum(cost), rel_tol=1e-4, abs_tol=1e-9)
+
+
+def test_near_repeats_cost_nothing():
+    text = "abcdefgh" * 3 + "x" * 300 + "abcdefgh"
+    rows = pa.table({"id": [1, 2], "row": [5, 6], "lang": ["en", "en"], "text": ["abcdefgh", text]})
+    got = Q._Block([]).score(rows, pa.int64(), pa.string()).to_pylist()
+    padded, last, new = "\x02" * (Q.ORDER - 1) + text, {}, 0
+    for j in range(len(text)):
+        g = padded[j : j + Q.ORDER]
+        new += j - last.get(g, -math.inf) > Q.NEAR
+        last[g] = j
+    assert math.isclose(got[1]["fresh"], new * Q.BITS * math.log(2)) and math.isclose(got[1]["cost"], len(text) * Q.BITS * math.log(2))
+    assert got[0]["fresh"] == got[0]["cost"]  # the other text's n-grams don't count
 
 
 def test_quality_edges(spark):
@@ -261,4 +279,26 @@ def test_quality_separates(spark):
     got = Q.op8_quality_classifier(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
     good = [r["keep"] for r in got if r["quality"]]
     bad = [r["keep"] for r in got if not r["quality"]]
-    assert sum(good) / len(good) > 0.98 and sum(bad) / len(bad) < 0.2
+    assert sum(good) / len(good) > 0.98 and sum(bad) / len(bad) < 0.05
+
+
+def test_quality_limits_against_brute_force(spark):
+    d = "/root/testdata/sf0.001"
+    docs_, ids = spark.read.parquet(f"{d}/documents.parquet"), Q.trusted(spark, d)
+    rows = Q.classify_quality(docs_, ids).collect()
+    half = {r[0]: r[1] for r in ids.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(2))).collect()}
+    for lang in {r["lang"] for r in rows}:
+        own = [r for r in rows if r["lang"] == lang and r["n"]]
+        held = [r for r in own if half.get(r["doc_id"]) == 1]
+        at = lambda values, q: sorted(values)[max(0, math.ceil(q * len(values) - 1e-9) - 1)]
+        middle, part = (at([r[c] for r in held], 0.5) if held else 0 for c in ("perplexity", "fresh_share"))
+        prior = Q.PRIOR * math.log(middle) if held else 0
+        drawn = lambda r: math.exp((r["n"] * math.log(r["perplexity"]) + prior) / (r["n"] + Q.PRIOR))  # noqa: B023, E731
+        share = lambda r: (r["fresh_share"] * (c := r["n"] * math.log(r["perplexity"])) + prior * part) / (c + prior)  # noqa: B023, E731
+        most = at(list(map(drawn, held)), 0.995) * 1.05 if held else math.inf
+        least = at(list(map(share, held)), 0.005) / 1.05 if held else 0
+        for r in own:
+            assert not held or math.isclose(r["most"], most, rel_tol=0.005) and math.isclose(r["least"], least, rel_tol=0.005)
+            high, low = drawn(r) / most, share(r) / least if least else 9
+            if abs(high - 1) > 0.005 and abs(low - 1) > 0.005:
+                assert r["keep"] == (high < 1 < low)

@@ -10,9 +10,24 @@ def row_hash(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose ``(id, row)`` is in ``kept``; ``row`` is :func:`row_hash`. Columns stay as they are."""
-    marked = docs.withColumn("_row", row_hash(id_col, text_col)).withColumn("_id", F.col(id_col))
-    k = kept.select(F.col(id_col).alias("_kept_id"), F.col("row").alias("_kept_row")).distinct()
-    both = (F.col("_row") == F.col("_kept_row")) & F.col("_id").eqNullSafe(F.col("_kept_id"))
-    return marked.join(k, both, "left_semi").select(*docs.columns)
+def free(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores as it takes to be none of the columns of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def keep_rows(docs: DataFrame, named: DataFrame, how: str = "left_semi", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose ``(id, row)`` is in ``named``, or isn't (``left_anti``); ``row`` is :func:`row_hash`.
+
+    Columns stay as they are, whatever their names. Rows that repeat stay or go together, a null id is
+    a value like others, and an empty table gives no rows.
+    """
+    own, its_id, its_row = free(docs, "own", "its_id", "its_row")
+    its = named.select(F.col(id_col).alias(its_id), F.col("row").alias(its_row)).distinct()
+    same = (F.col(own) == F.col(its_row)) & F.col(id_col).eqNullSafe(F.col(its_id))
+    return docs.withColumn(own, row_hash(id_col, text_col)).join(its, same, how).drop(own)
