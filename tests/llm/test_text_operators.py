@@ -121,19 +121,77 @@ def test_passages(spark):
     texts = {i: t for i, t, _ in rows}
     for r in got:  # what is reported is there
         piece = texts[r["id"]].lower().split()[r["start"] : r["end"]]
-        d, _, _ = D.best_match(np.array([hash(x) for x in items[r["item"]][1].split()]), np.array([hash(x) for x in piece]))
-        assert r["part"] > 0 or len(piece) < 100 and d == r["distance"] or len(items[r["item"]][1].split()) > D.LONGEST
+        assert edits(part_of(items[r["item"]][1].split(), r["part"]), piece) == r["distance"]
     assert D.find_passages(docs(spark, *rows), bench.limit(0)).count() == 0
+    assert D.find_passages(docs(spark, *rows).limit(0), bench).count() == 0
+
+
+def part_of(words, part):
+    cuts = np.linspace(0, len(words), max(1, -(-len(words) // D.LONGEST)) + 1).astype(int)
+    return words[cuts[part] : cuts[part + 1]]
+
+
+def edits(a, b):
+    """The edit distance, by the whole matrix."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], min(last + (x != y), row[j] + 1, row[j + 1] + 1)
+    return row[-1]
+
+
+def test_best_match_against_all_parts():
+    rng = random.Random(3)
+    for _ in range(300):
+        item, text = ([rng.choice("abc") for _ in range(n)] for n in (rng.randint(1, 9), rng.randint(0, 14)))
+        every = [(edits(item, text[s:e]), e, -s) for e in range(len(text) + 1) for s in range(e + 1)]
+        d, s, e = D.best_match(item, text)
+        assert d == min(every)[0] and (d == len(item) or (d, e, -s) == min(x for x in every if x[1] > 0))
+
+
+def test_passages_against_all_windows(spark, monkeypatch):
+    """Every place within a tenth of edits, by brute force over all windows; items of 1 to 40 words."""
+    rng = random.Random(11)
+    vocab = [f"u{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(n))) for i, n in enumerate([1, 2, 3, 4, 5, 8, 12, 20, 30, 40])]
+    rows = []
+    for k in range(60):
+        w = [rng.choice(vocab) for _ in range(60)]
+        at = rng.randint(0, 60)
+        own = items[k % 10][1].split()
+        if len(own) >= 20 and k % 3:
+            own[rng.randrange(len(own))] = "other"
+        rows.append((k, " ".join(w[:at] + own + w[at:]), "s"))
+    rows += [(100, items[7][1] + " x y z " + items[7][1], "s"), (100, items[7][1] + " x y z " + items[7][1], "s")]
+    bench = spark.createDataFrame(items + [(50, items[7][1])], "item_id long, text string")
+    want = set()
+    for i, t, _ in rows:
+        w = t.split()
+        for item, body in items:
+            b = body.split()
+            most = int(D.EDITS * len(b))
+            for s in range(len(w)):
+                for e in range(max(s + 1, s + len(b) - most), min(len(w), s + len(b) + most) + 1):
+                    if (most or w[s:e] == b) and edits(b, w[s:e]) <= most:
+                        want.add((i, item, s // 1000 if most else s))
+    for most_hashes in (1 << 21, 40):  # in one round and in many
+        monkeypatch.setattr(D, "MOST_HASHES", most_hashes)
+        got = D.find_passages(docs(spark, *rows), bench).collect()
+        assert {(r["id"], r["item"], r["start"] // 1000 if D.EDITS * len(items[r["item"] % 43][1].split()) >= 1 else r["start"]) for r in got if r["item"] < 50} == want
+        assert {(r["start"], r["end"], r["distance"]) for r in got if r["id"] == 100 and r["item"] in (7, 50)} == {(0, 20, 0), (23, 43, 0)}
+        assert sum(r["id"] == 100 and r["item"] == 50 for r in got) == 2
 
 
 def test_lsh_recall():
+    """Recall at a tenth of edits for items up to 200 words; those above LONGEST are found by any part."""
     rng = np.random.default_rng(5)
     vocab = rng.integers(1, 2**62, 3000).astype(np.uint64) | np.uint64(1)
     p = 1 / np.arange(1, 3001)
     p /= p.sum()
-    hit = total = 0
-    for size in (15, 20, 30, 40, 58):
-        for _ in range(40):
+    for size in (15, 20, 30, 40, 48, 60, 80, 96, 107, 200):
+        hit = 0
+        for _ in range(60):
             item = rng.choice(vocab, size, p=p)
             w = list(item)
             for _ in range(size // 10):
@@ -146,12 +204,15 @@ def test_lsh_recall():
                     w.pop(i)
             around = list(rng.choice(vocab, 30, p=p))
             seq = np.array(around + w + around + [0], np.uint64)
-            c = D.size_class(size)
-            a = [h[0] for _, _, h in D.signatures(np.append(item, np.uint64(0)), np.zeros(1, np.int64), [c])]
-            b = [h for _, _, h in D.signatures(seq, np.arange(26, 35), [c])]
-            total += 1
-            hit += any((x == y).any() for x, y in zip(a, b))
-    assert hit / total >= 0.95
+            start, found = np.arange(len(seq) - 1), False
+            for part in range(max(1, -(-size // D.LONGEST))):
+                own = part_of(item, part)
+                c = D.size_class(len(own))
+                a = {h[0] for _, h, _ in D.signatures(np.append(own, np.uint64(0)), np.zeros(1, np.int64), [c])}
+                near = any(not a.isdisjoint(h.tolist()) for _, h, _ in D.signatures(seq, start, [c]))
+                found |= near and bool(D.matches(own.tolist(), seq[:-1].tolist(), D.EDITS * len(own)))
+            hit += found
+        assert hit / 60 >= 0.95, (size, hit)
 
 
 def feistel(key, domain, a, b, ma, mb):

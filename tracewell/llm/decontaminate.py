@@ -8,16 +8,22 @@ written sequence; windows with equal hashes are candidates, and several walks wi
 several samples each reach the recall wanted. Candidates are confirmed by their edit distance.
 
 Every word of a document opens a window of each item size (sizes are classed by factors
-of 1.5, and an item longer than ``LONGEST`` words is several items). The walks of all windows
-of a batch go on together, step by step, and a shorter window's walk is the beginning of
-a longer one's, so all classes share them.
-
-The hashes of the items reach the documents as three bitmaps of fixed size. Windows that hit
-all of them are joined with the items' hashes in full, so the number of items is not limited by
-what can be broadcast.
-
-Measured on random passages of 15 to 60 words (see the tests): all exact copies are
-found, and over 0.95 of those with one word in ten edited.
+of 1.5, and an item longer than ``LONGEST`` words is several items: if it has a tenth of edits,
+so has one of its parts). The walks of all windows of a batch go on together, step by step,
+and a shorter window's walk is the beginning of a longer one's, so all classes share them.
+Walks that meet stay together and keep their order. From then on they are one
+walker for a run of windows, so a batch has fewer walkers with each step, and samples are
+hashed once for each walker that their first coordinate sees.
+
+Windows that lie over each other are one region, whose words travel once. The hashes of the
+items reach the documents as three bitmaps, sized by the number of hashes up to ``MOST_HASHES``; a
+larger benchmark is searched in so many rounds. Hashes found in a bitmap are joined with the items'
+hashes in full.
+
+Items of fewer than ``LEAST_WORDS`` words are searched as they are, by a hash of all their words.
+
+Measured on random passages (see the tests): all exact copies are found, and over 0.95 of those of 15 to
+200 words with one word in ten edited.
 """
 
 from __future__ import annotations
@@ -29,28 +35,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tracewell.llm import words
-from tracewell.llm.rows import row_hash
-from tracewell.scratch import cut
+from tracewell.llm.rows import keep_rows, row_hash
+from tracewell.scratch import cut, drop
 
 WALKS, SAMPLES, COORDINATES = 2, 12, 4
-LEAST_WORDS, LONGEST = 5, 96
+LEAST_WORDS, LONGEST = 5, 48
 EDITS = 0.1
-BITMAP_POWER, COARSE_POWER = 24, 16
-BITMAP_BITS = 1 << BITMAP_POWER
-CLASSES = (5, 7, 10, 15, 22, 33, 50, 75)
+COARSE_POWER = 16
+BITS_A_HASH = 6  # as a power of two, in each bitmap
+MOST_HASHES = 1 << 21
+CLASSES = (5, 7, 10, 15, 22, 33)
+#: Steps whose word can be a coordinate, ever further apart.
+TIMES = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 17, 20, 23, 26, 30, 34, 38, 42, 46, 50, 55)
 _RNG = np.random.Generator(np.random.PCG64(4242))
-_STEPS = int(1.7 * CLASSES[-1])
-_COIN = _RNG.integers(1, 2**63, (WALKS, _STEPS), dtype=np.uint64) | np.uint64(1)
-#: For each class, walk and sample: the coordinates whose words are hashed.
-_AT = {
-    c: [[np.sort(_RNG.choice(int(1.7 * c), COORDINATES, replace=False)) for _ in range(SAMPLES)] for _ in range(WALKS)] for c in CLASSES
-}
-_FACTOR = _RNG.integers(1, 2**63, COORDINATES, dtype=np.uint64) | np.uint64(1)
+_COIN = _RNG.integers(1, 2**63, (WALKS, TIMES[-1] + 1), dtype=np.uint64) | np.uint64(1)
+_FACTOR = _RNG.integers(1, 2**63, (WALKS, len(TIMES)), dtype=np.uint64) | np.uint64(1)
+_SHORT = _RNG.integers(1, 2**63, LEAST_WORDS, dtype=np.uint64) | np.uint64(1)
+_NAME = _RNG.integers(1, 2**63, (len(CLASSES) + LEAST_WORDS, WALKS, SAMPLES), dtype=np.uint64)
+
+
+def _coordinates(c: int) -> np.ndarray:
+    """Numbers of the ``TIMES`` of a class's samples, spread evenly over the steps of its windows."""
+    at = np.array([t for t in TIMES if t <= 1.7 * c])
+    p = np.diff(np.append(0, at)) / at[-1]
+    return np.array([[np.sort(_RNG.choice(len(at), COORDINATES, replace=False, p=p)) for _ in range(SAMPLES)] for _ in range(WALKS)])
+
+
+_AT = [_coordinates(c) for c in CLASSES]
 
 
 def size_class(n: int) -> int:
-    """The number in ``CLASSES`` of an item of ``n`` words."""
-    return max(i for i, c in enumerate(CLASSES) if c <= n)
+    """The class of an item of ``n`` words: a number in ``CLASSES``, below 0 if it is short (then ``-n``)."""
+    return max(i for i, c in enumerate(CLASSES) if c <= n) if n >= LEAST_WORDS else -n
+
+
+def _longest(c: int) -> int:
+    """The most words of an item of a class."""
+    return -c if c < 0 else CLASSES[c + 1] - 1 if c + 1 < len(CLASSES) else LONGEST
 
 
 def _sequence(column: pa.Array):
@@ -65,47 +86,77 @@ def _sequence(column: pa.Array):
         yield i, j, out, first + np.arange(j - i + 1)
 
 
+def _walkers(seq: np.ndarray, start: np.ndarray, walk: int, last: int):
+    """For each of the first ``last`` ``TIMES``: the words under the walkers, the first of each one's starts, and where the walkers of the time before have gone.
+
+    A walker never moves from the 0 after a row.
+    """
+    at, first, out = start.astype(np.int64), np.arange(len(start)), []
+    word = seq.take(at)
+    for t in range(1, TIMES[last - 1] + 1):
+        # the top bit of a product says whether to move
+        at += ((word * _COIN[walk, t]) >> np.uint64(63)).view(np.int64)
+        if t == TIMES[len(out)]:
+            new = np.ones(len(at), bool)
+            np.not_equal(at[1:], at[:-1], out=new[1:])
+            at, first = at[new], first[new]
+            word = seq.take(at)
+            out.append((word, first, np.cumsum(new) - 1))
+        else:
+            word = seq.take(at)
+    return out
+
+
 def signatures(seq: np.ndarray, start: np.ndarray, classes: list[int]):
-    """``(class, sample, hashes)`` of the windows of ``seq`` that open at ``start``."""
-    for walk in range(WALKS):
-        need = sorted({int(t) for c in classes for s in _AT[CLASSES[c]][walk] for t in s})
-        seen: dict[int, np.ndarray] = {}
-        at = start.astype(np.int64)
-        for t in range(need[-1] + 1):
-            if t in need:
-                seen[t] = seq.take(at)
-            # the top bit of a product says whether to move; never from the 0 after a row
-            moves = ((seq * _COIN[walk, t]) >> np.uint64(63)).view(np.int64)
-            at += moves.take(at)
-        for c in classes:
-            for s, where in enumerate(_AT[CLASSES[c]][walk]):
-                h = np.full(len(start), c * 1000 + walk * 100 + s, np.uint64)
-                for f, t in zip(_FACTOR, where):
-                    h += seen[int(t)]
-                    h *= f
-                yield c, walk * SAMPLES + s, h
-
-
-def _places(h: np.ndarray) -> list[np.ndarray]:
+    """``(class, hashes, first)`` of each sample for the windows of ``seq`` that open at ``start``, ascending.
+
+    A hash belongs to the windows from ``start[first]`` on, up to the next one's.
+    """
+    for c in (c for c in classes if c < 0):
+        fits = np.flatnonzero(start < len(seq) + c)
+        h = np.full(len(fits), _NAME[c, 0, 0], np.uint64)
+        for i in range(-c):
+            h += seq.take(start[fits] + i) * _SHORT[i]
+        yield c, h, fits
+    long = [c for c in classes if c >= 0]
+    for walk in range(WALKS if long else 0):
+        met = _walkers(seq, start, walk, 1 + max(int(_AT[c][walk].max()) for c in long))
+        for i, (word, first, _) in enumerate(met):
+            mine = [(c, s) for c in long for s in range(SAMPLES) if _AT[c][walk][s, 0] == i]
+            need = {int(t) for c, s in mine for t in _AT[c][walk][s]}
+            part, now = {}, None
+            for t in range(i, max(need, default=-1) + 1):
+                if t > i:
+                    now = met[t][2] if now is None else met[t][2].take(now)
+                if t in need:
+                    part[t] = (word if now is None else met[t][0].take(now)) * _FACTOR[walk, t]
+            for c, s in mine:
+                h = part[i] + _NAME[c, walk, s]
+                for t in _AT[c][walk][s, 1:]:
+                    h += part[int(t)]
+                yield c, h, first
+
+
+def _places(h: np.ndarray, power: int) -> list[np.ndarray]:
     """The places of a hash in the three bitmaps."""
-    s, low = np.uint64(64 - 2 * BITMAP_POWER), np.uint64(BITMAP_BITS - 1)
-    return [x.astype(np.int64) for x in (h >> np.uint64(64 - BITMAP_POWER), (h >> s) & low, (h ^ (h >> np.uint64(BITMAP_POWER))) & low)]
+    s, low = np.uint64(64 - 2 * power), np.uint64((1 << power) - 1)
+    return [x.astype(np.int64) for x in (h >> np.uint64(64 - power), (h >> s) & low, (h ^ (h >> np.uint64(power))) & low)]
 
 
-def _bitmaps(hashes: DataFrame) -> list[bytes]:
-    """Three bitmaps of the column ``hash``, ``BITMAP_BITS / 8`` bytes each, however many rows there are."""
-    h, low = F.col("hash"), F.lit(BITMAP_BITS - 1)
+def _bitmaps(hashes: DataFrame, power: int) -> list[bytes]:
+    """Three bitmaps of the column ``hash``, of ``2 ** power`` bits each."""
+    h, low = F.col("hash"), F.lit((1 << power) - 1)
     places = [
-        F.shiftrightunsigned(h, 64 - BITMAP_POWER),
-        F.shiftrightunsigned(h, 64 - 2 * BITMAP_POWER).bitwiseAND(low),
-        h.bitwiseXOR(F.shiftrightunsigned(h, BITMAP_POWER)).bitwiseAND(low),
+        F.shiftrightunsigned(h, 64 - power),
+        F.shiftrightunsigned(h, 64 - 2 * power).bitwiseAND(low),
+        h.bitwiseXOR(F.shiftrightunsigned(h, power)).bitwiseAND(low),
     ]
     each = hashes.select(F.posexplode(F.array(*[p + 1 for p in places])).alias("which", "place"))
     maps = each.groupBy("which", F.bitmap_bucket_number("place").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")
     )
     per = 32768 // 8
-    out = [bytearray(BITMAP_BITS // 8) for _ in places]
+    out = [bytearray(max(per, (1 << power) // 8)) for _ in places]
     for r in maps.collect():  # bucket 1 holds the first 32768 places
         out[r["which"]][(r["bucket"] - 1) * per : r["bucket"] * per] = bytes(r["bits"])
     return [bytes(x) for x in out]
@@ -116,118 +167,153 @@ def _items(id_type: str):
 
     def run(batches):
         for b in batches:
-            ids, part, size, body, kind, hashes = [], [], [], [], [], []
+            ids, part, body = [], [], []
             for i, j, seq, first in _sequence(b.column(1)):
                 for r in range(j - i):
                     w = seq[first[r] : first[r + 1] - 1]
-                    pieces = max(1, round(len(w) / (LONGEST * 0.75))) if len(w) > LONGEST else 1
-                    cuts = np.linspace(0, len(w), pieces + 1).astype(int)
-                    for p in range(pieces):
-                        own = w[cuts[p] : cuts[p + 1]]
-                        if len(own) < LEAST_WORDS:
-                            continue
-                        c = size_class(len(own))
-                        alone = np.concatenate([own, np.zeros(1, np.uint64)])
-                        hs = [h[0] for _, _, h in signatures(alone, np.zeros(1, np.int64), [c])]
-                        ids.append(b.column(0)[i + r])
-                        part.append(p)
-                        size.append(len(own))
-                        body.append(own.astype(np.int64))
-                        kind.append(c)
-                        hashes.append(np.array(hs).astype(np.int64))
+                    cuts = np.linspace(0, len(w), max(1, -(-len(w) // LONGEST)) + 1).astype(int)
+                    for p, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])):
+                        if y > x:
+                            ids.append(b.column(0)[i + r])
+                            part.append(p)
+                            body.append(w[x:y])
+            kind = np.array([size_class(len(w)) for w in body], np.int64)
+            hashes = [[] for _ in body]
+            if body:
+                seq = np.concatenate([x for w in body for x in (w, np.zeros(1, np.uint64))])
+                size = np.array([len(w) + 1 for w in body])
+                start = np.cumsum(size) - size
+                for c, h, first in signatures(seq, start, sorted(set(kind.tolist()))):
+                    windows = np.searchsorted(first, np.arange(len(start)), "right") - 1
+                    for k in np.flatnonzero(kind == c):
+                        hashes[k].append(h[windows[k]].astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, b.column(0).type), pa.array(part, pa.int32()), pa.array(size, pa.int32()), pa.array(kind, pa.int32()),
-                 pa.array(body, pa.list_(pa.int64())), pa.array(hashes, pa.list_(pa.int64()))],
-                ["item", "part", "size", "class", "body", "hashes"],
+                [pa.array(ids, b.column(0).type), pa.array(part, pa.int32()), pa.array(kind, pa.int32()),
+                 pa.array([w.astype(np.int64) for w in body], pa.list_(pa.int64())), pa.array(hashes, pa.list_(pa.int64()))],
+                ["item", "part", "class", "body", "hashes"],
             )
 
-    return run, f"item {id_type}, part int, size int, class int, body array<long>, hashes array<long>"
+    return run, f"item {id_type}, part int, class int, body array<long>, hashes array<long>"
 
 
-def _probe(bitmaps: list[bytes], classes: list[int], id_type: str):
-    """Windows whose hash is in all bitmaps, with the words around them."""
+def _probe(bitmaps: list[bytes], power: int, classes: list[int], id_type: str):
+    """Regions of windows whose hash is in all bitmaps, with their words."""
 
     def run(batches):
-        bits = [np.unpackbits(np.frombuffer(m, np.uint8), bitorder="little").view(bool) for m in bitmaps]
-        coarse = bits[0].reshape(1 << COARSE_POWER, -1).any(1)  # small enough for the cache
+        bits = [np.frombuffer(m, np.uint8) for m in bitmaps]
+        whole = np.unpackbits(bits[0][: max(1, (1 << power) // 8)], bitorder="little")[: 1 << power].view(bool)
+        coarse_power = min(COARSE_POWER, power)
+        coarse = whole.reshape(1 << coarse_power, -1).any(1)  # small enough for the cache
+        del whole
         for b in batches:
-            ids, rows, pos, begin, hashes, around = [], [], [], [], [], []
+            rows = []
             for i, j, seq, first in _sequence(b.column(2)):
-                start = np.flatnonzero(seq)
-                found: dict[int, set[tuple[int, int]]] = {}
-                for c, _, h in signatures(seq, start, classes):
-                    maybe = np.flatnonzero(coarse.take((h >> np.uint64(64 - COARSE_POWER)).view(np.int64)))
-                    if not len(maybe):
-                        continue
-                    hit = np.logical_and.reduce([m[p] for m, p in zip(bits, _places(h[maybe]))])
-                    for k in maybe[hit]:
-                        found.setdefault(int(start[k]), set()).add((c, int(h[k].astype(np.int64))))
-                for p in sorted(found):
-                    r = int(np.searchsorted(first, p, "right")) - 1
-                    for c in {c for c, _ in found[p]}:
-                        most = CLASSES[c + 1] - 1 if c + 1 < len(CLASSES) else LONGEST
-                        extra = int(most * EDITS) + 1
-                        low, high = max(first[r], p - extra), min(first[r + 1] - 1, p + most + extra)
-                        near = seq[low:high].astype(np.int64)
-                        for d, h in found[p]:
-                            if d == c:
-                                ids.append(b.column(0)[i + r])
-                                rows.append(b.column(1)[i + r])
-                                pos.append(p - first[r])
-                                begin.append(low - first[r])
-                                hashes.append(h)
-                                around.append(near)
-                if len(ids) > 2000:
-                    yield _out(ids, rows, pos, begin, hashes, around, b.column(0).type)
-                    ids, rows, pos, begin, hashes, around = [], [], [], [], [], []
-            yield _out(ids, rows, pos, begin, hashes, around, b.column(0).type)
-
-    def _out(ids, rows, pos, begin, hashes, around, kind):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids, kind), pa.array(rows, pa.int64()), pa.array(pos, pa.int64()), pa.array(begin, pa.int64()), pa.array(hashes, pa.int64()), pa.array(around, pa.list_(pa.int64()))],
-            ["id", "row", "pos", "begin", "hash", "around"],
-        )
-
-    return run, f"id {id_type}, row long, pos long, begin long, hash long, around array<long>"
-
-
-def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
-    """``(distance, start, end)`` of the part of ``text`` that takes the fewest edits to ``item``."""
-    n = len(text)
-    if n >= len(item):  # exact copies first
-        for s in np.flatnonzero(text[: n - len(item) + 1] == item[0]):
-            if (text[s : s + len(item)] == item).all():
-                return 0, int(s), int(s) + len(item)
-    cost, start = [0] * (n + 1), list(range(n + 1))
-    for i, w in enumerate(item.tolist()):
-        diagonal, from_, cost[0], start[0] = cost[0], start[0], i + 1, 0
-        for j, x in enumerate(text.tolist()):
-            up, up_from = cost[j + 1], start[j + 1]
-            best, src = diagonal + (w != x), from_
-            if up + 1 < best:
-                best, src = up + 1, up_from
-            if cost[j] + 1 < best:
-                best, src = cost[j] + 1, start[j]
-            cost[j + 1], start[j + 1], diagonal, from_ = best, src, up, up_from
-    end = min(range(n + 1), key=lambda j: (cost[j], j))
-    return cost[end], start[end], end
+                rows += [(b.column(0)[i + r], b.column(1)[i + r], *x) for r, *x in regions(seq, first, bits, coarse, coarse_power)]
+                if len(rows) > 2000:
+                    yield _out(rows, b)
+                    rows = []
+            yield _out(rows, b)
+
+    def regions(seq, first, bits, coarse, coarse_power):
+        start, found = np.flatnonzero(seq), []
+        for c, h, lead in signatures(seq, start, classes):
+            maybe = np.flatnonzero(coarse.take((h >> np.uint64(64 - coarse_power)).view(np.int64)))
+            if not len(maybe):
+                continue
+            some = h[maybe]
+            hit = np.ones(len(maybe), bool)
+            for m, p in zip(bits, _places(some, power)):
+                hit &= (m.take(p >> 3) >> (p & 7).astype(np.uint8)) & np.uint8(1) > 0
+            k = maybe[hit]
+            if len(k):
+                ends = np.append(lead[1:], len(start)) if c >= 0 else lead + 1
+                extra = int(_longest(c) * EDITS) + 1
+                found.append((start[lead[k]], extra, start[ends[k] - 1] + _longest(c) + extra, h[k]))
+        if not found:
+            return
+        opens, high, h = (np.concatenate([x[i] for x in found]) for i in (0, 2, 3))
+        low = opens - np.repeat([x[1] for x in found], [len(x[0]) for x in found])
+        row = np.searchsorted(first, opens, "right") - 1
+        low, high = np.maximum(low, first[row]), np.minimum(high, first[row + 1] - 1)
+        order = np.argsort(low, kind="stable")
+        low, high, h, row = low[order], high[order], h[order], row[order]
+        new = np.ones(len(low), bool)
+        new[1:] = low[1:] > np.maximum.accumulate(high)[:-1]
+        begins = np.flatnonzero(new)
+        for x, y in zip(begins, np.append(begins[1:], len(low))):
+            r, top = int(row[x]), int(high[x:y].max())
+            yield r, int(low[x] - first[r]), seq[low[x] : top].astype(np.int64), np.unique(h[x:y].astype(np.int64))
+
+    def _out(rows, b):
+        columns = list(zip(*rows)) or [[]] * 5
+        kinds = [b.column(0).type, pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["id", "row", "begin", "words", "hashes"])
+
+    return run, f"id {id_type}, row long, begin long, words array<long>, hashes array<long>"
+
+
+def _distances(item: list, text: list, anchored: bool) -> list[int]:
+    """Edits from ``item`` to the best part of ``text`` that ends after each word, or, anchored, to all of it up to there.
+
+    The differences of a column of the edit matrix are the bits of two numbers.
+    """
+    m = len(item)
+    all_, top = (1 << m) - 1, 1 << m - 1
+    of: dict = {}
+    for i, w in enumerate(item):
+        of[w] = of.get(w, 0) | 1 << i
+    up, down, score, out = all_, 0, m, []
+    for w in text:
+        same = of.get(w, 0)
+        x = same | down
+        d = (((same & up) + up) ^ up) | same
+        more, less = down | ~(d | up) & all_, up & d
+        score += 1 if more & top else -1 if less & top else 0
+        out.append(score)
+        more = (more << 1 | anchored) & all_
+        up, down = less << 1 & all_ | ~(x | more) & all_, more & x
+    return out
+
+
+def best_match(item: list, text: list) -> tuple[int, int, int]:
+    """``(distance, start, end)`` of the part of ``text`` that takes the fewest edits to ``item``: the first such end, and the last start for it."""
+    to = _distances(item, text, False)
+    end = min(range(len(to)), key=to.__getitem__) + 1 if to else 0
+    if not to or to[end - 1] >= len(item):
+        return len(item), 0, 0
+    back = _distances(item[::-1], text[:end][::-1], True)
+    return to[end - 1], end - 1 - back.index(to[end - 1]), end
+
+
+def matches(item: list, text: list, most: float) -> list[tuple[int, int, int]]:
+    """:func:`best_match`, and again before and after it, as long as ``most`` edits suffice."""
+    out, open_ = [], [(0, len(text))]
+    while open_:
+        a, b = open_.pop()
+        if b - a < len(item) - most:
+            continue
+        near = text[a:b]
+        if len(item) - sum((Counter(item) & Counter(near)).values()) > most:
+            continue  # a word that isn't near at all is an edit at least
+        d, s, e = best_match(item, near)
+        if d <= most:
+            out.append((d, a + s, a + e))
+            open_ += [(a, a + s), (a + e, b)]
+    return out
 
 
 def _verify(batches):
     for b in batches:
-        keep, distance, start, end = [], [], [], []
+        of, distance, start, end = [], [], [], []
+        begin = b.column("begin").to_pylist()
         for k in range(b.num_rows):
-            item, near = (np.array(b.column(n)[k].as_py(), np.int64) for n in ("body", "around"))
-            if len(item) - sum((Counter(item.tolist()) & Counter(near.tolist())).values()) > EDITS * len(item):
-                continue  # a word that isn't near at all is an edit at least
-            d, s, e = best_match(item, near)
-            if d <= EDITS * len(item):
-                begin = b.column("begin")[k].as_py()
-                keep.append(k)
+            item, near = (b.column(n)[k].values.to_pylist() for n in ("body", "words"))
+            for d, s, e in matches(item, near, EDITS * len(item)):
+                of.append(k)
                 distance.append(d)
-                start.append(begin + s)
-                end.append(begin + e)
-        t = b.take(pa.array(keep, pa.int64()))
+                start.append(begin[k] + s)
+                end.append(begin[k] + e)
+        t = b.take(pa.array(of, pa.int64()))
         yield pa.RecordBatch.from_arrays(
             [t.column("id"), t.column("row"), t.column("item"), t.column("part"), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(distance, pa.int64())],
             ["id", "row", "item", "part", "start", "end", "distance"],
@@ -240,40 +326,55 @@ def find_passages(
     """``(id, row, item, part, start, end, distance)`` of every passage found.
 
     ``start`` and ``end`` count words of the document, ``distance`` counts word edits, at most a
-    tenth of the item's words; words compare in lower case (A-Z). One row an item and
-    place; a document's rows with equal text are reported for each. Items of fewer than
-    ``LEAST_WORDS`` words recur by chance and are not searched. Null or empty texts match nothing.
+    tenth of the item's words (or of its ``part``, if it is cut); words compare in lower case (A-Z). One row
+    an item and place; places of one item don't overlap, and of equal ones the first counts.
+
+    Null and empty texts and items match nothing, null ids of either are values like others. Rows that repeat
+    (the same id and text) are reported once, an item that repeats under other ids for each. Texts and items
+    may have any length. An empty table on either side gives no rows; other columns are not looked at.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     item_type = benchmark.schema[item_col].dataType.simpleString()
     run, schema = _items(item_type)
     items = cut(benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).mapInArrow(run, schema), "dc-items")
     hashed = items.select("item", "part", F.explode("hashes").alias("hash"))
-    classes = sorted(r["class"] for r in items.select("class").distinct().collect())
+    kinds = items.groupBy("class").agg(F.sum(F.size("hashes")).alias("n")).collect()  # a row a class
+    classes, n = sorted(r["class"] for r in kinds), sum(r["n"] for r in kinds)
     src = docs.select(F.col(id_col).alias("id"), row_hash(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
-    if not classes:
-        classes = [0]
-    probe, probe_schema = _probe(_bitmaps(hashed), classes, id_type)
-    windows = src.mapInArrow(probe, probe_schema)
-    pairs = windows.join(hashed, "hash").drop("hash").dropDuplicates(["id", "row", "pos", "item", "part"])
-    pairs = pairs.join(items.select("item", "part", "body"), ["item", "part"])
-    pairs = pairs.select("id", "row", "item", "part", "begin", "body", "around")
-    found = pairs.mapInArrow(
-        _verify, f"id {id_type}, row long, item {item_type}, part int, start long, end long, distance long"
-    )
-    # windows next to each other find the same place
-    best = found.groupBy("id", "row", "item", "part", "end").agg(F.min(F.struct("distance", (-F.col("start")).alias("s"))).alias("b"))
-    return best.select("id", "row", "item", "part", (-F.col("b.s")).alias("start"), "end", F.col("b.distance").alias("distance"))
+    rounds = max(1, -(-n // MOST_HASHES))
+    power = max(COARSE_POWER, (n // rounds).bit_length() + BITS_A_HASH)
+    found = None
+    for i in range(rounds):
+        mine = hashed.filter(F.pmod("hash", F.lit(rounds)) == i)
+        probe, probe_schema = _probe(_bitmaps(mine, power), power, classes, id_type)
+        regions = cut(src.mapInArrow(probe, probe_schema), "dc-regions")
+        hits = regions.select("id", "row", "begin", F.explode("hashes").alias("hash")).join(mine, "hash")
+        hits = hits.select(F.col("id").alias("of"), F.col("row").alias("r"), F.col("begin").alias("at"), "item", "part").distinct()
+        here = F.col("id").eqNullSafe(F.col("of")) & (F.col("row") == F.col("r")) & (F.col("begin") == F.col("at"))
+        pairs = regions.select("id", "row", "begin", "words").join(hits, here).select("id", "row", "begin", "words", "item", "part")
+        body = items.select(F.col("item").alias("named"), F.col("part").alias("p"), "body")
+        pairs = pairs.join(body, F.col("item").eqNullSafe(F.col("named")) & (F.col("part") == F.col("p")))
+        checked = cut(
+            pairs.select("id", "row", "item", "part", "begin", "body", "words").mapInArrow(
+                _verify, f"id {id_type}, row long, item {item_type}, part int, start long, end long, distance long"
+            ),
+            "dc-found",
+        )
+        drop(regions)
+        found = checked if found is None else found.unionByName(checked)
+    drop(items)
+    return found.distinct()
 
 
 def decontaminate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without any benchmark passage."""
+    """Pipeline stage: documents without any benchmark passage.
+
+    Null and empty texts have none and stay, as does a null id without one. Rows that repeat go or stay
+    together. Columns stay as they are, whatever their names; an empty table gives no rows, and an empty
+    benchmark takes none.
+    """
     found = find_passages(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("id").alias("doc_id"), "row")
-    bad = cut(found.distinct(), "dc-bad")
-    marked = docs.withColumn("_row", row_hash("doc_id", "text"))
-    same = (F.col("_row") == F.col("_bad_row")) & F.col("doc_id").eqNullSafe(F.col("_bad_id"))
-    bad = bad.select(F.col("doc_id").alias("_bad_id"), F.col("row").alias("_bad_row"))
-    return marked.join(bad, same, "left_anti").select(*docs.columns)
+    return keep_rows(docs, cut(found.distinct(), "dc-bad"), "left_anti")
 
 
 def op1_decontamination(spark, sf_dir):

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tracewell.llm.rows import row_hash
+from tracewell.llm.rows import free, row_hash
 from tracewell.operators.ordering import with_running
 from tracewell.scratch import cut
 
@@ -151,13 +151,16 @@ def op10_mix_sources(spark, sf_dir):
 def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents of the mix, with ``taken``, the words it takes of each.
 
-    Rows that repeat share what is taken of them.
+    Documents of which nothing is taken go, so null and empty texts do. Each of some rows that repeat
+    takes the same part of what is taken of them all, rounded up. Null ids and sources are values like
+    others. Columns stay as they are; where documents have a column ``taken``, underscores
+    are added to the new one's name. An empty table gives no rows.
     """
-    won = mix_sources(docs).groupBy("doc_id", "row").agg(F.sum("taken").alias("t"), F.count("*").alias("n"))
-    won = cut(won.filter("t >= n").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.expr("t div n").alias("taken")), "mix-taken")
-    marked = docs.drop("taken").withColumn("_own", row_hash("doc_id", "text"))
-    same = (F.col("_own") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    return marked.join(won, same).select(*[c for c in docs.columns if c != "taken"], "taken")
+    own, its_id, its_row, taken = free(docs, "own", "its_id", "its_row", "taken")
+    won = mix_sources(docs).groupBy("doc_id", "row").agg(F.ceil(F.sum("taken") / F.count("*")).alias(taken)).filter(F.col(taken) > 0)
+    won = cut(won.select(F.col("doc_id").alias(its_id), F.col("row").alias(its_row), taken), "mix-taken")
+    same = (F.col(own) == F.col(its_row)) & F.col("doc_id").eqNullSafe(F.col(its_id))
+    return docs.withColumn(own, row_hash("doc_id", "text")).join(won, same).drop(own, its_id, its_row)
 
 
 OP10_SQL = r"""

@@ -452,7 +452,12 @@ def trusted(spark, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the classifier doesn't reject."""
+    """Pipeline stage: documents that the classifier doesn't reject.
+
+    Null and empty texts stay, as do all documents of a language without trusted text. Rows that
+    repeat go or stay together, a null id is judged by its text. Columns stay as they are, whatever
+    their names; an empty table gives no rows.
+    """
     decided = classify_quality(docs, trusted(spark, sf_dir))
     return keep_rows(docs, decided.filter("keep"))
 
