@@ -13,7 +13,7 @@ so has one of its parts). The walks of all windows of a batch go on together, st
 and a shorter window's walk is the beginning of a longer one's, so all classes share them.
 Walks that meet stay together and keep their order. From then on they are one
 walker for a run of windows, so a batch has fewer walkers with each step, and samples are
-hashed once for each walker that their first coordinate sees.
+hashed once for each walker that is left at the first step that they look at.
 
 Windows that lie over each other are one region, whose words travel once. The hashes of the
 items reach the documents as three bitmaps, sized by the number of hashes up to ``MOST_HASHES``; a
@@ -38,30 +38,33 @@ from tracewell.llm import words
 from tracewell.llm.rows import keep_rows, row_hash
 from tracewell.scratch import cut, drop
 
-WALKS, SAMPLES, COORDINATES = 2, 12, 4
+WALKS, SAMPLES, COORDINATES = 3, 12, 4
 LEAST_WORDS, LONGEST = 5, 48
 EDITS = 0.1
 COARSE_POWER = 16
 BITS_A_HASH = 6  # as a power of two, in each bitmap
 MOST_HASHES = 1 << 21
 CLASSES = (5, 7, 10, 15, 22, 33)
-#: Steps whose word can be a coordinate, ever further apart.
-TIMES = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 17, 20, 23, 26, 30, 34, 38, 42, 46, 50, 55)
+#: The step from which on a class has its coordinates: walks have met by then.
+BASE = (1, 2, 4, 6, 6, 6)
+#: Steps whose word can be a coordinate, further apart in the end, and those after which walkers that have met are joined.
+TIMES = (*range(1, 19), *range(20, 29, 2), *range(31, 56, 3))
+JOIN = (1, 2, 4, 6, 9, 13, 18, 26, 37)
 _RNG = np.random.Generator(np.random.PCG64(4242))
-_COIN = _RNG.integers(1, 2**63, (WALKS, TIMES[-1] + 1), dtype=np.uint64) | np.uint64(1)
+_COIN = _RNG.integers(1, 2**63, WALKS, dtype=np.uint64) | np.uint64(1)
 _FACTOR = _RNG.integers(1, 2**63, (WALKS, len(TIMES)), dtype=np.uint64) | np.uint64(1)
-_SHORT = _RNG.integers(1, 2**63, LEAST_WORDS, dtype=np.uint64) | np.uint64(1)
-_NAME = _RNG.integers(1, 2**63, (len(CLASSES) + LEAST_WORDS, WALKS, SAMPLES), dtype=np.uint64)
+_SHORT = _RNG.integers(1, 2**63, 2 * LEAST_WORDS, dtype=np.uint64) | np.uint64(1)
 
 
-def _coordinates(c: int) -> np.ndarray:
+def _coordinates(c: int, base: int) -> np.ndarray:
     """Numbers of the ``TIMES`` of a class's samples, spread evenly over the steps of its windows."""
-    at = np.array([t for t in TIMES if t <= 1.7 * c])
-    p = np.diff(np.append(0, at)) / at[-1]
-    return np.array([[np.sort(_RNG.choice(len(at), COORDINATES, replace=False, p=p)) for _ in range(SAMPLES)] for _ in range(WALKS)])
+    at = np.array([t for t in TIMES if base <= t <= 1.7 * c])
+    p = np.diff(np.append(base - 1, at)) / (at[-1] - base + 1)
+    some = [[np.sort(_RNG.choice(at, COORDINATES, replace=False, p=p)) for _ in range(SAMPLES)] for _ in range(WALKS)]
+    return np.searchsorted(TIMES, some)
 
 
-_AT = [_coordinates(c) for c in CLASSES]
+_AT = [_coordinates(*x) for x in zip(CLASSES, BASE)]
 
 
 def size_class(n: int) -> int:
@@ -87,23 +90,25 @@ def _sequence(column: pa.Array):
 
 
 def _walkers(seq: np.ndarray, start: np.ndarray, walk: int, last: int):
-    """For each of the first ``last`` ``TIMES``: the words under the walkers, the first of each one's starts, and where the walkers of the time before have gone.
+    """For each of the first ``last`` ``TIMES``: the words under the walkers, and, where walkers have been joined, where they have gone and the first of each one's starts.
 
     A walker never moves from the 0 after a row.
     """
-    at, first, out = start.astype(np.int64), np.arange(len(start)), []
-    word = seq.take(at)
+    coin = seq * _COIN[walk]  # a bit for each step, and still the word's name
+    at, out = start.astype(np.int64), []
+    word = coin.take(at)
+    first = np.arange(len(start))
     for t in range(1, TIMES[last - 1] + 1):
-        # the top bit of a product says whether to move
-        at += ((word * _COIN[walk, t]) >> np.uint64(63)).view(np.int64)
-        if t == TIMES[len(out)]:
+        at += (word >> np.uint64(t + 8) & np.uint64(1)).view(np.int64)
+        gone = None
+        if t in JOIN:
             new = np.ones(len(at), bool)
             np.not_equal(at[1:], at[:-1], out=new[1:])
-            at, first = at[new], first[new]
-            word = seq.take(at)
-            out.append((word, first, np.cumsum(new) - 1))
-        else:
-            word = seq.take(at)
+            kept = np.flatnonzero(new)
+            at, first, gone = at.take(kept), first.take(kept), np.cumsum(new) - 1
+        word = coin.take(at)
+        if t in JOIN or t == TIMES[len(out)]:
+            out.append((word, gone, first))
     return out
 
 
@@ -114,27 +119,30 @@ def signatures(seq: np.ndarray, start: np.ndarray, classes: list[int]):
     """
     for c in (c for c in classes if c < 0):
         fits = np.flatnonzero(start < len(seq) + c)
-        h = np.full(len(fits), _NAME[c, 0, 0], np.uint64)
+        h = np.full(len(fits), _SHORT[c], np.uint64)
         for i in range(-c):
             h += seq.take(start[fits] + i) * _SHORT[i]
         yield c, h, fits
     long = [c for c in classes if c >= 0]
     for walk in range(WALKS if long else 0):
         met = _walkers(seq, start, walk, 1 + max(int(_AT[c][walk].max()) for c in long))
-        for i, (word, first, _) in enumerate(met):
-            mine = [(c, s) for c in long for s in range(SAMPLES) if _AT[c][walk][s, 0] == i]
-            need = {int(t) for c, s in mine for t in _AT[c][walk][s]}
-            part, now = {}, None
-            for t in range(i, max(need, default=-1) + 1):
-                if t > i:
-                    now = met[t][2] if now is None else met[t][2].take(now)
+        for base in sorted({BASE[c] for c in long}):
+            mine = [c for c in long if BASE[c] == base]
+            need = {int(t) for c in mine for t in _AT[c][walk].ravel()}
+            part, now, b = {}, None, TIMES.index(base)
+            for t in range(b, max(need) + 1):
+                word, gone, _ = met[t]
+                if t > b and gone is not None:
+                    now = gone if now is None else gone.take(now)
                 if t in need:
-                    part[t] = (word if now is None else met[t][0].take(now)) * _FACTOR[walk, t]
-            for c, s in mine:
-                h = part[i] + _NAME[c, walk, s]
-                for t in _AT[c][walk][s, 1:]:
-                    h += part[int(t)]
-                yield c, h, first
+                    word = word * _FACTOR[walk, t]
+                    part[t] = word if now is None else word.take(now)
+            for c in mine:
+                for x, y, *more in _AT[c][walk].tolist():
+                    h = part[x] + part[y]
+                    for t in more:
+                        h += part[t]
+                    yield c, h, met[b][2]
 
 
 def _places(h: np.ndarray, power: int) -> list[np.ndarray]:

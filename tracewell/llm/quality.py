@@ -38,7 +38,7 @@ from tracewell.scratch import cut, drop
 ORDER, BITS, LOW = 5, 21, 3
 NEAR = 200
 PRIOR = 100
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 32 << 20
 STEP = 1 << 20
 PACK = 4 << 20
 _ONE = (1 << BITS) - 1
@@ -144,10 +144,10 @@ def _count(batches):
             hi, lo, _ = _grams(texts, piece)
             parts.append(_merge([[hi, lo, np.ones(len(lo), np.int64)]]))
             held += len(parts[-1][0])
-            if held > 4_000_000:
+            if held > 2_000_000:
                 parts = [_merge(parts)]
                 held = len(parts[0][0])
-                if held > 2_000_000:
+                if held > 1_000_000:
                     yield from _batches(parts[0], ["hi", "lo", "n"])
                     parts, held = [], 0
     if parts:
@@ -260,7 +260,7 @@ def _ask(batches):
             parts = held.setdefault(k, [])
             for piece in _pieces(texts):
                 parts.append(_distinct(*_grams(texts, piece)[:2]))
-                if sum(len(x[0]) for x in parts[1:]) > 4_000_000:
+                if sum(len(x[0]) for x in parts[1:]) > 1_500_000:
                     parts[:] = [_distinct(*(np.concatenate(x) for x in zip(*parts)))]
     for k, parts in held.items():
         if parts:
@@ -396,15 +396,10 @@ def perplexities(
 
 
 def _quantiles(rows: DataFrame, wanted: dict[str, tuple[Column, float]]) -> DataFrame:
-    """A language's quantiles of positive values, to a thousandth of their logarithms."""
-    each = F.explode(
-        F.array(*[F.struct(F.lit(k).alias("k"), F.lit(q).alias("q"), F.ceil(F.log(v) * 1000).alias("b")) for k, (v, q) in wanted.items()])
-    )
-    bins = rows.select("lang", each.alias("x")).select("lang", "x.*").groupBy("lang", "k", "q", "b").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("lang", "k")
-    up = F.sum("n").over(w.orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
-    at = bins.withColumns({"up": up, "all": F.sum("n").over(w)}).filter(F.col("up") >= F.col("all") * F.col("q"))
-    return at.groupBy("lang").agg(*[F.exp(F.min(F.when(F.col("k") == k, F.col("b"))) / 1000).alias(k) for k in wanted])
+    """A language's quantiles of positive values, to a thousandth of their logarithms, which bounds what a group keeps."""
+    bins = rows.select("lang", *[F.ceil(F.log(v) * 1000).alias(k) for k, (v, _) in wanted.items()])
+    each = [F.exp(F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {k})") / 1000).alias(k) for k, (_, q) in wanted.items()]
+    return bins.groupBy("lang").agg(*each)
 
 
 def classify_quality(
