@@ -7,7 +7,24 @@ from pyspark.sql import DataFrame, functions as F
 from tracewell.scratch import cut, drop
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+#: Vertices that are joined by broadcast: as many as can have more than a part of all edges each.
+MOST_HUBS, LEAST_DEGREE = 100_000, 1000
+
+
+def _with_least(edges: DataFrame, around: DataFrame, rows: int) -> DataFrame:
+    """``edges`` with ``m``, the smallest ``v`` that ``u`` has in ``around``.
+
+    A vertex with more than a hundred-thousandth of the rows would be one hot key. There are at
+    most ``MOST_HUBS`` of those, so they are joined by broadcast, where the edges lie.
+    """
+    bound = max(LEAST_DEGREE, rows // MOST_HUBS)
+    least = around.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hubs, few = least.filter(F.col("n") > bound).select("u", "m"), least.filter(F.col("n") <= bound).select("u", "m")
+    rest = edges.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(few, "u")
+    return edges.join(F.broadcast(hubs), "u").unionByName(rest)
+
+
+def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
     """One star round over directed pairs ``(u, v)``, ``u`` above ``v`` on entry.
 
     A large star links every greater neighbour of a vertex to the smallest vertex
@@ -15,14 +32,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        least = least.select("u", F.least("u", "m").alias("m"))
-        out = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = _with_least(both.filter("v > u"), both, 2 * rows).select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
     else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        out = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            least.select("u", F.col("m").alias("v"))
-        )
+        out = _with_least(edges, edges, rows).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
     return out.filter("u > v").distinct()
 
 
@@ -40,10 +52,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     work = cut(raw.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc-edges")
     loops = work.filter("u = v").select("u")
     now, before = cut(work.filter("u > v"), "cc-0"), None
-    sign = None
+    sign, rows = None, now.count()
     for i in range(max_iter):
-        nxt = cut(_star(_star(now, True), False), f"cc-{i + 1}")
-        drop(now if before is not None else None)
+        nxt = cut(_star(_star(now, True, rows), False, rows), f"cc-{i + 1}")
+        drop(before)
         before, now = now, nxt
         # a finished forest has each vertex once, under a root that is nobody's child
         found = now.agg(
@@ -51,7 +63,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         ).first()
         if sign == (found["n"], found["h"]):
             break
-        sign = (found["n"], found["h"])
+        sign, rows = (found["n"], found["h"]), found["n"]
     else:
         raise RuntimeError(f"components did not settle in {max_iter} rounds")
     roots = now.select(F.col("v").alias("u")).unionByName(loops).distinct().join(now.select("u"), "u", "left_anti")
