@@ -1,19 +1,30 @@
 """Fingerprints against the texts they stand for."""
 
+import base64
 import hashlib
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings, strategies as st
 
 from tracewell.llm import words
-from tracewell.llm.fingerprints import edited_pieces, edited_text, fingerprint_documents, fingerprints, likeness
+from tracewell.llm.fingerprints import _children, _length, _pieces, edited_spans, edited_text, fingerprint_documents, fingerprints, likeness
+
+
+DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz-_"
 
 
 def one(text):
     return next(fingerprints(pa.array([text])))
 
 
+def covered(fingerprint):
+    return sum(DIGITS.index(p[5]) for p in _pieces(_children(_children([fingerprint], "/"), ".")))
+
+
 texts = st.lists(st.sampled_from(["one two ", "three\n", "四五六", "\n", "seven eight nine ten eleven ", "x"]), max_size=40).map("".join)
 
 
@@ -34,9 +45,7 @@ def test_roots_test_equality(a, b):
 
 def test_pieces_cover_the_text():
     text = "The quick brown fox jumps over the lazy dog, and then it sleeps.\nA second line.\n"
-    body = one(text)[33:].replace("/", "").replace(".", "")
-    digits = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz-_"
-    assert sum(digits.index(body[i + 5]) for i in range(0, len(body), 6)) == len(text)
+    assert covered(one(text)) == _length(one(text)) == len(text)
 
 
 def test_edits_are_located():
@@ -44,18 +53,31 @@ def test_edits_are_located():
     a, b = "".join(lines), "".join([*lines[:30], "something else altogether, without likeness\n", *lines[31:]])
     x, y = one(a), one(b)
     assert likeness(x, y) > 0.95
-    changed, n = edited_pieces(x, y), len(edited_pieces(x, one("")))
-    assert changed and max(changed) - min(changed) < n / 15 and abs(changed[0] / n - 0.5) < 0.1
+    (start, end), = edited_spans(x, y)
+    at = len("".join(lines[:30]))
+    assert start <= at and at + len(lines[30]) <= end + 1 and end - start < len(lines[30]) + 140
+    assert edited_spans(x, x) == [] and edited_spans(x, one("")) == [(0, len(a))] and edited_spans(one(""), x) == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(texts, texts, st.integers(0, 200), st.integers(0, 60))
+def test_spans_are_in_order_and_hold_all_edits(a, b, at, n):
+    a = a * 4
+    new = a[:at] + b + a[at + n :]
+    spans = edited_spans(one(a), one(new))
+    ends = [0, *(x for span in spans for x in span), len(a.encode())]
+    assert ends == sorted(ends) and all(s < e for s, e in spans)
+    if n == 0:  # only added to: what was cut anew is in one place
+        assert not spans or spans[-1][1] - spans[0][0] <= 8 * 60
+    assert (a != new) or not spans
 
 
 def test_repetition_keeps_what_is_not_edited():
-    digits = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz-_"
     for word in ["For ", "Der ", "a", "=", "und so ", "ab", "xyz ", "word for word ", "0000", "é"]:
         text = word * (6000 // len(word))
         new = edited_text(text, "quite other words that have nothing in common with it, " * 40)
         x, y = one(text), one(new)
-        body = x[33:].replace("/", "").replace(".", "")
-        assert sum(digits.index(body[i + 5]) for i in range(0, len(body), 6)) == len(text.encode())
+        assert covered(x) == len(text.encode())
         assert likeness(x, y) > 0.7
 
 
@@ -64,16 +86,19 @@ def test_roots_are_made_of_inner_nodes():
     data, root = text.encode(), one(text)[:32]
     node = lambda kind, parts: hashlib.sha256(kind + b"".join(parts)).digest()
     array, at, sections = np.frombuffer(data, np.uint8), 0, []
-    for section in one(text)[33:].split("/")[:-1]:
+    name = lambda digest: base64.b64encode(digest[:6], b"-_").decode()
+    for section in _children([one(text)], "/"):
         paragraphs = []
-        for p in section.split("."):
+        for p in _children([section], "."):
             raw = []
-            for k in range(0, len(p), 6):
-                n = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz-_".index(p[k + 5])
+            for k in range(8, len(p), 6):
+                n = DIGITS.index(p[k + 5])
                 raw.append(words.span_hashes(array, np.array([at]), np.array([at + n])).tobytes())
                 at += n
             paragraphs.append(node(b"p", raw))
+            assert p[:8] == name(paragraphs[-1])
         sections.append(node(b"s", paragraphs))
+        assert section[:8] == name(sections[-1])
     assert at == len(data) and len(sections) > 1 and node(b"r", sections).hex()[:32] == root
 
 
@@ -101,3 +126,17 @@ def test_one_row_and_none(spark):
     r = fingerprint_documents(df).first()
     assert r["near_next"] == 1.0 and r["edited_sha256"] == hashlib.sha256(b"abcdefab").hexdigest()
     assert fingerprint_documents(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_no_row_is_lost_or_doubled(spark, reuse):
+    """Whatever the planner reuses, and with a third of all rows under one id."""
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    try:
+        rows = [(i if i % 3 else 7, f"text {i % 50} of {i}") for i in range(3000)] + [(None, "n"), (None, None)]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+        got = fingerprint_documents(df).collect()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    want = Counter((i, one(t or "")) for i, t in rows)
+    assert Counter((r["doc_id"], r["fingerprint"]) for r in got) == want
