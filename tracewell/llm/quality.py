@@ -39,8 +39,8 @@ ORDER, BITS, LOW = 5, 21, 3
 NEAR = 200
 PRIOR = 100
 BLOCK_BYTES = 32 << 20
-STEP = 1 << 20
-PACK = 4 << 20
+STEP = 1 << 18
+PACK = 1 << 20
 _ONE = (1 << BITS) - 1
 _UNKNOWN = 1.0 / (1 << BITS)  # of a character that was never seen
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -144,10 +144,10 @@ def _count(batches):
             hi, lo, _ = _grams(texts, piece)
             parts.append(_merge([[hi, lo, np.ones(len(lo), np.int64)]]))
             held += len(parts[-1][0])
-            if held > 2_000_000:
+            if held > 1_000_000:
                 parts = [_merge(parts)]
                 held = len(parts[0][0])
-                if held > 1_000_000:
+                if held > 500_000:
                     yield from _batches(parts[0], ["hi", "lo", "n"])
                     parts, held = [], 0
     if parts:
@@ -260,7 +260,7 @@ def _ask(batches):
             parts = held.setdefault(k, [])
             for piece in _pieces(texts):
                 parts.append(_distinct(*_grams(texts, piece)[:2]))
-                if sum(len(x[0]) for x in parts[1:]) > 1_500_000:
+                if sum(len(x[0]) for x in parts[1:]) > 500_000:
                     parts[:] = [_distinct(*(np.concatenate(x) for x in zip(*parts)))]
     for k, parts in held.items():
         if parts:
