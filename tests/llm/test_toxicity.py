@@ -1,10 +1,12 @@
 """Held-out accuracy, and the cases at the edges."""
 
+import math
 import zlib
 
+import numpy as np
 import pytest
 
-from tracewell.llm.toxicity import fit, learn, op7_toxicity, score_toxicity
+from tracewell.llm.toxicity import PIECE, RATIO, SURE, _pair, fit, leaning, learn, op7_toxicity, score, score_toxicity
 
 
 def test_held_out_ranking(spark):
@@ -31,6 +33,38 @@ def test_edges(spark):
     assert score_toxicity(df.limit(0), fit([], [])).count() == 0
 
 
+def test_score_against_its_definition():
+    """Windows, gains and the curve by hand; a quoted word in ordinary text doesn't hide it."""
+    rng = np.random.default_rng(1)
+    vocab = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(500)]
+    text = lambda extra: " ".join([*rng.choice(vocab, 60), *extra])
+    texts = [text(["vileword"] + ["nastyone"] * (k % 9 > 0)) for k in range(60)] + [text([]) for _ in range(240)] + [text(["vileword"])]
+    y = [1] * 60 + [0] * 241
+    m = fit(texts, y)
+    assert b"vileword" in m.toxic and b"nastyone" in m.toxic
+    pair = _pair(m.ordinary, m.toxic)
+    for t in (text(["vileword"]), text([]), "", "vileword " * 30):
+        words = t.lower().split()
+        runs = [" ".join(words[i : i + 8]).encode() for i in range(0, len(words), 8)] or [b""]
+        g = [len(pair[0].compress(w)) - len(pair[1].compress(w)) for w in runs]
+        f = [sum(g) / len(g), sum(x >= 2 for x in g) / len(g), sum(x >= 3 for x in g) / len(g), sum(max(x - 1, 0) for x in g) / len(g), max(g)]
+        z = sum(w * (x - a) / s for w, x, a, s in zip(m.weights, f, m.mean, m.spread)) + m.weights[-1]
+        assert math.isclose(score(t, m, pair), 1 / (1 + math.exp(-z)), rel_tol=1e-9)
+    new = [score(text(["vileword"] * k), m, pair) for k in (0, 0, 0, 2, 2, 2)]
+    assert max(new[:3]) < min(new[3:])
+
+
+def test_leaning_strings_against_counts():
+    toxic, ordinary = [b"xx badbad yy %d" % i for i in range(40)], [b"xx good yy %d" % i for i in range(200)] + [b"badbad"]
+    got = {int(x).to_bytes(PIECE, "big") for x in leaning(toxic, ordinary)}
+    every = {t[i : i + PIECE] for t in toxic for i in range(len(t) - PIECE + 1)}
+    def leans(x):
+        n, o = (sum(x in t for t in side) for side in (toxic, ordinary))
+        ratio = math.log((n + 0.5) / 41) - math.log((o + 0.5) / 202)
+        return ratio > math.log(RATIO) and ratio > SURE * math.sqrt(1 / (n + 0.5) + 1 / (o + 0.5))
+    assert got == {x for x in every if leans(x)} and b"badbad" in got and b"xx bad" in got
+
+
 @pytest.mark.parametrize("sf", ["sf0.001"])
 def test_runs_agree(spark, sf):
     a, b = (sorted(map(tuple, op7_toxicity(spark, f"/root/testdata/{sf}").collect())) for _ in range(2))

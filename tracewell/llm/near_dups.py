@@ -339,7 +339,8 @@ def near_duplicates(
     labelled = sets.select("id", "n", "key").join(
         final.select(F.col("vertex").alias("key"), "component"), "key", "left"
     ).withColumn("component", F.coalesce("component", "key"))
-    least_id = labelled.filter("component is not null").groupBy("component").agg(F.min("id").alias("least_id"))
+    # a table, so that the join below is of two plain shuffles, and Spark can split a group that many documents share
+    least_id = cut(labelled.filter("component is not null").groupBy("component").agg(F.min("id").alias("least_id")), "nd-least")
     out = labelled.join(least_id, "component", "left")
     alone = F.col("component").isNull()
     return out.select(

@@ -1,21 +1,25 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained. The ordinary one is trained on windows of
-ordinary text. The toxic one is trained on what ordinary text doesn't explain: the
-words of toxic texts that occur in no ordinary text of the sample and recur in several
-toxic texts that aren't copies of each other. A window of a text is compressed with the
-ordinary dictionary, and with the ordinary and the toxic one together; the bytes
-saved are its gain. A logistic curve over gains and their passing of a threshold, fitted
-on the same sample, turns the windows of a text into a score.
+Two zstandard dictionaries are trained, one on ordinary text and one on toxic text. Toxic text is ordinary
+for its most part, and what is toxic in it is a small part of what a dictionary would learn, so the toxic one
+is trained on stretches of toxic texts that hold what leans to toxic text: strings of ``PIECE`` bytes in
+far more toxic documents than ordinary ones, by a smoothed ratio and its certainty. An ordinary document that
+quotes such a string, or a wrong label, lowers the ratio and no more. How long the
+dictionary gets follows from the number of such strings.
+
+A window of a text is compressed with the ordinary dictionary, and with the toxic one set after it; the bytes
+saved are its gain. A text's mean gain, its largest, and how many of its windows reach two calibrated
+thresholds go into a logistic curve, which gives the score. Gains for the calibration come from
+dictionaries that have not seen the document: the sample is dealt into ``FOLDS`` folds for that.
 
 The fit uses a bounded sample of labelled rows: at most ``most_toxic`` and
 ``most_ordinary`` documents, chosen by a hash of their ids, and of each a stretch of at
-most ``stretch`` characters at a place given by that hash. Scoring reads every text whole.
+most ``stretch`` characters at a place given by that hash; all windows of these are used. Scoring reads every text whole.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,9 +27,12 @@ import pyarrow as pa
 import zstandard as zs
 from pyspark.sql import Column, DataFrame, functions as F
 
-WORDS_A_WINDOW, ORDINARY_BYTES, TOXIC_BYTES = 8, 32768, 512
+WORDS_A_WINDOW, ORDINARY_BYTES = 8, 32768
+PIECE, RATIO, SURE = 6, 6.0, 4.0
+BYTES_A_PIECE, LEAST_BYTES, MOST_BYTES = 3, 256, 32768  # of the toxic dictionary
 HEADER = 600  # entropy tables at the head of a trained dictionary; only its content is used
-LEAST_GAIN = 3
+THRESHOLDS = (2, 3)
+FOLDS = 4
 
 
 @dataclass(frozen=True)
@@ -58,9 +65,10 @@ def _compressor(content: bytes) -> zs.ZstdCompressor:
 def _trained(samples: list[bytes], size: int, header: int, **how) -> bytes:
     """The content of a dictionary; the samples themselves where there are too few to train on."""
     try:
-        return zs.train_dictionary(size + header, samples, **how).as_bytes()[header:]
+        content = zs.train_dictionary(size + header, samples, **how).as_bytes()[header:]
     except (zs.ZstdError, ValueError):
-        return b" ".join(samples)[-size:]
+        content = b""
+    return content or b" ".join(dict.fromkeys(samples))[-size:]
 
 
 def _pair(ordinary: bytes, toxic: bytes):
@@ -71,33 +79,50 @@ def features(text: str | None, pair) -> list[float]:
     """What the gains of a text's windows come to."""
     plain, both = (x.compress for x in pair)
     g = np.array([len(plain(w)) - len(both(w)) for w in windows(text)], float)
-    over = np.maximum(g - LEAST_GAIN + 1, 0)
-    return [
-        g.mean(), over.mean(), (g >= LEAST_GAIN).mean(), np.log1p(max(g.sum(), 0)), np.log1p(over.sum()), g.max(), np.log(len(g)),
-    ]
-
-
-def _bare(text: str) -> list[bytes]:
-    return [x for x in (w.strip(b".,;:!?*$#%&|\"'()") for w in text.lower().encode("utf-8", "surrogatepass").split()) if x]
-
-
-def _unexplained(toxic: list[str], ordinary: list[str], recur: int) -> list[bytes]:
-    """For each toxic text, its words that no ordinary text has and that recur."""
-    known = {w for t in ordinary for w in _bare(t)}
-    first: dict[bytes, int] = {}
-    own = []
-    for n, t in enumerate(toxic):
-        w = list(dict.fromkeys(x for x in _bare(t) if x not in known))
-        shared = Counter(first[x] for x in w if x in first)
-        copy = shared and shared.most_common(1)[0][1] >= max(4, 0.3 * len(w))
-        for x in w:
-            first.setdefault(x, n)
-        if not copy:
-            own.append(w)
-    often = Counter(x for w in own for x in w)
-    least = min(recur, max(often.values(), default=recur))
-    kept = [b" " + b" ".join(x for x in w if often[x] >= least) + b" " for w in own]
-    return [k for k in kept if len(k) > 4]
+    return [g.mean(), *[(g >= t).mean() for t in THRESHOLDS], np.maximum(g - 1, 0).mean(), g.max()]
+
+
+def _strings(text: bytes) -> np.ndarray:
+    """Each run of ``PIECE`` bytes as a number."""
+    a = np.frombuffer(text, np.uint8).astype(np.int64)
+    n = max(0, len(a) - PIECE + 1)
+    h = np.zeros(n, np.int64)
+    for i in range(PIECE):
+        h = h << 8 | a[i : i + n]
+    return h
+
+
+def leaning(toxic: list[bytes], ordinary: list[bytes]) -> np.ndarray:
+    """The strings that lean to toxic text, sorted: by the ratio of the shares of documents that have them, and its standard error."""
+    own, n = np.unique(np.concatenate([np.unique(_strings(t)) for t in toxic]), return_counts=True)
+    other = np.zeros(len(own))
+    for t in ordinary:
+        h = np.unique(_strings(t))
+        at = np.minimum(np.searchsorted(own, h), len(own) - 1)
+        other[at[own[at] == h]] += 1
+    ratio = np.log((n + 0.5) / (len(toxic) + 1)) - np.log((other + 0.5) / (len(ordinary) + 1))
+    return own[(ratio > np.log(RATIO)) & (ratio > SURE * np.sqrt(1 / (n + 0.5) + 1 / (other + 0.5)))]
+
+
+def _stretches(text: bytes, strings: np.ndarray) -> bytes:
+    """The parts of a text, from white space to white space, that hold one of some strings."""
+    h = _strings(text)
+    at = np.minimum(np.searchsorted(strings, h), len(strings) - 1)
+    hit = np.concatenate([[0], np.cumsum(np.convolve(strings[at] == h, np.ones(PIECE, int)) > 0)]) if len(h) else np.zeros(len(text) + 1, int)
+    gap = np.flatnonzero(np.isin(np.frombuffer(text, np.uint8), (9, 10, 11, 12, 13, 32)))
+    starts, ends = np.append(0, gap + 1), np.append(gap, len(text))
+    found = hit[ends] > hit[starts]
+    return b" ".join([b"", *(text[a:b] for a, b in zip(starts[found], ends[found])), b""])
+
+
+def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
+    """The ordinary and the toxic dictionary."""
+    low = [[t.lower().encode("utf-8", "surrogatepass") for t in x] for x in (toxic, ordinary)]
+    strings = leaning(*low)
+    samples = [x for x in (_stretches(t, strings) for t in low[0]) if len(x) > PIECE] if len(strings) else []
+    size = min(MOST_BYTES, max(LEAST_BYTES, BYTES_A_PIECE * len(strings)))
+    plain = _trained([w for t in ordinary for w in windows(t)], ORDINARY_BYTES, HEADER)
+    return plain, _trained(samples, size, 200, d=8, k=32)
 
 
 def _logistic(a: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> np.ndarray:
@@ -110,23 +135,27 @@ def _logistic(a: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40
     return b
 
 
-def fit(texts: list[str], toxic: list[int], recur: int = 3) -> Model:
+def fit(texts: list[str], toxic: list[int]) -> Model:
     """The model of labelled texts; without both classes it scores the share of toxic ones."""
     bad = [t for t, y in zip(texts, toxic) if y]
     good = [t for t, y in zip(texts, toxic) if not y]
     if not bad or not good:
         share = len(bad) / len(texts) if texts else 0.0
         odds = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
-        return Model(b"", b"", (0.0,) * 7, (1.0,) * 7, (0.0,) * 7 + (odds,))
-    ws = [w for t in good for w in windows(t)]
-    pick = np.random.default_rng(0).permutation(len(ws))[:60000]
-    ordinary = _trained([ws[i] for i in pick], ORDINARY_BYTES, HEADER)
-    tox = _trained(_unexplained(bad, good, recur), TOXIC_BYTES, 200, d=8, k=32)
-    pair = _pair(ordinary, tox)
-    a = np.array([features(t, pair) for t in texts])
+        n = len(THRESHOLDS) + 3
+        return Model(b"", b"", (0.0,) * n, (1.0,) * n, (0.0,) * n + (odds,))
+    y = np.array(toxic, float)
+    fold = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) % FOLDS for t in texts])  # copies fall into one fold
+    a = np.zeros((len(texts), len(THRESHOLDS) + 3))
+    for f in range(FOLDS):
+        rest = [(t, z) for t, z, g in zip(texts, toxic, fold) if g != f]
+        seen = [[t for t, z in rest if z], [t for t, z in rest if not z]]
+        pair = _pair(*dictionaries(*seen)) if all(seen) else _pair(b"", b"")
+        for k in np.flatnonzero(fold == f):
+            a[k] = features(texts[k], pair)
     mean, spread = a.mean(0), a.std(0) + 1e-9
-    weights = _logistic((a - mean) / spread, np.array(toxic, float))
-    return Model(ordinary, tox, tuple(mean), tuple(spread), tuple(weights))
+    weights = _logistic((a - mean) / spread, y)
+    return Model(*dictionaries(bad, good), tuple(mean), tuple(spread), tuple(weights))
 
 
 def score(text: str | None, model: Model, pair) -> float:
@@ -143,7 +172,11 @@ def learn(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
     most_toxic: int = 2000, most_ordinary: int = 8000, stretch: int = 8000,
 ) -> Model:
-    """Fit on the rows outside the held-out fold; an id labelled twice counts as toxic if it ever is."""
+    """Fit on the rows outside the held-out fold; an id labelled twice counts as toxic if it ever is.
+
+    Null labels and null ids are left out, null texts are empty; of an id's several texts the first in
+    order counts. Without labels every score is the same.
+    """
     marks = labels.filter(~held_out(F.col(id_col)) & F.col(label_col).isNotNull()).groupBy(id_col)
     marks = marks.agg((F.max(label_col) > 0).cast("int").alias("y"))
     # the first rows by hash, of each class: a bounded sample that is the same in every run
@@ -176,8 +209,9 @@ def _scorer(model: Model, id_type: str):
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, held_out, score, predicted)`` for every row of ``docs``, without a shuffle.
 
-    The score depends on the text alone. Null and empty texts are one empty window. Ids may
-    repeat or be null.
+    The score depends on the text alone, and all of it counts, however long. Null and empty texts are
+    one empty window, so they have all the same score. Ids may repeat or be null (a null id is held
+    out), rows that repeat are scored alike. An empty table gives no rows; other columns are not looked at.
     """
     run, schema = _scorer(model, docs.schema[id_col].dataType.simpleString())
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
