@@ -42,6 +42,8 @@ def test_hashes_and_times(spark):
     assert got["2024-01-15T10:30:00.9+02:00"][0] == "2024-01-15T08:30:00Z"
     assert got["12/25/2024 00:00:00"][0] == "2024-12-25T00:00:00Z" and got["03/04/2024 00:00:00"][0] == "2024-04-03T00:00:00Z"
     assert got["not-a-timestamp"] == (None, "invalid_timestamp")
+    got = forms(C.canonicalise_timestamp(column(spark, ["2023-07-04T05:06:07", "2023-07-04"]), "x"))
+    assert got["2023-07-04T05:06:07"][0] == "2023-07-04T05:06:07Z" and got["2023-07-04"] == (None, "invalid_timestamp")
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -70,7 +72,9 @@ def test_golden_records(spark):
     "head, hint, kind",
     [(b"\x1f\x8b\x08\x00\x00", None, "gzip"), (b"PK\x03\x04\x00", None, "zip"), (b'{"a":1}\n{"b":2}\n', None, "ndjson"), (b'{"a":1, "b":2}\n', None, "json"),
      (b"col1,col2\n1,2\n", None, "csv"), (b"col1\tcol2\n1\t2\n", None, "tsv"), (b"some data", "csv", "csv"), (b"some data", "ndjson", "ndjson"),
-     (b"\xff\x00\x01\x02\x03\x04\x05\x06", None, "binary"), (b"hello world\nthis is text\n", None, "text"), (b"", None, "text")],
+     (b"\xff\x00\x01\x02\x03\x04\x05\x06", None, "binary"), (b"hello world\nthis is text\n", None, "text"), (b"", None, "text"),
+     (b"one line\nthen, another", None, "text"), ("é".encode() * 20, None, "binary"), (b'{"a":1\n{"b":2}', None, "ndjson"), (b'{"a":1}\n\n', None, "ndjson"),
+     (b"some data", "JSONL", "ndjson"), (b"some data", "gz", "gzip"), (b"some data", "text", "text"), (b"a,b", "nonsense", "csv")],
 )
 def test_kinds(spark, head, hint, kind):
     df = spark.createDataFrame([("p", head, hint)], "path string, content binary, hint string")
@@ -93,6 +97,57 @@ def test_zip_and_csv_files(spark, tmp_path):
 
 
 def test_sanitised_names(spark):
-    df = spark.createDataFrame([("Us`er) DETACH", {"a b": "1", "a-b": "2", "9x": "3"}), ("", {})], "label string, props map<string,string>")
+    df = spark.createDataFrame([("Du-mp Node; 7", {"a b": "1", "a-b": "2", "9x": "3", "": "4"}), ("?!", {}), ("42nd", {})], "label string, props map<string,string>")
     rows = C.sanitise_names(df, "label", "props").collect()
-    assert rows[0]["label"] == "UserDETACH" and rows[0]["props"] == {"a_b": "2", "_9x": "3"} and rows[1]["label"] == "Node"
+    assert rows[0]["label"] == "DumpNode7" and rows[0]["props"] == {"a_b": "2", "9x": "3", "prop": "4"}
+    assert rows[1]["label"] == "FieldValue" and rows[2]["label"] == "42nd"
+
+
+def test_forms_of_records(spark):
+    lines = ['{"type":" Domain ","value":" X "}', '[" E-Mail ", " y "]', '" Ip , z "', "HASH , w ", '{"type":"a","value":"' + "b" * 50 + '"}', ",x", '{"type":"a","value":1}']
+    got = {r["line"]: (r["field_type"], r["raw"], r["error"]) for r in S.parse_kv_lines(spark.createDataFrame([(x,) for x in lines], "line string"), max_line=60).collect()}
+    assert [got[x][:2] for x in lines[:4]] == [("domain", "X"), ("e-mail", "y"), ("ip", "z"), ("hash", "w")]
+    assert got[lines[4]] == (None, None, "line_too_long") and got[lines[5]] == ("", "x", None) and got[lines[6]][2] == "missing_member"
+
+
+def test_dumps_by_their_kind(spark, tmp_path):
+    import gzip
+    import zipfile
+
+    (tmp_path / "d" / "sub").mkdir(parents=True)
+    put = lambda name, data: (tmp_path / "d" / name).write_bytes(data)
+    put("a", b'{"type":"N","v":"1"}\n{"type":"N","v":"2"}\nnot a record\n')
+    put("b", b'kind,value\r\nn,"3,4"\r\nlonely\r\n')
+    put("c", b"kind\tvalue\nn\t5\n")
+    put("sub/d.gz", gzip.compress(b"kind,value\nn,6\n"))
+    put("e.gz", gzip.compress(b"kind,value\n")[:-9])
+    put("f", bytes(range(128, 256)))
+    put("g.txt", "prose".encode())
+    put("empty", b"")
+    with zipfile.ZipFile(tmp_path / "d" / "h", "w") as z:
+        z.writestr("x/", "")
+        z.writestr("x/y", '["n","7"]\n{}\n')
+    with zipfile.ZipFile(tmp_path / "d" / "i", "w"):
+        pass
+    put("j.csv", b"kind;value\nn;8\n")
+    path = f"file:{tmp_path}/d/j.csv"
+    rows = S.read_dumps(spark, str(tmp_path / "d"), {path: "CSV"}).collect()
+    got = sorted((r["path"].rsplit("/", 1)[1], r["kind"], r["raw"] or "", r["error"] or "") for r in rows)
+    assert got == [
+        ("a", "json", "", "not_a_record"), ("a", "json", "1", ""), ("a", "json", "2", ""), ("b", "csv", "", "ragged_row"), ("b", "csv", "3,4", ""), ("c", "tsv", "5", ""),
+        ("d.gz", "csv", "6", ""), ("e.gz", "text", "", "broken_archive"), ("f", "binary", "", "unsupported_format"),
+        ("g.txt", "text", "", "unsupported_format"), ("h", "ndjson", "", "missing_member"), ("h", "ndjson", "7", ""), ("i", "text", "", "empty_archive"), ("j.csv", "csv", "", "ragged_row"),
+    ]
+    assert {r["raw"] for r in S.read_kv_gzip(spark, str(tmp_path / "d" / "sub")).collect()} == {"6"}
+
+
+def test_broken_archives_are_records(spark):
+    files = spark.createDataFrame([(b"PK no archive",), (b"PK\x05\x06" + bytes(18),), (None,)], "content binary")
+    for kind in ("ndjson", "csv"):
+        assert sorted(r["error"] for r in S.read_kv_zip_content(files, kind).collect()) == ["broken_archive", "broken_archive", "empty_archive"]
+
+
+def test_profile_keeps_rows_apart(spark):
+    files = spark.createDataFrame([("p", b"a,b\n1"), ("p", b"\x80" * 40)], "path string, content binary")
+    got = sorted((r["kind"], r["bytes"], r["preview"]) for r in S.profile_dumps(files).collect())
+    assert got == [("binary", 40, "80" * 32), ("csv", 5, "a,b\n1")]

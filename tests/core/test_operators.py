@@ -11,6 +11,7 @@ from tracewell.operators.components import connected_components
 from tracewell.operators.ordering import with_running
 from tracewell.plans.queries import ORACLE, QUERIES
 from tracewell.scratch import cut
+from tracewell.streaming import streams as T
 
 KEY = b"\x42" * 32
 
@@ -79,6 +80,47 @@ def test_upsert_is_idempotent(spark):
     assert show(once) == {("A", "1"): {"x": "2"}, ("B", "1"): {}, ("C", "9"): {"z": "1"}} == show(G.upsert_props(once, jobs))
 
 
+def test_stored_upserts_in_any_order(spark):
+    rows = [("A", "1", {"x": "new"}, 5), ("A", "1", {"x": "old", "y": "1"}, 3), ("A", "1", {"y": None}, 4), ("B", "2", {}, 1), ("A", "1", {"z": None}, 9), ("A", "1", {"z": "late"}, 8)]
+    schema = "label string, key string, props map<string,string>, seq long"
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        base = spark.createDataFrame([], T.NODES)
+        for job in order:
+            base = cut(G.upsert_versions(base, spark.createDataFrame([job], schema)), "t-upsert")
+        assert {(r["label"], r["key"]): r["props"] for r in base.collect()} == {("A", "1"): {"x": "new"}, ("B", "2"): {}}
+
+
+def test_streamed_upsert_out_of_order(spark, tmp_path):
+    schema = "label string, key string, props map<string,string>, seq long"
+    for n, job in enumerate([("A", "1", {"x": "new"}, 5), ("A", "1", {"x": "old"}, 3), ("A", "2", {"x": "b"}, 1), ("A", "1", {"y": "c"}, 4)]):
+        spark.createDataFrame([job], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        T.stream_upsert(T.read_jobs(spark, str(tmp_path / "in"), schema, 1), str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
+    assert {r["key"]: r["props"] for r in T.latest(spark, str(tmp_path / "t"), T.NODES).collect()} == {"1": {"x": "new", "y": "c"}, "2": {"x": "b"}}
+    kept = [v for v in T._versions(spark, str(tmp_path / "t")).values()]
+    assert sorted(len(v) for v in kept) == [1, 2]  # the newest, and the one before it for a retry
+
+
+def test_samples_are_the_smallest(spark):
+    cells = spark.createDataFrame([("d", i, c, c, None) for i in range(40) for c in ("a", "b")], "dump_id string, row_index long, column string, canonical_key string, ts timestamp").repartition(7)
+    r = G.pair_edges(cells, [("t", "a", "b")]).first()
+    assert r["count"] == 40 and r["samples"] == [f"d:{i:012d}" for i in range(5)]
+
+
+def test_sweep_at_any_depth(spark):
+    deep = '{"x":' * 30 + '{"name":"plain"}' + "}" * 30
+    df = spark.createDataFrame([(deep,), ('[{"secret":"sha256:' + "0" * 64 + '"}]',), ('{"secret":""}',), ("broken",), (None,)], "doc string")
+    got = {(r["path"].count("."), r["field"], r["state"]) for r in P.sweep_plaintext(df, {"name": "hash", "secret": "scrub"}, ("doc",)).collect()}
+    assert got == {(31, "name", "plain"), (2, "secret", "hashed"), (1, "secret", "plain")}
+    assert P.sweep_plaintext(df, {}, ("doc",)).count() == 0
+
+
+def test_hubs(spark, monkeypatch):
+    monkeypatch.setattr("tracewell.operators.components.LEAST_DEGREE", 5)
+    edges = [(0, i) for i in range(1, 400)] + [(1000 + i, 1000 + i + 1) for i in range(30)] + [(399, 2000)]
+    got = {r["vertex"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {v: 0 if v < 1000 or v == 2000 else 1000 for e in edges for v in e}
+
+
 def test_components_against_union_find(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1100)] + [(5, 5), (2000, 2000), (None, 3)]

@@ -2,8 +2,8 @@
 
 Each job adds ``canonical`` and, where a value isn't of its kind, an ``error``; nothing
 is dropped. Python runs only for what Spark has no expression for (the text form
-of version 6 addresses, international domain names), on Arrow batches and for
-the rows that need it.
+of version 6 addresses, international domain names), on Arrow batches. Rows that need it
+are split off by a filter, so all others stay in the JVM; for that the input is read twice.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ VERSION = 1
 #: Digest lengths in hexadecimal digits. Fixed values.
 ALGORITHMS = {32: "md5", 40: "sha1", 64: "sha256", 96: "sha384", 128: "sha512"}
 #: Timestamp patterns in the order in which they are tried. Fixed values.
-PATTERNS = ("yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm:ss", "yyyy-MM-dd")
+PATTERNS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm:ss")
 RFC3339 = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]+)?([Zz]|[+-][0-9]{2}:[0-9]{2})$"
 OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
@@ -27,18 +27,20 @@ def trimmed(c: Column) -> Column:
 
 def light(kind: Column, raw: Column) -> Column:
     """The light canonical form by field type."""
-    t = trimmed(raw)
+    low = F.lower(trimmed(raw))
     return (
-        F.when(kind == "domain", F.regexp_replace(F.lower(t), r"\.$", ""))
-        .when(kind == "ip", t)
+        F.when(kind == "domain", F.regexp_replace(low, r"\.$", ""))
+        .when(kind == "ip", trimmed(raw))
         .when(kind == "hash", F.regexp_replace(F.lower(raw), r"(?U)^[\W_]+|[\W_]+$", ""))
-        .otherwise(F.lower(t))
+        .otherwise(low)
     )
 
 
 def canonicalise_light(df: DataFrame, type_col: str = "field_type", raw_col: str = "raw") -> DataFrame:
     """Light canonical form; the type itself compares trimmed and in lower case."""
-    return df.withColumn("canonical", light(F.lower(trimmed(F.col(type_col))), F.col(raw_col)))
+    # once for each row, not once for each branch
+    once = F.transform(F.array(F.lower(trimmed(F.col(type_col)))), lambda kind: light(kind, F.col(raw_col)))
+    return df.withColumn("canonical", once[0])
 
 
 @F.pandas_udf(T.StringType())
@@ -67,33 +69,38 @@ def _ascii_domain(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
+def _by_rows(df: DataFrame, needs: Column, form) -> DataFrame:
+    """``form(rows, python)`` of the rows that need Python, and of the others."""
+    needs = F.coalesce(needs, F.lit(False))
+    return form(df.filter(~needs), False).unionByName(form(df.filter(needs), True))
+
+
+def _ip_form(t: str, python: bool) -> Column:
+    """Of a trimmed column: host, prefix and their canonical form."""
+    host = F.substring_index(t, "/", 1)
+    v4 = host.rlike(rf"^{OCTET}([.]{OCTET}){{3}}$")
+    base = F.when(v4, host)
+    if python:
+        base = F.coalesce(base, _v6(host))
+    bits = F.regexp_extract(t, "^[^/]*/([0-9]{1,3})$", 1).try_cast("int")
+    net = F.when(bits <= F.when(v4, 32).otherwise(128), F.concat(base, F.lit("/"), bits.cast("string")))
+    return F.when(F.col(t).contains("/"), net).otherwise(base)
+
+
 def canonicalise_ip(df: DataFrame, col: str) -> DataFrame:
     """Addresses and networks of both versions; host bits stay, zone names are refused."""
-    v = trimmed(F.col(col))
-    host = F.regexp_extract(v, r"^([^/]*)", 1)
-    slash = v.contains("/")
-    prefix = F.regexp_extract(v, r"^[^/]*/([0-9]{1,3})$", 1)
-    bits = F.when(slash, F.expr("try_cast(_prefix as int)"))
-    d = df.withColumns({"_host": host, "_prefix": prefix, "_slash": slash}).withColumn("_bits", bits)
-    v4 = F.col("_host").rlike(rf"^{OCTET}([.]{OCTET}){{3}}$")
-    needs = F.col("_host").contains(":")
-    six = F.when(needs, _v6(F.when(needs, F.col("_host"))))
-    d = d.withColumns({"_four": v4, "_six": six})
-    fine = ~F.col("_slash") | (F.col("_bits") <= F.when(F.col("_four"), 32).otherwise(128))
-    base = F.when(F.col("_four"), F.col("_host")).otherwise(F.col("_six"))
-    tail = F.when(F.col("_slash"), F.concat(F.lit("/"), F.col("_bits").cast("string"))).otherwise("")
-    out = F.when(fine & base.isNotNull(), F.concat(base, tail))
-    d = d.withColumn("canonical", out)
-    return _finish(d.withColumn("is_cidr", F.col("_slash") & F.col("canonical").isNotNull()), "invalid_ip").drop(
-        "_host", "_prefix", "_slash", "_bits", "_four", "_six"
-    )
+    d = df.withColumn("_t", trimmed(F.col(col)))
+    d = _by_rows(d, F.col("_t").contains(":"), lambda rows, python: rows.withColumn("canonical", _ip_form("_t", python)))
+    return _finish(d.withColumn("is_cidr", F.col("canonical").contains("/") & F.col("canonical").isNotNull()), "invalid_ip").drop("_t")
+
 
+PLAIN = r"^[\x00-\x7F]*$"
 
-def domain_form(c: Column) -> Column:
-    """Trimmed, without a final dot, ASCII and lower case; null if nothing is left."""
-    t = F.regexp_replace(trimmed(c), r"\.$", "")
-    plain = t.rlike(r"^[\x00-\x7F]*$")
-    return F.nullif(F.when(plain, F.lower(t)).otherwise(_ascii_domain(F.when(~plain, t))), F.lit(""))
+
+def _name_form(c: Column, python: bool) -> Column:
+    """Without a final dot, ASCII and lower case, of trimmed text; null if nothing is left."""
+    t = F.regexp_replace(c, r"\.$", "")
+    return F.nullif(_ascii_domain(t) if python else F.lower(t), F.lit(""))
 
 
 def _finish(df: DataFrame, error: str) -> DataFrame:
@@ -103,34 +110,41 @@ def _finish(df: DataFrame, error: str) -> DataFrame:
 
 def canonicalise_domain(df: DataFrame, col: str) -> DataFrame:
     """Domain names; international ones by UTS 46, which refuses some that older rules take."""
-    return _finish(df.withColumn("canonical", domain_form(F.col(col))), "invalid_domain")
+    d = df.withColumn("_t", trimmed(F.col(col)))
+    d = _by_rows(d, ~F.col("_t").rlike(PLAIN), lambda rows, python: rows.withColumn("canonical", _name_form(F.col("_t"), python)))
+    return _finish(d, "invalid_domain").drop("_t")
 
 
 def _hash_form(c: Column) -> Column:
-    t = F.lower(trimmed(c))
+    """Of trimmed text."""
+    t = F.lower(c)
     return F.when(t.rlike("^[0-9a-f]+$") & F.length(t).isin(*ALGORITHMS), t)
 
 
 def canonicalise_hash(df: DataFrame, col: str) -> DataFrame:
     """Hexadecimal digests, with their algorithm by length."""
-    d = df.withColumn("canonical", _hash_form(F.col(col)))
+    d = df.withColumn("canonical", _hash_form(trimmed(F.col(col))))
     names = F.create_map(*[F.lit(x) for kv in ALGORITHMS.items() for x in kv])
     return _finish(d.withColumn("algorithm", names[F.length("canonical")]), "invalid_hash")
 
 
-def _email_form(c: Column) -> Column:
-    t = trimmed(c)
-    local, domain = (F.regexp_extract(t, "^(.*)@([^@]*)$", i) for i in (1, 2))
-    return F.when(local != "", F.concat(local, F.lit("@"), domain_form(domain)))
+def _email_form(local: Column, name: Column) -> Column:
+    return F.when(local != "", F.concat(local, F.lit("@"), name))
+
+
+LOCAL, NAME = r"^(.*)@[^@]*$", r"@([^@]*)$"
 
 
 def canonicalise_email(df: DataFrame, col: str) -> DataFrame:
     """Split at the last ``@``; the local part keeps its case, the domain follows N3."""
-    return _finish(df.withColumn("canonical", _email_form(F.col(col))), "invalid_email")
+    d = df.withColumn("_t", trimmed(F.col(col)))
+    d = d.withColumns({"_local": F.regexp_extract("_t", LOCAL, 1), "_name": trimmed(F.regexp_extract("_t", NAME, 1))}).drop("_t")
+    form = lambda rows, python: rows.withColumn("canonical", _email_form(F.col("_local"), _name_form(F.col("_name"), python)))
+    return _finish(_by_rows(d, ~F.col("_name").rlike(PLAIN), form), "invalid_email").drop("_local", "_name")
 
 
-def _timestamp_form(c: Column) -> Column:
-    t = trimmed(c)
+def _timestamp_form(t: Column) -> Column:
+    """Of trimmed text."""
     stamp = F.coalesce(
         F.when(t.rlike(RFC3339), F.try_to_timestamp(F.upper(t))),
         F.when(t.rlike("^[+-]?[0-9]{1,12}$"), F.timestamp_seconds(t.try_cast("long"))),
@@ -141,7 +155,7 @@ def _timestamp_form(c: Column) -> Column:
 
 def canonicalise_timestamp(df: DataFrame, col: str) -> DataFrame:
     """ISO-8601 in UTC, whole seconds; digits alone are epoch seconds, day comes before month."""
-    return _finish(df.withColumn("canonical", _timestamp_form(F.col(col))), "invalid_timestamp")
+    return _finish(df.withColumn("canonical", _timestamp_form(trimmed(F.col(col)))), "invalid_timestamp")
 
 
 def key_of(kind: Column, canonical: Column, salt: str, version: int = VERSION) -> Column:
@@ -155,36 +169,45 @@ def with_canonical_key(df: DataFrame, type_col: str, canonical_col: str, salt: s
 
 def normalise(df: DataFrame, type_col: str, raw_col: str, salt: str) -> DataFrame:
     """The typed canonical form of a mixed table, with key, version and error class."""
-    kind, raw = F.lower(trimmed(F.col(type_col))), F.col(raw_col)
-    d = canonicalise_ip(df.withColumn("_ip", F.when(kind == "ip", raw)), "_ip").withColumnRenamed("canonical", "_ip_form")
-    d = d.drop("_ip", "is_cidr", "version", "error")
-    form = (
-        F.when(kind == "ip", F.col("_ip_form"))
-        .when(kind == "domain", domain_form(F.when(kind == "domain", raw)))
-        .when(kind == "hash", _hash_form(raw))
-        .when(kind == "email", _email_form(F.when(kind == "email", raw)))
-        .when(kind == "timestamp", _timestamp_form(raw))
-        .otherwise(F.lower(trimmed(raw)))
-    )
+    d = df.withColumns({"_k": F.lower(trimmed(F.col(type_col))), "_t": trimmed(F.col(raw_col))})
+    kind, mail = F.col("_k"), F.col("_k") == "email"
+    d = d.withColumn("_name", F.when(kind == "domain", F.col("_t")).when(mail, trimmed(F.regexp_extract("_t", NAME, 1))))
+    needs = ((kind == "ip") & F.col("_t").contains(":")) | ~F.col("_name").rlike(PLAIN)
+
+    def form(rows: DataFrame, python: bool) -> DataFrame:
+        name = _name_form(F.col("_name"), python)
+        if python:  # asked for once: Spark runs a Python function for all rows, whatever the branch
+            rows = rows.withColumn("_name", name)
+            name = F.col("_name")
+        out = (
+            F.when(kind == "ip", _ip_form("_t", python))
+            .when(kind == "domain", name)
+            .when(kind == "hash", _hash_form(F.col("_t")))
+            .when(mail, _email_form(F.regexp_extract("_t", LOCAL, 1), name))
+            .when(kind == "timestamp", _timestamp_form(F.col("_t")))
+            .otherwise(F.lower("_t"))
+        )
+        return rows.withColumn("canonical", F.nullif(out, F.lit("")))
+
+    d = _by_rows(d, needs, form)
     known = kind.isin("ip", "domain", "hash", "email", "timestamp")
-    d = d.withColumn("canonical", F.nullif(form, F.lit(""))).drop("_ip_form")
-    error = F.when(raw.isNull() | (trimmed(raw) == ""), F.lit("empty")).otherwise(
+    error = F.when(F.col("_t").isNull() | (F.col("_t") == ""), F.lit("empty")).otherwise(
         F.when(known, F.concat(F.lit("invalid_"), kind)).otherwise("unusable")
     )
     d = d.withColumn("error", F.when(F.col("canonical").isNull(), error)).withColumn("version", F.lit(VERSION))
-    return d.withColumn("canonical_key", key_of(kind, F.col("canonical"), salt))
+    return d.withColumn("canonical_key", key_of(kind, F.col("canonical"), salt)).drop("_k", "_t", "_name")
 
 
 def label_form(c: Column) -> Column:
-    """A label keeps letters, digits and ``_``; it doesn't begin with a digit and isn't empty."""
+    """A label keeps ASCII letters, digits and ``_``; the default is ``FieldValue``."""
     kept = F.regexp_replace(F.coalesce(c, F.lit("")), "[^A-Za-z0-9_]", "")
-    return F.when(kept == "", "Node").when(kept.rlike("^[0-9]"), F.concat(F.lit("_"), kept)).otherwise(kept)
+    return F.when(kept == "", "FieldValue").otherwise(kept)
 
 
 def property_form(c: Column) -> Column:
     """A property name has ``_`` for every other character; the default is ``prop``."""
     kept = F.regexp_replace(c, "[^A-Za-z0-9_]", "_")
-    return F.when(kept == "", "prop").when(kept.rlike("^[0-9]"), F.concat(F.lit("_"), kept)).otherwise(kept)
+    return F.when(kept == "", "prop").otherwise(kept)
 
 
 def sanitise_names(df: DataFrame, label_col: str, props_col: str) -> DataFrame:
@@ -211,9 +234,10 @@ def migrate_keys(
     ``values`` has ``field_type`` and ``canonical``. Each key column is one equi-join with the mapping
     of old to new; a row tells by ``key_version`` whether all its keys were mapped.
     """
-    pairs = values.select(
+    # a value is hashed once, however often it was seen
+    pairs = values.select("field_type", "canonical").dropna().distinct().select(
         key_of(F.col("field_type"), F.col("canonical"), *old).alias("_old"), key_of(F.col("field_type"), F.col("canonical"), *new).alias("_new")
-    ).dropna().distinct()
+    )
     out = {}
     for name, (df, keys) in tables.items():
         mapped = F.lit(True)

@@ -5,22 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def _enrich(values: DataFrame, ref: DataFrame, on: str, prefix: str) -> DataFrame:
-    """Rows ``(key, canonical_key, canonical, attributes)`` for the values that ``ref`` knows."""
+def _enrich(values: DataFrame, ref: DataFrame, on: str, prefix: str, source: str, at: Column | None) -> DataFrame:
+    """Rows ``(key, canonical_key, canonical, attributes, source, enriched_at)`` for the values that ``ref`` knows."""
     known = values.filter("field_type = 'ip'").select("canonical_key", "canonical").distinct()
     attrs = [c for c in ref.columns if c != on]
     d = known.join(ref.dropDuplicates([on]), F.col("canonical") == F.col(on))
-    return d.select(F.concat(F.lit(prefix), "canonical").alias("key"), "canonical_key", "canonical", *attrs)
+    when = (at if at is not None else F.current_timestamp()).alias("enriched_at")
+    return d.select(F.concat(F.lit(prefix), "canonical").alias("key"), "canonical_key", "canonical", *attrs, F.lit(source).alias("source"), when)
 
 
-def enrich_geo(values: DataFrame, geo: DataFrame) -> DataFrame:
-    """Places of addresses, keyed ``geoip_<ip>``."""
-    return _enrich(values, geo, "ip_address", "geoip_")
+def enrich_geo(values: DataFrame, geo: DataFrame, source: str = "geoip", at: Column | None = None) -> DataFrame:
+    """Places of addresses, keyed ``geoip_<ip>``, with source and time (by default that of the run)."""
+    return _enrich(values, geo, "ip_address", "geoip_", source, at)
 
 
-def enrich_asn(values: DataFrame, asn: DataFrame) -> DataFrame:
-    """Networks of addresses, keyed ``asn_<ip>``."""
-    return _enrich(values, asn, "ip_address", "asn_")
+def enrich_asn(values: DataFrame, asn: DataFrame, source: str = "asn", at: Column | None = None) -> DataFrame:
+    """Networks of addresses, keyed ``asn_<ip>``, with source and time (by default that of the run)."""
+    return _enrich(values, asn, "ip_address", "asn_", source, at)
 
 
 def v4_number(c: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracewell.operators.components import connected_components
 
@@ -96,7 +96,8 @@ def add_counts(edges: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame
 def pair_edges(cells: DataFrame, pairs: list[tuple[str, str, str]], max_samples: int = 5) -> DataFrame:
     """Directed edges ``(pair_type, from field, to field)`` inside rows, with count, time and samples.
 
-    Samples are the smallest ``dump:row`` names, kept by a bounded aggregate.
+    Samples are the smallest ``max_samples`` names ``dump:row``, in order; each task keeps no more than that of an
+    edge before they are shuffled.
     """
     rows = cells.filter(F.col("column").isin(*{c for _, a, b in pairs for c in (a, b)})).groupBy("dump_id", "row_index").agg(
         F.collect_set(F.struct("column", "canonical_key")).alias("c"), F.max("ts").alias("ts")
@@ -110,12 +111,11 @@ def pair_edges(cells: DataFrame, pairs: list[tuple[str, str, str]], max_samples:
     made = F.flatten(F.array(*[edges(*p) for p in pairs]))
     d = rows.select(F.explode(made).alias("e"), "ts", F.concat_ws(":", "dump_id", F.lpad(F.col("row_index").cast("string"), 12, "0")).alias("at"))
     d = d.select("e.*", "ts", "at")
-    first = d.groupBy("pair_type", "src_key", "dst_key", F.pmod(F.xxhash64("at"), F.lit(max_samples)).alias("k")).agg(
-        F.count("*").alias("count"), F.max("ts").alias("last_seen"), F.min("at").alias("at")
-    )
-    return first.groupBy("pair_type", "src_key", "dst_key").agg(
-        F.sum("count").alias("count"), F.max("last_seen").alias("last_seen"), F.array_sort(F.collect_list("at")).alias("samples")
-    )
+    edge = ["pair_type", "src_key", "dst_key"]
+    counts = d.groupBy(*edge).agg(F.count("*").alias("count"), F.max("ts").alias("last_seen"))
+    nth = F.row_number().over(Window.partitionBy(*edge).orderBy("at"))
+    few = d.select(*edge, "at").withColumn("_n", nth).filter(F.col("_n") <= max_samples)
+    return counts.join(few.groupBy(*edge).agg(F.array_sort(F.collect_list("at")).alias("samples")), edge)
 
 
 def upsert_props(base: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -131,6 +131,23 @@ def upsert_props(base: DataFrame, jobs: DataFrame) -> DataFrame:
     return last.groupBy("label", "key").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("props"))
 
 
+def upsert_versions(base: DataFrame, jobs: DataFrame) -> DataFrame:
+    """G13 for a stored table ``(label, key, props, seqs)``, which keeps the sequence of each property.
+
+    So jobs may come in any order and in any batches: an older one never overlays a newer one, and a removed property
+    stays removed (its sequence stays). A job without properties makes its node.
+    """
+    stored = base.select("label", "key", F.explode_outer("seqs").alias("p", "seq"), "props").select(
+        "label", "key", "seq", "p", F.try_element_at("props", F.col("p")).alias("v")
+    )
+    new = jobs.select("label", "key", F.col("seq").cast("long"), F.explode_outer("props").alias("p", "v"))
+    last = stored.unionByName(new).groupBy("label", "key", "p").agg(F.max(F.struct("seq", F.col("v").isNull().alias("gone"), "v")).alias("m"))
+    live = F.when(F.col("p").isNotNull() & ~F.col("m.gone"), F.struct("p", F.col("m.v").alias("v")))
+    seen = F.when(F.col("p").isNotNull(), F.struct("p", F.col("m.seq").alias("seq")))
+    gather = lambda c: F.map_from_entries(F.array_sort(F.collect_list(c)))  # noqa: E731  a node's own properties
+    return last.groupBy("label", "key").agg(gather(live).alias("props"), gather(seen).alias("seqs"))
+
+
 def new_only(batch: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of the batch whose provenance isn't stored yet, repeated ones once."""
     return batch.dropDuplicates(keys).join(stored.select(*keys).distinct(), keys, "left_anti")

@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tracewell.scratch import cut
 from tracewell.tables import ENVELOPE
 
 REDACTED = "[REDACTED]"
 ALGORITHM = "AES-256-GCM"
 #: Patterns of personal data in text. Fixed values.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}",
+    "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}\b",
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
-    "card": r"\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\b",
-    "phone": r"[(][0-9]{3}[)] [0-9]{3}-[0-9]{4}",
-    "birth_date": r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b",
+    "card": r"\b[0-9]{4}[\s-]?[0-9]{4}[\s-]?[0-9]{4}[\s-]?[0-9]{4}\b",
+    "phone": r"\b[0-9]{3}[-.]?[0-9]{3}[-.]?[0-9]{4}\b",
+    "birth_date": r"\b[0-9]{2}/[0-9]{2}/[0-9]{4}\b",
 }
+#: Two more forms, our own: an area code in brackets, and ISO dates.
+MORE_PATTERNS = {"phone_in_brackets": r"[(][0-9]{3}[)] [0-9]{3}-[0-9]{4}\b", "iso_date": r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b"}
 
 
 def _map(d: dict[str, str]) -> Column:
@@ -89,7 +92,7 @@ def decrypt_values(df: DataFrame, col: str, keys: dict[str, bytes], actor: str,
 
 def state_of(c: Column) -> Column:
     env = F.from_json(F.when(c.startswith("{"), c), ENVELOPE)
-    sealed = env["ciphertext"].isNotNull() & env["nonce"].isNotNull() & env["key_id"].isNotNull()
+    sealed = env["ciphertext"].isNotNull() & env["nonce"].isNotNull() & env["key_id"].isNotNull() & (env["algorithm"] == ALGORITHM)
     return (
         F.when(c.isNull(), None)
         .when(c.rlike("^sha256:[0-9a-f]{64}$"), "hashed")
@@ -100,36 +103,45 @@ def state_of(c: Column) -> Column:
 
 
 def protection_state(df: DataFrame, col: str) -> DataFrame:
-    """P5: hashed, encrypted, redacted or plain."""
+    """P5: hashed, encrypted (an envelope of the algorithm in use), redacted or plain."""
     return df.withColumn("state", state_of(F.col(col)))
 
 
 _WANTED = {"hash": "hashed", "encrypt": "encrypted", "scrub": "redacted"}
 
 
-def sweep_plaintext(df: DataFrame, rules: dict[str, str], json_cols: tuple[str, ...] = (), depth: int = 4) -> DataFrame:
-    """``(path, field, expected, state)`` of every protected field that holds plain text.
+def sweep_plaintext(df: DataFrame, rules: dict[str, str], json_cols: tuple[str, ...] = ()) -> DataFrame:
+    """``(path, field, expected, state)`` of every protected field that isn't protected as its rule says.
 
-    Columns by their names, and members of JSON columns down to ``depth`` levels.
+    Columns by their names, and members of JSON columns at any depth, a level a step: each step writes the values
+    that hold more, and the last one finds none. Only strings are looked at, nulls are left out.
     """
     wanted = {f: _WANTED[r] for f, r in rules.items() if r in _WANTED}
-    cells = [
+    nothing = df.select(F.lit("").alias("path"), F.lit("").alias("field"), F.lit("").alias("v")).limit(0)
+    cells = [nothing] + [
         df.select(F.lit(c).alias("path"), F.lit(c).alias("field"), F.col(c).cast("string").alias("v")) for c in df.columns if c in wanted
     ]
+    nested = F.expr("schema_of_variant(v) like 'OBJECT%' or schema_of_variant(v) like 'ARRAY%'")
     for c in json_cols:
-        now = df.select(F.lit(c).alias("path"), F.expr(f"try_parse_json({c})").alias("v"))
-        for _ in range(depth):
-            nested = F.expr("schema_of_variant(v) like 'OBJECT%' or schema_of_variant(v) like 'ARRAY%'")
+        now, made = df.select(F.lit(c).alias("path"), F.expr(f"try_parse_json({c})").alias("v")).filter(nested), []
+        while True:
             members = df.sparkSession.tvf.variant_explode(F.col("_v").outer())
-            now = now.filter(nested).select("path", F.col("v").alias("_v")).lateralJoin(members).select(
+            below = now.select("path", F.col("v").alias("_v")).lateralJoin(members).select(
                 F.concat_ws(".", "path", F.coalesce("key", F.col("pos").cast("string"))).alias("path"), F.coalesce("key", F.lit("")).alias("field"), F.col("value").alias("v")
             )
-            cells.append(now.filter(F.expr("schema_of_variant(v) = 'STRING'")).select("path", "field", F.expr("variant_get(v, '$', 'string')").alias("v")))
+            text = F.when(F.expr("schema_of_variant(v) = 'STRING'"), F.expr("variant_get(v, '$', 'string')"))
+            level = cut(below.filter(nested | F.col("field").isin(*wanted)).select("path", "field", "v", text.alias("s")), "sweep")
+            made.append(level)
+            now = level.filter(nested).select("path", "v")
+            if now.isEmpty():
+                break
+        cells += [x.filter("s is not null").select("path", "field", F.col("s").alias("v")) for x in made]
     out = cells[0]
     for c in cells[1:]:
         out = out.unionByName(c)
-    out = out.filter(F.col("field").isin(*wanted) & (F.coalesce("v", F.lit("")) != "")).withColumn("state", state_of(F.col("v")))
-    return out.filter("state = 'plain'").select("path", "field", _map(wanted)[F.col("field")].alias("expected"), "state")
+    out = out.filter(F.col("field").isin(*wanted) & F.col("v").isNotNull())
+    out = out.withColumns({"state": state_of(F.col("v")), "expected": _map(wanted)[F.col("field")] if wanted else F.lit(None).cast("string")})
+    return out.filter("state <> expected").select("path", "field", "expected", "state")
 
 
 def rekey(df: DataFrame, col: str, old: tuple[str, bytes], new: tuple[str, bytes]) -> tuple[DataFrame, DataFrame]:
@@ -144,7 +156,7 @@ def rekey(df: DataFrame, col: str, old: tuple[str, bytes], new: tuple[str, bytes
     return d.drop("_env", "_plain", "outcome"), counts
 
 
-def scan_patterns(df: DataFrame, id_col: str, text_col: str, patterns: dict[str, str] = PATTERNS) -> DataFrame:
+def scan_patterns(df: DataFrame, id_col: str, text_col: str, patterns: dict[str, str] = PATTERNS | MORE_PATTERNS) -> DataFrame:
     """``(id, kind, n_before, match_hash)`` for each hit; ``n_before`` numbers the hits of a kind."""
     hits = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract_all(text_col, F.lit(p), F.lit(0)).alias("found")) for k, p in patterns.items()])
     d = df.select(F.col(id_col).alias("id"), F.explode(hits).alias("h"))

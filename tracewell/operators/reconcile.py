@@ -58,8 +58,8 @@ def merge_lww(versions: DataFrame) -> DataFrame:
 
 
 def merge_tombstone(versions: DataFrame) -> DataFrame:
-    """Tombstones first, the newer of two; without any as R3."""
-    return _pick(versions, _order("tombstone"))
+    """Tombstones first, the newer of two; without any as R3, which is so already."""
+    return merge_lww(versions)
 
 
 def merge_sightings(versions: DataFrame, rule: dict[str, list[str]] = SIGHTING_RULE) -> DataFrame:

@@ -25,8 +25,8 @@ def _kv_lines(spark, d):
     e = table(spark, d, "events")
     n = F.col("event_id") % 5
     line = (
-        F.when(n == 0, F.concat(F.lit('{"field_type":"domain","value":"Host'), "user_id", F.lit('.Example.COM"}')))
-        .when(n == 1, F.concat(F.lit('["email", "User'), "user_id", F.lit('@Example.com"]')))
+        F.when(n == 0, F.concat(F.lit('{"field_type":" Domain ","value":" Host'), "user_id", F.lit('.Example.COM "}')))
+        .when(n == 1, F.concat(F.lit('["Email", " User'), "user_id", F.lit('@Example.com"]')))
         .when(n == 2, F.concat(F.lit("hash,AB"), "user_id"))
         .when(n == 3, F.concat(F.lit('{"type":"n","value":'), "user_id", F.lit("}")))
         .otherwise(F.concat(F.lit("unusable "), "user_id"))
@@ -61,14 +61,45 @@ def kv_gzip(spark, d):
     return _counted(S.read_kv_gzip(spark, p, "ndjson"))
 
 
-@query("kv_json_scan", _KV.replace("r GROUP", "r WHERE error IS DISTINCT FROM 'not_a_record' AND field_type <> 'hash' GROUP"))
+_JSON = _LINES.replace("WHEN 4 THEN 'not_a_record'", "WHEN 4 THEN 'missing_member'")
+
+
+@query("kv_json_scan", f"WITH {_JSON} SELECT field_type, raw, error, count(*) AS n FROM r GROUP BY ALL")
 def kv_json(spark, d):
+    """Documents of a thousand records each, over several lines, a file a document."""
     p = _folder(spark, "json")
-    some = _kv_lines(spark, d).filter("event_id % 5 in (0, 1, 3)")
-    some.groupBy(F.floor(F.col("event_id") / 1000)).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("line"), ",\n"), F.lit("\n]")).alias("v")).select("v").write.option("lineSep", "\u0001").text(p)
-    # documents of several lines, one to a file part
-    parts = spark.read.option("lineSep", "\u0001").text(p).select(F.explode(F.expr("cast(parse_json(value) as array<variant>)")).alias("v"))
-    return _counted(S.parse_kv_lines(parts.select(F.to_json("v").alias("line"))))
+    line = F.when(F.col("line").rlike(r"^[\[{]"), F.col("line")).otherwise(F.to_json(F.array("line")).substr(F.lit(2), F.length("line") + 2))
+    each = _kv_lines(spark, d).select(F.floor(F.col("event_id") / 1000).alias("g"), line.alias("line"))
+    whole = each.groupBy("g").agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("line"), ",\n"), F.lit("\n]")).alias("v"))
+    whole.write.partitionBy("g").text(p)
+    return _counted(S.read_kv_json(spark, p, multi_line=True))
+
+
+def _mixed(spark, d):
+    """A dump of a thousand events each: lines of JSON, CSV, TSV, and CSV packed by gzip."""
+    import gzip
+
+    e = table(spark, d, "events").withColumn("g", F.floor(F.col("event_id") / 1000))
+    kind = F.col("g") % 4
+    sep = F.when(kind == 2, "\t").otherwise(",")
+    line = F.when(kind == 0, F.to_json(F.struct(F.col("event_type").alias("type"), F.col("user_id").cast("string").alias("v"))))
+    line = line.otherwise(F.concat("event_type", sep, F.lit('"'), "user_id", F.lit('"'), sep, "event_id"))
+    files = e.withColumn("line", line).groupBy("g").agg(F.array_join(F.collect_list("line"), "\n").alias("t"))
+    head = F.when(F.col("g") % 4 == 0, "").otherwise(F.concat(F.lit("kind"), F.when(F.col("g") % 4 == 2, "\t").otherwise(","), F.lit("value\n")))
+    files = files.select(F.concat(F.lit("f"), "g").alias("path"), F.concat(head, "t").cast("binary").alias("content"), (F.col("g") % 4 == 3).alias("pack"))
+
+    def pack(batches):
+        for b in batches:
+            b["content"] = [gzip.compress(c) if p else c for c, p in zip(b["content"], b["pack"])]
+            yield b[["path", "content"]]
+
+    return files.mapInPandas(pack, "path string, content binary")
+
+
+@query("read_dumps", """SELECT CASE (event_id // 1000) % 4 WHEN 0 THEN 'ndjson' WHEN 2 THEN 'tsv' ELSE 'csv' END AS kind, event_type AS field_type, CAST(user_id AS VARCHAR) AS raw,
+CAST(NULL AS VARCHAR) AS error, count(*) AS n FROM events GROUP BY ALL""")
+def read_dumps(spark, d):
+    return S.parse_dumps(_mixed(spark, d)).groupBy("kind", "field_type", "raw", "error").agg(F.count("*").alias("n"))
 
 
 def _delimited(spark, d, sep):
@@ -123,29 +154,40 @@ def stream_scan(spark, d):
     return _counted(spark.read.parquet(out))
 
 
-_FILES = """
-f AS (SELECT 'e' || event_id AS path, props AS t FROM events UNION ALL SELECT 'd' || doc_id, text FROM documents UNION ALL SELECT 'p' || page_id, html FROM pages)
+_FILES = r"""
+f AS (SELECT 'e' || event_id AS path, props AS t FROM events UNION ALL SELECT 'd' || doc_id, text FROM documents UNION ALL SELECT 'p' || page_id, html FROM pages
+UNION ALL SELECT 'x' || event_id, CASE event_id % 8 WHEN 0 THEN 'hello' || chr(10) || user_id || ', then' WHEN 1 THEN '{"a":' || user_id || chr(10) || '{"b":2}' WHEN 2 THEN repeat('é', 9) || user_id % 9
+  WHEN 3 THEN ' ' || chr(10) || '[1]' || chr(10) || 'x,' || user_id WHEN 4 THEN 'a' || chr(9) || user_id || chr(10) || 'b,c' WHEN 5 THEN '["k","v"]' || chr(10) WHEN 6 THEN '["k",' || user_id || ']' || chr(10) || chr(10) || '{}' ELSE 'plain' END FROM events)
 """
-_KIND = r"""CASE WHEN regexp_matches(t, '^\s*[{\[]') THEN 'json' WHEN contains(t, ',') THEN 'csv' WHEN contains(t, chr(9)) THEN 'tsv' ELSE 'text' END"""
+#: The rule in SQL: share of printable ASCII bytes, first character, all lines, then the first line.
+_KIND = r"""CASE WHEN length(regexp_replace(t, '[^\x20-\x7E\t\n\r]', '', 'g')) < 0.7 * octet_length(encode(t)) THEN 'binary'
+WHEN regexp_matches(t, '^\s*[{\[]') THEN CASE WHEN len(string_split(regexp_replace(t, '\r?\n$', ''), chr(10))) > 1
+  AND len(list_filter(string_split(regexp_replace(t, '\r?\n$', ''), chr(10)), lambda x: NOT regexp_matches(x, '^\s*($|[{\[])'))) = 0 THEN 'ndjson' ELSE 'json' END
+WHEN contains(split_part(t, chr(10), 1), ',') THEN 'csv' WHEN contains(split_part(t, chr(10), 1), chr(9)) THEN 'tsv' ELSE 'text' END"""
 
 
 def _files(spark, d):
-    parts = [("events", "e", "event_id", "props"), ("documents", "d", "doc_id", "text"), ("pages", "p", "page_id", "html")]
-    out = None
-    for t, p, i, c in parts:
-        x = table(spark, d, t).select(F.concat(F.lit(p), i).alias("path"), F.col(c).cast("binary").alias("content"))
-        out = x if out is None else out.unionByName(x)
+    u, n = F.col("user_id").cast("string"), F.col("event_id") % 8
+    forms = (
+        F.when(n == 0, F.concat(F.lit("hello\n"), u, F.lit(", then"))).when(n == 1, F.concat(F.lit('{"a":'), u, F.lit('\n{"b":2}')))
+        .when(n == 2, F.concat(F.repeat(F.lit("é"), 9), (F.col("user_id") % 9).cast("string"))).when(n == 3, F.concat(F.lit(" \n[1]\nx,"), u))
+        .when(n == 4, F.concat(F.lit("a\t"), u, F.lit("\nb,c"))).when(n == 5, F.lit('["k","v"]\n')).when(n == 6, F.concat(F.lit('["k",'), u, F.lit("]\n\n{}"))).otherwise("plain")
+    )
+    out = table(spark, d, "events").select(F.concat(F.lit("x"), "event_id").alias("path"), forms.cast("binary").alias("content"))
+    for t, p, i, c in (("events", "e", "event_id", "props"), ("documents", "d", "doc_id", "text"), ("pages", "p", "page_id", "html")):
+        out = out.unionByName(table(spark, d, t).select(F.concat(F.lit(p), i).alias("path"), F.col(c).cast("binary").alias("content")))
     return out
 
 
-@query("classify_dumps", f"WITH {_FILES} SELECT {_KIND} AS kind, count(*) AS n FROM f GROUP BY 1")
+@query("classify_dumps", f"WITH {_FILES} SELECT left(path, 1) AS source, {_KIND} AS kind, count(*) AS n FROM f GROUP BY 1, 2")
 def classify(spark, d):
-    return S.classify_dumps(_files(spark, d)).groupBy("kind").agg(F.count("*").alias("n"))
+    return S.classify_dumps(_files(spark, d)).groupBy(F.left("path", F.lit(1)).alias("source"), "kind").agg(F.count("*").alias("n"))
 
 
-@query("dump_profile", f"WITH {_FILES} SELECT path, {_KIND} AS kind, CAST(octet_length(encode(t)) AS BIGINT) AS bytes, array_to_string(string_split(t, chr(10))[1:8], chr(10)) AS preview, false AS compressed FROM f WHERE path LIKE 'd%'")
+@query("dump_profile", f"""WITH {_FILES}, k AS (SELECT *, {_KIND} AS kind FROM f) SELECT path, kind, CAST(octet_length(encode(t)) AS BIGINT) AS bytes,
+CASE WHEN kind = 'binary' THEN lower(hex(encode(t))) ELSE array_to_string(string_split(t, chr(10))[1:8], chr(10)) END AS preview, false AS compressed FROM k""")
 def profile(spark, d):
-    return S.profile_dumps(_files(spark, d).filter("path like 'd%'"))
+    return S.profile_dumps(_files(spark, d))
 
 
 @query("wide_to_cells", f"WITH {CELLS} SELECT dump_id, row_index, position, col AS \"column\", raw, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM raw_cells")
@@ -153,9 +195,11 @@ def wide_to_cells(spark, d):
     return raw_cells(spark, d).withColumn("ts", stamp("ts"))
 
 
-@query("dump_manifest", f"""WITH {CELLS} SELECT dump_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS received_at, count(DISTINCT row_index) AS n_rows, count(*) AS n_cells FROM raw_cells GROUP BY 1""")
+@query("dump_manifest", f"""WITH {CELLS}, h AS (SELECT dump_id, row_index, sha256(string_agg(col || '=' || raw, '|' ORDER BY col || '=' || raw)) AS h, min(ts) AS ts, count(*) AS n FROM raw_cells GROUP BY 1, 2),
+g AS (SELECT dump_id, min(ts) AS ts, count(*) AS n_rows, CAST(sum(n) AS BIGINT) AS n_cells, {", ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT)) AS BIGINT) AS s{i}" for i in range(8))} FROM h GROUP BY 1)
+SELECT dump_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS received_at, n_rows, n_cells, sha256(concat_ws(':', n_rows, s0, s1, s2, s3, s4, s5, s6, s7)) AS fingerprint FROM g""")
 def manifest(spark, d):
-    return S.dump_manifest(raw_cells(spark, d)).select("dump_id", stamp("received_at").alias("received_at"), "n_rows", "n_cells")
+    return S.dump_manifest(raw_cells(spark, d)).select("dump_id", stamp("received_at").alias("received_at"), "n_rows", "n_cells", "fingerprint")
 
 
 @query("quarantine_split", f"WITH {_LINES} SELECT error, count(*) AS n FROM r WHERE error IS NOT NULL GROUP BY 1")
@@ -210,14 +254,16 @@ def canon_email(spark, d):
     return C.canonicalise_email(x, "e").groupBy("canonical").agg(F.count("*").alias("n"))
 
 
-@query("canon_timestamp", """SELECT event_id, CASE event_id % 6 WHEN 5 THEN NULL WHEN 4 THEN strftime(ts, '%Y-%m-%dT00:00:00Z') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END AS canonical,
-CASE WHEN event_id % 6 = 5 THEN 'invalid_timestamp' END AS error FROM events""")
+@query("canon_timestamp", """SELECT event_id, CASE WHEN event_id % 8 < 6 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END AS canonical,
+CASE WHEN event_id % 8 >= 6 THEN 'invalid_timestamp' END AS error FROM events""")
 def canon_timestamp(spark, d):
-    n, ts = F.col("event_id") % 6, F.col("ts")
+    """All forms that are read; a date alone, and other text, are none."""
+    n, ts = F.col("event_id") % 8, F.col("ts")
     f = lambda p: F.date_format(ts, p)
     x = (
         F.when(n == 0, F.unix_seconds(ts.cast("timestamp")).cast("string")).when(n == 1, f("yyyy-MM-dd HH:mm:ss")).when(n == 2, f("yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
-        .when(n == 3, f("yyyy/MM/dd HH:mm:ss")).when(n == 4, f("yyyy-MM-dd")).otherwise("not a time")
+        .when(n == 3, f("yyyy/MM/dd HH:mm:ss")).when(n == 4, f("yyyy-MM-dd'T'HH:mm:ss")).when(n == 5, F.concat(f("yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00")))
+        .when(n == 6, f("yyyy-MM-dd")).otherwise("not a time")
     )
     return C.canonicalise_timestamp(table(spark, d, "events").select("event_id", x.alias("x")), "x").select("event_id", "canonical", "error")
 
@@ -228,10 +274,12 @@ def canonical_key(spark, d):
     return C.with_canonical_key(x, "t", "c", SALT).select("c_custkey", "canonical_key")
 
 
-@query("sanitise_keys", r"""SELECT c_custkey, regexp_replace(c_name, '[^A-Za-z0-9_]', '', 'g') AS label, regexp_replace(c_name, '[^A-Za-z0-9_]', '_', 'g') || '=' || c_mktsegment AS props FROM customer""")
+@query("sanitise_keys", r"""WITH c AS (SELECT c_custkey, c_mktsegment, CASE c_custkey % 3 WHEN 0 THEN '-' WHEN 1 THEN c_custkey || ' ' || c_name ELSE c_name END AS x FROM customer)
+SELECT c_custkey, coalesce(nullif(regexp_replace(x, '[^A-Za-z0-9_]', '', 'g'), ''), 'FieldValue') AS label, regexp_replace(x, '[^A-Za-z0-9_]', '_', 'g') || '=' || c_mktsegment AS props FROM c""")
 def sanitise(spark, d):
-    x = table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("label"), F.create_map("c_name", "c_mktsegment").alias("props"))
-    x = C.sanitise_names(x, "label", "props")
+    n = F.col("c_custkey") % 3
+    x = table(spark, d, "customer").withColumn("x", F.when(n == 0, "-").when(n == 1, F.concat_ws(" ", "c_custkey", "c_name")).otherwise(F.col("c_name")))
+    x = C.sanitise_names(x.select("c_custkey", F.col("x").alias("label"), F.create_map("x", "c_mktsegment").alias("props")), "label", "props")
     return x.select("c_custkey", "label", F.concat_ws(",", F.transform(F.map_entries("props"), lambda e: F.concat_ws("=", e["key"], e["value"]))).alias("props"))
 
 
@@ -273,7 +321,7 @@ def ingest_report(spark, d):
 
 @query("ingest_counters", """WITH l AS (SELECT event_id % 5 AS n, length(CAST(user_id AS VARCHAR)) AS u FROM events)
 SELECT count(*) AS records, CAST(sum(CAST(n >= 3 AS INT)) AS BIGINT) AS errors,
-CAST(sum(u + CASE n WHEN 0 THEN 50 WHEN 1 THEN 29 WHEN 2 THEN 7 WHEN 3 THEN 21 ELSE 9 END) AS BIGINT) AS bytes FROM l""")
+CAST(sum(u + CASE n WHEN 0 THEN 54 WHEN 1 THEN 30 WHEN 2 THEN 7 WHEN 3 THEN 21 ELSE 9 END) AS BIGINT) AS bytes FROM l""")
 def ingest_counters(spark, d):
     return M.ingest_counters(S.parse_kv_lines(_kv_lines(spark, d)))
 

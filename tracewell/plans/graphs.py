@@ -19,7 +19,7 @@ def field_values(spark, d):
     return G.field_values(cells(spark, d)).select("canonical_key", "value", stamp("created_at").alias("created_at"))
 
 
-@query("fields", "SELECT unnest(['status', 'priority', 'customer']) AS name")
+@query("fields", f"WITH {CELLS} SELECT DISTINCT col AS name FROM cells")
 def fields(spark, d):
     return G.fields(cells(spark, d))
 
@@ -101,11 +101,12 @@ def co_occurs_increment(spark, d):
     return _shown(G.add_counts(old, new, ["a_key", "b_key"]))
 
 
-@query("pair_edges", f"""WITH {CELLS} SELECT 'order' AS pair_type, a.k AS src_key, b.k AS dst_key, count(*) AS n, {_ts('max(a.ts)')} AS last_seen FROM cells a JOIN cells b
+@query("pair_edges", f"""WITH {CELLS} SELECT 'order' AS pair_type, a.k AS src_key, b.k AS dst_key, count(*) AS n, {_ts('max(a.ts)')} AS last_seen,
+array_to_string(list(a.dump_id || ':' || lpad(CAST(a.row_index AS VARCHAR), 12, '0') ORDER BY a.dump_id || ':' || lpad(CAST(a.row_index AS VARCHAR), 12, '0'))[1:5], ',') AS samples FROM cells a JOIN cells b
 ON a.dump_id = b.dump_id AND a.row_index = b.row_index AND a.col = 'customer' AND b.col = 'priority' GROUP BY 2, 3""")
 def pair_edges(spark, d):
     e = G.pair_edges(cells(spark, d), [("order", "customer", "priority")])
-    return e.select("pair_type", "src_key", "dst_key", F.col("count").alias("n"), stamp("last_seen").alias("last_seen"))
+    return e.select("pair_type", "src_key", "dst_key", F.col("count").alias("n"), stamp("last_seen").alias("last_seen"), F.array_join("samples", ",").alias("samples"))
 
 
 @query("heavy_pairs", f"WITH {_PAIRS} SELECT a_key, b_key, n AS \"count\" FROM e ORDER BY n DESC, a_key, b_key LIMIT 10")
@@ -153,16 +154,16 @@ def entities(spark, d):
     return G.entities_by_field(cells(spark, d), "customer").withColumn("confidence", F.round("confidence", 9))
 
 
-@query("components", """WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.09),
+@query("components", """WITH RECURSIVE e AS (SELECT DISTINCT 'o' || l_orderkey AS a, concat_ws(':', 'p' || l_partkey, CAST(l_quantity AS INT), CAST(round(l_discount * 100) AS INT)) AS b FROM lineitem),
 u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS v, a AS c FROM u UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.v)
 SELECT min(c) AS entity_id, v AS canonical_key FROM r GROUP BY v""")
 def components(spark, d):
-    li = table(spark, d, "lineitem").filter("l_quantity >= 50 and l_discount >= 0.09")
-    e = li.select(F.concat(F.lit("s"), "l_suppkey").alias("src_key"), F.concat(F.lit("p"), "l_partkey").alias("dst_key"))
-    return G.connected_entities(e)
+    """Orders that share an offer (part, quantity and discount), over all lines."""
+    offer = F.concat_ws(":", F.concat(F.lit("p"), "l_partkey"), F.col("l_quantity").cast("int"), F.round(F.col("l_discount") * 100).cast("int"))
+    return G.connected_entities(table(spark, d, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("src_key"), offer.alias("dst_key")))
 
 
-@query("sensitive_fields", "SELECT unnest(['status', 'priority', 'customer']) AS name, unnest([false, false, true]) AS sensitive")
+@query("sensitive_fields", f"WITH {CELLS} SELECT DISTINCT col AS name, col = 'customer' AS sensitive FROM cells")
 def sensitive(spark, d):
     return G.flag_sensitive(G.fields(cells(spark, d)), {"customer": "hash", "status": "passthrough"})
 
@@ -287,16 +288,18 @@ def _places(spark, d):
     return _values(spark, d).join(n, F.pmod(octet, F.lit(40)) == F.col("n_nationkey")).select(F.col("canonical").alias("ip_address"), F.col("n_name").alias("country"), F.col("r_name").alias("city"))
 
 
-@query("enrich_geo", f"WITH {_VALUES} SELECT 'geoip_' || canonical AS key, k AS canonical_key, canonical, n_name AS country, r_name AS city FROM o JOIN n ON n_nationkey = a % 40")
+@query("enrich_geo", f"WITH {_VALUES} SELECT 'geoip_' || canonical AS key, k AS canonical_key, canonical, n_name AS country, r_name AS city, 'geoip' AS source, '2024-01-01 00:00:00' AS enriched_at FROM o JOIN n ON n_nationkey = a % 40")
 def geo(spark, d):
-    return E.enrich_geo(_values(spark, d), _places(spark, d))
+    x = E.enrich_geo(_values(spark, d), _places(spark, d), at=F.lit("2024-01-01").cast("timestamp"))
+    return x.withColumn("enriched_at", stamp("enriched_at"))
 
 
-@query("enrich_asn", f"WITH {_VALUES} SELECT 'asn_' || canonical AS key, k AS canonical_key, canonical, CAST(a * 256 + b AS BIGINT) AS asn FROM o WHERE b % 2 = 0")
+@query("enrich_asn", f"WITH {_VALUES} SELECT 'asn_' || canonical AS key, k AS canonical_key, canonical, CAST(a * 256 + b AS BIGINT) AS asn, 'asn' AS source, '2024-01-01 00:00:00' AS enriched_at FROM o WHERE b % 2 = 0")
 def asn(spark, d):
     p = F.split("canonical", "[.]")
     ref = _values(spark, d).filter(p[1].cast("int") % 2 == 0).select(F.col("canonical").alias("ip_address"), (p[0].cast("long") * 256 + p[1].cast("long")).alias("asn"))
-    return E.enrich_asn(_values(spark, d), ref)
+    x = E.enrich_asn(_values(spark, d), ref, at=F.lit("2024-01-01").cast("timestamp"))
+    return x.withColumn("enriched_at", stamp("enriched_at"))
 
 
 @query("enrich_cidr", f"""WITH {_VALUES} SELECT k AS canonical_key, canonical, CASE WHEN b < 128 THEN a || '.0.0.0/9' ELSE (a - a % 16) || '.0.0.0/4' END AS network, CASE WHEN b < 128 THEN 9 ELSE 4 END AS prefix_len FROM o WHERE a < 256""")
@@ -319,10 +322,11 @@ def chain(spark, d):
     return E.enrich_domains(h.select(F.col("domain").alias("canonical")), dns, places)
 
 
-@query("enrich_pending", f"WITH {_VALUES} SELECT k AS canonical_key, canonical FROM o WHERE b % 2 = 1")
+@query("enrich_pending", f"WITH {_VALUES} SELECT k AS canonical_key, canonical FROM o WHERE b % 2 = 1 OR a % 40 NOT IN (SELECT n_nationkey FROM nation)")
 def pending(spark, d):
+    """Values that the geo table of the even second octets hasn't enriched yet, by its own result."""
     v = _values(spark, d)
-    done = v.filter(F.split_part("canonical", F.lit("."), F.lit(2)).cast("int") % 2 == 0).select("canonical_key", F.lit("geo").alias("source"))
+    done = E.enrich_geo(v, _places(spark, d).filter(F.split_part("ip_address", F.lit("."), F.lit(2)).cast("int") % 2 == 0), source="geo")
     return E.pending(v, done, "geo")
 
 

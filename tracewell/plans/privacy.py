@@ -65,13 +65,20 @@ def state(spark, d):
 
 
 @query("pii_sweep", """SELECT 'c_name' AS path, 'c_name' AS field, 'hashed' AS expected, 'plain' AS state, count(*) AS n FROM customer WHERE c_custkey % 3 = 0
-UNION ALL SELECT 'doc.inner.c_name', 'c_name', 'hashed', 'plain', count(*) FROM customer""")
+UNION ALL SELECT 'doc.inner.c_name', 'c_name', 'hashed', 'plain', count(*) FROM customer WHERE c_custkey % 3 = 0
+UNION ALL SELECT 'doc.inner.c_acctbal', 'c_acctbal', 'redacted', 'hashed', count(*) FROM customer
+UNION ALL SELECT 'doc.inner.a.b.0.c.d.c_name', 'c_name', 'hashed', 'plain', count(*) FROM customer WHERE c_custkey % 2 = 0
+UNION ALL SELECT 'doc.inner.seal', 'seal', 'encrypted', 'plain', count(*) FROM customer""")
 def sweep(spark, d):
-    c = table(spark, d, "customer").select(
-        F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).otherwise(F.concat(F.lit("sha256:"), F.sha2("c_name", 256))).alias("c_name"),
-        F.to_json(F.struct(F.struct(F.col("c_name"), F.col("c_nationkey").alias("c_acctbal")).alias("inner"))).alias("doc"),
-    )
-    return P.sweep_plaintext(c, {"c_name": "hash", "c_acctbal": "scrub"}, ("doc",)).groupBy("path", "field", "expected", "state").agg(F.count("*").alias("n"))
+    """Plain text as a column, in JSON and seven levels deep; a hash where redaction is due; an envelope of another algorithm."""
+    hashed = F.concat(F.lit("sha256:"), F.sha2("c_name", 256))
+    deep = F.struct(F.array(F.struct(F.struct(F.struct(F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise(hashed).alias("c_name")).alias("d")).alias("c"))).alias("b"))
+    name = F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).otherwise(hashed)
+    seal = F.to_json(F.struct(*[F.lit("x").alias(c) for c in ("ciphertext", "nonce", "key_id")], F.lit("ROT13").alias("algorithm")))
+    inner = F.struct(name.alias("c_name"), hashed.alias("c_acctbal"), F.lit("[REDACTED]").alias("other"), deep.alias("a"), seal.alias("seal"))
+    c = table(spark, d, "customer").select(name.alias("c_name"), F.to_json(F.struct(inner.alias("inner"))).alias("doc"))
+    rules = {"c_name": "hash", "c_acctbal": "scrub", "other": "scrub", "seal": "encrypt"}
+    return P.sweep_plaintext(c, rules, ("doc",)).groupBy("path", "field", "expected", "state").agg(F.count("*").alias("n"))
 
 
 @query("rekey", "SELECT CASE WHEN c_custkey % 5 = 0 THEN 'successful' ELSE 'skipped' END AS outcome, count(*) AS n FROM customer GROUP BY 1")
@@ -87,14 +94,20 @@ def rekey_values(spark, d):
     return plain.select("c_custkey", "plain")
 
 
-_PHONE, _CARD, _MAIL = P.PATTERNS["phone"], P.PATTERNS["card"], P.PATTERNS["email"]
+_MAIL = P.PATTERNS["email"]
+_TEXTS = """t AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -o_orderkey, 'born ' || strftime(o_orderdate, '%d/%m/%Y') || ' or ' || strftime(o_orderdate, '%Y-%m-%d') || ', no. '
+|| printf('%03d-%02d-%04d', o_custkey % 1000, o_custkey % 100, o_custkey % 10000) || ', call ' || printf('555-%03d-%04d', o_custkey % 1000, o_orderkey % 10000) || '.' FROM orders)"""
+_HITS = " UNION ALL ".join(f"SELECT id, '{k}' AS kind, regexp_extract_all(text, '{p}') AS f FROM t" for k, p in (P.PATTERNS | P.MORE_PATTERNS).items())
 
 
-@query("pii_scan", f"""WITH h AS (SELECT doc_id AS id, 'email' AS kind, regexp_extract_all(text, '{_MAIL}') AS f FROM documents UNION ALL SELECT doc_id, 'card', regexp_extract_all(text, '{_CARD}') FROM documents
-UNION ALL SELECT doc_id, 'phone', regexp_extract_all(text, '{_PHONE}') FROM documents),
-e AS (SELECT id, kind, unnest(f) AS m, unnest(range(len(f)))::INT AS n_before FROM h) SELECT id, kind, n_before, sha256(m) AS match_hash FROM e""")
+@query("pii_scan", f"WITH {_TEXTS}, h AS ({_HITS}), e AS (SELECT id, kind, unnest(f) AS m, unnest(range(len(f)))::INT AS n_before FROM h) SELECT id, kind, n_before, sha256(m) AS match_hash FROM e")
 def scan(spark, d):
-    return P.scan_patterns(table(spark, d, "documents"), "doc_id", "text")
+    """All documents, and a line for each order with the forms that they lack."""
+    number = F.format_string("%03d-%02d-%04d", F.col("o_custkey") % 1000, F.col("o_custkey") % 100, F.col("o_custkey") % 10000)
+    phone = F.format_string("555-%03d-%04d", F.col("o_custkey") % 1000, F.col("o_orderkey") % 10000)
+    born = F.concat(F.lit("born "), F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit(" or "), F.date_format("o_orderdate", "yyyy-MM-dd"))
+    o = table(spark, d, "orders").select((-F.col("o_orderkey")).alias("doc_id"), F.concat(born, F.lit(", no. "), number, F.lit(", call "), phone, F.lit(".")).alias("text"))
+    return P.scan_patterns(table(spark, d, "documents").select("doc_id", "text").unionByName(o), "doc_id", "text")
 
 
 @query("key_inventory", """WITH n AS (SELECT CASE WHEN c_custkey % 5 > 0 THEN 'k1' ELSE 'k0' END AS key_id, count(*) AS n FROM customer GROUP BY 1)
@@ -138,7 +151,8 @@ def by_actor(spark, d):
     return x.select("actor", "field", "n", f("first"), f("last"))
 
 
-@query("policy_on_cells", None)
+@query("policy_on_cells", """SELECT 'customer' AS "column", 'encrypted' AS state, count(o_custkey) AS n FROM orders UNION ALL SELECT 'status', 'redacted', count(o_orderstatus) FROM orders
+UNION ALL SELECT 'priority', 'plain', count(o_orderpriority) FROM orders""")
 def policy_on_cells(spark, d):
     """The policy over all cells, with an encrypt arm: only the state of each field is stable."""
     c = P.apply_policy(cells(spark, d), "column", "raw", {"customer": "encrypt", "status": "scrub"}, key=KEY)

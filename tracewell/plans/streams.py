@@ -13,27 +13,28 @@ from tracewell.scratch import shared_dir
 from tracewell.streaming import streams as T
 
 
-def _stream(spark, df, name: str, files: int = 4):
-    """``df`` written as files in order of their sequence, read as a stream of two files a batch."""
+def _stream(spark, df, name: str):
+    """``df`` written as files, more of them the more rows it has, read as a stream of at least three batches."""
     base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    files = max(6, df.count() // 200_000)
     df.repartition(files).write.parquet(f"{base}/in")
-    s = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
-    return s, base
+    return T.read_jobs(spark, f"{base}/in", df.schema, -(-files // 3)), base
 
 
 @query("stream_upsert", ORACLE["upsert_props"])
 def upsert(spark, d):
-    s, base = _stream(spark, _jobs(spark, d).coalesce(1), "upsert", 1)
+    # rows are dealt to files at random, so most batches hold older jobs than the table
+    s, base = _stream(spark, _jobs(spark, d), "upsert")
     T.stream_upsert(s, f"{base}/t", f"{base}/c").awaitTermination()
-    return _flat(T.latest(spark, f"{base}/t", T.EMPTY_NODES))
+    return _flat(T.latest(spark, f"{base}/t", T.NODES))
 
 
 @query("stream_rejects", "SELECT event_type = 'error' AS rejected, count(DISTINCT CASE WHEN event_type = 'error' THEN event_id ELSE user_id END) AS n FROM events GROUP BY 1")
 def rejects(spark, d):
     jobs = _jobs(spark, d).withColumn("key", F.when(F.exists(F.map_values("props"), lambda v: v.isNotNull()), F.col("key")))
-    s, base = _stream(spark, jobs, "rejects", 3)
+    s, base = _stream(spark, jobs, "rejects")
     T.stream_with_rejects(s, f"{base}/t", f"{base}/r", f"{base}/c").awaitTermination()
-    good = T.latest(spark, f"{base}/t", T.EMPTY_NODES).select(F.lit(False).alias("rejected"))
+    good = T.latest(spark, f"{base}/t", T.NODES).select(F.lit(False).alias("rejected"))
     bad = spark.read.parquet(f"{base}/r").select(F.lit(True).alias("rejected"))
     return good.unionByName(bad).groupBy("rejected").agg(F.count("*").alias("n"))
 
@@ -55,10 +56,9 @@ def dedup_within(spark, d):
 
 @query("stream_pairs", "SELECT 'event_type:' || event_type AS a_key, 'user_id:' || user_id AS b_key, count(*) AS n FROM events GROUP BY 1, 2")
 def pairs(spark, d):
-    s, _ = _stream(spark, table(spark, d, "events").select("user_id", "event_type"), "pairs")
-    name = f"pairs_{uuid.uuid4().hex}"
-    T.stream_pair_counts(s, ["user_id", "event_type"], name).awaitTermination()
-    return spark.table(name).select("a_key", "b_key", F.col("count").alias("n"))
+    s, base = _stream(spark, table(spark, d, "events").select("user_id", "event_type"), "pairs")
+    T.stream_pair_counts(s, ["user_id", "event_type"], f"{base}/t", f"{base}/c").awaitTermination()
+    return T.latest(spark, f"{base}/t", T.PAIRS).select("a_key", "b_key", F.col("count").alias("n"))
 
 
 @query("stream_merge", ORACLE["merge_rules"])
@@ -66,8 +66,7 @@ def merge(spark, d):
     v = versions(spark, d)
     s, base = _stream(spark, v, "merge")
     T.stream_merge(s, _RULES, f"{base}/t", f"{base}/c").awaitTermination()
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in v.schema)
-    return _plain(T.latest(spark, f"{base}/t", schema))
+    return _plain(T.latest(spark, f"{base}/t", v.schema))
 
 
 @query("stream_enrich", ORACLE["blocklist"])

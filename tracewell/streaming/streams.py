@@ -1,38 +1,79 @@
 """Streams over the same operators (T1-T6). Each starts a query and returns it.
 
-Tables are Parquet below ``table``. A version of the table is a folder ``v=<batch>``, written whole
-by its batch: a batch that runs again writes the same folder again, so retries change nothing.
+A table is Parquet below ``table``, in buckets by a hash of its key. A batch writes the buckets that it touches,
+whole, to a folder ``v=<batch>``, and leaves all others where they are; so a batch costs the buckets it touches, and
+a batch that runs again writes the same folder again: retries change nothing. Of each bucket the newest version and the
+one that a retry would need are kept, older ones are deleted.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tracewell.operators.enrich import enrich_asn, enrich_geo, flag_blocklist
-from tracewell.operators.graph import new_only, upsert_props
+from tracewell.operators.graph import add_counts, new_only, upsert_versions
 from tracewell.operators.reconcile import merge, split_mergeable
 
-EMPTY_NODES = "label string, key string, props map<string,string>"
+NODES = "label string, key string, props map<string,string>, seqs map<string,bigint>"
+PAIRS = "a_key string, b_key string, count bigint, last_seen timestamp"
+BUCKETS = 64
+
+
+def _listed(spark: SparkSession, path: str) -> tuple:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, [s.getPath() for s in fs.listStatus(where)] if fs.exists(where) else []
+
+
+def _versions(spark: SparkSession, table: str, before: int | None = None) -> dict[int, list[tuple[int, str]]]:
+    """For each bucket the batches that wrote it, with its folder, the oldest first; only finished batches count."""
+    fs, batches = _listed(spark, table)
+    out: dict[int, list[tuple[int, str]]] = {}
+    for path in batches:
+        name = path.getName()
+        if name.startswith("v=") and fs.exists(path.suffix("/_SUCCESS")) and (before is None or int(name[2:]) < before):
+            for part in _listed(spark, str(path))[1]:
+                if part.getName().startswith("b="):
+                    out.setdefault(int(part.getName()[2:]), []).append((int(name[2:]), str(part)))
+    return {b: sorted(v) for b, v in out.items()}
+
+
+def _read(spark: SparkSession, paths: list[str], schema) -> DataFrame:
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def latest(spark: SparkSession, table: str, schema, before: int | None = None, buckets: set[int] | None = None) -> DataFrame:
+    """The newest version of a table, or the newest before a batch, or some of its buckets; empty if there is none."""
+    found = _versions(spark, table, before)
+    return _read(spark, [v[-1][1] for b, v in found.items() if buckets is None or b in buckets], schema)
+
+
+def _bucket(keys: list[str]):
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
 
 
-def _versions(spark: SparkSession, table: str) -> list[int]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(table)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    done = [str(s.getPath().getName()) for s in fs.listStatus(path) if fs.exists(s.getPath().suffix("/_SUCCESS"))]
-    return sorted(int(n[2:]) for n in done if n.startswith("v="))
+def _write(batch_id: int, df: DataFrame, table: str, keys: list[str]) -> None:
+    out = df.withColumn("b", _bucket(keys)).repartition(BUCKETS, "b")
+    out.write.mode("overwrite").partitionBy("b").parquet(f"{table}/v={batch_id}")
 
 
-def latest(spark: SparkSession, table: str, schema: str, before: int | None = None) -> DataFrame:
-    """The newest version of a table, or the newest before a batch; empty if there is none."""
-    found = [v for v in _versions(spark, table) if before is None or v < before]
-    return spark.read.schema(schema).parquet(f"{table}/v={found[-1]}") if found else spark.createDataFrame([], schema)
+def _drop_old(spark: SparkSession, table: str, batch_id: int) -> None:
+    """Delete what no reader of the newest version and no retry of this batch needs."""
+    fs, _ = _listed(spark, table)
+    for found in _versions(spark, table, batch_id).values():
+        for _, path in found[:-1]:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
 
 
-def _replace(batch_id: int, df: DataFrame, table: str) -> None:
-    df.write.mode("overwrite").parquet(f"{table}/v={batch_id}")
+def _merge_into(batch: DataFrame, batch_id: int, table: str, schema, keys: list[str], f: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    """The touched buckets of a table, replaced by ``f(stored, batch)``."""
+    spark = batch.sparkSession
+    touched = {r[0] for r in batch.select(_bucket(keys)).distinct().collect()}  # BUCKETS at most
+    _write(batch_id, f(latest(spark, table, schema, batch_id, touched), batch), table, keys)
+    _drop_old(spark, table, batch_id)
 
 
 def _start(stream: DataFrame, checkpoint: str, each, interval: str | None):
@@ -40,12 +81,17 @@ def _start(stream: DataFrame, checkpoint: str, each, interval: str | None):
     return (w.trigger(processingTime=interval) if interval else w.trigger(availableNow=True)).start()
 
 
+def read_jobs(spark: SparkSession, path: str, schema, max_files: int | None = None) -> DataFrame:
+    """The stream of a folder of Parquet files, ``max_files`` a batch at most: T1's limit by size, as its interval is by time."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(path)
+
+
 def stream_upsert(stream: DataFrame, table: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
-    """``(label, key, props, seq)`` jobs merged into a node table, a batch at a time."""
+    """``(label, key, props, seq)`` jobs merged into a node table, a batch at a time; a later sequence wins in whatever batch it comes."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        base = latest(batch.sparkSession, table, EMPTY_NODES, batch_id)
-        _replace(batch_id, upsert_props(base, batch), table)
+        _merge_into(batch, batch_id, table, NODES, ["label", "key"], upsert_versions)
 
     return _start(stream, checkpoint, each, interval)
 
@@ -55,8 +101,8 @@ def stream_with_rejects(stream: DataFrame, table: str, rejects: str, checkpoint:
 
     def each(batch: DataFrame, batch_id: int) -> None:
         ok = F.col("label").isNotNull() & F.col("key").isNotNull() & F.col("seq").isNotNull()
-        _replace(batch_id, batch.filter(~ok), rejects)
-        _replace(batch_id, upsert_props(latest(batch.sparkSession, table, EMPTY_NODES, batch_id), batch.filter(ok)), table)
+        batch.filter(~ok).write.mode("overwrite").parquet(f"{rejects}/v={batch_id}")
+        _merge_into(batch.filter(ok), batch_id, table, NODES, ["label", "key"], upsert_versions)
 
     return _start(stream, checkpoint, each, interval)
 
@@ -64,7 +110,10 @@ def stream_with_rejects(stream: DataFrame, table: str, rejects: str, checkpoint:
 def stream_new_only(
     stream: DataFrame, table: str, checkpoint: str, keys: list[str], within: str | None = None, time_col: str = "ts", interval: str | None = None
 ) -> StreamingQuery:
-    """Rows whose provenance is new. With ``within`` by bounded state; without it by the stored table, exactly."""
+    """Rows whose provenance is new. With ``within`` by bounded state; without it by the stored table, exactly.
+
+    Exactly means a join with the keys that are stored in the buckets of the batch; versions only add rows here.
+    """
     if within:
         d = stream.withWatermark(time_col, within).dropDuplicatesWithinWatermark(keys)
         w = d.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).outputMode("append")
@@ -73,23 +122,27 @@ def stream_new_only(
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        old = [v for v in _versions(spark, table) if v < batch_id]
-        stored = spark.read.schema(schema).parquet(*[f"{table}/v={v}" for v in old]) if old else spark.createDataFrame([], schema)
-        _replace(batch_id, new_only(batch, stored, keys), table)
+        touched = {r[0] for r in batch.select(_bucket(keys)).distinct().collect()}  # BUCKETS at most
+        stored = [p for b, v in _versions(spark, table, batch_id).items() if b in touched for _, p in v]
+        _write(batch_id, new_only(batch, _read(spark, stored, schema), keys), table, keys)
 
     return _start(stream, checkpoint, each, interval)
 
 
-def stream_pair_counts(stream: DataFrame, columns: list[str], name: str, checkpoint: str | None = None, interval: str | None = None) -> StreamingQuery:
-    """T4: running counts of value pairs inside a row, in the in-memory table ``name``."""
+def stream_pair_counts(
+    stream: DataFrame, columns: list[str], table: str, checkpoint: str, time_col: str | None = None, interval: str | None = None
+) -> StreamingQuery:
+    """T4: running counts of value pairs inside a row, in ``table`` as ``(a_key, b_key, count, last_seen)``."""
     cells = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.concat_ws(":", F.lit(c), F.col(c).cast("string"))) for c in columns]))
-    d = stream.withColumn("c", F.array_sort(F.array_distinct(cells)))
     pairs = F.flatten(F.transform("c", lambda x: F.transform(F.filter("c", lambda y: x < y), lambda y: F.struct(x.alias("a_key"), y.alias("b_key")))))
-    d = d.select(F.explode(pairs).alias("p")).groupBy("p.a_key", "p.b_key").agg(F.count("*").alias("count"))
-    w = d.writeStream.format("memory").queryName(name).outputMode("complete")
-    if checkpoint:
-        w = w.option("checkpointLocation", checkpoint)
-    return (w.trigger(processingTime=interval) if interval else w.trigger(availableNow=True)).start()
+    seen = (F.col(time_col) if time_col else F.lit(None)).cast("timestamp")
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        d = batch.withColumn("c", F.array_sort(F.array_distinct(cells))).select(F.explode(pairs).alias("p"), seen.alias("t"))
+        d = d.groupBy("p.a_key", "p.b_key").agg(F.count("*").alias("count"), F.max("t").alias("last_seen"))
+        _merge_into(d, batch_id, table, PAIRS, ["a_key", "b_key"], lambda old, new: add_counts(old, new, ["a_key", "b_key"]))
+
+    return _start(stream, checkpoint, each, interval)
 
 
 def stream_merge(stream: DataFrame, rules: dict[str, str], table: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
@@ -97,10 +150,8 @@ def stream_merge(stream: DataFrame, rules: dict[str, str], table: str, checkpoin
     schema = stream.schema
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        old = [v for v in _versions(spark, table) if v < batch_id]
-        base = spark.read.schema(schema).parquet(f"{table}/v={old[-1]}") if old else spark.createDataFrame([], schema)
-        _replace(batch_id, merge(base.unionByName(split_mergeable(batch)[0]), rules), table)
+        good = split_mergeable(batch)[0]
+        _merge_into(good, batch_id, table, schema, ["entity_type", "key"], lambda old, new: merge(old.unionByName(new), rules))
 
     return _start(stream, checkpoint, each, interval)
 
@@ -108,4 +159,5 @@ def stream_merge(stream: DataFrame, rules: dict[str, str], table: str, checkpoin
 def stream_enrich(stream: DataFrame, reference: DataFrame, kind: str, table: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
     """Values enriched from a static table: ``geo``, ``asn`` or ``blocklist``."""
     f = {"geo": enrich_geo, "asn": enrich_asn, "blocklist": flag_blocklist}[kind]
-    return _start(stream, checkpoint, lambda batch, batch_id: _replace(batch_id, f(batch, reference), table), interval)
+    write = lambda batch, batch_id: f(batch, reference).write.mode("overwrite").parquet(f"{table}/v={batch_id}")
+    return _start(stream, checkpoint, write, interval)
