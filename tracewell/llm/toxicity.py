@@ -10,7 +10,7 @@ dictionary gets follows from the number of such strings.
 A window of a text is compressed with the ordinary dictionary, and with the toxic one set after it; the bytes
 saved are its gain. A text's mean gain, its largest, and how many of its windows reach two calibrated
 thresholds go into a logistic curve, which gives the score. Gains for the calibration come from
-dictionaries that have not seen the document: the sample is dealt into ``FOLDS`` folds for that.
+toxic dictionaries that have not seen the document: the sample is dealt into ``FOLDS`` folds for that.
 
 The fit uses a bounded sample of labelled rows: at most ``most_toxic`` and
 ``most_ordinary`` documents, chosen by a hash of their ids, and of each a stretch of at
@@ -115,14 +115,13 @@ def _stretches(text: bytes, strings: np.ndarray) -> bytes:
     return b" ".join([b"", *(text[a:b] for a, b in zip(starts[found], ends[found])), b""])
 
 
-def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
-    """The ordinary and the toxic dictionary."""
+def toxic_dictionary(toxic: list[str], ordinary: list[str]) -> bytes:
     low = [[t.lower().encode("utf-8", "surrogatepass") for t in x] for x in (toxic, ordinary)]
+    if not all(low):
+        return b""
     strings = leaning(*low)
     samples = [x for x in (_stretches(t, strings) for t in low[0]) if len(x) > PIECE] if len(strings) else []
-    size = min(MOST_BYTES, max(LEAST_BYTES, BYTES_A_PIECE * len(strings)))
-    plain = _trained([w for t in ordinary for w in windows(t)], ORDINARY_BYTES, HEADER)
-    return plain, _trained(samples, size, 200, d=8, k=32)
+    return _trained(samples, min(MOST_BYTES, max(LEAST_BYTES, BYTES_A_PIECE * len(strings))), 200, d=8, k=32)
 
 
 def _logistic(a: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> np.ndarray:
@@ -144,18 +143,18 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
         odds = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
         n = len(THRESHOLDS) + 3
         return Model(b"", b"", (0.0,) * n, (1.0,) * n, (0.0,) * n + (odds,))
+    ordinary = _trained([w for t in good for w in windows(t)], ORDINARY_BYTES, HEADER)
     y = np.array(toxic, float)
     fold = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) % FOLDS for t in texts])  # copies fall into one fold
     a = np.zeros((len(texts), len(THRESHOLDS) + 3))
     for f in range(FOLDS):
         rest = [(t, z) for t, z, g in zip(texts, toxic, fold) if g != f]
-        seen = [[t for t, z in rest if z], [t for t, z in rest if not z]]
-        pair = _pair(*dictionaries(*seen)) if all(seen) else _pair(b"", b"")
+        pair = _pair(ordinary, toxic_dictionary([t for t, z in rest if z], [t for t, z in rest if not z]))
         for k in np.flatnonzero(fold == f):
             a[k] = features(texts[k], pair)
     mean, spread = a.mean(0), a.std(0) + 1e-9
     weights = _logistic((a - mean) / spread, y)
-    return Model(*dictionaries(bad, good), tuple(mean), tuple(spread), tuple(weights))
+    return Model(ordinary, toxic_dictionary(bad, good), tuple(mean), tuple(spread), tuple(weights))
 
 
 def score(text: str | None, model: Model, pair) -> float:
