@@ -89,6 +89,35 @@ def test_lines(spark):
     assert L.drop_recurring_lines(df).columns == df.columns and L.drop_recurring_lines(df.limit(0)).count() == 0
 
 
+def test_a_stray_line_hides_no_template(spark):
+    """Variants that each differ in another part, and one line of the same leaf that has nothing in common with them."""
+    line = lambda words: " ".join(["one", "two", "three", *words])
+    base = [f"w{c}" for c in "abcdefghijklmnopqrst"]
+    variants = [line(w if i != at else "other" for i, w in enumerate(base)) for at in (1, 7, 12, 18, 99)]
+    stray = line(f"z{c}" for c in "abcdefghijklmnopqrst")
+    df = docs(spark, *[(i, t, "s") for i, t in enumerate(variants + [stray])])
+    out = {r["doc_id"]: r["text"] for r in L.drop_recurring_lines(df).collect()}
+    assert [out[i] for i in range(6)] == [variants[0], "", "", "", "", stray]
+
+
+CLASH = ["row", "id", "own", "its", "goes", "n_lines", "n_dropped", "its_id", "its_row", "taken", "kept", "_row", "_id", "_kept", "_goes", "_t", "h", "text_", "block"]
+
+
+def test_stages_keep_clashing_columns(spark):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    plain = spark.read.parquet(f"{d}/documents.parquet").limit(60)
+    rows = plain.collect()
+    plain = spark.createDataFrame(rows + rows[:2] + [(None, rows[5]["text"], "en", "src1", 5), (9001, None, None, None, None), (9002, "", "en", None, 0)], plain.schema)
+    wide = plain.select("*", *[F.lit(i).alias(c) for i, c in enumerate(CLASH)])
+    for name, stage in corpus_pipeline.STAGES:
+        a, b = stage(spark, plain, d), stage(spark, wide, d)
+        assert b.columns[: len(wide.columns)] == wide.columns, name
+        assert sorted(map(str, a.select(*plain.columns).collect())) == sorted(map(str, b.select(*plain.columns).collect())), name
+        assert b.select(*CLASH).distinct().collect() == [tuple(range(len(CLASH)))], name
+
+
 def test_chat_edges(spark):
     rows = [(1, 0, "u", "a"), (2, 0, "u", "a"), (2, 1, "s", "b"), (3, 0, "u", "a"), (3, 1, "s", "b"), (4, 0, "u", None), (5, 0, "u", ""), (None, 0, None, "q"), (6, 3, "u", "a"), (6, 5, "s", "c")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")

@@ -3,24 +3,25 @@
 Numbers in a line are fields, so digits are masked first. The tree has a fixed depth:
 the number of words, then the first ``LEAD`` words; a line of fewer than
 ``LEAST_WORDS`` words is a leaf by itself. The words after the lead are cut into four
-parts, and a part in which the lines of a leaf differ is a variable field too: if at
-least half of the parts are the same in all lines of a leaf, the leaf is one template.
-Otherwise each masked line of it is a template of its own.
+parts, any two of which may be variable fields: lines of a leaf that agree in two parts are of one
+template, whatever else lies in the leaf. So a line is of six templates, one for each two of
+its parts, besides the one that it is by itself.
 
 A template that occurs in ``min_docs`` documents or more recurs (``min_long`` for
-lines of ``LONG_WORDS`` words or more); lines of fewer than ``SHORT_WORDS`` words recur
-by chance and stay. Its lines are dropped, but for the first in
+lines of ``LONG_WORDS`` words or more, which don't recur by chance); lines of fewer than ``SHORT_WORDS`` words
+do, and stay. Lines of a recurring template are dropped, but for the first in
 the document with the smallest id, so that no content is lost altogether.
 
 DataFrame functions only. What is shuffled are hashes of lines, pre-aggregated, and in
-the end the texts once, to meet the positions that their document loses.
+the end the texts once, to meet the positions that their document loses. Tables of recurring lines and
+templates are written before they are joined, so Spark can split what a common one brings together.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tracewell.llm.rows import row_hash
+from tracewell.llm.rows import free, row_hash
 from tracewell.scratch import cut, drop
 
 LEAD, LEAST_WORDS, PARTS, LONG_WORDS, SHORT_WORDS = 3, 8, 4, 20, 3
@@ -62,16 +63,18 @@ def recurring(docs: DataFrame, min_docs: int, min_long: int) -> DataFrame:
         ),
         "lt-lines",
     )
-    fixed = sum((F.when(F.min(p) == F.max(p), 1).otherwise(0) for p in parts), F.lit(0))
-    leaves = lines.groupBy("leaf").agg(
-        F.sum("docs").alias("all"), F.count("*").alias("kinds"), F.min("first").alias("leaf_first"), F.first("n").alias("n"), fixed.alias("fixed")
+    twos = F.array(*[F.xxhash64("leaf", F.lit(PARTS * i + j), *(parts[x] for x in (i, j))) for i in range(PARTS) for j in range(i + 1, PARTS)])
+    each = lines.filter(F.col("n") >= LEAST_WORDS).select("h", "n", "docs", "first", F.explode(twos).alias("template"))
+    templates = each.groupBy("template").agg(
+        F.sum("docs").alias("all"), F.count("*").alias("kinds"), F.min("first").alias("their_first"), F.first("n").alias("n")
     )
-    leaves = leaves.filter((F.col("kinds") > 1) & (F.col("fixed") * 2 >= PARTS) & _recurs(F.col("all"), F.col("n"), min_docs, min_long))
-    grouped = lines.select("leaf", "h").join(leaves.select("leaf", "leaf_first"), "leaf").select("h", F.col("leaf_first").alias("first"))
-    alone = lines.filter(_recurs(F.col("docs"), F.col("n"), min_docs, min_long)).select("leaf", "h", "first")
-    alone = alone.join(leaves.select("leaf"), "leaf", "left_anti").select("h", "first")
-    out = cut(grouped.unionByName(alone), "lt-recurring")
-    drop(lines)
+    templates = templates.filter((F.col("kinds") > 1) & _recurs(F.col("all"), F.col("n"), min_docs, min_long)).select("template", "their_first")
+    templates = cut(templates, "lt-templates")
+    grouped = each.select("template", "h").join(templates, "template").select("h", F.col("their_first").alias("first"))
+    alone = lines.filter(_recurs(F.col("docs"), F.col("n"), min_docs, min_long)).select("h", "first")
+    out = cut(grouped.unionByName(alone).groupBy("h").agg(F.min("first").alias("first")), "lt-recurring")
+    for table in (lines, templates):
+        drop(table)
     return out
 
 
@@ -81,46 +84,50 @@ def drop_recurring_lines(
     """``docs`` with its recurring lines dropped; same columns and rows.
 
     ``chars_col`` is set to the new length where there is such a column. Blank lines stay. Null
-    texts stay null. Documents are rows; rows with the same id keep the first lines of a
-    template alike. A null id comes after all others.
+    texts stay null, empty ones empty. Documents are rows; rows with the same id keep the first lines of a
+    template alike, and rows that repeat lose the same lines. A null id comes after all others. Lines and
+    texts may have any length, extra columns any names; an empty table gives no rows.
     """
-    return _without(docs, id_col, text_col, chars_col, min_docs, min_long).drop("_n_lines", "_n_dropped")
+    return _without(docs, id_col, text_col, chars_col, min_docs, min_long)[0]
 
 
-def _without(docs, id_col, text_col, chars_col, min_docs, min_long) -> DataFrame:
+def _without(docs, id_col, text_col, chars_col, min_docs, min_long) -> tuple[DataFrame, DataFrame, tuple[str, str]]:
+    """``docs`` without its recurring lines; the same with the numbers of lines that a text had and has lost, and their names."""
+    own, its, goes, n_lines, n_dropped = free(docs, "own", "its", "goes", "n_lines", "n_dropped")
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_hash(id_col, text_col).alias("row"))
     found = recurring(src, min_docs, min_long)
     lines = _masked(F.col("text"))
-    own = src.select("id", "row", F.posexplode(lines).alias("pos", "line"))
-    own = own.filter(F.trim("line") != "").select("id", "row", "pos", F.xxhash64("line").alias("h"))
-    hits = own.join(found, "h").withColumn("opens", F.col("id").eqNullSafe(F.col("first"))).repartition("row")
+    each = src.select("id", "row", F.posexplode(lines).alias("pos", "line"))
+    each = each.filter(F.trim("line") != "").select("id", "row", "pos", F.xxhash64("line").alias("h"))
+    hits = each.join(found, "h").withColumn("opens", F.col("id").eqNullSafe(F.col("first"))).repartition("row")
     # bounded by the lines of a document
     hits = hits.groupBy("row", "h", "opens").agg(F.collect_set("pos").alias("at"))
     hits = hits.withColumn("at", F.when(F.col("opens"), F.filter("at", lambda x: x != F.array_min("at"))).otherwise(F.col("at")))
-    goes = hits.filter(F.size("at") > 0).groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("_goes"))
-    kept = F.array_join(
-        F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("_goes", i)), "\n"
-    )
-    out = docs.withColumn("_row", row_hash(id_col, text_col)).join(goes.withColumnRenamed("row", "_row"), "_row", "left")
-    new = F.when(F.col("_goes").isNull(), F.col(text_col)).otherwise(kept)
-    n_lines = F.coalesce(F.size(F.split(F.col(text_col), "\n")), F.lit(0)).cast("long")
-    out = out.withColumn("_n_lines", n_lines).withColumn("_n_dropped", F.coalesce(F.size("_goes"), F.lit(0)).cast("long"))
-    out = out.withColumn(text_col, new)
+    lost = hits.filter(F.size("at") > 0).groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias(goes))
+    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(goes, i)), "\n")
+    out = docs.withColumn(own, row_hash(id_col, text_col)).join(lost.withColumnRenamed("row", its), F.col(own) == F.col(its), "left")
+    new = F.when(F.col(goes).isNull(), F.col(text_col)).otherwise(kept)
+    counted = F.coalesce(F.size(F.split(F.col(text_col), "\n")), F.lit(0)).cast("long")
+    out = out.withColumns({n_lines: counted, n_dropped: F.coalesce(F.size(goes), F.lit(0)).cast("long")}).withColumn(text_col, new)
     if chars_col in docs.columns:
         out = out.withColumn(chars_col, F.coalesce(F.length(text_col), F.lit(0)).cast(docs.schema[chars_col].dataType))
-    return out.select(*docs.columns, "_n_lines", "_n_dropped")
+    return out.drop(own, its, goes, n_lines, n_dropped), out, (n_lines, n_dropped)
 
 
 def line_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document without its recurring lines."""
+    """Pipeline stage: every document without its recurring lines.
+
+    All rows stay: null texts null, texts that lose all their lines empty. Rows that repeat are treated alike, a null id
+    comes after all others. Columns stay as they are, whatever their names; an empty table gives no rows.
+    """
     return drop_recurring_lines(docs)
 
 
 def op5_line_templates(spark, sf_dir):
     """Every document's text without its recurring lines."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = _without(docs, "doc_id", "text", "n_chars", 3, 2)
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), "text")
+    _, out, counts = _without(docs, "doc_id", "text", "n_chars", 3, 2)
+    return out.select("doc_id", *counts, "text")
 
 
 def _part(i: int) -> str:
@@ -135,11 +142,10 @@ g AS (SELECT *, len(w) AS n FROM t WHERE len(w) >= 3),
 k AS (SELECT line, n, CASE WHEN n >= 8 THEN CAST(n AS VARCHAR) || ' ' || array_to_string(w[1:3], ' ') ELSE 'own ' || line END AS leaf,
         {", ".join(f"CASE WHEN n >= 8 THEN {_part(i)} ELSE '' END AS p{i}" for i in range(4))}, count(*) AS docs, min(doc_id) AS first
       FROM g GROUP BY ALL),
-f AS (SELECT leaf, min(first) AS leaf_first FROM k GROUP BY leaf
-      HAVING count(*) > 1 AND {" + ".join(f"CAST(min(p{i}) = max(p{i}) AS INT)" for i in range(4))} >= 2
-      AND sum(docs) >= CASE WHEN any_value(n) >= 20 THEN 2 ELSE 3 END),
-r AS (SELECT k.line, coalesce(f.leaf_first, k.first) AS first FROM k LEFT JOIN f USING (leaf)
-      WHERE f.leaf IS NOT NULL OR k.docs >= CASE WHEN k.n >= 20 THEN 2 ELSE 3 END),
+q AS (SELECT line, n, docs, first, unnest([{", ".join(f"[leaf, '{i}{j}', p{i}, p{j}]" for i in range(4) for j in range(i + 1, 4))}]) AS tpl FROM k WHERE n >= 8),
+f AS (SELECT tpl, min(first) AS their_first FROM q GROUP BY tpl HAVING count(*) > 1 AND sum(docs) >= CASE WHEN any_value(n) >= 20 THEN 2 ELSE 3 END),
+r AS (SELECT line, min(first) AS first FROM (SELECT line, their_first AS first FROM q JOIN f USING (tpl)
+      UNION ALL SELECT line, first FROM k WHERE docs >= CASE WHEN n >= 20 THEN 2 ELSE 3 END) GROUP BY line),
 o AS (SELECT l.*, pos = min(pos) OVER (PARTITION BY doc_id, line) AS opens FROM l),
 x AS (SELECT doc_id, list(pos) AS goes FROM o JOIN r USING (line) WHERE NOT (o.doc_id = r.first AND opens) GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(len(raw), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(goes), 0) AS BIGINT) AS n_dropped,
