@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tracewell.llm import words
+from tracewell.llm.rows import keep_rows, row_hash
 from tracewell.operators.components import connected_components
 from tracewell.scratch import cut, drop
 
@@ -91,11 +92,11 @@ def _describe(k: int, id_type: str):
                 key.append(_set_key(h) if len(h) else None)
                 sketch.append(_sketch(h) if len(h) else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(size, pa.int64()), pa.array(key, pa.int64()), pa.array(sketch, pa.binary())],
-                ["id", "n", "key", "sketch"],
+                [b.column(0), b.column(2), pa.array(size, pa.int64()), pa.array(key, pa.int64()), pa.array(sketch, pa.binary())],
+                ["id", "row", "n", "key", "sketch"],
             )
 
-    return run, f"id {id_type}, n long, key long, sketch binary"
+    return run, f"id {id_type}, row long, n long, key long, sketch binary"
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -270,7 +271,7 @@ def near_duplicates(
     cluster_limit: int = 2048,
     max_depth: int = 12,
 ) -> DataFrame:
-    """``(id, n_shingles, component_id, kept)`` for every row of ``docs``.
+    """``(id, row, n_shingles, component_id, kept)`` for every row of ``docs``; ``row`` is :func:`rows.row_hash`.
 
     Words are lower-cased (A-Z only). Two documents are linked if
     ``whole * intersection >= part * union`` of their ``shingle``-word sets; a text
@@ -282,7 +283,7 @@ def near_duplicates(
     its component. An empty table gives no rows; other columns are not looked at.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_hash(id_col, text_col).alias("row"))
     run, schema = _describe(shingle, id_type)
     sets = cut(src.mapInArrow(run, schema), "nd-sets")
     reps = sets.filter("key is not null").groupBy("key").agg(F.first("sketch").alias("sketch"))
@@ -336,7 +337,7 @@ def near_duplicates(
     for x in [*made, coarse, first]:
         drop(x)
 
-    labelled = sets.select("id", "n", "key").join(
+    labelled = sets.select("id", "row", "n", "key").join(
         final.select(F.col("vertex").alias("key"), "component"), "key", "left"
     ).withColumn("component", F.coalesce("component", "key"))
     # a table, so that the join below is of two plain shuffles, and Spark can split a group that many documents share
@@ -345,6 +346,7 @@ def near_duplicates(
     alone = F.col("component").isNull()
     return out.select(
         F.col("id").alias(id_col),
+        "row",
         F.col("n").alias("n_shingles"),
         F.when(alone, F.col("id")).otherwise(F.col("least_id")).alias("component_id"),
         F.when(alone, F.lit(True)).otherwise(F.col("id").eqNullSafe(F.col("least_id"))).alias("kept"),
@@ -352,15 +354,18 @@ def near_duplicates(
 
 
 def near_dup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group, that with the smallest id."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    marked = docs.withColumn("_id", F.col("doc_id"))
-    return marked.join(kept, F.col("_id").eqNullSafe(F.col("_kept")), "left_semi").select(*docs.columns)
+    """Pipeline stage: one document of each group, that with the smallest id.
+
+    Null texts and texts without words are in no group and stay. Rows that repeat stay or go together, as do rows of one id
+    in one group; a null id stays only where its group has no other. Columns stay as they are, whatever their
+    names; an empty table gives no rows.
+    """
+    return keep_rows(docs, near_duplicates(docs).filter("kept"))
 
 
 def op2_minhash_near_dedup(spark, sf_dir):
     """Every document, with its component under four-word shingles at 0.8."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4)
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4).drop("row")
 
 
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"

@@ -417,7 +417,8 @@ def classify_quality(
     ids = trusted_ids.select(F.col(id_col).alias("_t")).dropna().distinct()
     # the model learns from one half of the trusted documents, the quantiles from the other
     half = F.pmod(F.xxhash64("_t"), F.lit(2)) == 0
-    counts = count_tables(docs.join(ids.filter(half), F.col(id_col) == F.col("_t"), "left_semi"), text_col)
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    counts = count_tables(own.join(ids.filter(half), F.col("id") == F.col("_t"), "left_semi"))
     known = cut(model(counts), "kn-model")
     scored = perplexities(docs, known, id_col, text_col, lang_col)
     for table in (counts, known):
