@@ -69,6 +69,12 @@ def _ascii_domain(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with more columns, evaluated once for each row: Spark neither merges a generator with what uses
+    its columns nor moves a filter on them below it, which would repeat their expressions."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def _by_rows(df: DataFrame, needs: Column, form) -> DataFrame:
     """``form(rows, python)`` of the rows that need Python, and of the others."""
     needs = F.coalesce(needs, F.lit(False))
@@ -89,7 +95,7 @@ def _ip_form(t: str, python: bool) -> Column:
 
 def canonicalise_ip(df: DataFrame, col: str) -> DataFrame:
     """Addresses and networks of both versions; host bits stay, zone names are refused."""
-    d = df.withColumn("_t", trimmed(F.col(col)))
+    d = once(df, _t=trimmed(F.col(col)))
     d = _by_rows(d, F.col("_t").contains(":"), lambda rows, python: rows.withColumn("canonical", _ip_form("_t", python)))
     return _finish(d.withColumn("is_cidr", F.col("canonical").contains("/") & F.col("canonical").isNotNull()), "invalid_ip").drop("_t")
 
@@ -110,7 +116,7 @@ def _finish(df: DataFrame, error: str) -> DataFrame:
 
 def canonicalise_domain(df: DataFrame, col: str) -> DataFrame:
     """Domain names; international ones by UTS 46, which refuses some that older rules take."""
-    d = df.withColumn("_t", trimmed(F.col(col)))
+    d = once(df, _t=trimmed(F.col(col)))
     d = _by_rows(d, ~F.col("_t").rlike(PLAIN), lambda rows, python: rows.withColumn("canonical", _name_form(F.col("_t"), python)))
     return _finish(d, "invalid_domain").drop("_t")
 
@@ -137,8 +143,8 @@ LOCAL, NAME = r"^(.*)@[^@]*$", r"@([^@]*)$"
 
 def canonicalise_email(df: DataFrame, col: str) -> DataFrame:
     """Split at the last ``@``; the local part keeps its case, the domain follows N3."""
-    d = df.withColumn("_t", trimmed(F.col(col)))
-    d = d.withColumns({"_local": F.regexp_extract("_t", LOCAL, 1), "_name": trimmed(F.regexp_extract("_t", NAME, 1))}).drop("_t")
+    d = once(df, _t=trimmed(F.col(col)))
+    d = once(d, _local=F.regexp_extract("_t", LOCAL, 1), _name=trimmed(F.regexp_extract("_t", NAME, 1))).drop("_t")
     form = lambda rows, python: rows.withColumn("canonical", _email_form(F.col("_local"), _name_form(F.col("_name"), python)))
     return _finish(_by_rows(d, ~F.col("_name").rlike(PLAIN), form), "invalid_email").drop("_local", "_name")
 
@@ -169,9 +175,9 @@ def with_canonical_key(df: DataFrame, type_col: str, canonical_col: str, salt: s
 
 def normalise(df: DataFrame, type_col: str, raw_col: str, salt: str) -> DataFrame:
     """The typed canonical form of a mixed table, with key, version and error class."""
-    d = df.withColumns({"_k": F.lower(trimmed(F.col(type_col))), "_t": trimmed(F.col(raw_col))})
+    d = once(df, _k=F.lower(trimmed(F.col(type_col))), _t=trimmed(F.col(raw_col)))
     kind, mail = F.col("_k"), F.col("_k") == "email"
-    d = d.withColumn("_name", F.when(kind == "domain", F.col("_t")).when(mail, trimmed(F.regexp_extract("_t", NAME, 1))))
+    d = once(d, _name=F.when(kind == "domain", F.col("_t")).when(mail, trimmed(F.regexp_extract("_t", NAME, 1))))
     needs = ((kind == "ip") & F.col("_t").contains(":")) | ~F.col("_name").rlike(PLAIN)
 
     def form(rows: DataFrame, python: bool) -> DataFrame:
@@ -189,7 +195,7 @@ def normalise(df: DataFrame, type_col: str, raw_col: str, salt: str) -> DataFram
         )
         return rows.withColumn("canonical", F.nullif(out, F.lit("")))
 
-    d = _by_rows(d, needs, form)
+    d = once(_by_rows(d, needs, form).withColumnRenamed("canonical", "_c"), canonical=F.col("_c")).drop("_c")
     known = kind.isin("ip", "domain", "hash", "email", "timestamp")
     error = F.when(F.col("_t").isNull() | (F.col("_t") == ""), F.lit("empty")).otherwise(
         F.when(known, F.concat(F.lit("invalid_"), kind)).otherwise("unusable")

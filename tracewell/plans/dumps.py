@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tracewell.functions import canonical as C
 from tracewell.operators import reports as M
 from tracewell.plans.base import CELLS, SALT, cells, key_sql, query, raw_cells, stamp, table
-from tracewell.scratch import shared_dir
+from tracewell.scratch import cut, shared_dir
 from tracewell.sources import records as S
 
 _EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}"
@@ -288,7 +288,7 @@ def sanitise(spark, d):
  CASE WHEN field_type = 'hash' THEN 'x' END AS error FROM r WHERE error IS NULL) GROUP BY 1""")
 def normalise_typed(spark, d):
     ok, _ = S.split_rejects(S.parse_kv_lines(_kv_lines(spark, d)))
-    x = C.normalise(ok, "field_type", "raw", SALT)
+    x = C.normalise(cut(ok, "records"), "field_type", "raw", SALT)
     return x.groupBy("field_type").agg(F.count("*").alias("n"), F.count_distinct("canonical").alias("forms"), F.count("error").alias("errors"))
 
 

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from tracewell.functions.canonical import trimmed
+from tracewell.functions.canonical import once, trimmed
 from tracewell.scratch import shared_dir
 
 #: Members that name the type or the value, the stronger first. Fixed values.
@@ -52,14 +52,14 @@ def parse_kv_lines(lines: DataFrame, max_line: int = MAX_LINE) -> DataFrame:
     is_object, is_array, is_string = F.col("_s").startswith("OBJECT"), F.col("_s").startswith("ARRAY"), F.col("_s") == "STRING"
     broken = F.col("_v").isNull()
     # inside lambdas, so that the long branches are evaluated once and stay out of the generated method
-    once = lambda c, f: F.transform(F.array(c), f)[0]
+    inside = lambda c, f: F.transform(F.array(c), f)[0]
     comma = F.split(F.when(is_string, F.expr("try_variant_get(_v, '$', 'string')")).when(broken, F.col("_l")), ",", 2)
     found = F.when(
         is_object, F.struct(F.coalesce(*[text(f"$.{m}") for m in TYPE_MEMBERS]).alias("t"), F.coalesce(*[text(f"$.{m}") for m in VALUE_MEMBERS]).alias("v"))
     ).when(is_array, F.struct(text("$[0]").alias("t"), text("$[1]").alias("v"))).otherwise(
-        once(comma, lambda c: F.struct(F.get(c, F.lit(0)).alias("t"), F.get(c, F.lit(1)).alias("v")))
+        inside(comma, lambda c: F.struct(F.get(c, F.lit(0)).alias("t"), F.get(c, F.lit(1)).alias("v")))
     )
-    d = d.withColumn("_r", once(found, lambda r: F.struct(F.lower(trimmed(r["t"])).alias("field_type"), trimmed(r["v"]).alias("raw"))))
+    d = once(d, _r=inside(found, lambda r: F.struct(F.lower(trimmed(r["t"])).alias("field_type"), trimmed(r["v"]).alias("raw"))))
     d = d.select(*more, "line", "_l", "_v", "_before", "_r.field_type", "_r.raw")
     error = F.coalesce(
         "_before",
@@ -67,7 +67,7 @@ def parse_kv_lines(lines: DataFrame, max_line: int = MAX_LINE) -> DataFrame:
         .when(F.col("field_type").isNull() | F.col("raw").isNull(), F.when(broken, "not_a_record").otherwise("missing_member"))
         .when(broken & F.col("_l").rlike(r"^[\[{]"), "broken_json"),
     )
-    return d.select(*more, "field_type", "raw", "line", error.alias("error"))
+    return once(d, error=error).select(*more, "field_type", "raw", "line", "error")
 
 
 def read_kv_ndjson(spark: SparkSession, path: str) -> DataFrame:
