@@ -281,6 +281,28 @@ def test_pseudonyms(spark):
     assert back == {r["doc_id"]: r["text"] for r in df.collect()}
 
 
+def test_more_forms_of_phones_dates_and_social_numbers(spark):
+    text = "(743) 555-3824, 743-555-3824 743.555.3824 +1 (743) 555-3824; 31.12.1999 29.02.1900 000-00-0000 666-12-3456 901-11-1111 123-00-4567 078-05-1120 31.12.1999.7 1-743-555-3824-9"
+    rows = [(1, text, "s"), (2, "4111 1111 1111 1111 743-555-3824", "s")] + [(100 + i, f"{1 + i % 899:03d}-{1 + i % 99:02d}-{1 + i:04d}", "s") for i in range(300) if 1 + i % 899 != 666]
+    df = docs(spark, *rows)
+    kinds = tuple(k for k in P.PATTERNS if k != "mail")
+    there = P.pseudonymise(df, "k", kinds=kinds)
+    got = {r["doc_id"]: r for r in there.collect()}
+    t = got[1]["text"]
+    digits = {re.sub("[^0-9]", "", x)[-10:] for x in re.findall(r"(?:\+1 )?\(?\d{3}\)?[ .-]\d{3}[.-]\d{4}", t.split(";")[0])}
+    assert len(digits) == 1 and digits != {"7435553824"} and got[1]["n_phone"] == 4
+    a, b = feistel("k", "phone", 74355, 53824, 10**5, 10**5)
+    assert digits == {f"{a:05d}{b:05d}"}
+    assert re.search(r" \d\d\.\d\d\.\d{4} 29\.02\.1900 000-00-0000 666-12-3456 901-11-1111 123-00-4567 ", t) and "31.12.1999 " not in t
+    assert "078-05-1120" not in t and t.endswith("31.12.1999.7 1-743-555-3824-9") and got[1]["n_social"] == 1 and got[1]["n_date"] == 1
+    assert got[2]["n_card"] == got[2]["n_phone"] == 1
+    new = [got[i]["text"] for i, _, _ in rows[2:]]
+    assert len(set(new)) == len(new) and not any(x[:3] in ("000", "666") or x[0] == "9" or x[4:6] == "00" or x[7:] == "0000" for x in new)
+    back = {r["doc_id"]: r["text"] for r in P.pseudonymise(there, "k", kinds=kinds, back=True).collect()}
+    assert back == {i: x for i, x, _ in rows}
+    assert P.pseudonymise(df.limit(0), "k").count() == 0
+
+
 def test_cards_among_other_digits(spark):
     card, other = "4111 1111 1111 1111", "5500-0000-0000-0004"
     around = ["{} 123", "7 {}", "12 {} 123", "1234567 {}", "{} 2024-02-29", "{} 10.0.0.1", "5 {} 02/28/1999", "{} 123-45-6789", "{} 55-x", "{} 9876 {}", "{},"]

@@ -9,9 +9,9 @@ documents, and whoever has the key can go back.
 | kind | test | what is permuted |
 | --- | --- | --- |
 | card | 13 to 19 digits with a right check digit, in a run of groups of digits | all digits but the last, which becomes the check digit |
-| phone | ``+`` country code, area, 3 and 4 digits | the ten digits after the country code |
-| social | 3, 2 and 4 digits | its nine digits |
-| date | a day from 1900-01-01 to 2101-01-26, as 2000-12-31 or 12/31/2000 | the number of the day |
+| phone | ``+`` country code, area, 3 and 4 digits; without a code, in brackets, by hyphens or by dots | the last ten digits |
+| social | 3, 2 and 4 digits; not area 000, 666 or 900 and above, group 00 or number 0000 | its nine digits, again until the test is passed |
+| date | a day from 1900-01-01 to 2101-01-26, as 2000-12-31, 12/31/2000 or 31.12.2000 | the number of the day |
 | address | four numbers up to 255 | its 32 bits |
 | mail | a mail address | the local part, by a keyed hash in letters (not a number, so not reversible) |
 
@@ -36,13 +36,14 @@ USUAL = ("4-4-4-4", "4-4-4-4-3", "4-6-5", "4-6-4")  # groupings of cards
 #: Kinds by pattern, the first that fits counts. Fixed values.
 PATTERNS = {
     "mail": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?",
-    "phone": r"\+[0-9]{1,3}[ -]?\(?[0-9]{3}\)?[ -]?[0-9]{3}[ -]?[0-9]{4}(?![0-9])",
+    "phone": r"\+[0-9]{1,3}[ -]?\(?[0-9]{3}\)?[ -]?[0-9]{3}[ -]?[0-9]{4}(?![0-9])|\([0-9]{3}\)[ -]?[0-9]{3}-[0-9]{4}(?![0-9-])"
+    r"|(?<![0-9.-])(?:[0-9]{3}-[0-9]{3}-[0-9]{4}|[0-9]{3}\.[0-9]{3}\.[0-9]{4})(?![0-9-])(?!\.[0-9])",
     "address": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])(?!\.[0-9])",
-    "date": r"(?<![0-9/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-])",
+    "date": r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/-])(?!\.[0-9])",
     "social": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 # a whole run of groups, up to a value of another kind; a hyphen behind it is seen, so that no value ends there
-PATTERNS["card"] = r"(?<![0-9-])[0-9](?:(?! (?:" + "|".join(PATTERNS[k] for k in ("mail", "address", "date", "social")) + r"))[ -]?[0-9]){12,}+-?"
+PATTERNS["card"] = r"(?<![0-9-])[0-9](?:(?! (?:" + "|".join(PATTERNS[k] for k in ("mail", "phone", "address", "date", "social")) + r"))[ -]?[0-9]){12,}+-?"
 
 
 def _quote(s: str) -> str:
@@ -127,12 +128,15 @@ def _pseudonym(kind: str, key: str, back: bool) -> str:
         body = f"concat(substr(n, 1, length(n) - 10), {_digits(key, 'phone', 'right(n, 10)', back)})"
         return _let(n, "n", _refill("m", body))
     if kind == "social":
-        return _refill("m", _digits(key, "social", _bare("m"), back))
+        fine = lambda x: f"substr({x}, 1, 3) not in ('000', '666') and substr({x}, 1, 1) <> '9' and substr({x}, 4, 2) <> '00' and substr({x}, 6) <> '0000'"
+        step = _let(_digits(key, "social", "y.t", back), "v", f"named_struct('t', v, 'ok', {fine('v')})")
+        walked = f"aggregate(sequence(1, {WALKS}), named_struct('t', n, 'ok', false), (y, q) -> if(y.ok, y, {step})).t"
+        return _let(_bare("m"), "n", f"if({fine('n')}, {_refill('m', walked)}, null)")
     if kind == "date":
-        day = "coalesce(try_to_date(m, 'yyyy-MM-dd'), try_to_date(m, 'MM/dd/yyyy'))"
+        day = "coalesce(try_to_date(m, 'yyyy-MM-dd'), try_to_date(m, 'MM/dd/yyyy'), try_to_date(m, 'dd.MM.yyyy'))"
         first = "date'1900-01-01'"
         run = _feistel(key, "date", f"cast(n / {DAYS} as int)", f"n % {DAYS}", str(DAYS), str(DAYS), back)
-        fresh = _let(run, "f", f"date_format(date_add({first}, cast(f.a * {DAYS} + f.b as int)), if(m like '%/%', 'MM/dd/yyyy', 'yyyy-MM-dd'))")
+        fresh = _let(run, "f", f"date_format(date_add({first}, cast(f.a * {DAYS} + f.b as int)), case when m like '%/%' then 'MM/dd/yyyy' when m like '%.%' then 'dd.MM.yyyy' else 'yyyy-MM-dd' end)")
         return _let(f"datediff({day}, {first})", "n", f"if(n between 0 and {DAYS * DAYS - 1}, {fresh}, null)")
     if kind == "address":
         parts = "transform(split(m, '[.]'), x -> cast(x as int))"
@@ -151,7 +155,8 @@ def pseudonymise(
     ``n_<kind>`` counts the values replaced. With ``back`` and the same key, all kinds
     but ``mail`` are turned back. Texts without such values stay as they are, null
     texts stay null with counts of 0; the whole text is searched; ids may repeat or be
-    null. Values that fail their test stay.
+    null, rows that repeat are treated alike. Values that fail their test stay. An empty table gives
+    no rows; other columns are not looked at.
     """
     every = "|".join(f"(?:{PATTERNS[k]})" for k in PATTERNS if k in kinds)
     kind = "case " + " ".join(
@@ -178,4 +183,5 @@ def pseudonymise(
 
 def op3_pseudonyms(spark, sf_dir):
     """Every document with pseudonyms for its personal values."""
-    return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet"), key="corpus-pseudonyms-1")
+    key = spark.conf.get("spark.tracewell.pseudonym.key", "not a secret")  # set it where pseudonyms have to hold
+    return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet"), key)
