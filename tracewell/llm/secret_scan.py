@@ -162,7 +162,8 @@ def scan_secrets(
     ``spans`` lists ``kind:start:end`` of all rules by start, then in the order of the
     rules; ``base_sha256`` is the hash of that list for the base rules alone. Offsets are
     code points, ends exclusive. Null and empty texts have no spans; ids may be null or
-    repeat; the whole of a text is scanned, however long. No shuffle.
+    repeat, rows that repeat have the same spans; the whole of a text is scanned, however long. An empty
+    table gives no rows; other columns are not looked at. No shuffle.
     """
     run, schema = _scan(docs.schema[id_col].dataType.simpleString(), (*base_rules, *more_rules), len(base_rules))
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
