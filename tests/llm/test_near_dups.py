@@ -1,11 +1,13 @@
 """Links and components against brute force."""
 
 import random
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from tracewell.llm import near_dups as N
 
@@ -59,6 +61,45 @@ def test_against_brute_force(spark, seed, limits):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_what_a_large_node_ships(spark):
+    """Five thousand sets in one node: a row each, and few more; the sets not linked to most meet all the others."""
+    rows = spark.range(5000).select(F.lit(7).cast("long").alias("node"), F.col("id").alias("key"), F.lit(5000).cast("long").alias("n"))
+    groups = N._with_pivots(rows, 1024).collect()
+    assert {r["key"] for r in groups} == set(range(5000)) and len(groups) <= 5000 + N.PIVOTS * 10
+    sizes = Counter(r["group"] for r in groups)
+    assert len(sizes) == 10 and max(sizes.values()) < 700
+    found = rows.filter("key >= 3").select(F.col("key").alias("vertex"), F.lit(3).cast("long").alias("component"))
+    groups = N._left_over(rows, found, 1024).collect()
+    meets = {}
+    for r in groups:
+        meets.setdefault(r["group"], set()).add(r["key"])
+    for k in (0, 1, 2):
+        assert set().union(*(m for m in meets.values() if k in m)) == set(range(5000))
+    assert len(groups) <= 5000 + 3 * 10
+    assert N._left_over(rows, rows.select(F.col("key").alias("vertex"), F.lit(0).cast("long").alias("component")), 1024).count() == 0
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_large_nodes_against_brute_force(spark, seed):
+    """Near copies of two texts that share most of their words, and a chain of links away from them."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for d in range(60):
+        w = list(base)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(60)] = f"x{rng.randrange(1000)}"
+        rows.append((d, " ".join(w)))
+    chain = list(base)
+    for d in range(60, 90):
+        chain[d - 60] = f"y{d}"
+        rows.append((d, " ".join(chain)))
+    rows += [(100 + d, " ".join(base[: 40 + d])) for d in range(20)]
+    df = spark.createDataFrame([(d, t, "x") for d, t in rows], SCHEMA)
+    got = N.near_duplicates(df, shingle=3, limit=8, cluster_limit=10, max_depth=1).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(brute(rows, 3))
+
+
 def test_repeated_rows_null_ids_and_none(spark):
     t = "a b c d e f g"
     df = spark.createDataFrame([(3, t, ""), (3, t, ""), (None, t, ""), (4, t + " h", ""), (3, "other words of its own here", "")], SCHEMA)
