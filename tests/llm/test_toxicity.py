@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tracewell.llm.toxicity import PIECE, RATIO, SURE, _pair, fit, leaning, learn, op7_toxicity, score, score_toxicity
+from tracewell.llm.toxicity import PIECE, RATIO, SURE, _pair, _strings, document_counts, fit, leaning, learn, op7_toxicity, score, score_toxicity
 
 
 def test_held_out_ranking(spark):
@@ -47,7 +47,7 @@ def test_score_against_its_definition():
         words = t.lower().split()
         runs = [" ".join(words[i : i + 8]).encode() for i in range(0, len(words), 8)] or [b""]
         g = [len(pair[0].compress(w)) - len(pair[1].compress(w)) for w in runs]
-        f = [sum(g) / len(g), sum(x >= 2 for x in g) / len(g), sum(x >= 3 for x in g) / len(g), sum(max(x - 1, 0) for x in g) / len(g), max(g)]
+        f = [sum(g) / len(g), sum(x >= 2 for x in g) / len(g), sum(x >= 3 for x in g) / len(g)]
         z = sum(w * (x - a) / s for w, x, a, s in zip(m.weights, f, m.mean, m.spread)) + m.weights[-1]
         assert math.isclose(score(t, m, pair), 1 / (1 + math.exp(-z)), rel_tol=1e-9)
     new = [score(text(["vileword"] * k), m, pair) for k in (0, 0, 0, 2, 2, 2)]
@@ -56,7 +56,9 @@ def test_score_against_its_definition():
 
 def test_leaning_strings_against_counts():
     toxic, ordinary = [b"xx badbad yy %d" % i for i in range(40)], [b"xx good yy %d" % i for i in range(200)] + [b"badbad"]
-    got = {int(x).to_bytes(PIECE, "big") for x in leaning(toxic, ordinary)}
+    strings = np.unique(np.concatenate([_strings(t) for t in toxic]))
+    n, other = document_counts(toxic + ordinary, strings, np.array([0] * 40 + [1] * 201), 2)
+    got = {int(x).to_bytes(PIECE, "big") for x in strings[leaning(n, 40, other, 201)]}
     every = {t[i : i + PIECE] for t in toxic for i in range(len(t) - PIECE + 1)}
     def leans(x):
         n, o = (sum(x in t for t in side) for side in (toxic, ordinary))

@@ -8,7 +8,7 @@ quotes such a string, or a wrong label, lowers the ratio and no more. How long t
 dictionary gets follows from the number of such strings.
 
 A window of a text is compressed with the ordinary dictionary, and with the toxic one set after it; the bytes
-saved are its gain. A text's mean gain, its largest, and how many of its windows reach two calibrated
+saved are its gain. A text's mean gain and the shares of its windows that reach each of two
 thresholds go into a logistic curve, which gives the score. Gains for the calibration come from
 toxic dictionaries that have not seen the document: the sample is dealt into ``FOLDS`` folds for that.
 
@@ -79,7 +79,7 @@ def features(text: str | None, pair) -> list[float]:
     """What the gains of a text's windows come to."""
     plain, both = (x.compress for x in pair)
     g = np.array([len(plain(w)) - len(both(w)) for w in windows(text)], float)
-    return [g.mean(), *[(g >= t).mean() for t in THRESHOLDS], np.maximum(g - 1, 0).mean(), g.max()]
+    return [g.mean(), *[(g >= t).mean() for t in THRESHOLDS]]
 
 
 def _strings(text: bytes) -> np.ndarray:
@@ -92,16 +92,20 @@ def _strings(text: bytes) -> np.ndarray:
     return h
 
 
-def leaning(toxic: list[bytes], ordinary: list[bytes]) -> np.ndarray:
-    """The strings that lean to toxic text, sorted: by the ratio of the shares of documents that have them, and its standard error."""
-    own, n = np.unique(np.concatenate([np.unique(_strings(t)) for t in toxic]), return_counts=True)
-    other = np.zeros(len(own))
-    for t in ordinary:
+def document_counts(texts: list[bytes], strings: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+    """For each group of texts and each of some sorted strings, in how many of them it is."""
+    out = np.zeros((groups, len(strings)), np.int32)
+    for t, g in zip(texts, group) if len(strings) else ():
         h = np.unique(_strings(t))
-        at = np.minimum(np.searchsorted(own, h), len(own) - 1)
-        other[at[own[at] == h]] += 1
-    ratio = np.log((n + 0.5) / (len(toxic) + 1)) - np.log((other + 0.5) / (len(ordinary) + 1))
-    return own[(ratio > np.log(RATIO)) & (ratio > SURE * np.sqrt(1 / (n + 0.5) + 1 / (other + 0.5)))]
+        at = np.minimum(np.searchsorted(strings, h), len(strings) - 1)
+        out[g, at[strings[at] == h]] += 1
+    return out
+
+
+def leaning(n: np.ndarray, docs: int, other: np.ndarray, other_docs: int) -> np.ndarray:
+    """Which strings lean to the first texts, by the ratio of the shares of documents that have them, and its standard error."""
+    ratio = np.log((n + 0.5) / (docs + 1)) - np.log((other + 0.5) / (other_docs + 1))
+    return (ratio > np.log(RATIO)) & (ratio > SURE * np.sqrt(1 / (n + 0.5) + 1 / (other + 0.5)))
 
 
 def _stretches(text: bytes, strings: np.ndarray) -> bytes:
@@ -115,12 +119,9 @@ def _stretches(text: bytes, strings: np.ndarray) -> bytes:
     return b" ".join([b"", *(text[a:b] for a, b in zip(starts[found], ends[found])), b""])
 
 
-def toxic_dictionary(toxic: list[str], ordinary: list[str]) -> bytes:
-    low = [[t.lower().encode("utf-8", "surrogatepass") for t in x] for x in (toxic, ordinary)]
-    if not all(low):
-        return b""
-    strings = leaning(*low)
-    samples = [x for x in (_stretches(t, strings) for t in low[0]) if len(x) > PIECE] if len(strings) else []
+def toxic_dictionary(toxic: list[bytes], strings: np.ndarray) -> bytes:
+    """Trained on the stretches of toxic texts that hold one of some strings."""
+    samples = [x for x in (_stretches(t, strings) for t in toxic) if len(x) > PIECE] if len(strings) else []
     return _trained(samples, min(MOST_BYTES, max(LEAST_BYTES, BYTES_A_PIECE * len(strings))), 200, d=8, k=32)
 
 
@@ -141,20 +142,31 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     if not bad or not good:
         share = len(bad) / len(texts) if texts else 0.0
         odds = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
-        n = len(THRESHOLDS) + 3
+        n = len(THRESHOLDS) + 1
         return Model(b"", b"", (0.0,) * n, (1.0,) * n, (0.0,) * n + (odds,))
     ordinary = _trained([w for t in good for w in windows(t)], ORDINARY_BYTES, HEADER)
-    y = np.array(toxic, float)
-    fold = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) % FOLDS for t in texts])  # copies fall into one fold
-    a = np.zeros((len(texts), len(THRESHOLDS) + 3))
+    y = np.array(toxic, bool)
+    low = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+    fold = np.array([zlib.crc32(t) % FOLDS for t in low])  # copies fall into one fold
+    strings = np.unique(np.concatenate([np.unique(_strings(t)) for t, z in zip(low, y) if z]))
+    counts = document_counts(low, strings, 2 * fold + y, 2 * FOLDS).reshape(FOLDS, 2, -1)
+    docs = np.bincount(2 * fold + y, minlength=2 * FOLDS).reshape(FOLDS, 2)
+
+    def without(f: int | None) -> bytes:
+        """The toxic dictionary of the other folds."""
+        rest = [g for g in range(FOLDS) if g != f]
+        n, all_ = counts[rest].sum(0), docs[rest].sum(0)
+        own = strings[leaning(n[1], all_[1], n[0], all_[0])]
+        return toxic_dictionary([t for t, z, g in zip(low, y, fold) if z and g != f], own)
+
+    a = np.zeros((len(texts), len(THRESHOLDS) + 1))
     for f in range(FOLDS):
-        rest = [(t, z) for t, z, g in zip(texts, toxic, fold) if g != f]
-        pair = _pair(ordinary, toxic_dictionary([t for t, z in rest if z], [t for t, z in rest if not z]))
+        pair = _pair(ordinary, without(f))
         for k in np.flatnonzero(fold == f):
             a[k] = features(texts[k], pair)
     mean, spread = a.mean(0), a.std(0) + 1e-9
-    weights = _logistic((a - mean) / spread, y)
-    return Model(ordinary, toxic_dictionary(bad, good), tuple(mean), tuple(spread), tuple(weights))
+    weights = _logistic((a - mean) / spread, y.astype(float))
+    return Model(ordinary, without(None), tuple(mean), tuple(spread), tuple(weights))
 
 
 def score(text: str | None, model: Model, pair) -> float:
