@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,13 +41,27 @@ def cut(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(cleanup, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
+    _MADE.append(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def drop(df: DataFrame | None) -> None:
     """Delete a table made by :func:`cut` once nothing will read it again."""
     path = getattr(df, "_scratch", None)
     if path:
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)
+
+
+def cut_alone(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """:func:`cut` of what ``make`` returns, after which the tables that ``make`` wrote on its way are deleted."""
+    before = len(_MADE)
+    out = cut(make(), name)
+    for path in _MADE[before:-1]:
+        _delete(spark, path)
+    del _MADE[before:]
+    return out

@@ -1,33 +1,3 @@
-"""Schemas of the tables that the operators pass to each other."""
-
-from pyspark.sql import types as T
-
-RECORD = T.StructType([T.StructField(c, T.StringType()) for c in ("field_type", "raw", "line", "error")])
-
-CELL = T.StructType(
-    [
-        T.StructField("dump_id", T.StringType()),
-        T.StructField("row_index", T.LongType()),
-        T.StructField("position", T.IntegerType()),
-        T.StructField("column", T.StringType()),
-        T.StructField("raw", T.StringType()),
-        T.StructField("canonical", T.StringType()),
-        T.StructField("canonical_key", T.StringType()),
-        T.StructField("ts", T.TimestampType()),
-    ]
-)
+"""Schemas that operators share."""
 
 ENVELOPE = "ciphertext string, nonce string, key_id string, algorithm string"
-
-VERSION = T.StructType(
-    [
-        T.StructField("entity_type", T.StringType()),
-        T.StructField("key", T.StringType()),
-        T.StructField("props", T.MapType(T.StringType(), T.StringType())),
-        T.StructField("origin", T.StringType()),
-        T.StructField("timestamp", T.LongType()),
-        T.StructField("version", T.LongType()),
-        T.StructField("tombstone", T.BooleanType()),
-        T.StructField("seq", T.LongType()),
-    ]
-)
