@@ -14,7 +14,7 @@ from tracewell.llm.line_templates import line_stage
 from tracewell.llm.mixing import mix_stage
 from tracewell.llm.near_dups import near_dup_stage
 from tracewell.llm.quality import quality_stage
-from tracewell.scratch import cut
+from tracewell.scratch import cut_alone, drop
 
 STAGES = [
     ("quality classifier", quality_stage),
@@ -32,5 +32,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of the mix, with the number of words that it takes of each."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        before = docs
+        docs = cut_alone(spark, lambda: stage(spark, before, sf_dir), "stage-" + name.replace(" ", "-"))  # noqa: B023
+        drop(before)
     return docs
