@@ -105,11 +105,12 @@ def mix_sources(
     ``taken`` counts the words of a document that the mix takes, repeats included; it
     is at most ``repeats * size``. A source takes its target to within a block a
     shard. The same rows give the same mix: the order in a shard depends on the
-    seed, the id and the size alone. A null text has size 0, a null source is a source of
+    seed, the id and the text alone. A null text has size 0, a null source is a source of
     its own, a null id is a value like others. Rows that repeat are documents of
     their own. An empty table gives no rows; a corpus without words takes none.
     """
-    seeded = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+    # the text too, so that rows of one id, or of none, don't all fall into one shard
+    seeded = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.md5(F.coalesce(text_col, F.lit("")))))
     rows = docs.select(
         F.col(id_col).alias("id"), row_hash(id_col, text_col).alias("row"), F.col(source_col).alias("source"),
         word_count(F.col(text_col)).alias("size"), seeded.alias("h"),
@@ -165,7 +166,7 @@ def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 OP10_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-             md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
+             md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS h FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 k AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rnk FROM s),
 w AS (SELECT *, CAST([5, 2, 1][(rnk - 1) % 3 + 1] AS DOUBLE) AS weight, 3.0::DOUBLE * source_size AS most FROM k),
