@@ -14,7 +14,7 @@ MOST_HUBS, LEAST_DEGREE = 100_000, 1000
 def _with_least(edges: DataFrame, around: DataFrame, rows: int) -> DataFrame:
     """``edges`` with ``m``, the smallest ``v`` that ``u`` has in ``around``.
 
-    A vertex with more than a hundred-thousandth of the rows would be one hot key. There are at
+    After a few rounds the root of a large component is around most of its vertices. A vertex with more than a hundred-thousandth of the rows would be one hot key. There are at
     most ``MOST_HUBS`` of those, so they are joined by broadcast, where the edges lie.
     """
     bound = max(LEAST_DEGREE, rows // MOST_HUBS)
@@ -34,7 +34,8 @@ def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         out = _with_least(both.filter("v > u"), both, 2 * rows).select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
     else:
-        out = _with_least(edges, edges, rows).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        least = edges.groupBy("u").agg(F.min("v").alias("m"))  # smaller neighbours only, so a root has none
+        out = edges.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
     return out.filter("u > v").distinct()
 
 
