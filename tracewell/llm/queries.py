@@ -1,6 +1,6 @@
 """The queries of this subpackage, with their SQL where SQL can express them."""
 
-from tracewell.llm import chat, decontaminate, fingerprints, line_templates, mixing, near_dups, pseudonyms, quality, secret_scan, toxicity
+from tracewell.llm import chat, decontaminate, fingerprints, line_templates, mixing, near_dups, pseudonyms, quality, secret_scan, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_document_fingerprints": fingerprints.op9_document_fingerprints,
     "op10_mix_sources": mixing.op10_mix_sources,
+    "op13_warc": warc.op13_warc,
 }
 
 ORACLE = {
@@ -20,4 +21,5 @@ ORACLE = {
     "op5_line_templates": line_templates.OP5_SQL,
     "op6_chat_formatting": chat.OP6_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
+    "op13_warc": warc.OP13_SQL,
 }
