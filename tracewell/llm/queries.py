@@ -1,6 +1,6 @@
 """The queries of this subpackage, with their SQL where SQL can express them."""
 
-from tracewell.llm import chat, decontaminate, fingerprints, line_templates, mixing, near_dups, phrases, pseudonyms, quality, secret_scan, toxicity, warc
+from tracewell.llm import chat, decontaminate, fingerprints, line_templates, mixing, near_dups, periodic, phrases, pseudonyms, quality, secret_scan, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_document_fingerprints": fingerprints.op9_document_fingerprints,
     "op10_mix_sources": mixing.op10_mix_sources,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
     "op12_collocations": phrases.op12_collocations,
     "op13_warc": warc.op13_warc,
 }
@@ -22,6 +23,7 @@ ORACLE = {
     "op5_line_templates": line_templates.OP5_SQL,
     "op6_chat_formatting": chat.OP6_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
+    "op11_periodic_runs": periodic.OP11_SQL,
     "op12_collocations": phrases.OP12_SQL,
     "op13_warc": warc.OP13_SQL,
 }
