@@ -8,13 +8,20 @@ local mode) a temporary folder stands in for it.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
-_MADE: list[str] = []
+#: The tables that the :func:`cut_alone` around has seen written; each call has its own list, other threads have none.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_LOCK = threading.Lock()
+_CLEANING: dict[str, list] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,20 +35,34 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """Free shuffle files after each query, as long as any thread of the session is inside; the setting from before comes back with the last."""
+    session = str(spark._jsparkSession.sessionUUID())
+    with _LOCK:
+        users, before = _CLEANING.setdefault(session, [0, spark.conf.get(_CLEANUP, "false")])
+        _CLEANING[session][0] = users + 1
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _LOCK:
+            _CLEANING[session][0] -= 1
+            if not _CLEANING[session][0]:
+                spark.conf.set(_CLEANUP, _CLEANING.pop(session)[1])
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, with its schema kept."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(cleanup, "false")
-    spark.conf.set(cleanup, "true")  # the table is all that is needed later, not the shuffle files behind it
-    try:
+    with _cleaned(spark):  # the table is all that is needed later, not the shuffle files behind it
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(cleanup, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
-    _MADE.append(path)
+    made = _MADE.get()
+    if made is not None:
+        made.append(path)
     return out
 
 
@@ -58,10 +79,19 @@ def drop(df: DataFrame | None) -> None:
 
 
 def cut_alone(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
-    """:func:`cut` of what ``make`` returns, after which the tables that ``make`` wrote on its way are deleted."""
-    before = len(_MADE)
-    out = cut(make(), name)
-    for path in _MADE[before:-1]:
-        _delete(spark, path)
-    del _MADE[before:]
+    """:func:`cut` of what ``make`` returns, after which the tables that ``make`` wrote on its way are deleted.
+
+    Tables of other threads are left alone, even those that ``make`` starts. Calls may be nested.
+    """
+    mine: list[str] = []
+    before = _MADE.set(mine)
+    try:
+        out = cut(make(), name)
+    finally:
+        _MADE.reset(before)
+    for path in mine:
+        if path != out._scratch:
+            _delete(spark, path)
+    if before.old_value is not before.MISSING and before.old_value is not None:
+        before.old_value.append(out._scratch)
     return out
