@@ -151,7 +151,15 @@ def _places(h: np.ndarray, power: int) -> list[np.ndarray]:
     return [x.astype(np.int64) for x in (h >> np.uint64(64 - power), (h >> s) & low, (h ^ (h >> np.uint64(power))) & low)]
 
 
-def _bitmaps(hashes: DataFrame, power: int) -> list[bytes]:
+def in_bitmaps(h: np.ndarray, bitmaps: list[np.ndarray], power: int) -> np.ndarray:
+    """Whether each hash is in all three bitmaps."""
+    hit = np.ones(len(h), bool)
+    for m, p in zip(bitmaps, _places(h, power)):
+        hit &= (m.take(p >> 3) >> (p & 7).astype(np.uint8)) & np.uint8(1) > 0
+    return hit
+
+
+def bitmaps_of(hashes: DataFrame, power: int) -> list[bytes]:
     """Three bitmaps of the column ``hash``, of ``2 ** power`` bits each."""
     h, low = F.col("hash"), F.lit((1 << power) - 1)
     places = [
@@ -229,10 +237,7 @@ def _probe(bitmaps: list[bytes], power: int, classes: list[int], id_type: str):
             if not len(maybe):
                 continue
             some = h[maybe]
-            hit = np.ones(len(maybe), bool)
-            for m, p in zip(bits, _places(some, power)):
-                hit &= (m.take(p >> 3) >> (p & 7).astype(np.uint8)) & np.uint8(1) > 0
-            k = maybe[hit]
+            k = maybe[in_bitmaps(some, bits, power)]
             if len(k):
                 ends = np.append(lead[1:], len(start)) if c >= 0 else lead + 1
                 extra = int(_longest(c) * EDITS) + 1
@@ -354,7 +359,7 @@ def find_passages(
     found = None
     for i in range(rounds):
         mine = hashed.filter(F.pmod("hash", F.lit(rounds)) == i)
-        probe, probe_schema = _probe(_bitmaps(mine, power), power, classes, id_type)
+        probe, probe_schema = _probe(bitmaps_of(mine, power), power, classes, id_type)
         regions = cut(src.mapInArrow(probe, probe_schema), "dc-regions")
         hits = regions.select("id", "row", "begin", F.explode("hashes").alias("hash")).join(mine, "hash")
         hits = hits.select(F.col("id").alias("of"), F.col("row").alias("r"), F.col("begin").alias("at"), "item", "part").distinct()

@@ -6,6 +6,10 @@ for each next word. Only phrases' word ids are in it, packed into one number eac
 hold more than ``MOST`` entries, whole subtrees, the largest first, leave the task as runs sorted by words, so a task has the same
 memory whatever its input. Runs go to the shuffle rather than to a local disk, and are merged partition by partition.
 
+Words and pairs are counted first. A longer phrase can only be frequent if the phrases of one word less in it are; those reach the tasks as
+three bitmaps of hashes, of 16 MB at most each, and what isn't in them is not counted. Where a language is so rich that
+bitmaps fill up, more is counted than need be, and nothing is lost.
+
 Partitions are by the whole phrase: by a first word, or any shorter prefix, a common one would be the work of one
 task. Counts travel as words, not as hashes, so they are exact. From the frequent phrases on, which are few, all is joins: a part of a
 frequent phrase is frequent itself, so scores need nothing that was left out.
@@ -13,6 +17,7 @@ frequent phrase is frequent itself, so scores need nothing that was left out.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,13 +25,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from tracewell.llm import words as W
+from tracewell.llm.decontaminate import bitmaps_of, in_bitmaps
 from tracewell.operators.ordering import with_running
 from tracewell.scratch import cut
 
-BURST, MOST, SLICE, OUT = 4096, 1_000_000, 1 << 21, 50_000
+BURST, MOST, SLICE, OUT = 4096, 600_000, 1 << 20, 50_000
+#: Bits of a bitmap, as powers of two: for each frequent phrase, and at most.
+BITS_A_PHRASE, MOST_BITS = 3, 27
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _CLEAN = bytes(10 if b in _ENDS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
-_COUNTS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("count", pa.int64())])
+_COUNTS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("count", pa.int64())])
 
 
 class Node(dict):
@@ -46,20 +55,21 @@ class PhraseTrie:
 
     def __init__(self, longest: int, burst: int = BURST):
         self.longest, self.burst, self.bits = longest, burst, 63 // longest
-        self.ids, self.root, self.sizes, self.words, self.entries = _Ids(), Node(), {}, 0, 0
+        self.ids, self.root, self.sizes, self.entries = _Ids(), Node(), {}, 0
 
     def full(self, more: int) -> bool:
         """Whether so many more words could be too many to number."""
         return len(self.ids) + more >= 1 << self.bits
 
-    def add(self, words: list[bytes], piece: np.ndarray, new: int) -> None:
-        """Count the phrases inside pieces that end at ``words[new:]``."""
+    def add(self, words: list[bytes], piece: np.ndarray, new: int, sizes: range, fits: np.ndarray | None = None) -> None:
+        """Count the phrases of these sizes inside pieces that end at ``words[new:]``; of those of the last size the ones whose start ``fits``."""
         ids = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
-        self.words += len(words) - new
         keys = []
-        for k in range(1, self.longest + 1):
+        for k in sizes:
             end = np.arange(max(new, k - 1), len(words))
             end = end[piece[end - k + 1] == piece[end]]
+            if fits is not None and k == sizes[-1]:
+                end = end[fits[end - k + 1]]
             key = np.zeros(len(end), np.int64)
             for i in range(k):
                 key |= ids[end - k + 1 + i] << self.bits * (self.longest - 1 - i)
@@ -113,9 +123,8 @@ class PhraseTrie:
                     keys += box.keys()
                     counts += box.values()
         keys, counts = np.array(keys, np.int64), np.array(counts, np.int64)
-        spelled = list(self.ids)
-        rank = np.zeros(len(spelled) + 1, np.int64)
-        rank[np.array(sorted(range(len(spelled)), key=spelled.__getitem__), np.int64) + 1] = np.arange(1, len(spelled) + 1)
+        rank = np.zeros(len(self.ids) + 1, np.int64)
+        rank[pc.sort_indices(pa.array(self.ids.keys(), pa.binary())).to_numpy() + 1] = np.arange(1, len(self.ids) + 1)
         named = np.zeros(len(keys), np.int64)
         for i in range(self.longest):
             named |= rank[keys >> self.bits * i & (1 << self.bits) - 1] << self.bits * i
@@ -131,23 +140,23 @@ class PhraseTrie:
             ids = [part >> self.bits * (self.longest - 1 - i) & (1 << self.bits) - 1 for i in range(self.longest)]
             words = [spelled.take(pa.array(x - 1, mask=x == 0)) for x in ids]
             phrase = pc.binary_join_element_wise(*words, " ", null_handling="skip")
-            size = sum((x > 0).astype(np.int32) for x in ids)
-            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(part)), phrase, pa.array(size), pa.array(counts[s : s + OUT])], schema=_COUNTS)
+            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(part)), phrase, pa.array(counts[s : s + OUT])], schema=_COUNTS)
         if not self.root:
             self.ids = _Ids()
 
 
-def _words(clean: bytes) -> tuple[list[bytes], np.ndarray]:
-    """The words of cleaned text and how many pieces have ended before each."""
+def _words(clean: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The words of cleaned text, how many pieces have ended before each, and their hashes."""
     raw = np.frombuffer(clean, np.uint8)
     end = raw == 10
-    gap = np.ones(len(raw) + 1, bool)
-    gap[1:] = end | (raw == 32)
-    return clean.split(), np.cumsum(end, dtype=np.int64)[np.flatnonzero(~gap[1:] & gap[:-1])]
+    inside = np.zeros(len(raw) + 2, bool)
+    inside[1:-1] = ~(end | (raw == 32))
+    s, e = np.flatnonzero(inside[1:-1] & ~inside[:-2]), np.flatnonzero(inside[1:-1] & ~inside[2:]) + 1
+    return clean.split(), np.cumsum(end, dtype=np.int64)[s], W.span_hashes(raw, s, e)
 
 
-def worded(texts: Iterator[bytes], longest: int) -> Iterator[tuple[list[bytes], np.ndarray, int]]:
-    """``(words, piece, new)`` of cleaned texts, about ``SLICE`` bytes at a time.
+def worded(texts: Iterator[bytes], longest: int) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, int]]:
+    """``(words, piece, hashes, new)`` of cleaned texts, about ``SLICE`` bytes at a time.
 
     A longer text comes in slices, each led by the last words of the one before it; ``new`` counts those.
     """
@@ -160,47 +169,77 @@ def worded(texts: Iterator[bytes], longest: int) -> Iterator[tuple[list[bytes],
             held.append(t)
             size += len(t) + 1
             continue
-        tail, of, ended, at = [], np.zeros(0, np.int64), 0, 0
+        tail, of, named, ended, at = [], np.zeros(0, np.int64), np.zeros(0, np.uint64), 0, 0
         while at < len(t):
             to = len(t)
             if to > at + SLICE:  # at the last gap there, else at the next one
                 to = max(t.rfind(b" ", at, at + SLICE), t.rfind(b"\n", at, at + SLICE)) + 1
                 to = to or min((x for x in (t.find(b" ", at), t.find(b"\n", at)) if x >= 0), default=len(t) - 1) + 1
-            words, piece = _words(t[at:to])
-            words, piece = tail + words, np.concatenate([of, piece + ended])
-            yield words, piece, len(tail)
+            words, piece, hashes = _words(t[at:to])
+            words, piece, hashes = tail + words, np.concatenate([of, piece + ended]), np.concatenate([named, hashes])
+            yield words, piece, hashes, len(tail)
             ended += t.count(b"\n", at, to)
             keep = len(words) - min(len(words), longest - 1)
-            tail, of, at = words[keep:], piece[keep:], to
+            tail, of, named, at = words[keep:], piece[keep:], hashes[keep:], to
     if held:
         yield *_words(b"\n".join(held)), 0
 
 
-def _count(longest: int, most: int, burst: int):
-    """Runs of counted phrases, and as the phrase without words the number of all words."""
+def _salt(lang: str) -> np.uint64:
+    return np.uint64(int.from_bytes(hashlib.sha256(lang.encode()).digest()[:8], "little"))
+
+
+def phrase_hashes(hashes: np.ndarray, k: int, lang: str) -> np.ndarray:
+    """A hash of each ``k`` words that follow each other, by the hashes of the words."""
+    return W.shingle_hashes(hashes, np.array([0, len(hashes)]), k)[0] ^ _salt(lang) if len(hashes) >= k else np.zeros(0, np.uint64)
+
+
+def _hashed(batches):
+    """The hash of each ``(lang, phrase)``."""
+    for b in batches:
+        out = [phrase_hashes(h, len(h), lang)[0] for lang, p in zip(b.column(0).to_pylist(), b.column(1)) for h in [_words(p.as_buffer().to_pybytes())[2]]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(out, np.uint64).view(np.int64))], ["hash"])
+
+
+def _count(sizes: range, longest: int, most: int, burst: int, bitmaps: list[bytes] | None = None, power: int = 0):
+    """Runs of counted phrases of these sizes; as the phrase without words the number of all words, where words are counted.
+
+    With ``bitmaps``, phrases of the last size count whose beginning and end of one word less are both in them.
+    """
+
+    def fits(hashes, lang, maps):
+        if maps is None:
+            return None
+        some = in_bitmaps(phrase_hashes(hashes, sizes[-1] - 1, lang), maps, power)
+        return some[:-1] & some[1:]
 
     def run(batches):
+        maps = [np.frombuffer(m, np.uint8) for m in bitmaps] if bitmaps else None
         tries: dict[str, PhraseTrie] = {}
+        total: dict[str, int] = {}
         for b in batches:
             langs = pc.fill_null(b.column(0), "und")
             for lang in pc.unique(langs).to_pylist():
                 texts = b.column(1).filter(pc.equal(langs, lang)).drop_null()
                 trie = tries.setdefault(lang, PhraseTrie(longest, burst))
                 step = 1 << min(19, trie.bits - 1)
-                for words, piece, new in worded((x.as_buffer().to_pybytes().translate(_CLEAN) for x in texts), longest):
+                for words, piece, hashes, new in worded((x.as_buffer().to_pybytes().translate(_CLEAN) for x in texts), sizes[-1]):
+                    total[lang] = total.get(lang, 0) + len(words) - new
                     for s in range(new, len(words), step):
                         if trie.full(step + longest):
                             yield from trie.runs(lang, 0)
-                        lead = max(0, s - longest + 1)
-                        trie.add(words[lead : s + step], piece[lead : s + step], s - lead)
+                        lead = max(0, s - sizes[-1] + 1)
+                        part = slice(lead, s + step)
+                        trie.add(words[part], piece[part], s - lead, sizes, fits(hashes[part], lang, maps))
                         if sum(t.entries for t in tries.values()) > most:
                             for name, t in tries.items():
                                 yield from t.runs(name, t.entries // 2)
         for lang, trie in tries.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([""]), pa.array([0], pa.int32()), pa.array([trie.words], pa.int64())], schema=_COUNTS)
+            if 1 in sizes:
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([""]), pa.array([total.get(lang, 0)], pa.int64())], schema=_COUNTS)
             yield from trie.runs(lang, 0)
 
-    return run, "lang string, phrase string, words int, count long"
+    return run, "lang string, phrase string, count long"
 
 
 def phrase_counts(
@@ -209,11 +248,28 @@ def phrase_counts(
     """``(lang, phrase, words, count)`` of all phrases of up to ``longest`` words that occur ``least`` times or more.
 
     The phrase without words counts all words of its language, however few. A null language is ``und``, a null text has no words.
+    The texts are read once for words and pairs, and once for each longer size.
     """
-    run, schema = _count(longest, most, burst)
-    counts = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).mapInArrow(run, schema)
-    merged = counts.repartition("lang", "phrase").groupBy("lang", "phrase", "words").agg(F.sum("count").alias("count"))
-    return merged.filter((F.col("count") >= least) | (F.col("words") == 0))
+    src = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+
+    def frequent(sizes: range, *maps) -> DataFrame:
+        run, schema = _count(sizes, longest, most, burst, *maps)
+        merged = src.mapInArrow(run, schema).repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("count").alias("count"))
+        merged = merged.filter((F.col("count") >= least) | (F.col("phrase") == ""))
+        size = F.when(F.col("phrase") == "", 0).otherwise(F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit(""))) + 1)
+        return cut(merged.select("lang", "phrase", size.cast("int").alias("words"), "count"), f"ph-{sizes[-1]}")
+
+    out = shorter = frequent(range(1, min(longest, 2) + 1))
+    for k in range(3, longest + 1):
+        named = shorter.filter(F.col("words") == k - 1)
+        n = named.count()
+        if not n:
+            break
+        power = min(MOST_BITS, max(15, n.bit_length() + BITS_A_PHRASE))
+        maps = bitmaps_of(named.select("lang", "phrase").mapInArrow(_hashed, "hash long"), power)
+        shorter = frequent(range(k, k + 1), maps, power)
+        out = out.unionByName(shorter)
+    return out
 
 
 def _joined(words, start, size):
@@ -241,7 +297,7 @@ def collocations(
     Texts may have any length; null and empty ones have no words. Rows that repeat count each. An empty table, or one
     without a phrase that is frequent enough, gives no rows; other columns are not looked at.
     """
-    found = cut(phrase_counts(docs, longest, least, lang_col, text_col), "ph-frequent")
+    found = phrase_counts(docs, longest, least, lang_col, text_col)
     named = found.filter("words >= 2").select("lang", "phrase", "words", F.col("count").alias("a"), F.split("phrase", " ").alias("w"))
     cuts = named.select("lang", "phrase", "words", "a", "w", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
     sides = F.array(
