@@ -5,7 +5,8 @@ the number of words, then the first ``LEAD`` words; a line of fewer than
 ``LEAST_WORDS`` words is a leaf by itself. The words after the lead are cut into four
 parts, any two of which may be variable fields: lines of a leaf that agree in two parts are of one
 template, whatever else lies in the leaf. So a line is of six templates, one for each two of
-its parts, besides the one that it is by itself.
+its parts, besides the one that it is by itself. In a line with numbers, words without a letter are fields too; a
+template in which no other word is fixed doesn't recur, so rows of figures stay.
 
 A template that occurs in ``min_docs`` documents or more recurs (``min_long`` for
 lines of ``LONG_WORDS`` words or more, which don't recur by chance); lines of fewer than ``SHORT_WORDS`` words
@@ -25,12 +26,14 @@ from tracewell.llm.rows import free, row_hash
 from tracewell.scratch import cut, drop
 
 LEAD, LEAST_WORDS, PARTS, LONG_WORDS, SHORT_WORDS = 3, 8, 4, 20, 3
+LETTER = r"\p{L}"
 
 
 def _described(lines: DataFrame) -> DataFrame:
     """``line`` as hash ``h``, word count ``n``, leaf and the hashes of its four parts."""
     words = F.filter(F.split("line", r"[\x09-\x0D\x20]+"), lambda x: x != "")
-    d = lines.withColumn("w", words).withColumn("n", F.size("w")).filter(F.col("n") >= SHORT_WORDS)
+    figures = F.contains("line", F.lit("<*>")) & ~F.col("line").rlike(LETTER)
+    d = lines.filter(~figures).withColumn("w", words).withColumn("n", F.size("w")).filter(F.col("n") >= SHORT_WORDS)
     tail = F.col("n") - LEAD
     cuts = [F.floor(tail * i / PARTS).cast("int") for i in range(PARTS + 1)]
     parts = [
@@ -39,9 +42,12 @@ def _described(lines: DataFrame) -> DataFrame:
     ]
     leaf = F.when(F.col("n") >= LEAST_WORDS, F.xxhash64("n", F.slice("w", 1, LEAD)))
     own = F.xxhash64("line")
+    spelled = lambda words: F.exists(words, lambda x: x.rlike(LETTER))
+    fixed = F.array(spelled(F.slice("w", 1, LEAD)), *[spelled(F.slice("w", LEAD + 1 + cuts[i], cuts[i + 1] - cuts[i])) for i in range(PARTS)])
     return d.select(
         *[c for c in lines.columns if c != "line"], own.alias("h"), "n", F.coalesce(leaf, own).alias("leaf"),
         *[p.alias(f"p{i}") for i, p in enumerate(parts)],
+        F.when(F.contains("line", F.lit("<*>")) & (F.col("n") >= LEAST_WORDS), fixed).alias("fixed"),  # null: all are
     )
 
 
@@ -59,11 +65,15 @@ def recurring(docs: DataFrame, min_docs: int, min_long: int) -> DataFrame:
     parts = [f"p{i}" for i in range(PARTS)]
     lines = cut(
         each.groupBy("leaf", "h").agg(
-            F.count("*").alias("docs"), F.min("id").alias("first"), F.first("n").alias("n"), *[F.first(p).alias(p) for p in parts]
+            F.count("*").alias("docs"), F.min("id").alias("first"), F.first("n").alias("n"), *[F.first(p).alias(p) for p in (*parts, "fixed")]
         ),
         "lt-lines",
     )
-    twos = F.array(*[F.xxhash64("leaf", F.lit(PARTS * i + j), *(parts[x] for x in (i, j))) for i in range(PARTS) for j in range(i + 1, PARTS)])
+    has = lambda i: F.col("fixed")[i + 1]
+    two = lambda i, j: F.when(
+        F.col("fixed").isNull() | F.col("fixed")[0] | has(i) | has(j), F.xxhash64("leaf", F.lit(PARTS * i + j), parts[i], parts[j])
+    )
+    twos = F.array_compact(F.array(*[two(i, j) for i in range(PARTS) for j in range(i + 1, PARTS)]))
     each = lines.filter(F.col("n") >= LEAST_WORDS).select("h", "n", "docs", "first", F.explode(twos).alias("template"))
     templates = each.groupBy("template").agg(
         F.sum("docs").alias("all"), F.count("*").alias("kinds"), F.min("first").alias("their_first"), F.first("n").alias("n")
@@ -93,25 +103,28 @@ def drop_recurring_lines(
 
 def _without(docs, id_col, text_col, chars_col, min_docs, min_long) -> tuple[DataFrame, DataFrame, tuple[str, str]]:
     """``docs`` without its recurring lines; the same with the numbers of lines that a text had and has lost, and their names."""
-    own, its, goes, n_lines, n_dropped = free(docs, "own", "its", "goes", "n_lines", "n_dropped")
+    own, its, goes, n_lines, n_dropped, split = free(docs, "own", "its", "goes", "n_lines", "n_dropped", "split")
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_hash(id_col, text_col).alias("row"))
     found = recurring(src, min_docs, min_long)
     lines = _masked(F.col("text"))
     each = src.select("id", "row", F.posexplode(lines).alias("pos", "line"))
     each = each.filter(F.trim("line") != "").select("id", "row", "pos", F.xxhash64("line").alias("h"))
     hits = each.join(found, "h").withColumn("opens", F.col("id").eqNullSafe(F.col("first"))).repartition("row")
-    # bounded by the lines of a document
-    hits = hits.groupBy("row", "h", "opens").agg(F.collect_set("pos").alias("at"))
-    hits = hits.withColumn("at", F.when(F.col("opens"), F.filter("at", lambda x: x != F.array_min("at"))).otherwise(F.col("at")))
+    # bounded by the lines of a document; positions are compared with a column, for a function would be asked again for each
+    hits = hits.groupBy("row", "h", "opens").agg(F.collect_set("pos").alias("at"), F.min("pos").alias("low"))
+    hits = hits.withColumn("at", F.when(F.col("opens"), F.filter("at", lambda x: x != F.col("low"))).otherwise(F.col("at")))
     lost = hits.filter(F.size("at") > 0).groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias(goes))
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(goes, i)), "\n")
     out = docs.withColumn(own, row_hash(id_col, text_col)).join(lost.withColumnRenamed("row", its), F.col(own) == F.col(its), "left")
+    # split once, behind a generator, and gathered by position
+    out = out.select("*", F.explode(F.array(F.split(F.col(text_col), "\n"))).alias(split))
+    stays = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(goes))
+    kept = F.array_join(F.transform(stays, lambda i: F.get(F.col(split), i)), "\n")
     new = F.when(F.col(goes).isNull(), F.col(text_col)).otherwise(kept)
-    counted = F.coalesce(F.size(F.split(F.col(text_col), "\n")), F.lit(0)).cast("long")
+    counted = F.coalesce(F.size(split), F.lit(0)).cast("long")
     out = out.withColumns({n_lines: counted, n_dropped: F.coalesce(F.size(goes), F.lit(0)).cast("long")}).withColumn(text_col, new)
     if chars_col in docs.columns:
         out = out.withColumn(chars_col, F.coalesce(F.length(text_col), F.lit(0)).cast(docs.schema[chars_col].dataType))
-    return out.drop(own, its, goes, n_lines, n_dropped), out, (n_lines, n_dropped)
+    return out.drop(own, its, goes, split, n_lines, n_dropped), out, (n_lines, n_dropped)
 
 
 def line_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -134,15 +147,21 @@ def _part(i: int) -> str:
     return f"array_to_string(w[4 + (n - 3) * {i} // 4 : 3 + (n - 3) * {i + 1} // 4], ' ')"
 
 
+def _has(part: str) -> str:
+    return f"(NOT contains(line, '<*>') OR regexp_matches({part}, '{LETTER}'))"
+
+
 OP5_SQL = rf"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS raw, string_split(regexp_replace(text, '[0-9]+', '<*>', 'g'), chr(10)) AS m FROM documents),
 l AS (SELECT doc_id, unnest(m) AS line, unnest(range(len(m))) AS pos FROM d),
 t AS (SELECT DISTINCT doc_id, line, list_filter(regexp_split_to_array(line, '[\x09-\x0D\x20]+'), lambda x: x <> '') AS w FROM l),
-g AS (SELECT *, len(w) AS n FROM t WHERE len(w) >= 3),
+g AS (SELECT *, len(w) AS n FROM t WHERE len(w) >= 3 AND {_has("line")}),
 k AS (SELECT line, n, CASE WHEN n >= 8 THEN CAST(n AS VARCHAR) || ' ' || array_to_string(w[1:3], ' ') ELSE 'own ' || line END AS leaf,
-        {", ".join(f"CASE WHEN n >= 8 THEN {_part(i)} ELSE '' END AS p{i}" for i in range(4))}, count(*) AS docs, min(doc_id) AS first
+        {", ".join(f"CASE WHEN n >= 8 THEN {_part(i)} ELSE '' END AS p{i}" for i in range(4))},
+        {_has("array_to_string(w[1:3], ' ')")} AS lead, count(*) AS docs, min(doc_id) AS first
       FROM g GROUP BY ALL),
-q AS (SELECT line, n, docs, first, unnest([{", ".join(f"[leaf, '{i}{j}', p{i}, p{j}]" for i in range(4) for j in range(i + 1, 4))}]) AS tpl FROM k WHERE n >= 8),
+q0 AS (SELECT line, n, docs, first, unnest([{", ".join(f"CASE WHEN lead OR {_has(f'p{i}')} OR {_has(f'p{j}')} THEN [leaf, '{i}{j}', p{i}, p{j}] END" for i in range(4) for j in range(i + 1, 4))}]) AS tpl FROM k WHERE n >= 8),
+q AS (SELECT * FROM q0 WHERE tpl IS NOT NULL),
 f AS (SELECT tpl, min(first) AS their_first FROM q GROUP BY tpl HAVING count(*) > 1 AND sum(docs) >= CASE WHEN any_value(n) >= 20 THEN 2 ELSE 3 END),
 r AS (SELECT line, min(first) AS first FROM (SELECT line, their_first AS first FROM q JOIN f USING (tpl)
       UNION ALL SELECT line, first FROM k WHERE docs >= CASE WHEN n >= 20 THEN 2 ELSE 3 END) GROUP BY line),
