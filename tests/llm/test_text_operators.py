@@ -25,12 +25,12 @@ def docs(spark, *rows):
 @pytest.mark.parametrize("name", [n for n in sorted(ORACLE) if not n.startswith(("op2", "pipeline"))])
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations", "labels", "benchmark"):
+    for t in ("documents", "conversations", "labels", "benchmark", "pages"):
         con.execute(f"create view {t} as select * from read_parquet('{DIR}/{t}.parquet')")
     got, want = QUERIES[name](spark, DIR).toPandas(), con.execute(ORACLE[name]).df()
     cols = sorted(want.columns)
     assert sorted(got.columns) == cols
-    a, b = (x[cols].astype(str).sort_values(cols).reset_index(drop=True) for x in (got, want))
+    a, b = (x[cols].convert_dtypes().astype(str).sort_values(cols).reset_index(drop=True) for x in (got, want))
     assert a.equals(b)
 
 
@@ -100,6 +100,57 @@ def test_a_stray_line_hides_no_template(spark):
     assert [out[i] for i in range(6)] == [variants[0], "", "", "", "", stray]
 
 
+def test_figures_stay(spark):
+    """Rows of numbers have no constant word, nor have templates whose words all lie in the variable parts."""
+    texts = ["1 2 3", "9 9 9", "55 1 0", "| 12 | 40 |", "| 7 | 8 |", "| 1 | 1 |", "- - - -", "- - - -", "- - - -"]
+    texts += [f"{i} {i + 1} {i + 2} word{'abc'[i]} {i} {i} {i} {i} {i} {i} {i} {i}" for i in range(3)]
+    texts += [f"Total of row {i} is {i * 7}" for i in range(3)]
+    out = {r["doc_id"]: r["text"] for r in L.drop_recurring_lines(docs(spark, *[(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert [out[i] for i in range(6)] == texts[:6] and [out[i] for i in range(9, 12)] == texts[9:12]
+    assert [out[i] for i in range(6, 9)] == ["- - - -", "", ""] and [out[i] for i in range(12, 15)] == [texts[12], "", ""]
+
+
+def test_lines_dropped_in_error(spark):
+    """Lines that differ by construction, in words and figures alike: none may go."""
+    rng = random.Random(12)
+    vocab = [f"{rng.choice('bcdfgklmnprst')}{rng.choice('aeiou')}{i:x}".translate({ord(c): "ghijklmnop"[int(c)] for c in "0123456789"}) for i in range(3000)]
+    line = lambda: " ".join(str(rng.randrange(999)) if rng.random() < 0.1 else rng.choice(vocab) for _ in range(rng.randrange(3, 30)))
+    df = docs(spark, *[(i, "\n".join(line() for _ in range(50)), "s") for i in range(400)])
+    assert L._without(df, "doc_id", "text", "n_chars", 3, 2)[1].agg(F.sum("n_dropped")).first()[0] == 0
+
+
+def test_many_lines_in_one_document(spark):
+    """Positions are matched in linear time: a text of 200,000 recurring lines takes seconds."""
+    import time
+
+    lines = "\n".join(f"line number x{'abcdefghij'[i % 10]}y{'abcdefghij'[i // 10 % 10]}z of this document" for i in range(200_000))
+    df = docs(spark, *[(i, lines + f"\nown {'abc'[i]} words here", "s") for i in range(3)]).repartition(3)
+    began = time.time()
+    out = {r["doc_id"]: r["text"] for r in L.drop_recurring_lines(df).collect()}
+    assert time.time() - began < 60
+    assert [out[i] for i in (1, 2)] == ["own b words here", "own c words here"] and len(out[0].split("\n")) == 101
+
+
+def test_a_document_that_holds_the_benchmark(spark):
+    """Time in proportion to the items, and each found where it stands."""
+    import time
+
+    rng = random.Random(6)
+    items = [(i, " ".join(f"q{rng.randrange(10**6)}" for _ in range(30))) for i in range(1600)]
+    took = {}
+    for n in (100, 400, 1600):
+        text = " ".join(t for _, t in items[:n])
+        began = time.time()
+        got = D.find_passages(docs(spark, (1, text, "s")), spark.createDataFrame(items[:n], "item_id long, text string")).collect()
+        took[n] = time.time() - began
+        assert {(r["item"], r["start"], r["end"], r["distance"]) for r in got} == {(i, 30 * i, 30 * i + 30, 0) for i in range(n)}
+    assert took[1600] < 40
+
+
+def test_places_apart():
+    assert D.apart([(0, 30, 2), (5, 30, 1), (30, 60, 0), (31, 60, 0), (90, 99, 3)]) == [(5, 30, 1), (30, 60, 0), (90, 99, 3)]
+
+
 CLASH = ["row", "id", "own", "its", "goes", "n_lines", "n_dropped", "its_id", "its_row", "taken", "kept", "_row", "_id", "_kept", "_goes", "_t", "h", "text_", "block"]
 
 

@@ -15,7 +15,9 @@ Walks that meet stay together and keep their order. From then on they are one
 walker for a run of windows, so a batch has fewer walkers with each step, and samples are
 hashed once for each walker that is left at the first step that they look at.
 
-Windows that lie over each other are one region, whose words travel once. The hashes of the
+Windows that lie over each other share a region of ``REGION`` words at most (more only where one hash is that of a longer
+run of windows), whose words travel once for each item that has a hash there. So a document that holds a whole benchmark
+costs what its items cost, each beside a few of its neighbours. What regions that overlap find twice is told apart at the end. The hashes of the
 items reach the documents as three bitmaps, sized by the number of hashes up to ``MOST_HASHES``; a
 larger benchmark is searched in so many rounds. Hashes found in a bitmap are joined with the items'
 hashes in full.
@@ -41,6 +43,7 @@ from tracewell.scratch import cut, drop
 WALKS, SAMPLES, COORDINATES = 3, 12, 4
 LEAST_WORDS, LONGEST = 5, 48
 EDITS = 0.1
+REGION = 160
 COARSE_POWER = 16
 BITS_A_HASH = 6  # as a power of two, in each bitmap
 MOST_HASHES = 1 << 21
@@ -249,13 +252,16 @@ def _probe(bitmaps: list[bytes], power: int, classes: list[int], id_type: str):
         row = np.searchsorted(first, opens, "right") - 1
         low, high = np.maximum(low, first[row]), np.minimum(high, first[row + 1] - 1)
         order = np.argsort(low, kind="stable")
-        low, high, h, row = low[order], high[order], h[order], row[order]
-        new = np.ones(len(low), bool)
-        new[1:] = low[1:] > np.maximum.accumulate(high)[:-1]
-        begins = np.flatnonzero(new)
-        for x, y in zip(begins, np.append(begins[1:], len(low))):
-            r, top = int(row[x]), int(high[x:y].max())
-            yield r, int(low[x] - first[r]), seq[low[x] : top].astype(np.int64), np.unique(h[x:y].astype(np.int64))
+        h, low, high, row = h[order].astype(np.int64), low[order].tolist(), high[order].tolist(), row[order].tolist()
+        x = 0
+        while x < len(low):
+            r, top, y = row[x], high[x], x + 1
+            most = max(top, low[x] + REGION)
+            while y < len(low) and row[y] == r and low[y] <= top and high[y] <= most:
+                top = max(top, high[y])
+                y += 1
+            yield r, int(low[x] - first[r]), seq[low[x] : top].astype(np.int64), np.unique(h[x:y])
+            x = y
 
     def _out(rows, b):
         columns = list(zip(*rows)) or [[]] * 5
@@ -333,6 +339,29 @@ def _verify(batches):
         )
 
 
+def apart(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """``(start, end, distance)`` of places that don't overlap: of two that do the closer one, of equal ones the first."""
+    out: list[tuple[int, int, int]] = []
+    for x in sorted(set(found)):
+        if not out or out[-1][1] <= x[0]:
+            out.append(x)
+        elif x[2] < out[-1][2]:
+            out[-1] = x
+    return out
+
+
+def _apart(batches):
+    for b in batches:
+        places = [apart([(x["start"], x["end"], x["distance"]) for x in xs]) for xs in b.column(4).to_pylist()]
+        of = pa.array(np.repeat(np.arange(b.num_rows), [len(x) for x in places]))
+        flat = [x for xs in places for x in xs]
+        t = b.take(of)
+        yield pa.RecordBatch.from_arrays(
+            [*(t.column(i) for i in range(4)), *(pa.array([x[i] for x in flat], pa.int64()) for i in range(3))],
+            ["id", "row", "item", "part", "start", "end", "distance"],
+        )
+
+
 def find_passages(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
@@ -356,6 +385,7 @@ def find_passages(
     src = docs.select(F.col(id_col).alias("id"), row_hash(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     rounds = max(1, -(-n // MOST_HASHES))
     power = max(COARSE_POWER, (n // rounds).bit_length() + BITS_A_HASH)
+    out_schema = f"id {id_type}, row long, item {item_type}, part int, start long, end long, distance long"
     found = None
     for i in range(rounds):
         mine = hashed.filter(F.pmod("hash", F.lit(rounds)) == i)
@@ -367,16 +397,12 @@ def find_passages(
         pairs = regions.select("id", "row", "begin", "words").join(hits, here).select("id", "row", "begin", "words", "item", "part")
         body = items.select(F.col("item").alias("named"), F.col("part").alias("p"), "body")
         pairs = pairs.join(body, F.col("item").eqNullSafe(F.col("named")) & (F.col("part") == F.col("p")))
-        checked = cut(
-            pairs.select("id", "row", "item", "part", "begin", "body", "words").mapInArrow(
-                _verify, f"id {id_type}, row long, item {item_type}, part int, start long, end long, distance long"
-            ),
-            "dc-found",
-        )
+        checked = cut(pairs.select("id", "row", "item", "part", "begin", "body", "words").mapInArrow(_verify, out_schema), "dc-found")
         drop(regions)
         found = checked if found is None else found.unionByName(checked)
     drop(items)
-    return found.distinct()
+    each = found.groupBy("id", "row", "item", "part").agg(F.collect_set(F.struct("start", "end", "distance")).alias("places"))
+    return each.mapInArrow(_apart, out_schema)
 
 
 def decontaminate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
