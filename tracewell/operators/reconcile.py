@@ -6,6 +6,8 @@ is the order of arrival, the smallest is the local side. All merges take any num
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 KEYS = ["entity_type", "key"]
@@ -89,25 +91,34 @@ def merge_sightings(versions: DataFrame, rule: dict[str, list[str]] = SIGHTING_R
     return d.select(*KEYS, props.alias("props"), "_top.origin", "_top.timestamp", "_top.version", "tombstone", "seq").select(*versions.columns)
 
 
-def merge(versions: DataFrame, rules: dict[str, str], default: str = "last_writer_wins", sighting_rule: dict[str, list[str]] = SIGHTING_RULE) -> DataFrame:
-    """Each type by its strategy: ``last_writer_wins``, ``sighting`` or ``tombstone``.
-
-    Keys with a tombstone under ``sighting`` are merged as tombstones.
-    """
+def _by_rule(versions: DataFrame, rules: dict[str, str], default: str, sightings: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Each type by its strategy; keys with a tombstone under ``sighting`` are merged as tombstones."""
     kinds = set(rules.values()) | {default}
-    rule = F.lit(default)
-    for t, r in rules.items():
-        rule = F.when(F.col("entity_type") == t, r).otherwise(rule)
-    d = versions.withColumn("_rule", rule)
+    d = versions.withColumn("_rule", _rule(rules, default))
     dead = d.filter(F.col("tombstone") & (F.col("_rule") == "sighting")).select(*KEYS).distinct()
     out = merge_lww(d.filter("_rule in ('last_writer_wins', 'tombstone')").drop("_rule"))
     if "sighting" in kinds:
         s = d.filter("_rule = 'sighting'").drop("_rule")
-        out = out.unionByName(merge_sightings(s.join(dead, KEYS, "left_anti").select(*versions.columns), sighting_rule))
+        out = out.unionByName(sightings(s.join(dead, KEYS, "left_anti").select(*versions.columns)))
         out = out.unionByName(merge_tombstone(s.join(dead, KEYS, "left_semi").select(*versions.columns)))
     return out
 
 
+def _rule(rules: dict[str, str], default: str) -> Column:
+    rule = F.lit(default)
+    for t, r in rules.items():
+        rule = F.when(F.col("entity_type") == t, r).otherwise(rule)
+    return rule
+
+
+def merge(versions: DataFrame, rules: dict[str, str], default: str = "last_writer_wins", sighting_rule: dict[str, list[str]] = SIGHTING_RULE) -> DataFrame:
+    """Each type by its strategy: ``last_writer_wins``, ``sighting`` or ``tombstone``.
+
+    Keys with a tombstone under ``sighting`` are merged as tombstones.
+    """
+    return _by_rule(versions, rules, default, lambda s: merge_sightings(s, sighting_rule))
+
+
 def compare_vectors(local: DataFrame, remote: DataFrame) -> DataFrame:
     """``(key, relation)``: how each local version vector stands to the remote one; a missing origin is 0."""
     d = local.select("key", F.col("version_vector").alias("a")).join(remote.select("key", F.col("version_vector").alias("b")), "key")
@@ -118,9 +129,80 @@ def compare_vectors(local: DataFrame, remote: DataFrame) -> DataFrame:
     return d.select("key", relation.alias("relation"))
 
 
+COUNTERS = "map<string,map<string,bigint>>"
+STAMPS = "map<string,struct<timestamp:bigint,origin:string>>"
+
+
+def _map_of(names: list[str], values: list[Column], kind: str) -> Column:
+    """A map of the values that aren't null."""
+    entries = F.array(*[F.struct(F.lit(n).alias("key"), v.alias("value")) for n, v in zip(names, values)])
+    return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())).cast(kind) if names else F.expr(f"cast(map() as {kind})")
+
+
+def _with_totals(df: DataFrame, fields: list[str]) -> DataFrame:
+    """``props`` with each counter as the sum over its origins."""
+    total = lambda f: F.aggregate(F.map_values(F.col("counters")[f]), F.lit(0).cast("long"), lambda a, x: a + x)
+    rest = F.map_filter("props", lambda k, _: ~k.isin(*fields)) if fields else F.col("props")
+    sums = _map_of(fields, [F.coalesce(total(f), F.lit(0)).cast("string") for f in fields], "map<string,string>")
+    return df.withColumn("props", F.map_concat(rest, sums))
+
+
+def _merge_sighting_states(states: DataFrame, rule: dict[str, list[str]]) -> DataFrame:
+    sums, newest = rule.get("sum", []), rule.get("newest", [])
+    ends = [(f, fn) for kind, fn in (("min", F.min), ("max", F.max)) for f in rule.get(kind, [])]
+    v = lambda f: F.col("props")[f]
+    aggs = [
+        F.min_by("props", F.struct("seq", "origin", "version")).alias("_local"), F.max(F.struct("timestamp", "origin", "version")).alias("_top"),
+        F.min("seq").alias("seq"), F.lit(False).alias("tombstone"), F.collect_list("counters").alias("_each"),  # a row a replica
+        *[fn(v(f).try_cast("long")).cast("string").alias(f"_e{i}") for i, (f, fn) in enumerate(ends)],
+        *[F.max(F.when(F.col("stamps")[f].isNotNull(), F.struct(F.col("stamps")[f].alias("at"), v(f).alias("value")))).alias(f"_n{i}") for i, f in enumerate(newest)],
+    ]
+    d = states.groupBy(*KEYS).agg(*aggs)
+    none = F.expr("cast(map() as map<string,bigint>)")
+    higher = lambda a, b: F.map_zip_with(F.coalesce(a, none), F.coalesce(b, none), lambda _, x, y: F.greatest(x, y))
+    d = d.withColumn("counters", F.aggregate("_each", F.expr(f"cast(map() as {COUNTERS})"), lambda a, x: F.map_zip_with(a, x, lambda _, p, q: higher(p, q))))
+    named = [f for f, _ in ends] + newest
+    values = [F.col(f"_e{i}") for i in range(len(ends))] + [F.col(f"_n{i}")["value"] for i in range(len(newest))]
+    rest = F.map_filter("_local", lambda k, _: ~k.isin(*named)) if named else F.col("_local")
+    props = F.map_concat(F.coalesce(rest, F.expr("map()").cast("map<string,string>")), _map_of(named, values, "map<string,string>"))
+    stamps = _map_of(newest, [F.col(f"_n{i}")["at"] for i in range(len(newest))], STAMPS)
+    d = _with_totals(d.withColumn("props", props), sums)
+    return d.withColumn("stamps", stamps).select(*KEYS, "props", "_top.origin", "_top.timestamp", "_top.version", "tombstone", "seq", "counters", "stamps").select(*states.columns)
+
+
+def merge_states(states: DataFrame, rules: dict[str, str], default: str = "last_writer_wins", sighting_rule: dict[str, list[str]] = SIGHTING_RULE) -> DataFrame:
+    """The state that holds what all given ones hold, in whatever order and however often each is given.
+
+    A state has ``counters``, for each summed field what each origin has counted itself, and ``stamps``, the version that each
+    newest field is from. An origin's count only grows, so the greatest is the latest and none is added twice.
+    """
+    return _by_rule(states, rules, default, lambda s: _merge_sighting_states(s, sighting_rule))
+
+
+def replica_state(log: DataFrame, rules: dict[str, str], default: str = "last_writer_wins", sighting_rule: dict[str, list[str]] = SIGHTING_RULE) -> DataFrame:
+    """The state of a replica from the versions that it has; of each origin all, or all up to some version.
+
+    A counter of an origin is the sum over its own versions. An origin that is missing counts under an empty name.
+    """
+    sums, newest = sighting_rule.get("sum", []), sighting_rule.get("newest", [])
+    at = F.struct(F.col("timestamp").cast("long").alias("timestamp"), F.col("origin").alias("origin"))
+    own = [F.when(F.col("props")[f].isNotNull(), at) for f in newest]
+    states = log.withColumns({"counters": F.expr(f"cast(map() as {COUNTERS})"), "stamps": _map_of(newest, own, STAMPS)})
+    merged = merge_states(states, rules, default, sighting_rule)
+    if not sums:
+        return merged
+    counted = log.filter((_rule(rules, default) == "sighting") & ~F.col("tombstone")).groupBy(*KEYS, F.coalesce("origin", F.lit("")).alias("_by"))
+    counted = counted.agg(*[F.sum(F.coalesce(F.col("props")[f].try_cast("long"), F.lit(0))).alias(f"_s{i}") for i, f in enumerate(sums)])
+    counted = counted.groupBy(*KEYS).agg(*[F.map_from_entries(F.collect_list(F.struct("_by", f"_s{i}"))).alias(f"_m{i}") for i in range(len(sums))])
+    counted = counted.select(*KEYS, _map_of(sums, [F.col(f"_m{i}") for i in range(len(sums))], COUNTERS).alias("_own"))
+    live = (_rule(rules, default) == "sighting") & ~F.col("tombstone")
+    d = merged.join(counted, KEYS, "left").withColumn("counters", F.when(live & F.col("_own").isNotNull(), F.col("_own")).otherwise(F.col("counters"))).drop("_own")
+    return _with_totals(d.filter(live), sums).unionByName(d.filter(~live | live.isNull())).select(*merged.columns)
+
+
 def reconcile(a: DataFrame, b: DataFrame, rules: dict[str, str]) -> DataFrame:
-    """The state that both replicas reach when they apply each other's versions."""
-    return merge(a.unionByName(b), rules)
+    """The state that both replicas reach from their states; again with either, it stays as it is."""
+    return merge_states(a.unionByName(b), rules)
 
 
 def split_mergeable(entries: DataFrame) -> tuple[DataFrame, DataFrame]:

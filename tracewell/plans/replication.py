@@ -6,13 +6,19 @@ from pyspark.sql import functions as F
 
 from tracewell.operators import reconcile as R, reports as M
 from tracewell.plans.base import VERSIONS, query, stamp, table, versions
+from tracewell.scratch import cut
 
 _LWW = f"""{VERSIONS}, w AS (SELECT *, row_number() OVER (PARTITION BY entity_type, key ORDER BY tombstone DESC, timestamp DESC, origin DESC, version DESC, seq) AS r FROM v)"""
-_OUT = "entity_type, key, origin, timestamp, tombstone"
+_ONE = "'1' AS n, CAST(sec AS VARCHAR) AS first_seen, CAST(sec AS VARCHAR) AS last_seen, origin AS context, CAST(version AS VARCHAR) AS location"
+_OUT = f"entity_type, key, origin, timestamp, tombstone, {_ONE}"
 
 
 def _plain(df):
-    return df.select("entity_type", "key", "origin", "timestamp", "tombstone")
+    p = F.col("props")
+    return df.select(
+        "entity_type", "key", "origin", "timestamp", "tombstone", p["count"].alias("n"), p["first_seen"].alias("first_seen"),
+        p["last_seen"].alias("last_seen"), p["context"].alias("context"), p["location"].alias("location"),
+    )
 
 
 _SIGHT = f"""{VERSIONS}, g AS (SELECT entity_type, key, count(*) AS n, min(sec) AS first_seen, max(sec) AS last_seen, arg_max(origin, (timestamp, origin)) AS context, arg_min(version, seq) AS location,
@@ -30,9 +36,11 @@ def lww(spark, d):
     return _plain(R.merge_lww(versions(spark, d)))
 
 
-@query("merge_tombstone", f"WITH {_LWW} SELECT {_OUT} FROM w WHERE r = 1")
+@query("merge_tombstone", f"WITH {_LWW.replace(chr(39) + 'error' + chr(39) + ' AND event_id % 5 = 0', chr(39) + 'view' + chr(39) + ' AND event_id % 2 = 0')} SELECT {_OUT} FROM w WHERE r = 1")
 def tombstone(spark, d):
-    return _plain(R.merge_tombstone(versions(spark, d)))
+    # half of the views delete, so most keys have several tombstones among later versions
+    v = versions(spark, d).withColumn("tombstone", (F.col("origin") == "view") & (F.col("version") % 2 == 0))
+    return _plain(R.merge_tombstone(v))
 
 
 @query("merge_sightings", f"WITH {_SIGHT} SELECT {_SIGHT_OUT} FROM g")
@@ -41,32 +49,39 @@ def sightings(spark, d):
 
 
 _RULES = {"sighting": "sighting", "device": "tombstone"}
-_MERGED = f"""{_LWW}, dead AS (SELECT DISTINCT key FROM v WHERE tombstone), x AS (SELECT * FROM w WHERE r = 1),
-top AS (SELECT entity_type, key, arg_max(origin, (timestamp, origin, version)) AS origin, max(timestamp) AS timestamp FROM v GROUP BY 1, 2)
-SELECT x.entity_type, x.key, CASE WHEN x.entity_type = 'sighting' AND d.key IS NULL THEN top.origin ELSE x.origin END AS origin,
-  CASE WHEN x.entity_type = 'sighting' AND d.key IS NULL THEN top.timestamp ELSE x.timestamp END AS timestamp, x.tombstone
-FROM x JOIN top USING (entity_type, key) LEFT JOIN dead d ON d.key = x.key"""
+_MERGED = f"""{_LWW}, dead AS (SELECT DISTINCT key FROM v WHERE tombstone),
+g AS (SELECT entity_type, key, count(*) AS n, min(sec) AS first_seen, max(sec) AS last_seen, arg_max(origin, (timestamp, origin)) AS context, arg_min(version, seq) AS location,
+  arg_max(origin, (timestamp, origin, version)) AS origin, max(timestamp) AS timestamp FROM v WHERE entity_type = 'sighting' AND key NOT IN (SELECT key FROM dead) GROUP BY 1, 2),
+m AS (SELECT {_OUT} FROM w WHERE r = 1 AND (entity_type <> 'sighting' OR key IN (SELECT key FROM dead))
+UNION ALL SELECT entity_type, key, origin, timestamp, false, CAST(n AS VARCHAR), CAST(first_seen AS VARCHAR), CAST(last_seen AS VARCHAR), context, CAST(location AS VARCHAR) FROM g)"""
 
 
-@query("merge_rules", f"WITH {_MERGED}")
+@query("merge_rules", f"WITH {_MERGED} SELECT * FROM m")
 def rules(spark, d):
     return _plain(R.merge(versions(spark, d), _RULES))
 
 
-@query("merge_kway", f"WITH {_MERGED}")
+@query("merge_kway", f"WITH {_MERGED} SELECT * FROM m")
 def kway(spark, d):
     v = versions(spark, d)
     out = None
-    for i in range(4):  # four replicas, in any order
-        part = v.filter(F.col("seq") % 4 == 3 - i)
+    for i in range(4):  # four replicas, each merged by itself before, in any order
+        part = R.merge(v.filter(F.col("seq") % 4 == 3 - i), _RULES)
         out = part if out is None else out.unionByName(part)
     return _plain(R.merge(out, _RULES))
 
 
-@query("reconcile", f"WITH {_MERGED}")
+@query("reconcile", f"WITH {_MERGED} SELECT *, 4 AS times FROM m")
 def reconcile(spark, d):
+    """Two replicas apply each other's states, and what comes out is applied to both again: four times the same rows."""
     v = versions(spark, d)
-    return _plain(R.reconcile(v.filter("seq % 3 = 0"), v.filter("seq % 3 <> 0"), _RULES))
+    early = F.col("timestamp") < F.lit(1_705_500_000_000)
+    home = F.col("origin").isin("view", "click")
+    a, b = (cut(R.replica_state(v.filter(mine | early), _RULES), name) for mine, name in ((home, "replica-a"), (~home, "replica-b")))
+    ab, ba = (cut(R.reconcile(*x, _RULES), "reconciled") for x in ((a, b), (b, a)))
+    every = [_plain(x) for x in (ab, ba, R.reconcile(ab, a, _RULES), R.reconcile(b, ba, _RULES))]
+    all_ = every[0].unionByName(every[1]).unionByName(every[2]).unionByName(every[3])
+    return all_.groupBy(*every[0].columns).agg(F.count("*").cast("int").alias("times"))
 
 
 @query("merge_quarantine", "SELECT event_type = 'error' AS rejected, count(*) AS n FROM events GROUP BY 1")
@@ -84,10 +99,10 @@ def _states(spark, d):
     return old, new
 
 
-@query("changelog", """WITH c AS (SELECT CAST(c_custkey AS VARCHAR) AS key, c_custkey % 7 <> 0 AS o, c_custkey % 11 <> 0 AS n, c_custkey % 5 = 0 AS ch FROM customer)
-SELECT 'Customer' AS label, key, 'b' AS origin, NOT n AS tombstone, CASE WHEN NOT o THEN 'insert' WHEN NOT n THEN 'tombstone' ELSE 'update' END AS change FROM c WHERE (o OR n) AND (NOT o OR NOT n OR ch)""")
+@query("changelog", """WITH c AS (SELECT CAST(c_custkey AS VARCHAR) AS key, c_custkey % 7 <> 0 AS o, c_custkey % 11 <> 0 AS n, c_custkey % 5 = 0 AS ch, c_mktsegment AS seg FROM customer)
+SELECT 'Customer' AS label, key, CASE WHEN n THEN CASE WHEN ch THEN 'CHANGED' ELSE seg END END AS s, 'b' AS origin, NOT n AS tombstone, CASE WHEN NOT o THEN 'insert' WHEN NOT n THEN 'tombstone' ELSE 'update' END AS change FROM c WHERE (o OR n) AND (NOT o OR NOT n OR ch)""")
 def changelog(spark, d):
-    return R.changelog(*_states(spark, d), "b", F.lit(1).cast("long")).select("label", "key", "origin", "tombstone", "change")
+    return R.changelog(*_states(spark, d), "b", F.lit(1).cast("long")).select("label", "key", F.col("props")["s"].alias("s"), "origin", "tombstone", "change")
 
 
 def _log(spark, d):
