@@ -91,6 +91,15 @@ def test_slices_of_long_texts(monkeypatch):
         assert got == counted([("x", t) for t in texts], 3)[0]
 
 
+def test_hashes_of_phrases_are_those_of_texts():
+    words, piece, hashes, _ = next(worded(iter([b"a bb ccc dd e a bb"]), 3))
+    rows = [b"a bb", b"bb ccc", b"ccc dd", b"dd e", b"e a", b"a bb"]
+    batch = pa.RecordBatch.from_arrays([pa.array(["x"] * 5 + ["y"]), pa.array([r.decode() for r in rows])], ["lang", "phrase"])
+    got = [np.uint64(h) for b in phrases._hashed(2)(iter([batch])) for h in b.column(0).to_numpy().view(np.uint64)]
+    want = phrases.phrase_hashes(hashes, 2, "x").tolist()
+    assert got[:5] == want[:5] and want[5] == want[0] and got[5] != want[5]
+
+
 def test_spill_takes_whole_subtrees_in_order():
     trie = PhraseTrie(3, burst=3)
     words = b"b a c b a d b a e a a a".split()

@@ -194,11 +194,22 @@ def phrase_hashes(hashes: np.ndarray, k: int, lang: str) -> np.ndarray:
     return W.shingle_hashes(hashes, np.array([0, len(hashes)]), k)[0] ^ _salt(lang) if len(hashes) >= k else np.zeros(0, np.uint64)
 
 
-def _hashed(batches):
-    """The hash of each ``(lang, phrase)``."""
-    for b in batches:
-        out = [phrase_hashes(h, len(h), lang)[0] for lang, p in zip(b.column(0).to_pylist(), b.column(1)) for h in [_words(p.as_buffer().to_pybytes())[2]]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(out, np.uint64).view(np.int64))], ["hash"])
+def _hashed(k: int):
+    """The hash of each ``(lang, phrase)`` of ``k`` words."""
+
+    def run(batches):
+        for b in batches:
+            salts = {lang: _salt(lang) for lang in pc.unique(b.column(0)).to_pylist()}
+            salt = np.array([salts[lang] for lang in b.column(0).to_pylist()], np.uint64)
+            for i, j, _, _ in W.chunks(b.column(1)):
+                raw = np.frombuffer(b"\n".join(b.column(1).slice(i, j - i).cast(pa.binary()).to_pylist()), np.uint8)
+                inside = np.zeros(len(raw) + 2, bool)
+                inside[1:-1] = (raw != 10) & (raw != 32)
+                s, e = np.flatnonzero(inside[1:-1] & ~inside[:-2]), np.flatnonzero(inside[1:-1] & ~inside[2:]) + 1
+                h = W.shingle_hashes(W.span_hashes(raw, s, e), np.arange(0, len(s) + 1, k), k)[0]
+                yield pa.RecordBatch.from_arrays([pa.array((h ^ salt[i:j]).view(np.int64))], ["hash"])
+
+    return run
 
 
 def _count(sizes: range, longest: int, most: int, burst: int, bitmaps: list[bytes] | None = None, power: int = 0):
@@ -266,7 +277,7 @@ def phrase_counts(
         if not n:
             break
         power = min(MOST_BITS, max(15, n.bit_length() + BITS_A_PHRASE))
-        maps = bitmaps_of(named.select("lang", "phrase").mapInArrow(_hashed, "hash long"), power)
+        maps = bitmaps_of(named.select("lang", "phrase").mapInArrow(_hashed(k - 1), "hash long"), power)
         shorter = frequent(range(k, k + 1), maps, power)
         out = out.unionByName(shorter)
     return out
@@ -320,10 +331,11 @@ def collocations(
     kept = weakest.join(inside, ["lang", "phrase"], "left").filter(F.col("longer").isNull() | (100 * F.col("longer") < share * F.col("a")))
     kept = kept.select("lang", "phrase", "a", "m.l", "m.r", "m.score")
     ranked = with_running(kept, [F.col("lang"), F.col("score").desc(), F.col("a").desc(), F.col("phrase")], "at")
-    begins = ranked.groupBy("lang").agg(F.min("at").alias("begin"))
-    best = ranked.join(begins, "lang").withColumn("rank", F.col("at") - F.col("begin") + 1).filter(F.col("rank") <= top)
     total = found.filter("words = 0").select("lang", F.col("count").alias("n"))
-    return best.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    # a table of a row a language, so that Spark knows its size
+    langs = cut(ranked.groupBy("lang").agg(F.min("at").alias("begin")).join(total, "lang"), "ph-languages")
+    best = ranked.join(langs, "lang").withColumn("rank", F.col("at") - F.col("begin") + 1).filter(F.col("rank") <= top)
+    return best.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 def op12_collocations(spark, sf_dir):
