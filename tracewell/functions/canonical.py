@@ -8,9 +8,13 @@ are split off by a filter, so all others stay in the JVM; for that the input is
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tracewell.scratch import cut
+
 VERSION = 1
 #: Digest lengths in hexadecimal digits. Fixed values.
 ALGORITHMS = {32: "md5", 40: "sha1", 64: "sha256", 96: "sha384", 128: "sha512"}
@@ -150,13 +154,15 @@ def canonicalise_email(df: DataFrame, col: str) -> DataFrame:
 
 
 def _timestamp_form(t: Column) -> Column:
-    """Of trimmed text."""
+    """Of trimmed text. Forms without a zone are read as UTC and the result is UTC, whatever the time zone of the session."""
     stamp = F.coalesce(
         F.when(t.rlike(RFC3339), F.try_to_timestamp(F.upper(t))),
         F.when(t.rlike("^[+-]?[0-9]{1,12}$"), F.timestamp_seconds(t.try_cast("long"))),
-        *[F.try_to_timestamp(t, F.lit(p)) for p in PATTERNS],
+        *[F.try_to_timestamp(F.concat(t, F.lit(" +0000")), F.lit(f"{p} Z")) for p in PATTERNS],
     )
-    return F.date_format(F.date_trunc("second", stamp), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    # a time without zone, from the epoch on, so that no step reads or shows session time
+    utc = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.unix_seconds(stamp))
+    return F.concat(F.replace(utc.cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
 
 
 def canonicalise_timestamp(df: DataFrame, col: str) -> DataFrame:
@@ -232,25 +238,55 @@ def dedupe_in_dump(df: DataFrame) -> DataFrame:
     return df.groupBy("dump_id", "canonical_key").agg(row).select("dump_id", "canonical_key", *[f"_r.{c}" for c in others]).select(*df.columns)
 
 
-def migrate_keys(
-    values: DataFrame, tables: dict[str, tuple[DataFrame, list[str]]], old: tuple[str, int], new: tuple[str, int]
-) -> dict[str, DataFrame]:
-    """``tables`` (name to frame and its key columns) with keys of the new salt and version.
+@dataclass
+class Keyed:
+    """A table whose ``keys`` are canonical keys.
 
-    ``values`` has ``field_type`` and ``canonical``. Each key column is one equi-join with the mapping
-    of old to new; a row tells by ``key_version`` whether all its keys were mapped.
+    ``undirected`` says that its two keys stand in order. ``combine`` names the aggregate of each column that isn't part of
+    a row's identity (``sum``, ``min``, ``max``): rows that become one under new keys are combined by it. None leaves rows as they are.
     """
-    # a value is hashed once, however often it was seen
-    pairs = values.select("field_type", "canonical").dropna().distinct().select(
-        key_of(F.col("field_type"), F.col("canonical"), *old).alias("_old"), key_of(F.col("field_type"), F.col("canonical"), *new).alias("_new")
-    )
+
+    df: DataFrame
+    keys: list[str]
+    undirected: bool = False
+    combine: dict[str, str] | None = None
+
+
+def key_aliases(values: DataFrame, old: tuple[str, int], new: tuple[str, int]) -> DataFrame:
+    """``(key, current_key)`` for the old and the new key of each ``(field_type, canonical)``; a value is hashed once, however often it was seen."""
+    kind, c = F.col("field_type"), F.col("canonical")
+    pairs = values.select("field_type", "canonical").dropna().distinct().select(key_of(kind, c, *old).alias("old"), key_of(kind, c, *new).alias("new"))
+    return pairs.select(F.explode(F.array("old", "new")).alias("key"), F.col("new").alias("current_key")).distinct()
+
+
+def current_keys(df: DataFrame, keys: list[str], aliases: DataFrame, known: str | None = None) -> DataFrame:
+    """``df`` with each of ``keys`` replaced by its current form; one without an alias stays. ``known`` names a column that says whether all had one."""
+    of, ok = aliases.select(F.col("key").alias("_key"), F.col("current_key").alias("_new")), F.lit(True)
+    for k in keys:
+        df = df.join(of, df[k] == F.col("_key"), "left").withColumns({k: F.coalesce("_new", k), f"_ok_{k}": F.col("_new").isNotNull()}).drop("_key", "_new")
+        ok = ok & F.col(f"_ok_{k}")
+    return (df.withColumn(known, ok) if known else df).drop(*[f"_ok_{k}" for k in keys])
+
+
+def migrate_keys(values: DataFrame, tables: dict[str, Keyed | tuple[DataFrame, list[str]]], old: tuple[str, int], new: tuple[str, int]) -> dict[str, DataFrame]:
+    """``tables`` with keys of the new salt and version.
+
+    ``values`` has ``field_type`` and ``canonical``. One table of aliases, written once, serves all of them, an equi-join a key
+    column. Rows under old and new keys may stand side by side, as they do while writers change over: undirected pairs are put in
+    order again, and rows that become one are combined. A row tells by ``key_version`` whether all its keys were known.
+    """
+    aliases = cut(key_aliases(values, old, new), "key-aliases")
     out = {}
-    for name, (df, keys) in tables.items():
-        mapped = F.lit(True)
-        for k in keys:
-            df = df.join(pairs, df[k] == F.col("_old"), "left").drop("_old")
-            df = df.withColumns({k: F.coalesce("_new", k), f"_ok_{k}": F.col("_new").isNotNull()}).drop("_new")
-            mapped = mapped & F.col(f"_ok_{k}")
-        df = df.withColumn("key_version", F.when(mapped, new[1]).otherwise(old[1]))
-        out[name] = df.drop(*[f"_ok_{k}" for k in keys])
+    for name, t in tables.items():
+        t = t if isinstance(t, Keyed) else Keyed(*t)
+        d = current_keys(t.df, t.keys, aliases, "_known")
+        if t.undirected:
+            a, b = t.keys
+            d = d.withColumns({a: F.least(a, b), b: F.greatest(a, b)})
+        d = d.withColumn("key_version", F.when(F.col("_known"), new[1]).otherwise(old[1])).drop("_known")
+        if t.combine is not None:
+            same = [c for c in d.columns if c not in t.combine]
+            aggregates = [getattr(F, how)(c).alias(c) for c, how in t.combine.items()]
+            d = d.groupBy(*same).agg(*aggregates).select(*d.columns) if aggregates else d.distinct()
+        out[name] = d
     return out

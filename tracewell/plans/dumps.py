@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewell.functions import canonical as C
-from tracewell.operators import reports as M
+from tracewell.operators import graph as G, reports as M
 from tracewell.plans.base import CELLS, SALT, cells, key_sql, query, raw_cells, stamp, table
 from tracewell.scratch import cut, shared_dir
 from tracewell.sources import records as S
@@ -283,13 +283,26 @@ def sanitise(spark, d):
     return x.select("c_custkey", "label", F.concat_ws(",", F.transform(F.map_entries("props"), lambda e: F.concat_ws("=", e["key"], e["value"]))).alias("props"))
 
 
-@query("normalise_typed", f"""WITH {_LINES} SELECT field_type, count(*) AS n, count(DISTINCT canonical) AS forms, sum(CAST(error IS NOT NULL AS INT))::BIGINT AS errors FROM
-(SELECT field_type, raw, CASE field_type WHEN 'domain' THEN lower(raw) WHEN 'email' THEN regexp_extract(raw, '^(.*)@', 1) || '@' || lower(regexp_extract(raw, '@(.*)$', 1)) END AS canonical,
- CASE WHEN field_type = 'hash' THEN 'x' END AS error FROM r WHERE error IS NULL) GROUP BY 1""")
+@query("normalise_typed", """WITH e AS (SELECT event_id, event_id % 9 AS n, user_id, ts FROM events),
+r AS (SELECT event_id, CASE n WHEN 0 THEN 'domain' WHEN 1 THEN 'email' WHEN 2 THEN 'hash' WHEN 3 THEN 'ip' WHEN 4 THEN 'ip' WHEN 5 THEN 'ip' WHEN 6 THEN 'timestamp' WHEN 7 THEN 'timestamp' ELSE 'other' END AS field_type,
+  CASE n WHEN 0 THEN 'host' || user_id || '.example.com' WHEN 1 THEN 'User' || user_id || '@xn--bcher-kva.u' || user_id || '.example' WHEN 2 THEN md5(CAST(user_id AS VARCHAR))
+    WHEN 3 THEN '10.0.' || (user_id % 256) || '.' || (event_id % 256) WHEN 4 THEN '2001:db8::' || lower(to_hex(user_id + 1)) WHEN 6 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ')
+    WHEN 8 THEN 'note ' || user_id END AS canonical FROM e)
+SELECT event_id, field_type, canonical, CASE WHEN canonical IS NULL THEN 'invalid_' || field_type END AS error,
+  CASE WHEN canonical IS NOT NULL THEN sha256('tracewell:v1:' || field_type || ':' || canonical) END AS canonical_key FROM r""")
 def normalise_typed(spark, d):
-    ok, _ = S.split_rejects(S.parse_kv_lines(_kv_lines(spark, d)))
-    x = C.normalise(cut(ok, "records"), "field_type", "raw", SALT)
-    return x.groupBy("field_type").agg(F.count("*").alias("n"), F.count_distinct("canonical").alias("forms"), F.count("error").alias("errors"))
+    """Every kind of value in one table, also such as Python has to read, and such as are none."""
+    n, e = F.col("event_id") % 9, table(spark, d, "events")
+    kind = F.when(n == 0, " Domain ").when(n == 1, "EMAIL").when(n == 2, "hash").when(n <= 5, "ip").when(n <= 7, "timestamp").otherwise("Other")
+    raw = (
+        F.when(n == 0, F.concat(F.lit(" Host"), "user_id", F.lit(".Example.COM. "))).when(n == 1, F.concat(F.lit("User"), "user_id", F.lit("@B\u00fccher.U"), "user_id", F.lit(".example")))
+        .when(n == 2, F.concat(F.lit(" "), F.upper(F.md5(F.col("user_id").cast("string").cast("binary")))))
+        .when(n == 3, F.concat(F.lit("10.0."), F.col("user_id") % 256, F.lit("."), F.col("event_id") % 256))
+        .when(n == 4, F.concat(F.lit("2001:0DB8:0:0:0:0:0:"), F.hex(F.col("user_id") + 1))).when(n == 5, F.concat(F.lit("10.0.0."), F.col("user_id") + 256))
+        .when(n == 6, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).when(n == 7, F.date_format("ts", "yyyy-MM-dd")).otherwise(F.concat(F.lit("Note "), "user_id"))
+    )
+    x = C.normalise(e.select("event_id", kind.alias("field_type"), raw.alias("raw")), "field_type", "raw", SALT)
+    return x.select("event_id", F.lower(F.trim("field_type")).alias("field_type"), "canonical", "error", "canonical_key")
 
 
 @query("dump_dedup", f"WITH {CELLS} SELECT dump_id, k AS canonical_key, min(raw) AS raw FROM cells GROUP BY 1, 2")
@@ -305,6 +318,34 @@ def migrate(spark, d):
     return out["s"].select("row_index", "position", "canonical_key", "key_version")
 
 
+_FRESH = key_sql("col", "canonical", "fresh", 2)
+
+
+@query("migrate_graph", f"""WITH {CELLS}, c AS (SELECT *, {_FRESH} AS fresh FROM cells)
+SELECT 'node' AS part, fresh AS a, arg_min(canonical, (ts, canonical)) AS b, CAST(NULL AS BIGINT) AS n, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS t, 2 AS key_version FROM c GROUP BY fresh
+UNION ALL SELECT DISTINCT 'value_of', fresh, col, NULL, NULL, 2 FROM c
+UNION ALL SELECT 'co_occurs', x.fresh, y.fresh, count(*), strftime(max(x.ts), '%Y-%m-%d %H:%M:%S'), 2 FROM c x JOIN c y ON x.dump_id = y.dump_id AND x.row_index = y.row_index AND x.fresh < y.fresh GROUP BY 2, 3""")
+def migrate_graph(spark, d):
+    """A graph of which nine tenths were written under old keys and one tenth, by writers that had changed over, under new ones."""
+    c = cells(spark, d)
+    new = C.with_canonical_key(raw := c.drop("canonical_key"), "column", "canonical", "fresh", 2)
+    both = [c.filter("row_index % 10 > 0"), new.filter("row_index % 10 = 0")]
+    side = lambda f: f(both[0]).unionByName(f(both[1]))
+    tables = {
+        "node": C.Keyed(side(G.field_values), ["canonical_key"], combine={"value": "min", "created_at": "min"}),
+        "value_of": C.Keyed(side(G.value_of), ["canonical_key"], combine={}),
+        "co_occurs": C.Keyed(side(G.co_occurs), ["a_key", "b_key"], undirected=True, combine={"count": "sum", "last_seen": "max"}),
+    }
+    out = C.migrate_keys(raw.select(F.col("column").alias("field_type"), "canonical"), tables, (SALT, 1), ("fresh", 2))
+    none, shown = F.lit(None).cast("long"), ["part", "a", "b", "n", "t", "key_version"]
+    parts = [
+        out["node"].select(F.lit("node").alias("part"), F.col("canonical_key").alias("a"), F.col("value").alias("b"), none.alias("n"), stamp("created_at").alias("t"), "key_version"),
+        out["value_of"].select(F.lit("value_of").alias("part"), F.col("canonical_key").alias("a"), F.col("name").alias("b"), none.alias("n"), F.lit(None).cast("string").alias("t"), "key_version"),
+        out["co_occurs"].select(F.lit("co_occurs").alias("part"), F.col("a_key").alias("a"), F.col("b_key").alias("b"), F.col("count").alias("n"), stamp("last_seen").alias("t"), "key_version"),
+    ]
+    return parts[0].select(*shown).unionByName(parts[1].select(*shown)).unionByName(parts[2].select(*shown))
+
+
 def _records(spark, d):
     x = _kv_lines(spark, d).withColumn("dump_id", F.concat(F.lit("d"), F.col("event_id") % 7))
     r = S.parse_kv_lines(x.select("line")).select("line", "field_type", "raw", "error").distinct()

@@ -302,11 +302,39 @@ def asn(spark, d):
     return x.withColumn("enriched_at", stamp("enriched_at"))
 
 
-@query("enrich_cidr", f"""WITH {_VALUES} SELECT k AS canonical_key, canonical, CASE WHEN b < 128 THEN a || '.0.0.0/9' ELSE (a - a % 16) || '.0.0.0/4' END AS network, CASE WHEN b < 128 THEN 9 ELSE 4 END AS prefix_len FROM o WHERE a < 256""")
+_V6 = """six AS (SELECT k AS canonical_key, canonical FROM o WHERE a < 256 UNION ALL
+  SELECT sha256('six:' || user_id), '2001:db8:' || lower(to_hex(user_id % 16)) || ':' || lower(to_hex(user_id)) || '::' || lower(to_hex(user_id % 7 + 1)) FROM (SELECT DISTINCT user_id FROM events))"""
+_BITS = """CASE WHEN contains(canonical, '.') THEN '4' || array_to_string(list_transform(string_split(canonical, '.'), lambda x: right(bin(256 + CAST(x AS INT)), 8)), '')
+  ELSE '6' || array_to_string(list_transform(list_concat(string_split(string_split(canonical, '::')[1], ':'), ['0', '0', '0', string_split(canonical, '::')[2]]), lambda x: right(bin(65536 + CAST('0x' || x AS INT)), 16)), '') END"""
+_NETS = """nets AS (SELECT '4' || right(bin(256 + i), 8)[1:l] AS bits, (i - i % (1 << (8 - least(l, 8)))) || '.0.0.0/' || l AS network, l AS prefix_len FROM (SELECT CAST(unnest(range(256)) AS INT) AS i, 9 AS l)
+    UNION ALL SELECT '4' || right(bin(256 + i * 16), 8)[1:4], i * 16 || '.0.0.0/4', 4 FROM (SELECT CAST(unnest(range(16)) AS INT) AS i)
+    UNION ALL SELECT '6' || right(bin(65536 + 8193), 16) || right(bin(65536 + 3512), 16) || right(bin(65536 + i), 16)[1:12 + l], '2001:db8:' || lower(to_hex(i)) || '::/' || (44 + l), 44 + l
+      FROM (SELECT CAST(unnest(range(0, 16, 2)) AS INT) AS i, 3 AS l UNION ALL SELECT CAST(unnest([1, 5, 6]) AS INT), 4)
+    UNION ALL SELECT '6' || right(bin(65536 + 8193), 16) || right(bin(65536 + 3512), 16) || right(bin(65536 + u % 16), 16) || right(bin(65536 + u), 16) || repeat('0', 61) || right(bin(8 + u % 7 + 1), 3),
+      '2001:db8:' || lower(to_hex(u % 16)) || ':' || lower(to_hex(u)) || '::' || lower(to_hex(u % 7 + 1)) || '/128', 128 FROM (SELECT CAST(unnest(range(0, 100, 9)) AS INT) AS u))"""
+
+
+@query("enrich_cidr", f"""WITH {_VALUES}, {_V6}, {_NETS.replace("right(bin(256 + i), 8)[1:l]", "right(bin(256 + i), 8) || '0'")}, x AS (SELECT *, {_BITS} AS lead FROM six)
+SELECT canonical_key, canonical, arg_max(network, prefix_len) AS network, max(prefix_len) AS prefix_len, NULL AS error FROM x JOIN nets ON starts_with(lead, bits) GROUP BY 1, 2
+UNION ALL SELECT NULL, NULL, network, NULL, error FROM (VALUES ('10.1.0.0', 'invalid_network'), ('bad/x', 'invalid_network'), ('10.0.0.0/33', 'invalid_prefix'),
+  ('::/129', 'invalid_prefix'), ('1:2:3/16', 'invalid_network'), ('10.0.0.0/', 'invalid_network'), ('300.1.1.1/8', 'invalid_network'), ('1::2::3/64', 'invalid_network')) AS e(network, error)""")
 def cidr(spark, d):
-    a = spark.range(256).select(F.concat(F.col("id").cast("string"), F.lit(".0.0.0/9")).alias("network"))
-    b = spark.range(16).select(F.concat((F.col("id") * 16).cast("string"), F.lit(".0.0.0/4")).alias("network"))
-    return E.enrich_cidr(_values(spark, d), a.unionByName(b)).select("canonical_key", "canonical", "network", "prefix_len")
+    """Networks of both versions and many lengths, some of which can't be read, over the addresses of documents and one of version 6 a user."""
+    net = lambda df, e: df.select(F.expr(e).alias("network"))
+    four = net(spark.range(256), "id || '.0.0.0/9'").unionByName(net(spark.range(16), "id * 16 || '.0.0.0/4'"))
+    six = net(spark.range(0, 16, 2), "'2001:db8:' || lower(hex(id)) || '::/47'").unionByName(net(spark.range(16).filter("id in (1, 5, 6)"), "'2001:DB8:' || hex(id) || '::/48'"))
+    one = net(spark.range(0, 100, 9), "'2001:db8:' || lower(hex(id % 16)) || ':' || lower(hex(id)) || '::' || (id % 7 + 1) || '/128'")
+    bad = net(spark.range(1), "explode(array('10.1.0.0', 'bad/x', '10.0.0.0/33', '::/129', '1:2:3/16', '10.0.0.0/', '300.1.1.1/8', '1::2::3/64'))")
+    networks = four.unionByName(six).unionByName(one).unionByName(bad)
+    u = table(spark, d, "events").select("user_id").distinct()
+    v6 = u.select(
+        F.sha2(F.concat(F.lit("six:"), "user_id"), 256).alias("canonical_key"),
+        F.expr("'2001:db8:' || lower(hex(user_id % 16)) || ':' || lower(hex(user_id)) || '::' || (user_id % 7 + 1)").alias("canonical"), F.lit("ip").alias("field_type"),
+    )
+    values = _values(spark, d).select("canonical_key", "canonical", "field_type").unionByName(v6)
+    found = E.enrich_cidr(values, networks).select("canonical_key", "canonical", F.lower("network").alias("network"), "prefix_len", F.lit(None).cast("string").alias("error"))
+    none = F.lit(None).cast("string")
+    return found.unionByName(E.split_networks(networks)[1].select(none.alias("canonical_key"), none.alias("canonical"), "network", F.lit(None).cast("int").alias("prefix_len"), "error"))
 
 
 _HOST = "lower(regexp_extract(url, 'https?://([^/?#]+)', 1))"

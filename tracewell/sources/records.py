@@ -235,11 +235,18 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, ["path", "content", "error"])
 
 
+def _record(sep: str) -> str:
+    """A record of separated values: fields in quotes may hold anything, others end at the separator or the line."""
+    field = f'(?:\\x20*+"(?:[^"]++|"")*+"[^{sep}\\n]*+|[^{sep}\\n]*+)'
+    return f"{field}(?:{sep}{field})*+"
+
+
 def parse_dumps(files: DataFrame, hints: dict[str, str] | None = None) -> DataFrame:
     """Records ``(path, kind, field_type, raw, line, error)`` of ``(path, content)``, each dump read by the kind that it shows.
 
-    Packed dumps are opened and classified again by what is inside. JSON is read a line each, CSV and TSV below
-    their header; a dump of another kind, or a broken one, is one record with an error. A dump is a row, so it is
+    Packed dumps are opened and classified again by what is inside. Lines of JSON are read each; a JSON document is an array
+    of records, or one record, on however many lines, and is read by lines where it is no document. CSV and TSV are read below
+    their header, and a quoted value may hold ends of lines; one that is never closed ends with its line. A dump of another kind, or a broken one, is one record with an error. A dump is a row, so it is
     in memory as a whole: for files of gigabytes of one known kind use the reader of that kind, which splits them.
     """
     known = files.select("path", "content", _kind(F.col("content"), _hinted(files, hints)).alias("kind"), F.lit(None).cast("string").alias("error"))
@@ -248,8 +255,17 @@ def parse_dumps(files: DataFrame, hints: dict[str, str] | None = None) -> DataFr
     inside = inside.withColumn("kind", _kind(F.col("content"), F.lit(None).cast("string")))
     d = known.filter(~packed).unionByName(inside)
     d = d.withColumn("error", F.coalesce("error", F.when(~F.col("kind").isin("ndjson", "json", "csv", "tsv"), "unsupported_format")))
-    at = F.when(F.col("error").isNotNull(), F.array(F.lit(None).cast("string"))).otherwise(F.split(F.col("content").cast("string"), "\r?\n"))
-    lines = d.select("path", "kind", "error", F.posexplode(at).alias("_n", "line"))
+    d = once(d, _t=F.when(F.col("error").isNull(), F.col("content").cast("string")))
+    d = once(d, _w=F.when(F.col("kind") == "json", F.expr("try_parse_json(_t)")))
+    records = F.expr("schema_of_variant(try_variant_get(_w, '$[0]'))").rlike("^(OBJECT|ARRAY)")
+    document = F.when(records, F.transform(F.expr("try_cast(_w as array<variant>)"), lambda x: F.to_json(x))).when(F.col("_w").isNotNull(), F.array(F.to_json("_w")))
+    at = (
+        F.when(F.col("error").isNotNull(), F.array(F.lit(None).cast("string")))
+        .when(F.col("kind") == "csv", F.regexp_extract_all("_t", F.lit(_record(",")), F.lit(0)))
+        .when(F.col("kind") == "tsv", F.regexp_extract_all("_t", F.lit(_record("\t")), F.lit(0)))
+        .otherwise(F.coalesce(document, F.split("_t", "\r?\n")))
+    )
+    lines = d.select("path", "kind", "error", F.posexplode(at).alias("_n", "line")).withColumn("line", F.regexp_replace("line", "\r$", ""))
     json = parse_kv_lines(lines.filter(F.col("kind").isin("ndjson", "json") | F.col("error").isNotNull()).drop("_n"))
     out = json.select("path", "kind", "field_type", "raw", "line", "error")
     for kind, sep in (("csv", ","), ("tsv", "\t")):
