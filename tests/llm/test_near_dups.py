@@ -69,14 +69,56 @@ def test_what_a_large_node_ships(spark):
     sizes = Counter(r["group"] for r in groups)
     assert len(sizes) == 10 and max(sizes.values()) < 700
     found = rows.filter("key >= 3").select(F.col("key").alias("vertex"), F.lit(3).cast("long").alias("component"))
-    groups = N._left_over(rows, found, 1024).collect()
+    rest, sparse = N._left_over(rows, found, 1024)
+    groups = rest.collect()
+    assert sparse.isEmpty()
     meets = {}
     for r in groups:
         meets.setdefault(r["group"], set()).add(r["key"])
     for k in (0, 1, 2):
         assert set().union(*(m for m in meets.values() if k in m)) == set(range(5000))
     assert len(groups) <= 5000 + 3 * 10
-    assert N._left_over(rows, rows.select(F.col("key").alias("vertex"), F.lit(0).cast("long").alias("component")), 1024).count() == 0
+    rest, sparse = N._left_over(rows, rows.select(F.col("key").alias("vertex"), F.lit(0).cast("long").alias("component")), 1024)
+    assert rest.isEmpty() and sparse.isEmpty()
+
+
+def test_a_large_node_without_links_ships_in_proportion(spark):
+    """Sets that share two thirds of their tokens and are linked with none: what is compared grows with their number."""
+    shipped = {}
+    for n in (1500, 6000):
+        rows = spark.range(n).select(F.lit(7).cast("long").alias("node"), F.col("id").alias("key"), F.lit(n).cast("long").alias("n"))
+        none = spark.createDataFrame([], "vertex long, component long")
+        rest, sparse = N._left_over(rows, none, 1024)
+        assert rest.isEmpty() and sparse.count() == n
+        own = F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: F.lit(10**6) + 10 * F.floor(F.col("key") / F.when(F.col("key") < 40, 2).otherwise(1)) + i + F.when(F.col("key") < 40, 0).otherwise(10**6))
+        tokens = rows.select("key", F.concat(F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: i.cast("long")), own.cast("array<long>")).alias("tokens"))
+        groups = N._by_rare_tokens(sparse, tokens, 80, 100, 1024).collect()
+        shipped[n] = len(groups)
+        meets = {}
+        for r in groups:
+            meets.setdefault(r["node"], set()).add(r["key"])
+        assert all(any({2 * i, 2 * i + 1} <= m for m in meets.values()) for i in range(20))
+    assert shipped[6000] <= 4 * shipped[1500] and shipped[6000] < 6000
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_one_long_passage_and_little_else(spark, seed):
+    """Documents of one passage, most of them unlike, some near copies of each other, and many that share a second one."""
+    rng = random.Random(seed)
+    passage, second = [f"p{i}" for i in range(40)], [f"s{i}" for i in range(9)]
+    rows = []
+    for d in range(120):
+        w = passage + [f"o{d}x{i}" for i in range(20)]
+        if d % 3 == 0:
+            w = passage + second + [f"o{d}x{i}" for i in range(11)]
+        if d % 5 == 1:
+            w = rows[-1][1].split()
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(100)}"
+        rows.append((d, " ".join(w)))
+    df = spark.createDataFrame([(d, t, "x") for d, t in rows], SCHEMA)
+    got = N.near_duplicates(df, shingle=3, limit=8, cluster_limit=10, max_depth=1).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(brute(rows, 3))
 
 
 @pytest.mark.parametrize("seed", [3, 4])

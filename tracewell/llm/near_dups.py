@@ -23,8 +23,12 @@ The steps, each of them a Spark job that writes to the shared folder:
 
 Nodes that are still large at ``max_depth`` hold sets that agree on many coordinates, most of them copies of one
 text with few changes. Such a node is one coarse cluster. Its texts are compared inside blocks, each with the same few
-pivots, which links most of them; whatever is not linked to most of the node is then compared with all of it,
-in pairs of blocks. So the texts that are shipped grow with the node, not with its square, and no cap loses a link.
+pivots, which links most of them. If few are left that are not linked to most of the node, they are compared with all of it,
+in pairs of blocks. If many are, the node has no such majority: its texts share a long passage, say, and little else. Then each set is looked up by its
+rarest shingles: of two sets at the similarity, both have a common one among the first ``n - ceil(similarity * n) + 1`` of the node's order from
+rare to frequent. What all share comes last in that order, so the groups of sets with a common rare shingle are small; sketches rule out pairs in them, and
+the texts of what is left are compared. So what is shipped grows with the node, not with its square, but where very many sets share
+rare shingles and are unlike all the same: their sketches are compared in pairs of blocks. No cap loses a link.
 
 Recall: a pair at the threshold stays together down one tree with probability 0.80 after one level, 0.46 after five
 and 0.27 after twelve; with twelve trees it is missed with a probability of 4e-9, 6e-4 and 0.02. Deep nodes hold sets of
@@ -267,11 +271,11 @@ def _with_pivots(rows: DataFrame, limit: int) -> DataFrame:
     return own.unionByName(pivots.select(F.xxhash64("node", "block").alias("group"), "key")).distinct()
 
 
-def _left_over(rows: DataFrame, found: DataFrame, limit: int) -> DataFrame:
-    """Groups in which each set that isn't linked to most of its large node meets every set of the node.
+def _left_over(rows: DataFrame, found: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """What is still to be compared in large nodes, as sets that are linked to most of their node, by whatever path, are of its component.
 
-    Sets that are linked to most, by whatever path, are of its component, so only the others can have links that
-    were not found.
+    First groups in which each set that isn't meets every set of the node, for nodes with ``limit`` such sets at most; then
+    the ``(node, key)`` of all other nodes that have some.
     """
     d = rows.join(found.select(F.col("vertex").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     d = cut(d, "nd-large")
@@ -279,11 +283,46 @@ def _left_over(rows: DataFrame, found: DataFrame, limit: int) -> DataFrame:
     most = cut(each.groupBy("node").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("all")), "nd-most")
     most = most.select("node", F.col("m.component").alias("main"), (F.col("all") - F.col("m.c")).alias("others")).filter("others > 0")
     d = d.join(most, "node")
+    some = d.filter(F.col("others") <= limit)
     mine, parts = _block("n", limit)
-    other, other_parts = _block("others", limit)
-    few = d.filter("component <> main").select("node", "key", other.alias("a"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("b"))
-    every = d.select("node", "key", F.explode(F.sequence(F.lit(0), other_parts - 1)).alias("a"), mine.alias("b"))
-    return few.unionByName(every).select(F.xxhash64("node", "a", "b", F.lit("left over")).alias("group"), "key").distinct()
+    other, other_parts = _block("others", limit)  # two at most
+    few = some.filter("component <> main").select("node", "key", other.alias("a"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("b"))
+    every = some.select("node", "key", F.explode(F.sequence(F.lit(0), other_parts - 1)).alias("a"), mine.alias("b"))
+    groups = few.unionByName(every).select(F.xxhash64("node", "a", "b", F.lit("left over")).alias("group"), "key").distinct()
+    return groups, d.filter(F.col("others") > limit).select("node", "key")
+
+
+def _tokens(k: int):
+    """The shingle hashes of each set, from texts that may not be its own."""
+
+    def run(batches):
+        for b in batches:
+            keys, sets = [], []
+            for h, want in zip(_sets_of(b.column(1), k), b.column(0).to_pylist()):
+                if len(h) and _set_key(h) == want:
+                    keys.append(want)
+                    sets.append(h.view(np.int64))
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["key", "tokens"])
+
+    return run
+
+
+def _by_rare_tokens(rows: DataFrame, tokens: DataFrame, part: int, whole: int, limit: int) -> DataFrame:
+    """Groups ``(node, key)`` of ``limit`` sets at most in which any two sets of a node at the similarity meet: those with a common token among their rarest."""
+    d = cut(rows.join(tokens, "key").select("node", "key", F.size("tokens").alias("n"), F.explode("tokens").alias("t")), "nd-tokens")
+    often = cut(d.groupBy("node", "t").agg(F.count("*").alias("c")), "nd-often")
+    ranked = d.join(often, ["node", "t"]).groupBy("node", "key", "n").agg(F.array_sort(F.collect_list(F.struct("c", "t"))).alias("order"))
+    first = F.slice("order", F.lit(1), (F.col("n") - F.ceil(F.col("n") * part / whole) + 1).cast("int"))
+    rare = ranked.select("node", "key", F.explode(F.filter(first, lambda x: x["c"] > 1)).alias("x"))
+    rare = cut(rare.select(F.xxhash64("node", "x.t").alias("node"), "key"), "nd-rare")
+    size = rare.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
+    sized = rare.join(size, "node")
+    mine, parts = _block("n", limit)
+    large = sized.filter(F.col("n") > limit).withColumns({"a": mine, "b": F.explode(F.sequence(F.lit(0), parts - 1))})
+    pair = F.xxhash64("node", F.least("a", "b"), F.greatest("a", "b"))
+    return sized.filter(F.col("n") <= limit).select("node", "key").unionByName(large.select(pair.alias("node"), "key"))
 
 
 def near_duplicates(
@@ -365,11 +404,30 @@ def near_duplicates(
         texts = src.join(groups.withColumnRenamed("id", "rep"), F.col("id").eqNullSafe(F.col("rep")))
         return _sorted_by(texts.select("group", "key", "text"), "group").mapInArrow(_confirm(shingle, part, whole), "src long, dst long")
 
+    def clustered(nodes: DataFrame, least: int) -> DataFrame:
+        """``(key, group)`` of the coarse clusters of small nodes."""
+        pairs = _sorted_by(nodes.join(reps, "key").select("node", "key", "sketch"), "node")
+        near = cut(connected_components(pairs.mapInArrow(_candidates(least), "src long, dst long")), "nd-rare-coarse")
+        near = near.select(F.col("vertex").alias("key"), F.col("component").alias("group"))
+        m = cut(near.groupBy("group").agg(F.count("*").alias("m")), "nd-rare-sizes")
+        sized = near.join(m, "group")
+        wide = sized.filter(F.col("m") > cluster_limit).select("key")
+        return sized.filter(F.col("m") <= cluster_limit).select("key", "group").unionByName(
+            nodes.join(wide, "key", "left_semi").select("key", F.col("node").alias("group"))
+        )
+
     links = confirmed(groups)
     if deep is not None:
         links = cut(links, "nd-links")
-        rest = _left_over(deep, cut(connected_components(links), "nd-first"), limit)
+        rest, sparse = _left_over(deep.join(crowd.select("key"), "key", "left_semi"), cut(connected_components(links), "nd-first"), limit)
         links = links.unionByName(confirmed(rest.join(crowd, "key").select("key", "id", "group")))
+        sparse = cut(sparse, "nd-sparse")
+        if not sparse.isEmpty():
+            named = crowd.join(sparse.select("key").distinct(), "key").withColumnRenamed("id", "rep")
+            texts = src.join(named, F.col("id").eqNullSafe(F.col("rep"))).select("key", "text")
+            tokens = cut(texts.mapInArrow(_tokens(shingle), "key long, tokens array<long>").dropDuplicates(["key"]), "nd-sets-of-tokens")
+            nodes = cut(_by_rare_tokens(sparse, tokens, part, whole, limit), "nd-rare-nodes")
+            links = links.unionByName(confirmed(clustered(nodes, least).join(crowd, "key").select("key", "id", "group")))
     final = cut(connected_components(links), "nd-final")
     for x in [*made, coarse, first]:
         drop(x)
