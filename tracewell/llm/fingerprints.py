@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 from tracewell.llm import words
 
 WINDOW, PIECE, MOST, SECTION = 8, 20, 60, 4
-RANGE_BYTES, MOST_RANGES = 32 << 20, 100_000
+RANGE_BYTES, MOST_RANGES, SAMPLES = 32 << 20, 20_000, 5
 _DIGITS = np.frombuffer(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz-_", np.uint8)
 _VALUE = {chr(c): i for i, c in enumerate(_DIGITS)}
 
@@ -235,14 +235,15 @@ def _key(row) -> tuple:
 def _ranges(src: DataFrame, seed: int = 9) -> list[tuple]:
     """The first key of each range: rows of the table, about ``RANGE_BYTES`` of text apart, from a sample of keys.
 
-    At most ``MOST_RANGES``, so what reaches the driver is bounded.
+    At most ``MOST_RANGES``. The sample that reaches the driver has about ``SAMPLES`` keys a range, so 100,000 or few more, each an id
+    and a hash.
     """
     whole = src.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"), F.min(F.struct(F.col("id").isNotNull(), "id", "h")).alias("first")).first()
     if not whole["n"]:
         return []
     least = 2 * src.sparkSession.sparkContext.defaultParallelism
     parts = min(MOST_RANGES, max(least, -(-(whole["bytes"] or 0) // RANGE_BYTES)))
-    some = src.select("id", "h").sample(min(1.0, 20 * parts / whole["n"]), seed).collect()
+    some = src.select("id", "h").sample(min(1.0, SAMPLES * parts / whole["n"]), seed).collect()
     first = (whole["first"][0], whole["first"]["id"], whole["first"]["h"])
     keys = sorted({_key(r) for r in some} - {first})
     step = max(1, len(keys) / parts)

@@ -39,6 +39,8 @@ ORDER, BITS, LOW = 5, 21, 3
 NEAR = 200
 PRIOR = 100
 BLOCK_BYTES = 32 << 20
+#: Blocks share partitions of a shuffle beyond so many, one after the other.
+MOST_PARTITIONS = 20_000
 STEP = 1 << 18
 PACK = 1 << 20
 _ONE = (1 << BITS) - 1
@@ -252,21 +254,27 @@ def _unpack(pack: pa.Scalar) -> pa.Table:
 
 
 def _ask(batches):
-    """The different n-grams of each block, of all orders, sorted."""
-    held: dict[int, list] = {}
+    """The different n-grams of each block, of all orders, sorted; packs come block by block."""
+    block, parts = None, []
+
+    def asked():
+        hi, lo = _looked_up(*_distinct(*(np.concatenate(x) for x in zip(*parts))))
+        order = np.lexsort((lo, hi))
+        yield from _batches([np.full(len(order), block, np.int32), hi[order], lo[order]], ["block", "hi", "lo"])
+
     for b in batches:
         for k, pack in zip(b.column("block").to_pylist(), b.column("pack")):
+            if k != block:
+                if parts:
+                    yield from asked()
+                block, parts = k, []
             texts = [x or "" for x in _unpack(pack).column("text").to_pylist()]
-            parts = held.setdefault(k, [])
             for piece in _pieces(texts):
                 parts.append(_distinct(*_grams(texts, piece)[:2]))
                 if sum(len(x[0]) for x in parts[1:]) > 500_000:
                     parts[:] = [_distinct(*(np.concatenate(x) for x in zip(*parts)))]
-    for k, parts in held.items():
-        if parts:
-            hi, lo = _looked_up(*_distinct(*(np.concatenate(x) for x in zip(*parts))))
-            order = np.lexsort((lo, hi))
-            yield from _batches([np.full(len(order), k, np.int32), hi[order], lo[order]], ["block", "hi", "lo"])
+    if parts:
+        yield from asked()
 
 
 def _looked_up(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -372,7 +380,7 @@ def perplexities(
     """``(id, row, lang, n, cost, fresh)``: characters, minus log probability, and that without near repeats, of every row.
 
     ``known`` is what :func:`model` returns. The number of blocks follows the size of the
-    texts, and is at least twice that of the cores.
+    texts, and is at least twice that of the cores; a shuffle has ``MOST_PARTITIONS`` partitions at most, each of many blocks then.
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
@@ -382,12 +390,14 @@ def perplexities(
     )
     rows = rows.withColumn("block", F.pmod("row", F.lit(blocks)).cast("int"))
     packs = rows.mapInArrow(_pack, "block int, pack binary")
-    asked = cut(packs.repartitionById(blocks, "block").mapInArrow(_ask, "block int, hi long, lo long"), "kn-asked")
+    parts = min(blocks, MOST_PARTITIONS)
+    dealt = lambda df: df.repartitionById(parts, F.pmod("block", F.lit(parts)).cast("int"))
+    asked = cut(dealt(packs).sortWithinPartitions("block").mapInArrow(_ask, "block int, hi long, lo long"), "kn-asked")
     answers = asked.join(known, ["hi", "lo"]).withColumn("pack", F.lit(None).cast("binary"))
     none = {"hi": "long", "lo": "long", "own": "float", "left": "float"}
     both = answers.unionByName(packs.withColumns({c: F.lit(None).cast(t) for c, t in none.items()}))
     # a block's answers come first, then its texts
-    both = both.repartitionById(blocks, "block").sortWithinPartitions("block", F.col("pack").isNotNull())
+    both = dealt(both).sortWithinPartitions("block", F.col("pack").isNotNull())
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, row long, lang {docs.schema[lang_col].dataType.simpleString()}, n long, cost double, fresh double"
     types = to_arrow_schema(docs.select(id_col, lang_col).schema)
     out = cut(both.mapInArrow(_score(types.field(0).type, types.field(1).type), schema), "kn-scores")
