@@ -6,7 +6,7 @@ for each next word. Only phrases' word ids are in it, packed into one number eac
 hold more than ``MOST`` entries, whole subtrees, the largest first, leave the task as runs sorted by words, so a task has the same
 memory whatever its input. Runs go to the shuffle rather than to a local disk, and are merged partition by partition.
 
-Words and pairs are counted first. A longer phrase can only be frequent if the phrases of one word less in it are; those reach the tasks as
+Words are counted first, then pairs, and so on. A phrase can only be frequent if the phrases of one word less in it are; those reach the tasks as
 three bitmaps of hashes, of 16 MB at most each, and what isn't in them is not counted. Where a language is so rich that
 bitmaps fill up, more is counted than need be, and nothing is lost.
 
@@ -259,7 +259,7 @@ def phrase_counts(
     """``(lang, phrase, words, count)`` of all phrases of up to ``longest`` words that occur ``least`` times or more.
 
     The phrase without words counts all words of its language, however few. A null language is ``und``, a null text has no words.
-    The texts are read once for words and pairs, and once for each longer size.
+    The texts are read once for each size.
     """
     src = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
 
@@ -270,8 +270,8 @@ def phrase_counts(
         size = F.when(F.col("phrase") == "", 0).otherwise(F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit(""))) + 1)
         return cut(merged.select("lang", "phrase", size.cast("int").alias("words"), "count"), f"ph-{sizes[-1]}")
 
-    out = shorter = frequent(range(1, min(longest, 2) + 1))
-    for k in range(3, longest + 1):
+    out = shorter = frequent(range(1, 2))
+    for k in range(2, longest + 1):
         named = shorter.filter(F.col("words") == k - 1)
         n = named.count()
         if not n:
