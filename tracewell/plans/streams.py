@@ -63,10 +63,11 @@ def pairs(spark, d):
 
 @query("stream_merge", ORACLE["merge_rules"])
 def merge(spark, d):
+    # files are dealt at random, so batches are out of order
     v = versions(spark, d)
     s, base = _stream(spark, v, "merge")
-    T.stream_merge(s, _RULES, f"{base}/t", f"{base}/c").awaitTermination()
-    return _plain(T.latest(spark, f"{base}/t", v.schema))
+    T.stream_merge(s, _RULES, f"{base}/c").awaitTermination()
+    return _plain(T.merged_state(spark, f"{base}/c"))
 
 
 @query("stream_enrich", ORACLE["blocklist"])
