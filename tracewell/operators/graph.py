@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracewell.operators.components import connected_components
+from tracewell.scratch import cut
 
 
 def field_values(cells: DataFrame) -> DataFrame:
@@ -174,10 +175,30 @@ def flag_sensitive(names: DataFrame, rules: dict[str, str]) -> DataFrame:
     return names.withColumn("sensitive", F.coalesce(F.col("name").isin(*bad), F.lit(False)))
 
 
-def heavy_pairs(cells: DataFrame, k: int) -> DataFrame:
-    """The ``k`` most frequent pairs, counted exactly; of equal ones the first by their keys."""
-    n = _pairs_in_rows(cells, None).groupBy(F.col("a").alias("a_key"), F.col("b").alias("b_key")).agg(F.count("*").alias("count"))
-    return n.orderBy(F.desc("count"), "a_key", "b_key").limit(k)
+def heavy_pairs(cells: DataFrame, k: int, tracked: int = 1024, most_tracked: int = 65_536) -> DataFrame:
+    """The ``k`` most frequent pairs, counted exactly; of equal ones the first by their keys.
+
+    A sketch of frequent items, merged from all tasks, names candidates: of ``n`` pairs in all, one that it doesn't track
+    occurs ``3.5 * n / tracked`` times at most. Only candidates are counted, so no other pair is shuffled. If the ``k``-th of them isn't above that
+    bound, four times as many are tracked; beyond ``most_tracked``, which bounds what is broadcast, all pairs are counted.
+    """
+    pairs = _pairs_in_rows(cells, None).select(F.col("a").alias("a_key"), F.col("b").alias("b_key"))
+    counted = lambda d: d.groupBy("a_key", "b_key").agg(F.count("*").alias("count"))
+    while tracked <= most_tracked:
+        item = F.concat_ws("|", "a_key", "b_key")
+        s = pairs.agg(F.count("*").alias("n"), F.call_function("approx_top_k", item, F.lit(tracked // 2), F.lit(tracked)).alias("top")).first()
+        bound = 3.5 * s["n"] / tracked
+        names = [tuple(x["item"].split("|")) for x in s["top"] or []]
+        some = cells.sparkSession.createDataFrame(names, "a_key string, b_key string")
+        # of what is tracked but not named, none has more than the last name's estimate
+        if len(names) == tracked // 2:
+            bound = max(bound, s["top"][-1]["count"])
+        best = cut(counted(pairs.join(F.broadcast(some), ["a_key", "b_key"])).orderBy(F.desc("count"), "a_key", "b_key").limit(k), "heavy-pairs")
+        last = best.agg(F.count("*").alias("c"), F.min("count").alias("least")).first()
+        if last["c"] == k and last["least"] > bound:
+            return best
+        tracked *= 4
+    return counted(pairs).orderBy(F.desc("count"), "a_key", "b_key").limit(k)
 
 
 def with_audit(df: DataFrame, actor: str, request_id: str, ts: Column) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def rebuild_dump(rows: DataFrame, seen: DataFrame, values: DataFrame, dump_id: str) -> DataFrame:
@@ -79,7 +79,7 @@ def value_novelty(cells: DataFrame, dumps: DataFrame) -> DataFrame:
 
 
 def lookup(nodes: DataFrame, label: str, key: str) -> DataFrame:
-    """Q9: one node; over a stored table both tests reach the scan."""
+    """Q9: one node. Over a table that :func:`~tracewell.sources.records.write_bucketed` has stored, one bucket is read, and of it the row groups that may hold the key."""
     return nodes.filter((F.col("label") == label) & (F.col("key") == key)).limit(1)
 
 
@@ -100,23 +100,37 @@ def duplicate_rows(hashes: DataFrame) -> DataFrame:
     return d.filter("n > 1")
 
 
-def dump_overlap(hashes: DataFrame) -> DataFrame:
+def dump_overlap(hashes: DataFrame, block: int = 256) -> DataFrame:
     """Q13: shared distinct rows and their Jaccard index for all pairs of dumps that share any.
 
     Row hashes in the same set of dumps are counted together first, so a set of dumps
-    makes its pairs once, however many rows lie in it; no frequency cap is needed.
+    makes its pairs once, however many rows lie in it; no frequency cap is needed. A set of more than ``block`` dumps is cut
+    into blocks, and each pair of blocks is a row of its own, dealt anew, so no row makes more than ``block * block`` pairs.
     """
     d = hashes.select("dump_id", "row_hash").distinct()
     sets = d.groupBy("row_hash").agg(F.array_sort(F.collect_list("dump_id")).alias("s")).filter("size(s) > 1")
     sets = sets.groupBy("s").agg(F.count("*").alias("n"))
-    pairs = F.flatten(F.transform("s", lambda x: F.transform(F.filter("s", lambda y: x < y), lambda y: F.struct(x.alias("dump_a"), y.alias("dump_b")))))
-    d2 = sets.select("n", F.explode(pairs).alias("p")).groupBy("p.dump_a", "p.dump_b").agg(F.sum("n").alias("shared"))
+    d2 = _block_pairs(sets, block).select("n", F.explode(_pairs(F.col("a"), F.col("b"))).alias("p")).groupBy("p.dump_a", "p.dump_b").agg(F.sum("n").alias("shared"))
     size = d.groupBy("dump_id").agg(F.count("*").alias("k"))
     a, b = (size.select(F.col("dump_id").alias(x), F.col("k").alias(f"k_{x}")) for x in ("dump_a", "dump_b"))
     d2 = d2.join(a, "dump_a").join(b, "dump_b")
     return d2.select("dump_a", "dump_b", "shared", (F.col("shared") / (F.col("k_dump_a") + F.col("k_dump_b") - F.col("shared"))).alias("jaccard"))
 
 
+def _pairs(a: Column, b: Column) -> Column:
+    """Ordered pairs of two arrays; of an array with itself each pair once."""
+    return F.flatten(F.transform(a, lambda x: F.transform(F.filter(b, lambda y: x < y), lambda y: F.struct(x.alias("dump_a"), y.alias("dump_b")))))
+
+
+def _block_pairs(sets: DataFrame, block: int) -> DataFrame:
+    """``(n, a, b)``: each sorted set of ``sets`` as pairs of its blocks, itself twice where it is one."""
+    small = sets.filter(F.size("s") <= block).select("n", F.col("s").alias("a"), F.col("s").alias("b"))
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size("s") / block).cast("int") - 1), lambda i: F.slice("s", i * block + 1, block))
+    large = sets.filter(F.size("s") > block).select("n", blocks.alias("bs")).select("n", "bs", F.posexplode("bs").alias("i", "a"))
+    large = large.select("n", "a", F.explode(F.slice("bs", F.col("i") + 1, F.size("bs") - F.col("i"))).alias("b"))
+    return small.unionByName(large.repartition(F.col("a")[0], F.col("b")[0]))
+
+
 def provenance(seen: DataFrame, key: str) -> DataFrame:
     """Q14: every place where a value was seen, in its raw form."""
     d = seen.filter(F.col("canonical_key") == key)

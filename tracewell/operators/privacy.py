@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tracewell.scratch import cut
@@ -110,36 +113,47 @@ def protection_state(df: DataFrame, col: str) -> DataFrame:
 _WANTED = {"hash": "hashed", "encrypt": "encrypted", "scrub": "redacted"}
 
 
+def _members(column: str, wanted: set[str]):
+    """``(path, field, v)`` of the wanted string members of JSON texts, at any depth and however often a name repeats; what isn't JSON has none."""
+
+    def walk(text: str):
+        try:
+            # an object is its pairs, told from an array by being a tuple
+            open_ = [(column, json.loads(text, object_pairs_hook=tuple))]
+        except (ValueError, RecursionError):
+            return
+        while open_:
+            path, v = open_.pop()
+            pairs = v if isinstance(v, tuple) else enumerate(v)
+            for name, x in pairs:
+                at = f"{path}.{name}"
+                if isinstance(x, (tuple, list)):
+                    open_.append((at, x))
+                elif isinstance(x, str) and isinstance(v, tuple) and name in wanted:
+                    yield at, name, x
+
+    def run(batches):
+        for b in batches:
+            found = [m for text in b.column(0).to_pylist() if text is not None and text.lstrip()[:1] in ("{", "[") for m in walk(text)]
+            yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in found], pa.string()) for i in range(3)], ["path", "field", "v"])
+
+    return run
+
+
 def sweep_plaintext(df: DataFrame, rules: dict[str, str], json_cols: tuple[str, ...] = ()) -> DataFrame:
     """``(path, field, expected, state)`` of every protected field that isn't protected as its rule says.
 
-    Columns by their names, and members of JSON columns at any depth, a level a step: each step writes the values
-    that hold more, and the last one finds none. Only strings are looked at, nulls are left out.
+    Columns by their names, and members of JSON columns at any depth, in one pass that writes nothing and carries no
+    more than the fields that have a rule. Only strings are looked at, nulls are left out.
     """
     wanted = {f: _WANTED[r] for f, r in rules.items() if r in _WANTED}
-    nothing = df.select(F.lit("").alias("path"), F.lit("").alias("field"), F.lit("").alias("v")).limit(0)
-    cells = [nothing] + [
-        df.select(F.lit(c).alias("path"), F.lit(c).alias("field"), F.col(c).cast("string").alias("v")) for c in df.columns if c in wanted
-    ]
-    nested = F.expr("schema_of_variant(v) like 'OBJECT%' or schema_of_variant(v) like 'ARRAY%'")
-    for c in json_cols:
-        now, made = df.select(F.lit(c).alias("path"), F.expr(f"try_parse_json({c})").alias("v")).filter(nested), []
-        while True:
-            members = df.sparkSession.tvf.variant_explode(F.col("_v").outer())
-            below = now.select("path", F.col("v").alias("_v")).lateralJoin(members).select(
-                F.concat_ws(".", "path", F.coalesce("key", F.col("pos").cast("string"))).alias("path"), F.coalesce("key", F.lit("")).alias("field"), F.col("value").alias("v")
-            )
-            text = F.when(F.expr("schema_of_variant(v) = 'STRING'"), F.expr("variant_get(v, '$', 'string')"))
-            level = cut(below.filter(nested | F.col("field").isin(*wanted)).select("path", "field", "v", text.alias("s")), "sweep")
-            made.append(level)
-            now = level.filter(nested).select("path", "v")
-            if now.isEmpty():
-                break
-        cells += [x.filter("s is not null").select("path", "field", F.col("s").alias("v")) for x in made]
-    out = cells[0]
-    for c in cells[1:]:
-        out = out.unionByName(c)
-    out = out.filter(F.col("field").isin(*wanted) & F.col("v").isNotNull())
+    out = df.select(F.lit("").alias("path"), F.lit("").alias("field"), F.lit("").alias("v")).limit(0)
+    for c in df.columns:
+        if c in wanted:
+            out = out.unionByName(df.select(F.lit(c).alias("path"), F.lit(c).alias("field"), F.col(c).cast("string").alias("v")))
+    for c in json_cols if wanted else ():
+        out = out.unionByName(df.select(F.col(c).cast("string").alias("v")).mapInArrow(_members(c, set(wanted)), "path string, field string, v string"))
+    out = out.filter(F.col("v").isNotNull())
     out = out.withColumns({"state": state_of(F.col("v")), "expected": _map(wanted)[F.col("field")] if wanted else F.lit(None).cast("string")})
     return out.filter("state <> expected").select("path", "field", "expected", "state")
 
@@ -200,12 +214,37 @@ def categorise(values: DataFrame, rules: dict[str, str], patterns: dict[str, str
 LEVELS = ("public", "internal", "confidential", "high")
 
 
-def classified_view(df: DataFrame, levels: dict[str, str], clearance: str) -> DataFrame:
-    """Columns above the reader's clearance are redacted; an unclassified one counts as the highest."""
-    allowed = LEVELS[: LEVELS.index(clearance) + 1]
-    return df.select(
-        *[F.col(c) if levels.get(c, LEVELS[-1]) in allowed else F.when(F.col(c).isNotNull(), F.lit(REDACTED)).alias(c) for c in df.columns]
-    )
+def _rank(level: Column) -> Column:
+    """A level as a number; what is no level counts as the highest."""
+    return F.coalesce(_map({x: str(i) for i, x in enumerate(LEVELS)})[level].cast("int"), F.lit(len(LEVELS) - 1))
+
+
+def classified_view(df: DataFrame, classification: DataFrame, clearance: str, id_col: str | None = None, name: str | None = None) -> DataFrame:
+    """``df`` as a reader of this clearance may see it, values above it redacted; with ``name`` also published as a view.
+
+    ``classification`` has ``(field, row, level)``: a field in all rows (``row`` null), a field of one row, or one whole row (``field`` null), by
+    the row's ``id_col``. A value has the highest level of those that apply; one that has none, and one whose level is
+    unknown, counts as the highest. Nulls stay null. Fields are one row of levels; rows are one left join.
+    """
+    c = classification.select(F.coalesce("field", F.lit("*")).alias("_field"), F.col("row").cast("string").alias("_row"), _rank(F.col("level")).alias("_level"))
+    levels = lambda d: F.map_from_entries(F.collect_list(F.struct("_field", "_level")))  # noqa: E731  a level a column
+    fields = c.filter("_row is null").groupBy("_field").agg(F.max("_level").alias("_level")).agg(levels(c).alias("_by_field")).withColumn("_one", F.lit(1))
+    d = df.withColumn("_one", F.lit(1)).join(F.broadcast(fields), "_one", "left").withColumn("_by_row", F.lit(None).cast("map<string,int>"))
+    if id_col is not None:
+        rows = c.filter("_row is not null").groupBy("_row", "_field").agg(F.max("_level").alias("_level")).groupBy("_row").agg(levels(c).alias("_by_row"))
+        d = d.drop("_by_row").withColumn("_id", F.col(id_col).cast("string")).join(rows, F.col("_id") == F.col("_row"), "left")
+    allowed = LEVELS.index(clearance)
+
+    def shown(x: str) -> Column:
+        level = F.greatest(F.col("_by_field")[x], F.col("_by_row")[x], F.col("_by_row")["*"])
+        value = F.col(x)
+        masked = F.lit(REDACTED) if df.schema[x].dataType.simpleString() == "string" else F.lit(None).cast(df.schema[x].dataType)
+        return F.when(F.coalesce(level, F.lit(len(LEVELS) - 1)) <= allowed, value).when(value.isNotNull(), masked).alias(x)
+
+    out = d.select(*[shown(x) for x in df.columns])
+    if name:
+        out.createOrReplaceTempView(name)
+    return out
 
 
 def audit_by_actor(audit: DataFrame, key_id: str, since: Column, until: Column) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 
 def ingest_report(records: DataFrame) -> DataFrame:
@@ -23,6 +23,19 @@ def ingest_counters(records: DataFrame, line_col: str = "line") -> DataFrame:
     )
 
 
+def observed_counters(records: DataFrame, line_col: str = "line", name: str | None = None) -> tuple[DataFrame, Observation]:
+    """M2 beside the work that runs anyway: ``records`` that count themselves, and the counts once an action has read them all.
+
+    No second pass: ``observation.get`` holds ``records``, ``errors`` and ``bytes`` after the first action. For a stream
+    give the name instead, and read ``query.lastProgress["observedMetrics"][name]``.
+    """
+    metrics = [
+        F.count(F.lit(1)).alias("records"), F.count_if(F.col("error").isNotNull()).alias("errors"), F.coalesce(F.sum(F.octet_length(line_col)), F.lit(0)).cast("long").alias("bytes"),
+    ]
+    seen = Observation(name) if name else Observation()
+    return (records.observe(name, *metrics) if records.isStreaming else records.observe(seen, *metrics)), seen
+
+
 def histogram(df: DataFrame, col: str, bounds: list[float], by: tuple[str, ...] = ()) -> DataFrame:
     """M3: ``(by, le, cumulative, sum, count)`` for each bound, as fixed buckets; nulls don't count."""
     d = df.groupBy(*by).agg(

@@ -202,18 +202,16 @@ def manifest(spark, d):
     return S.dump_manifest(raw_cells(spark, d)).select("dump_id", stamp("received_at").alias("received_at"), "n_rows", "n_cells", "fingerprint")
 
 
-@query("quarantine_split", f"WITH {_LINES} SELECT error, count(*) AS n FROM r WHERE error IS NOT NULL GROUP BY 1")
+@query("quarantine_split", f"WITH {_LINES} SELECT error, CASE n WHEN 3 THEN '{{\"type\":\"n\",\"value\":' || user_id || '}}' ELSE 'unusable ' || user_id END AS line, count(*) AS n FROM l JOIN (VALUES (3, 'missing_member'), (4, 'not_a_record')) AS e(k, error) ON n = k GROUP BY ALL")
 def quarantine(spark, d):
     _, bad = S.split_rejects(S.parse_kv_lines(_kv_lines(spark, d)))
-    return bad.groupBy("error").agg(F.count("*").alias("n"))
+    return bad.groupBy("error", "line").agg(F.count("*").alias("n"))
 
 
-@query("graph_roundtrip", f"WITH {CELLS} SELECT col AS name, count(DISTINCT k) AS n FROM cells GROUP BY 1")
+@query("graph_roundtrip", f"WITH {CELLS} SELECT DISTINCT k AS canonical_key, col AS name FROM cells")
 def graph_roundtrip(spark, d):
-    from tracewell.operators import graph as G
-
     paths = S.write_graph({"value_of": G.value_of(cells(spark, d))}, _folder(spark, "graph"), {"value_of": "name"})
-    return spark.read.parquet(paths["value_of"]).groupBy(F.col("name").cast("string").alias("name")).agg(F.count("*").alias("n"))
+    return spark.read.parquet(paths["value_of"]).select("canonical_key", F.col("name").cast("string").alias("name"))
 
 
 def _found(spark, d, pattern):
@@ -364,11 +362,7 @@ def ingest_report(spark, d):
 SELECT count(*) AS records, CAST(sum(CAST(n >= 3 AS INT)) AS BIGINT) AS errors,
 CAST(sum(u + CASE n WHEN 0 THEN 54 WHEN 1 THEN 30 WHEN 2 THEN 7 WHEN 3 THEN 21 ELSE 9 END) AS BIGINT) AS bytes FROM l""")
 def ingest_counters(spark, d):
-    return M.ingest_counters(S.parse_kv_lines(_kv_lines(spark, d)))
-
-
-@query("latency_histogram", """WITH b AS (SELECT unnest([1.0, 10.0, 50.0, 100.0, 250.0, 500.0])::DOUBLE AS le)
-SELECT event_type, le, CAST(count_if(value <= le) AS BIGINT) AS cumulative, round(sum(value), 4) AS total, count(value) AS n FROM events, b GROUP BY 1, 2""")
-def latency(spark, d):
-    h = M.histogram(table(spark, d, "events"), "value", [1, 10, 50, 100, 250, 500], ("event_type",))
-    return h.select("event_type", "le", "cumulative", F.round("sum", 4).alias("total"), F.col("count").alias("n"))
+    """Counted while the records are written, without a second pass."""
+    records, seen = M.observed_counters(S.parse_kv_lines(_kv_lines(spark, d)))
+    records.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([tuple(seen.get[c] for c in ("records", "errors", "bytes"))], "records long, errors long, bytes long")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tracewell.operators import enrich as E, graph as G, graph_queries as Q
 from tracewell.plans.base import CELLS, SALT, cells, key_sql, query, stamp, table
+from tracewell.sources import records as S
 
 _T = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 
@@ -241,7 +244,9 @@ def value_novelty(spark, d):
 
 @query("point_lookup", f"WITH {_NODES} SELECT 'User' AS label, key, props FROM n WHERE key = '7'")
 def lookup(spark, d):
-    return _flat(Q.lookup(_nodes(spark, d), "User", "7"))
+    """In a stored table: nodes in 16 buckets by key, of which the lookup reads one."""
+    stored = S.write_bucketed(_nodes(spark, d), f"nodes_{uuid.uuid4().hex}", "key", 16)
+    return _flat(Q.lookup(stored, "User", "7"))
 
 
 @query("filter_prop", f"WITH {_NODES} SELECT 'User' AS label, key, props FROM n WHERE contains(',' || props || ',', ',p1=view,')")

@@ -328,6 +328,17 @@ def write_graph(tables: dict[str, DataFrame], path: str | None = None, partition
     return out
 
 
+def write_bucketed(df: DataFrame, name: str, key: str, buckets: int, path: str | None = None) -> DataFrame:
+    """A table of the catalog in ``buckets`` by ``key``, each sorted by it; by default its files are in the shared folder.
+
+    Lookups by the key prune buckets, and row groups inside by their statistics; joins by it need no shuffle. Rows are dealt
+    by the key first, so each bucket is one file.
+    """
+    where = path or f"{shared_dir(df.sparkSession)}/{name}"
+    df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", where).format("parquet").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows without and with an error."""
     return df.filter("error is null").drop("error"), df.filter("error is not null")
