@@ -111,7 +111,7 @@ def pair_edges(cells: DataFrame, pairs: list[tuple[str, str, str]], max_samples:
 
     made = F.flatten(F.array(*[edges(*p) for p in pairs]))
     d = rows.select(F.explode(made).alias("e"), "ts", F.concat_ws(":", "dump_id", F.lpad(F.col("row_index").cast("string"), 12, "0")).alias("at"))
-    d = d.select("e.*", "ts", "at")
+    d = cut(d.select("e.*", "ts", "at"), "pair-edges")  # used twice, gathered once
     edge = ["pair_type", "src_key", "dst_key"]
     counts = d.groupBy(*edge).agg(F.count("*").alias("count"), F.max("ts").alias("last_seen"))
     nth = F.row_number().over(Window.partitionBy(*edge).orderBy("at"))
