@@ -44,8 +44,8 @@ def format_conversations(
 
     Turns stand in order of turn, then role, then text, nulls first; null roles and texts are
     told from empty ones, and render as nothing. Rows with a null ``conv_id`` are one
-    conversation. A turn that is logged twice counts twice. Other columns are ignored;
-    an empty table gives none.
+    conversation. A turn that is logged twice counts twice. Turns may have any length; a conversation is one
+    row, so it has to fit in memory as a whole. Other columns are ignored; an empty table gives none.
     """
     kept = cut(maximal_conversations(turns), "chat-kept").withColumnRenamed("conv_id", "_kept")
     rows = turns.select("conv_id", "turn", "role", "text").join(kept, F.col("conv_id").eqNullSafe(F.col("_kept")))

@@ -107,7 +107,8 @@ def mix_sources(
     shard. The same rows give the same mix: the order in a shard depends on the
     seed, the id and the text alone. A null text has size 0, a null source is a source of
     its own, a null id is a value like others. Rows that repeat are documents of
-    their own. An empty table gives no rows; a corpus without words takes none.
+    their own. Texts may have any length, other columns are not looked at. An empty table gives no rows; a corpus
+    without words takes none.
     """
     # the text too, so that rows of one id, or of none, don't all fall into one shard
     seeded = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.md5(F.coalesce(text_col, F.lit("")))))

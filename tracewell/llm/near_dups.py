@@ -345,7 +345,7 @@ def near_duplicates(
     with nothing. Rows may repeat, ids too: rows of one id with different texts are
     judged apart, and ``kept`` holds for each row that has its component's id.
     A null id takes part with its text and is kept only where no other id is in
-    its component. An empty table gives no rows; other columns are not looked at.
+    its component. Texts may have any length and count as a whole. An empty table gives no rows; other columns are not looked at.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_hash(id_col, text_col).alias("row"))

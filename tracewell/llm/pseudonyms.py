@@ -26,6 +26,8 @@ SQL expressions only, on values that the patterns find; nothing is shuffled.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, functions as F
 
 ROUNDS = 10
@@ -183,5 +185,8 @@ def pseudonymise(
 
 def op3_pseudonyms(spark, sf_dir):
     """Every document with pseudonyms for its personal values."""
-    key = spark.conf.get("spark.tracewell.pseudonym.key", "not a secret")  # set it where pseudonyms have to hold
+    key = spark.conf.get("spark.tracewell.pseudonym.key", None)
+    if not key:
+        warnings.warn("spark.tracewell.pseudonym.key is not set: pseudonyms are made with a public key and hide nothing", stacklevel=2)
+        key = "not a secret"
     return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet"), key)

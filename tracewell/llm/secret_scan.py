@@ -174,7 +174,11 @@ def redact_secrets(
     docs: DataFrame, text_col: str = "text", base_rules: tuple[Rule, ...] = BASE_RULES,
     more_rules: tuple[Rule, ...] = MORE_RULES, mask: str = "[SECRET]",
 ) -> DataFrame:
-    """``docs`` with every span of its text replaced by ``mask``, overlaps as one. Nulls stay null."""
+    """``docs`` with every span of its text replaced by ``mask``, overlaps as one.
+
+    Nulls stay null and empty texts empty, texts of any length are scanned whole, rows that repeat are redacted alike. Other columns
+    stay as they are, whatever their names; an empty table gives no rows.
+    """
     rules = (*base_rules, *more_rules)
 
     @F.udf("string", useArrow=True)
