@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from tracewell.plans.base import ORACLE, query, table, versions
 from tracewell.plans.graphs import _flat, _jobs, _values
-from tracewell.plans.replication import _RULES, _plain
+from tracewell.plans.replication import _MARK, _RULES, _log, _plain
 from tracewell.scratch import shared_dir
+from tracewell.sources.changelog import pull_stream as pull
 from tracewell.streaming import streams as T
 
 
@@ -70,6 +71,15 @@ def merge(spark, d):
     return _plain(T.merged_state(spark, f"{base}/c"))
 
 
+@query("pull_stream", ORACLE["pull_since"])
+def pull_stream(spark, d):
+    base = f"{shared_dir(spark)}/pull-{uuid.uuid4().hex}"
+    _log(spark, d).repartition(6).write.parquet(f"{base}/log")
+    s = pull(spark, f"{base}/log", (_MARK, "999999999")).select("timestamp", "id")
+    s.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/c").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
 @query("stream_enrich", ORACLE["blocklist"])
 def enrich(spark, d):
     v = _values(spark, d)
