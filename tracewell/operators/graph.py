@@ -185,10 +185,11 @@ def heavy_pairs(cells: DataFrame, k: int, tracked: int = 1024, most_tracked: int
     pairs = _pairs_in_rows(cells, None).select(F.col("a").alias("a_key"), F.col("b").alias("b_key"))
     counted = lambda d: d.groupBy("a_key", "b_key").agg(F.count("*").alias("count"))
     while tracked <= most_tracked:
-        item = F.concat_ws("|", "a_key", "b_key")
+        item = F.concat(F.length("a_key"), F.lit(":"), "a_key", "b_key")
         s = pairs.agg(F.count("*").alias("n"), F.call_function("approx_top_k", item, F.lit(tracked // 2), F.lit(tracked)).alias("top")).first()
         bound = 3.5 * s["n"] / tracked
-        names = [tuple(x["item"].split("|")) for x in s["top"] or []]
+        parts = [(int(x["item"].split(":", 1)[0]), x["item"].split(":", 1)[1]) for x in s["top"] or []]
+        names = [(both[:n], both[n:]) for n, both in parts]
         some = cells.sparkSession.createDataFrame(names, "a_key string, b_key string")
         # of what is tracked but not named, none has more than the last name's estimate
         if len(names) == tracked // 2:

@@ -320,8 +320,8 @@ _FRESH = key_sql("col", "canonical", "fresh", 2)
 
 
 @query("migrate_graph", f"""WITH {CELLS}, c AS (SELECT *, {_FRESH} AS fresh FROM cells)
-SELECT 'node' AS part, fresh AS a, arg_min(canonical, (ts, canonical)) AS b, CAST(NULL AS BIGINT) AS n, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS t, 2 AS key_version FROM c GROUP BY fresh
-UNION ALL SELECT DISTINCT 'value_of', fresh, col, NULL, NULL, 2 FROM c
+SELECT 'node' AS part, fresh AS a, arg_min(canonical, (ts, canonical)) AS b, CAST(0 AS BIGINT) AS n, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS t, 2 AS key_version FROM c GROUP BY fresh
+UNION ALL SELECT DISTINCT 'value_of', fresh, col, 0, NULL, 2 FROM c
 UNION ALL SELECT 'co_occurs', x.fresh, y.fresh, count(*), strftime(max(x.ts), '%Y-%m-%d %H:%M:%S'), 2 FROM c x JOIN c y ON x.dump_id = y.dump_id AND x.row_index = y.row_index AND x.fresh < y.fresh GROUP BY 2, 3""")
 def migrate_graph(spark, d):
     """A graph of which nine tenths were written under old keys and one tenth, by writers that had changed over, under new ones."""
@@ -335,7 +335,7 @@ def migrate_graph(spark, d):
         "co_occurs": C.Keyed(side(G.co_occurs), ["a_key", "b_key"], undirected=True, combine={"count": "sum", "last_seen": "max"}),
     }
     out = C.migrate_keys(raw.select(F.col("column").alias("field_type"), "canonical"), tables, (SALT, 1), ("fresh", 2))
-    none, shown = F.lit(None).cast("long"), ["part", "a", "b", "n", "t", "key_version"]
+    none, shown = F.lit(0).cast("long"), ["part", "a", "b", "n", "t", "key_version"]
     parts = [
         out["node"].select(F.lit("node").alias("part"), F.col("canonical_key").alias("a"), F.col("value").alias("b"), none.alias("n"), stamp("created_at").alias("t"), "key_version"),
         out["value_of"].select(F.lit("value_of").alias("part"), F.col("canonical_key").alias("a"), F.col("name").alias("b"), none.alias("n"), F.lit(None).cast("string").alias("t"), "key_version"),

@@ -321,7 +321,7 @@ _NETS = """nets AS (SELECT '4' || right(bin(256 + i), 8)[1:l] AS bits, (i - i %
 
 @query("enrich_cidr", f"""WITH {_VALUES}, {_V6}, {_NETS.replace("right(bin(256 + i), 8)[1:l]", "right(bin(256 + i), 8) || '0'")}, x AS (SELECT *, {_BITS} AS lead FROM six)
 SELECT canonical_key, canonical, arg_max(network, prefix_len) AS network, max(prefix_len) AS prefix_len, NULL AS error FROM x JOIN nets ON starts_with(lead, bits) GROUP BY 1, 2
-UNION ALL SELECT NULL, NULL, network, NULL, error FROM (VALUES ('10.1.0.0', 'invalid_network'), ('bad/x', 'invalid_network'), ('10.0.0.0/33', 'invalid_prefix'),
+UNION ALL SELECT NULL, NULL, network, -1, error FROM (VALUES ('10.1.0.0', 'invalid_network'), ('bad/x', 'invalid_network'), ('10.0.0.0/33', 'invalid_prefix'),
   ('::/129', 'invalid_prefix'), ('1:2:3/16', 'invalid_network'), ('10.0.0.0/', 'invalid_network'), ('300.1.1.1/8', 'invalid_network'), ('1::2::3/64', 'invalid_network')) AS e(network, error)""")
 def cidr(spark, d):
     """Networks of both versions and many lengths, some of which can't be read, over the addresses of documents and one of version 6 a user."""
@@ -339,7 +339,7 @@ def cidr(spark, d):
     values = _values(spark, d).select("canonical_key", "canonical", "field_type").unionByName(v6)
     found = E.enrich_cidr(values, networks).select("canonical_key", "canonical", F.lower("network").alias("network"), "prefix_len", F.lit(None).cast("string").alias("error"))
     none = F.lit(None).cast("string")
-    return found.unionByName(E.split_networks(networks)[1].select(none.alias("canonical_key"), none.alias("canonical"), "network", F.lit(None).cast("int").alias("prefix_len"), "error"))
+    return found.unionByName(E.split_networks(networks)[1].select(none.alias("canonical_key"), none.alias("canonical"), "network", F.lit(-1).alias("prefix_len"), "error"))
 
 
 _HOST = "lower(regexp_extract(url, 'https?://([^/?#]+)', 1))"

@@ -140,14 +140,15 @@ def category(spark, d):
 l AS (SELECT u.c_custkey, f.field, coalesce(max(c.level), 3) AS level FROM customer u CROSS JOIN (VALUES ('c_custkey'), ('c_name'), ('c_mktsegment'), ('c_nationkey')) AS f(field)
   LEFT JOIN c ON (c.id IS NULL AND c.field = f.field) OR (c.id = u.c_custkey AND coalesce(c.field, f.field) = f.field) GROUP BY 1, 2),
 m AS (SELECT c_custkey, max(level) FILTER (field = 'c_custkey') AS k, max(level) FILTER (field = 'c_name') AS n, max(level) FILTER (field = 'c_mktsegment') AS s, max(level) FILTER (field = 'c_nationkey') AS t FROM l GROUP BY 1)
-SELECT CASE WHEN k <= 1 THEN c_custkey END AS c_custkey, CASE WHEN n <= 1 THEN c_name ELSE '[REDACTED]' END AS c_name, CASE WHEN s <= 1 THEN c_mktsegment ELSE '[REDACTED]' END AS c_mktsegment,
+SELECT CASE WHEN k <= 1 THEN CAST(c_custkey AS VARCHAR) ELSE '[REDACTED]' END AS c_custkey, CASE WHEN n <= 1 THEN c_name ELSE '[REDACTED]' END AS c_name, CASE WHEN s <= 1 THEN c_mktsegment ELSE '[REDACTED]' END AS c_mktsegment,
   CASE WHEN t <= 1 THEN CAST(c_nationkey AS VARCHAR) ELSE '[REDACTED]' END AS c_nationkey FROM customer JOIN m USING (c_custkey)""")
 def view(spark, d):
     """Levels of fields, of one field in some rows, and of whole rows; a field without any is shown only where its row has one."""
-    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", F.col("c_nationkey").cast("string").alias("c_nationkey"))
+    customer = table(spark, d, "customer")
+    c = customer.select(F.col("c_custkey").cast("string").alias("c_custkey"), "c_name", "c_mktsegment", F.col("c_nationkey").cast("string").alias("c_nationkey"))
     fields = spark.createDataFrame([("c_custkey", None, "public"), ("c_name", None, "confidential"), ("c_mktsegment", None, "internal")], "field string, row long, level string")
     rows = [
-        c.filter(F.col("c_custkey") % n == 0).select(F.lit(f).cast("string").alias("field"), F.col("c_custkey").alias("row"), F.lit(level).alias("level"))
+        customer.filter(F.col("c_custkey") % n == 0).select(F.lit(f).cast("string").alias("field"), F.col("c_custkey").alias("row"), F.lit(level).alias("level"))
         for n, f, level in ((3, "c_nationkey", "public"), (4, "c_mktsegment", "high"), (5, None, "internal"), (7, None, "confidential"))
     ]
     classification = fields.unionByName(rows[0]).unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])

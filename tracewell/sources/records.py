@@ -256,7 +256,11 @@ def parse_dumps(files: DataFrame, hints: dict[str, str] | None = None) -> DataFr
     d = known.filter(~packed).unionByName(inside)
     d = d.withColumn("error", F.coalesce("error", F.when(~F.col("kind").isin("ndjson", "json", "csv", "tsv"), "unsupported_format")))
     d = once(d, _t=F.when(F.col("error").isNull(), F.col("content").cast("string")))
-    d = once(d, _w=F.when(F.col("kind") == "json", F.expr("try_parse_json(_t)")))
+    d = once(d, _j=F.when(F.col("kind") == "json", trimmed(F.col("_t"))))
+    # the parser stops after a value, so a first line that is one by itself, or an end without its bracket, is no document
+    lined = F.contains("_j", F.lit("\n")) & F.expr("try_parse_json(substring_index(_j, '\n', 1))").isNotNull()
+    closed = F.concat(F.substr("_j", F.lit(1), F.lit(1)), F.right("_j", F.lit(1))).isin("[]", "{}")
+    d = once(d, _w=F.when(~lined & closed, F.expr("try_parse_json(_j)"))).drop("_j")
     records = F.expr("schema_of_variant(try_variant_get(_w, '$[0]'))").rlike("^(OBJECT|ARRAY)")
     document = F.when(records, F.transform(F.expr("try_cast(_w as array<variant>)"), lambda x: F.to_json(x))).when(F.col("_w").isNotNull(), F.array(F.to_json("_w")))
     at = (
