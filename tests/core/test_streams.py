@@ -100,6 +100,18 @@ def test_states_don_t_depend_on_the_order():
     assert len(seen) == 1
 
 
+def test_newest_values_of_one_time_and_origin(spark):
+    """Streamed, merged and exchanged states agree on them, whatever came first."""
+    rows = [("s", "k", {"context": c}, "a", 1, i, False, i) for i, c in enumerate("yzx")]
+    for log in (rows, rows[::-1], [rows[1], rows[2], rows[0]]):
+        df, state = spark.createDataFrame(log, VERSION).coalesce(1), None
+        for r in log:
+            state = merge_version(state, dict(zip(("props", "origin", "timestamp", "version", "tombstone", "seq"), r[2:])), R.SIGHTING_RULE)
+        assert sighted_version(state, R.SIGHTING_RULE)["props"]["context"] == "z"
+        assert R.merge(df, {"s": "sighting"}).first()["props"]["context"] == "z"
+        assert R.replica_state(df, {"s": "sighting"}).first()["props"]["context"] == "z"
+
+
 def test_pulls_go_on_at_their_mark(spark, tmp_path):
     """Entries that share a timestamp, in files of any order: none is lost or repeated over a restart."""
     log, out, check = (str(tmp_path / x) for x in ("log", "out", "c"))

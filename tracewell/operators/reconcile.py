@@ -67,7 +67,8 @@ def merge_tombstone(versions: DataFrame) -> DataFrame:
 def merge_sightings(versions: DataFrame, rule: dict[str, list[str]] = SIGHTING_RULE) -> DataFrame:
     """Sums, least and greatest values, the newest for listed fields, all else from the local side.
 
-    A missing counter is 0; a value that is no integer doesn't count as a time. The result carries
+    A missing counter is 0; a value that is no integer doesn't count as a time. Of newest values with one
+    time and origin the greatest counts, as in R9. The result carries
     the greatest version order; the local side is the smallest ``seq``. Tombstones have their own merge.
     """
     v = lambda f: F.col("props")[f]
@@ -82,7 +83,7 @@ def merge_sightings(versions: DataFrame, rule: dict[str, list[str]] = SIGHTING_R
             aggs.append(fn(whole(f)).cast("string").alias(f"_f_{f}"))
             named.append(f)
     for f in rule.get("newest", []):
-        aggs.append(F.max_by(v(f), F.when(v(f).isNotNull(), F.struct("timestamp", "origin"))).alias(f"_f_{f}"))
+        aggs.append(F.max_by(v(f), F.when(v(f).isNotNull(), F.struct("timestamp", "origin", v(f).alias("value")))).alias(f"_f_{f}"))
         named.append(f)
     d = versions.groupBy(*KEYS).agg(*aggs)
     rest = F.map_filter("_local", lambda k, _: ~k.isin(*named)) if named else F.col("_local")

@@ -46,7 +46,7 @@ def merge_version(state: dict | None, v: dict, fields: dict[str, list[str]]) ->
     for f in fields.get("newest", []):
         if props.get(f) is not None:
             new = [v["timestamp"], v["origin"], props[f]]
-            s["newest"][f] = max(s["newest"].get(f, new), new, key=lambda t: _order(*t[:2]))
+            s["newest"][f] = max(s["newest"].get(f, new), new, key=lambda t: _order(*t))  # of one time and origin the greatest value, as R4 and R9
     return s
 
 
