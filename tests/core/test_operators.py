@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.operators import graph as G, privacy as P, reconcile as R
+from tracewell.operators import components, graph as G, privacy as P, reconcile as R
 from tracewell.operators.components import connected_components
 from tracewell.operators.ordering import with_running
 from tracewell.plans.queries import ORACLE, QUERIES
@@ -140,6 +140,21 @@ def test_components_against_union_find(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_finished_components_take_no_round(spark, monkeypatch):
+    """Stars around their least vertex are components already, a path isn't, and neither is a star around another vertex."""
+    rounds, star = [], components._star
+    monkeypatch.setattr(components, "_star", lambda *a: rounds.append(1) or star(*a))
+
+    def found(edges):
+        rounds.clear()
+        return {r["vertex"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+
+    assert found([(1, i) for i in range(2, 30)] + [(50, 51), (51, 50), (7, 7), (60, 60)]) == {i: 1 for i in range(1, 30)} | {50: 50, 51: 50, 60: 60}
+    assert not rounds
+    assert found([(9, i) for i in range(5, 9)]) == {i: 5 for i in range(5, 10)} and rounds
+    assert found([(i, i + 1) for i in range(9)]) == {i: 0 for i in range(10)} and rounds
+
+
 def test_running_sums(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("x"), F.lit(2).alias("w")).repartition(5)
     rows = with_running(df, [F.col("x")], "r", {"s": "w"}).collect()

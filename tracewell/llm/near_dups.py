@@ -19,7 +19,7 @@ The steps, each of them a Spark job that writes to the shared folder:
 4. The texts of clustered sets, and no others, are shipped to their cluster (to their
    tree nodes, where a cluster is too large for one task) and compared exactly
    through an inverted index.
-5. Components of the exact links.
+5. Components of the exact links. Those of clusters that were compared as a whole are finished stars, so where all are, this takes no round.
 
 Nodes that are still large at ``max_depth`` hold sets that agree on many coordinates, most of them copies of one
 text with few changes. Such a node is one coarse cluster. Its texts are compared inside blocks, each with the same few
@@ -252,7 +252,8 @@ def _confirm(k: int, part: int, whole: int):
 
 
 def _sorted_by(df: DataFrame, col: str) -> DataFrame:
-    return df.repartition(col).sortWithinPartitions(col)
+    """Groups by ``col``, in each the least key first, so that it is the centre of its links."""
+    return df.repartition(col).sortWithinPartitions(col, "key")
 
 
 def _block(n: str, limit: int):
@@ -386,14 +387,14 @@ def near_duplicates(
     if deep is not None:  # one cluster each
         names = cut(deep.groupBy("node").agg(F.min("key").alias("dst")), "nd-names")
         near = near.unionByName(deep.join(names, "node").select(F.col("key").alias("src"), "dst"))
-    coarse = cut(connected_components(near), "nd-coarse")
+    coarse = connected_components(near)
 
     member = coarse.select(F.col("vertex").alias("key"), F.col("component").alias("group"))
     first = sets.join(member, "key").groupBy("key", "group").agg(F.min("id").alias("id"), F.max("n").alias("n"))
     first = cut(first, "nd-members")
     size = first.groupBy("group").agg(F.count("*").alias("m"), F.sum("n").alias("tokens"))
     large = (F.col("m") > cluster_limit) | (F.col("tokens") > 2000 * cluster_limit)
-    sized = first.join(size, "group")
+    sized = cut(first.join(size, "group"), "nd-sized")
     inside = sized.filter(~large | (F.col("m") == 1)).select("key", "id", "group")
     crowd = sized.filter(large & (F.col("m") > 1)).select("key", "id")
     groups = inside.unionByName(crowd.join(small, "key").select("key", "id", F.col("node").alias("group")))
@@ -429,7 +430,7 @@ def near_duplicates(
             nodes = cut(_by_rare_tokens(sparse, tokens, part, whole, limit), "nd-rare-nodes")
             links = links.unionByName(confirmed(clustered(nodes, least).join(crowd, "key").select("key", "id", "group")))
     final = cut(connected_components(links), "nd-final")
-    for x in [*made, coarse, first]:
+    for x in [*made, first, sized]:
         drop(x)
 
     labelled = sets.select("id", "row", "n", "key").join(

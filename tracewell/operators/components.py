@@ -20,8 +20,8 @@ def _with_least(edges: DataFrame, around: DataFrame, rows: int) -> DataFrame:
     bound = max(LEAST_DEGREE, rows // MOST_HUBS)
     least = around.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
     hubs, few = least.filter(F.col("n") > bound).select("u", "m"), least.filter(F.col("n") <= bound).select("u", "m")
-    rest = edges.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(few, "u")
-    return edges.join(F.broadcast(hubs), "u").unionByName(rest)
+    marked = edges.join(F.broadcast(hubs), "u", "left")  # one broadcast for both
+    return marked.filter("m is not null").unionByName(marked.filter("m is null").drop("m").join(few, "u"))
 
 
 def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
@@ -34,11 +34,20 @@ def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         out = _with_least(both.filter("v > u"), both, 2 * rows).select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
     else:
+        edges = edges.repartition("u")  # for both, the least and the join
         least = edges.groupBy("u").agg(F.min("v").alias("m"))  # smaller neighbours only, so a root has none
         out = edges.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
     return out.filter("u > v").distinct()
 
 
+def _state(edges: DataFrame) -> tuple[int, bool]:
+    """How many pairs there are, and whether they are a finished forest: each ``u`` once, under a root that is nobody's child."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up")))).alias("e"))
+    each = ends.groupBy("e.x").agg(F.sum("e.up").alias("up"), F.count("*").alias("all"))
+    found = each.agg(F.sum("up").alias("n"), F.count_if((F.col("up") > 0) & (F.col("all") > 1)).alias("open")).first()
+    return found["n"] or 0, not found["open"]
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_iter: int = 40) -> DataFrame:
     """``(vertex, component)`` for every vertex that has an edge.
 
@@ -46,28 +55,25 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     self loops keep their vertex, null ends and repeated edges are ignored. Every
     round is one aggregation and one join on the vertex, written to the shared
     folder so that lineage stays short and a lost executor costs one round.
+    Rounds end as soon as what is left is a finished forest, so pairs that are one already take none.
     Raises if ``max_iter`` rounds don't suffice (the number of rounds grows with
     the logarithm of the longest path).
     """
     raw = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).dropna()
     work = cut(raw.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc-edges")
     loops = work.filter("u = v").select("u")
-    now, before = cut(work.filter("u > v"), "cc-0"), None
-    sign, rows = None, now.count()
+    now = work.filter("u > v")
+    rows, done = _state(now)
     for i in range(max_iter):
-        nxt = cut(_star(_star(now, True, rows), False, rows), f"cc-{i + 1}")
-        drop(before)
-        before, now = now, nxt
-        # a finished forest has each vertex once, under a root that is nobody's child
-        found = now.agg(
-            F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
-        ).first()
-        if sign == (found["n"], found["h"]):
+        if done:
             break
-        sign, rows = (found["n"], found["h"]), found["n"]
-    else:
+        nxt = cut(_star(_star(now, True, rows), False, rows), f"cc-{i + 1}")
+        if i:
+            drop(now)
+        now = nxt
+        rows, done = _state(now)
+    if not done:
         raise RuntimeError(f"components did not settle in {max_iter} rounds")
-    roots = now.select(F.col("v").alias("u")).unionByName(loops).distinct().join(now.select("u"), "u", "left_anti")
-    return now.select(F.col("u").alias("vertex"), F.col("v").alias("component")).unionByName(
-        roots.select(F.col("u").alias("vertex"), F.col("u").alias("component"))
-    )
+    own = now.select("v").unionByName(loops.select(F.col("u").alias("v")))  # roots, and what only has a loop
+    each = now.select("u", "v").unionByName(own.select(F.col("v").alias("u"), "v"))
+    return each.groupBy(F.col("u").alias("vertex")).agg(F.min("v").alias("component"))
