@@ -155,6 +155,51 @@ def test_finished_components_take_no_round(spark, monkeypatch):
     assert found([(i, i + 1) for i in range(9)]) == {i: 0 for i in range(10)} and rounds
 
 
+def _roots_of(edges):
+    """Components by union-find, named by their least vertex."""
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {v: find(v) for v in parent}
+
+
+@pytest.mark.parametrize("name", [int, lambda i: f"v{i}"])
+def test_components_of_many_forms(spark, monkeypatch, name):
+    """Hubs with leaves and with links, paths, pairs, cliques, loops and repeats, as numbers and as names; of names, two have one hash at first."""
+    monkeypatch.setattr("tracewell.operators.components.LEAST_DEGREE", 5)
+    number, seeds = components._number, []
+    monkeypatch.setattr(components, "_number", lambda c, seed: seeds.append(seed) or (number(c, seed) if seed else F.length(c).cast("long")))
+    rng = random.Random(8)
+    edges = [(7000, i) for i in range(7001, 7200)] + [(7100, 7300), (7300, 7301)] + [(i, i + 1) for i in range(300, 340)] + [(8000 + 2 * i, 8001 + 2 * i) for i in range(90)]
+    edges += [(9000 + i, 9000 + j) for i in range(12) for j in range(i)] + [(rng.randrange(150), rng.randrange(150)) for _ in range(400)] + [(6000, 6000), (7000, 7001), (7001, 7000)]
+    edges = [(name(a), name(b)) for a, b in edges]
+    t = spark.createDataFrame([*edges, (None, edges[0][0])], f"src {'long' if name is int else 'string'}, dst {'long' if name is int else 'string'}").repartition(3)
+    rows = connected_components(t).collect()
+    assert {r["vertex"]: r["component"] for r in rows} == _roots_of(edges) and len(rows) == len({v for e in edges for v in e})
+    assert set(seeds) == (set() if name is int else {0, 1})
+
+
+def test_rounds_read_less_and_less(spark, monkeypatch):
+    """Orders with lines of which few are shared: after the first round only the shared ones are read, and dense pairs shrink as well."""
+    made, cut = {}, components.cut
+    count = lambda df, name: made.update({name: (r := cut(df, name)).count()}) or r
+    monkeypatch.setattr(components, "cut", count)
+    rng = random.Random(2)
+    for edges, least in (([(f"o{rng.randrange(500)}", f"p{rng.randrange(20_000)}") for _ in range(2000)], 1), ([(rng.randrange(400), rng.randrange(400)) for _ in range(2000)], 2)):
+        made.clear()
+        df = spark.createDataFrame(edges, f"src {'string' if least == 1 else 'long'}, dst {'string' if least == 1 else 'long'}")
+        assert {r["vertex"]: r["component"] for r in connected_components(df).collect()} == _roots_of(edges)
+        rounds = [made[n] for n in made if n.removeprefix("cc-").isdigit()]
+        assert len(rounds) >= least and sum(rounds) < 2000 and rounds == sorted(rounds, reverse=True) and rounds[-1] == 0
+
+
 def test_running_sums(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("x"), F.lit(2).alias("w")).repartition(5)
     rows = with_running(df, [F.col("x")], "r", {"s": "w"}).collect()
